@@ -1,14 +1,20 @@
 """Queries of this subpackage and the SQL that states the same, where SQL can."""
 
+from .decontamination import OP2_SQL, op2_decontamination
 from .licences import op8_licences, op8_sql
 from .media import op3_media
+from .minhash import op5_minhash
 from .mixing import op1_mixing, op1_sql
+from .suffixes import op7_suffix
 from .warc import op10_warc
 
 QUERIES = {
     "op1_mixing": op1_mixing,
+    "op2_decontamination": op2_decontamination,
     "op3_media": op3_media,
+    "op5_minhash": op5_minhash,
+    "op7_suffix": op7_suffix,
     "op8_licences": op8_licences,
     "op10_warc": op10_warc,
 }
-ORACLE = {"op1_mixing": op1_sql(), "op8_licences": op8_sql()}
+ORACLE = {"op1_mixing": op1_sql(), "op2_decontamination": OP2_SQL, "op8_licences": op8_sql()}
