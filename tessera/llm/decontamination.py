@@ -21,6 +21,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from .shared import cut
+
 SPAN, K = 13, 5
 WINDOW = SPAN - K + 1
 BROADCAST_ROWS = 300_000
@@ -92,7 +94,7 @@ def contamination(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", tex
     windows = benchmark_windows(bench, item_col, "text")
     # rows of equal id and text are one document: their hits are the same
     key = F.struct(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("t"))
-    base = hashed(docs.withColumn("key", key), text_col)
+    base = hashed(docs.select(key.alias("key"), F.col(text_col).cast("string").alias("text")), "text")
     hits = find_windows(base.select("key", "h"), windows, "key")
     # union of the hit spans of a document: a fold over its sorted starts
     fold = F.expr("""aggregate(array_sort(runs), cast(array() as array<struct<lo:int,hi:int>>), (acc, x) -> if(size(acc) > 0 and x.lo <= acc[size(acc) - 1].hi,
@@ -103,13 +105,20 @@ def contamination(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", tex
     found = spans.join(items, "key")
     out = base.select("key", F.size("h").cast("long").alias("n_words")).join(found, "key", "left")
     n_hit = F.coalesce(F.expr("aggregate(spans, 0L, (s, x) -> s + x.hi - x.lo)"), F.lit(0).cast("long"))
-    out = out.select(F.col("key.id").alias(id_col), "n_words", n_hit.alias("n_hit"), F.coalesce(F.size("items"), F.lit(0)).cast("long").alias("n_items"), F.sha2(F.concat_ws(",", F.coalesce("items", F.array().cast("array<string>"))), 256).alias("items_sha256"), F.coalesce("spans", F.expr("cast(array() as array<struct<lo:int,hi:int>>)")).alias("spans"))
+    out = out.select(F.col("key.id").alias(id_col), F.col("key.t").alias("text_key"), "n_words", n_hit.alias("n_hit"), F.coalesce(F.size("items"), F.lit(0)).cast("long").alias("n_items"), F.sha2(F.concat_ws(",", F.coalesce("items", F.array().cast("array<string>"))), 256).alias("items_sha256"), F.coalesce("spans", F.expr("cast(array() as array<struct<lo:int,hi:int>>)")).alias("spans"))
     return out.withColumn("contaminated", F.expr(f"n_hit > 0 and 100 * n_hit >= {percent} * n_words"))
 
 
+def decontaminate(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
+    """The rows of ``docs`` that aren't contaminated."""
+    bad = cut(contamination(docs, bench, id_col, text_col, **how).filter("contaminated").select(F.col(id_col).alias("id__"), F.col("text_key").alias("t__")), "contaminated")
+    bad = _checked(bad, bad.count())
+    return docs.join(bad, docs[id_col].eqNullSafe(bad["id__"]) & (F.xxhash64(docs[text_col]) == bad["t__"]), "left_anti")
+
+
 def op2_decontamination(spark, sf_dir: str) -> DataFrame:
     docs, bench = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "benchmark"))
-    return contamination(docs, bench).drop("spans")
+    return contamination(docs, bench).drop("spans", "text_key")
 
 
 _WORDS_SQL = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"

@@ -194,5 +194,12 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), own.alias("component_id"), (own.eqNullSafe(F.col("id"))).alias("kept"))
 
 
+def drop_near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 75) -> DataFrame:
+    """The rows of ``df`` that stay: one document of each class."""
+    gone = cut(near_duplicates(df, id_col, text_col, percent).filter("not kept").select(F.col(id_col).alias("gone__")).distinct(), "minhash-gone")
+    gone = F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone.hint("merge")
+    return df.join(gone, df[id_col] == gone["gone__"], "left_anti")
+
+
 def op5_minhash(spark, sf_dir: str) -> DataFrame:
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))

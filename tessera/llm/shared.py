@@ -19,11 +19,21 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+FREE = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def cut(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: later stages start from files, not from lineage."""
+    """Write ``df`` to the shared folder and read it back: later stages start from files, not from lineage.
+
+    The shuffle files of the job that writes are freed when it ends, since nothing runs it again."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tessera-{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    before = spark.conf.get(FREE, None)
+    spark.conf.set(FREE, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.unset(FREE) if before is None else spark.conf.set(FREE, before)
     out = spark.read.schema(df.schema).parquet(path)
     out._tessera_path = path
     return out

@@ -13,14 +13,16 @@ that are left, and to drop those that have become unique. Growing offsets are:
 2. Runs that are equal as a whole, with all bytes that their starts reach, repeat in all their starts.
 3. Starts of the other runs, and of one run for each group of equal ones, get the pair of ranks
    (prefix of 100 at p, prefix of 100 at p + 100), as in prefix doubling. A pair that two starts share
-   is a repeated string of 200 bytes: past the threshold, doubling stops.
+   is a repeated string of 200 bytes: past the threshold, doubling stops. Pairs can be equal only among
+   runs of one name: up to MANY such runs are sorted together, those of more frequent names are
+   exchanged start by start.
 
 A group of any size meets as counts; joins back to the rows are sort-merge joins, which adaptive
 execution splits if one name is frequent.
 
 Defined cases: null counts as an empty text; texts shorter than ``length`` lose nothing; repeated rows
 are documents of their own, so both copies are removed; long texts are worked through in pieces of a
-million starts; null ids are kept; extra columns are carried along; an empty table gives an empty one.
+million starts; null ids are kept; extra columns are carried along, but for those that are added; an empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -30,12 +32,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from .rolling import U64, buffers, grams, prefix, sliding_min, spans
-from .shared import cut
+from .shared import cut, drop_cut
 
 PIECE = 1 << 20
+MANY = 1000  # runs of one name that a task may hold together; more are grouped start by start
 
 
 def _batches(batch: pa.RecordBatch, column: int, limit: int = PIECE) -> Iterator[pa.RecordBatch]:
@@ -98,39 +102,101 @@ def _names(rows: DataFrame, length: int) -> DataFrame:
     return rows.select("key", "text").mapInArrow(work, "name long")
 
 
+def _reach(rows: DataFrame, length: int) -> DataFrame:
+    """All bytes that the starts of listed runs reach: (key, text, runs) to one row per run."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in _batches(batch, 1):
+                counts = pc.list_value_length(part.column(2)).to_numpy(zero_copy_only=False)
+                runs = part.column(2).flatten()
+                fields = [runs.field(x) for x in ("name", "first", "asks", "many")]
+                first, more = (runs.field(x).to_numpy(zero_copy_only=False) for x in ("first", "more"))
+                ends, reach = np.cumsum(counts), []
+                for data, lo, hi in zip(buffers(part.column(1)), ends - counts, ends):
+                    raw = data.tobytes()
+                    reach += [raw[f : f + m + length] for f, m in zip(first[lo:hi].tolist(), more[lo:hi].tolist())]
+                key = part.column(0).take(pa.array(np.repeat(np.arange(part.num_rows), counts)))
+                yield pa.RecordBatch.from_arrays([key, *fields, pa.array(reach, pa.binary())], names=["key", "name", "first", "asks", "many", "reach"])
+
+    return rows.select("key", "text", "runs").mapInArrow(work, "key long, name long, first long, asks boolean, many boolean, reach binary")
+
+
+def _ranks(reach: pa.Array, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of every start of the runs: row, offset, and the ranks of its two halves."""
+    ends = np.frombuffer(reach.buffers()[1], np.int32)[reach.offset : reach.offset + len(reach) + 1]
+    data = np.frombuffer(reach.buffers()[2], np.uint8)[ends[0] : ends[-1]]
+    ends = (ends - ends[0]).astype(np.int64)
+    n = np.diff(ends) - length + 1
+    row = np.repeat(np.arange(len(n)), n)
+    offset = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    at, pre, half = ends[row] + offset, prefix(data), length // 2
+    return row, offset, spans(pre, at, at + half), spans(pre, at + half, at + length)
+
+
 def _pairs(rows: DataFrame, length: int) -> DataFrame:
-    """Rank pairs of the starts of listed runs: (key, text, runs) to (key, start, r1, r2, asks)."""
-    half = length // 2
+    """A row per start with its pair of ranks."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in range(batch.num_rows):
-                data = next(buffers(batch.column(1).slice(row, 1)))
-                runs = batch.column(2)[row].values
-                first, more, asks = (runs.field(x).to_numpy(zero_copy_only=False) for x in ("first", "more", "asks"))
-                for lo in range(0, len(first), 4096):
-                    f, m = first[lo : lo + 4096], more[lo : lo + 4096].astype(np.int64) + 1
-                    starts = np.repeat(f - np.cumsum(m) + m, m) + np.arange(m.sum())
-                    # fingerprints over the bytes that these runs reach, from the first on
-                    base, top = int(starts.min()), int(starts.max()) + length
-                    pre = prefix(data[base:top])
-                    at = starts - base
-                    one, two = spans(pre, at, at + half), spans(pre, at + half, at + length)
-                    key = pa.array(np.full(len(starts), batch.column(0)[row].as_py()), pa.int64())
-                    yield pa.RecordBatch.from_arrays([key, pa.array(starts), pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), pa.array(np.repeat(asks[lo : lo + 4096], m))], names=["key", "start", "r1", "r2", "asks"])
-
-    return rows.select("key", "text", "runs").mapInArrow(work, "key long, start long, r1 long, r2 long, asks boolean")
+            for lo in range(0, batch.num_rows, 2048):
+                part = batch.slice(lo, 2048)
+                row, offset, one, two = _ranks(part.column(3), length)
+                start = part.column(1).to_numpy()[row] + offset
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(row)), pa.array(start), pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), part.column(2).take(pa.array(row))], names=["key", "start", "r1", "r2", "asks"])
+
+    return rows.select("key", "first", "asks", "reach").mapInArrow(work, "key long, start long, r1 long, r2 long, asks boolean")
+
+
+def _paired_here(rows: DataFrame, length: int) -> DataFrame:
+    """The same as grouping ``_pairs``, inside tasks: the runs of a name, MANY at most, lie together."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+
+        def done(table: pa.Table) -> Iterator[pa.RecordBatch]:
+            part = table.combine_chunks().to_batches()[0]
+            row, offset, one, two = _ranks(part.column(4), length)
+            order = np.lexsort((two, one))
+            same = (one[order][1:] == one[order][:-1]) & (two[order][1:] == two[order][:-1])
+            again = np.zeros(len(row), bool)
+            again[order[1:][same]] = again[order[:-1][same]] = True
+            again &= np.asarray(part.column(3).to_numpy(zero_copy_only=False), bool)[row]
+            # neighbouring starts of a run that repeat become one span
+            r, o = row[again], offset[again]
+            if len(r):
+                new = np.concatenate([[True], (r[1:] != r[:-1]) | (o[1:] != o[:-1] + 1)])
+                stop = np.append(np.flatnonzero(new)[1:], len(r)) - 1
+                base = part.column(2).to_numpy()
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(r[new])), pa.array(base[r[new]] + o[new]), pa.array(base[r[stop]] + o[stop] + length)], names=["key", "lo", "hi"])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            names = batch.column(1).to_numpy()
+            # runs of the last name may go on in the next batch
+            keep = int(np.flatnonzero(names != names[-1])[-1]) + 1 if (names != names[-1]).any() else 0
+            if keep or (held and held[-1].column(1)[0].as_py() != names[0]):
+                head = [*held, batch.slice(0, keep)] if keep else held
+                yield from done(pa.Table.from_batches(head))
+                held = []
+            held.append(batch.slice(keep))
+        if held:
+            yield from done(pa.Table.from_batches(held))
+
+    together = rows.select("key", "name", "first", "asks", "reach").repartition("name").sortWithinPartitions("name")
+    return together.mapInArrow(work, "key long, lo long, hi long")
 
 
 def keyed(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Adds ``key``, equal only for rows of equal id and text."""
+    """Adds ``key__`` and ``text__``; keys are equal only for rows of equal id and text."""
     ident, text = F.col(id_col).cast("string"), F.col(text_col).cast("string")
     for seed in range(8):
         one = F.xxhash64(F.lit(seed), ident, ident.isNull(), text)
         clash = df.select(one.alias("key"), F.xxhash64(F.lit(-1), text, ident.isNull(), ident).alias("check")).groupBy("key").agg(F.min("check").alias("x"), F.max("check").alias("y")).filter("x <> y")
         if clash.isEmpty():
             break
-    return df.withColumns({"key": one, "text_": F.coalesce(text, F.lit(""))})
+    return df.withColumns({"key__": one, "text__": F.coalesce(text, F.lit(""))})
 
 
 def repeated_runs(rows: DataFrame, length: int = 200) -> DataFrame:
@@ -139,13 +205,18 @@ def repeated_runs(rows: DataFrame, length: int = 200) -> DataFrame:
     left = cut(_named(rows, length).join(common.hint("merge"), "name"), "suffix-runs")
     groups = cut(left.groupBy("name", "whole", "more").agg(F.count("*").alias("c"), F.min(F.struct("key", "first")).alias("one")), "suffix-groups")
     equal = left.join(groups.filter("c > 1").select("name", "whole", "more").hint("merge"), ["name", "whole", "more"]).select("key", F.col("first").alias("lo"), (F.col("first") + F.col("more") + length).alias("hi"))
-    single = groups.filter("c = 1").withColumn("asks", F.lit(True))
-    asked = groups.filter("c > 1").join(groups.filter("c = 1").select("name").distinct().hint("merge"), "name", "left_semi").withColumn("asks", F.lit(False))
-    todo = single.unionByName(asked).select("one.key", F.struct("one.first", "more", "asks").alias("run")).groupBy("key").agg(F.array_sort(F.collect_list("run")).alias("runs"))
-    pairs = cut(_pairs(rows.join(todo.hint("shuffle_hash"), "key"), length), "suffix-pairs")
+    per_name = groups.groupBy("name").agg(F.count("*").alias("members"), F.max(F.col("c") == 1).alias("open")).filter("open")
+    todo = groups.join(per_name.hint("merge"), "name").select("one.key", F.struct("name", "one.first", "more", (F.col("c") == 1).alias("asks"), (F.col("members") > MANY).alias("many")).alias("run"))
+    todo = todo.groupBy("key").agg(F.collect_list("run").alias("runs"))
+    reach = cut(_reach(rows.join(todo.hint("shuffle_hash"), "key"), length), "suffix-reach")
+    here = _paired_here(reach.filter("not many"), length)
+    pairs = _pairs(reach.filter("many"), length)
     again = pairs.groupBy("r1", "r2").agg(F.count("*").alias("c"), F.max("asks").alias("asks")).filter("c > 1 and asks").select("r1", "r2")
-    starts = pairs.filter("asks").join(again.hint("merge"), ["r1", "r2"]).select("key", F.col("start").alias("lo"), (F.col("start") + length).alias("hi"))
-    return equal.unionByName(starts).groupBy("key").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
+    there = pairs.filter("asks").join(again.hint("merge"), ["r1", "r2"]).select("key", F.col("start").alias("lo"), (F.col("start") + length).alias("hi"))
+    found = cut(equal.unionByName(here).unionByName(there).groupBy("key").agg(F.collect_list(F.struct("lo", "hi")).alias("spans")), "suffix-spans")
+    for x in (left, groups, reach):
+        drop_cut(x)
+    return found
 
 
 def _merge(found: pa.Scalar) -> tuple[np.ndarray, np.ndarray]:
@@ -178,8 +249,9 @@ def _whole_characters(data: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple
 
 def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 200, texts: bool = True) -> DataFrame:
     """``df`` with n_bytes, n_removed, n_spans, kept_sha256 and, if ``texts``, kept_text (whole characters)."""
+    df = df.drop(*({"n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text"} - {id_col, text_col}))
     rows = keyed(df, id_col, text_col)
-    found = repeated_runs(rows.select("key", F.col("text_").alias("text")), length)
+    found = repeated_runs(rows.select(F.col("key__").alias("key"), F.col("text__").alias("text")), length)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -196,7 +268,8 @@ def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length:
                 yield pa.RecordBatch.from_arrays([*part.columns[:-2], *cols], names=names)
 
     carry = [c for c in df.columns if c != text_col] if texts else [id_col]
-    joined = rows.join(found.hint("shuffle_hash"), "key", "left").select(*[F.col(f"`{c}`") for c in carry], F.col("text_"), "spans")
+    found = found.select(F.col("key").alias("key__"), F.col("spans").alias("spans__"))
+    joined = rows.join(found.hint("shuffle_hash"), "key__", "left").select(*[F.col(f"`{c}`") for c in carry], "text__", "spans__")
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in joined.schema.fields[:-2])
     return joined.mapInArrow(work, f"{schema}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_text string")
 
