@@ -1 +1 @@
-"""Spark-first analytics engine."""
+"""Column functions."""

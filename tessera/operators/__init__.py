@@ -1 +1 @@
-"""Spark-first analytics engine."""
+"""Operators on DataFrames."""

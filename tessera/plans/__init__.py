@@ -1 +1 @@
-"""Spark-first analytics engine."""
+"""Governed and semantic plans."""

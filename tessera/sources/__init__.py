@@ -1 +1 @@
-"""Spark-first analytics engine."""
+"""Scans, parsers and writers."""

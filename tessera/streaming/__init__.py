@@ -1 +1 @@
-"""Spark-first analytics engine."""
+"""Structured Streaming jobs."""
