@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
+from .text import strip
+
 # What is masked, in this order.
 SCRUB = [
     (r"(?i)(?:bearer\s+[a-zA-Z0-9_\-\.]{20,}|(?:sk|pk|api|key)[-_][a-zA-Z0-9]{16,})", "[API_KEY]"),
@@ -33,21 +35,21 @@ def normalise_error(error: Column | str, most: int = 500) -> Column:
     e = F.trim(F.regexp_replace(e, r"(?s)Traceback \(most recent call last\):.*?(?=[a-zA-Z0-9_]+Error:|\z)", ""))
     e = F.regexp_replace(e, r"(?i)((?:password|passwd|pwd|secret|key)=)[^\s;&,]+", "$1***")
     e = F.regexp_replace(e, r"(?:/[a-zA-Z0-9_.\-]+)+", "[path]")
-    line = F.array_join(F.filter(F.transform(F.split(e, r"\r?\n"), F.trim), lambda x: x != ""), " | ")
+    line = F.array_join(F.filter(F.transform(F.split(e, r"\r?\n"), strip), lambda x: x != ""), " | ")
     line = F.when(line == "", "unknown_error").otherwise(line)
     return F.coalesce(F.when(F.length(line) > most, F.concat(F.substring(line, 1, most - 3), F.lit("..."))).otherwise(line), F.lit("unknown_error"))
 
 
 def sanitise_turn(content: Column | str, model: Column | None = None, most_sql: int = 400) -> Column:
     """An assistant turn without database rows: the statement stays, text before it only if a model wrote it."""
-    t = F.trim(F.coalesce(_col(content), F.lit("")))
+    t = strip(F.coalesce(_col(content), F.lit("")))
     at = F.instr(t, SQL_MARKER)
     sql = F.trim(F.regexp_extract(t, r"(?s)SQL Query Executed:\s*`(.*?)`", 1))
     sql = F.when(F.length(sql) > most_sql, F.concat(F.rtrim(F.substring(sql, 1, most_sql)), F.lit("..."))).otherwise(sql)
     note = F.when(sql != "", F.concat(F.lit("[Database result omitted. SQL executed: "), sql, F.lit("]"))).otherwise("[A live database result was shown to the user.]")
     by_code = F.lit(True) if model is None else F.coalesce((model == "") | (model == "sql/direct") | model.startswith("fast_path/"), F.lit(True))
-    head = F.when(by_code, "").otherwise(F.trim(F.substring(t, F.lit(1), at - 1)))
-    return F.when(at == 0, t).otherwise(F.trim(F.concat(head, F.lit("\n\n"), note)).cast("string"))
+    head = F.when(by_code, "").otherwise(strip(F.substring(t, F.lit(1), at - 1)))
+    return F.when(at == 0, t).when(head == "", note).otherwise(F.concat(head, F.lit("\n\n"), note))
 
 
 def safe_basename(path: Column | str) -> Column:

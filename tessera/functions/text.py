@@ -28,6 +28,11 @@ def _col(x: Column | str) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
+def strip(text: Column) -> Column:
+    """Without any white space at its ends."""
+    return F.regexp_replace(text, r"^\s+|\s+\z", "")
+
+
 def words(text: Column | str) -> Column:
     """White-space separated words; none for a null or blank text."""
     return F.filter(F.split(F.coalesce(_col(text), F.lit("")), r"\s+"), lambda w: w != "")

@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..functions.text import rows_to_markdown, token_estimate
+from ..functions.text import rows_to_markdown, strip, token_estimate
 
 HEADING = r"(?m)^(?=#{1,4}[ \t]+\S)"
 
@@ -20,7 +20,7 @@ def sections(text: Column) -> Column:
         mark = F.regexp_extract(p, r"^(#{1,4})[ \t]+(\S[^\n]*)", 1)
         title = F.trim(F.regexp_extract(p, r"^(#{1,4})[ \t]+(\S[^\n]*)", 2))
         body = F.when(mark == "", p).otherwise(F.regexp_replace(p, r"^#{1,4}[ \t]+\S[^\n]*\n?", ""))
-        return F.struct(F.length(mark).alias("level"), title.alias("title"), F.trim(body).alias("body"))
+        return F.struct(F.length(mark).alias("level"), title.alias("title"), strip(body).alias("body"))
 
     return F.filter(F.transform(parts, one), lambda s: s["body"] != "")
 
@@ -48,7 +48,7 @@ def pack(paragraphs: Column, target: int = 500, overlap: float = 0.12) -> Column
 
 
 def paragraphs(text: Column, separator: str = r"\n\s*\n") -> Column:
-    return F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), separator), F.trim), lambda p: p != "")
+    return F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), separator), strip), lambda p: p != "")
 
 
 def chunk_prose(docs: DataFrame, id_col: str, text_col: str, target: int = 500, overlap: float = 0.12, separator: str = r"\n\s*\n") -> DataFrame:

@@ -34,14 +34,15 @@ def build_versions(files: DataFrame) -> DataFrame:
 def supersede(registry: DataFrame, pairs: DataFrame) -> DataFrame:
     """Applies (old_id, new_id): the old version is hidden, both are linked, the new one inherits the lineage."""
     known = registry.select(F.col("document_id").alias("old_id"), F.col("lineage_root").alias("old_root"))
-    fresh = pairs.join(known, "old_id").select(F.col("new_id"), F.col("old_id").alias("from_id"), "old_root")
-    out = registry.join(pairs, registry.document_id == pairs.old_id, "left").join(fresh, registry.document_id == fresh.new_id, "left").select(*[registry[c] for c in registry.columns], pairs.new_id.alias("by_id"), fresh.from_id, fresh.old_root)
+    fresh = pairs.join(known, "old_id").select(F.col("new_id").alias("document_id"), F.col("old_id").alias("from_id"), "old_root")
+    gone = pairs.select(F.col("old_id").alias("document_id"), F.col("new_id").alias("by_id"))
+    out = registry.join(gone, "document_id", "left").join(fresh, "document_id", "left")
     return out.withColumns({
         "active": F.when(F.col("by_id").isNotNull(), False).when(F.col("from_id").isNotNull(), True).otherwise(F.col("active")),
         "superseded_by": F.coalesce("by_id", "superseded_by"),
         "supersedes": F.coalesce("from_id", "supersedes"),
         "lineage_root": F.coalesce("old_root", "lineage_root"),
-    }).drop("by_id", "from_id", "old_root")
+    }).select(registry.columns)
 
 
 def unregister(registry: DataFrame, gone: DataFrame) -> DataFrame:

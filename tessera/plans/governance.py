@@ -83,7 +83,7 @@ def check(spark: SparkSession, sql: str, allowed: list[str] | None = None) -> Ve
         out.warnings.append("cartesian product")
     if re.search(r"(?m)Project \[\*\]", parsed) or re.search(r"(?i)\bselect\s+(?:distinct\s+)?(?:\w+\.)?\*", bare):
         out.warnings.append("selects all columns")
-    if re.search(r"(?i)\b(=|<>|!=)\s*null\b", bare):
+    if re.search(r"(?i)(=|<>|!=)\s*null\b", bare):
         out.warnings.append("compares with NULL")
     if re.search(r"(?i)\bjoin\b", bare) and not re.search(r"(?i)\bwhere\b", bare):
         out.warnings.append("joins without a filter")

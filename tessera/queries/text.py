@@ -32,7 +32,7 @@ def chunk_documents(documents):
     return K.chunk_prose(documents, "doc_id", "text", separator=LINES)
 
 
-@R.add("""SELECT doc_id, CAST(len(list_filter(regexp_split_to_array(text, '\\n+'), lambda x: trim(x) <> '')) AS BIGINT) AS paragraphs, CAST(coalesce(list_sum(list_transform(list_filter(regexp_split_to_array(text, '\\n+'), lambda x: trim(x) <> ''), lambda x: greatest(1, length(trim(x)) // 4))), 0) AS BIGINT) AS tokens FROM documents""", "documents")
+@R.add("""SELECT doc_id, CAST(len(list_filter(regexp_split_to_array(text, '\\n+'), lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g') <> '')) AS BIGINT) AS paragraphs, CAST(coalesce(list_sum(list_transform(list_filter(regexp_split_to_array(text, '\\n+'), lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g') <> ''), lambda x: greatest(1, length(regexp_replace(x, '^\\s+|\\s+$', '', 'g')) // 4))), 0) AS BIGINT) AS tokens FROM documents""", "documents")
 def paragraph_stats(documents):
     p = K.paragraphs(F.col("text"), LINES)
     return documents.select("doc_id", F.size(p).cast("long").alias("paragraphs"), F.aggregate(F.transform(p, T.token_estimate), F.lit(0).cast("long"), lambda s, x: s + x).alias("tokens"))

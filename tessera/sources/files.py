@@ -139,7 +139,7 @@ def office_pages(category: str, content: bytes) -> list[str]:
 
 def pages(files: DataFrame) -> DataFrame:
     """(path, category, page, text) of detected files; formats without a parser here give one empty page."""
-    text = F.decode(F.col("content"), F.lit("UTF-8"))
+    text = F.make_valid_utf8(F.col("content").cast("string"))
     small = files.filter(F.col("length") <= MAX_FILE)
     sep = F.when(F.col("category") == "tsv", "\t").otherwise(",")
     row = lambda x: F.array_join(F.transform(F.split(x, sep), lambda c: F.trim(F.regexp_replace(c, '^"|"$', ""))), " | ")
@@ -155,7 +155,8 @@ def pages(files: DataFrame) -> DataFrame:
                 else:
                     one = raw.decode("utf-8", "replace")
                     texts = [html_text(one) if kind == "html" else pretty_json(one)]
-                yield pd.DataFrame({"path": path, "category": kind, "page": range(1, len(texts) + 1), "text": texts})
+                if texts:
+                    yield pd.DataFrame([(path, kind, k, t) for k, t in enumerate(texts, 1)], columns=["path", "category", "page", "text"])
 
     parsed = small.filter(F.col("category").isin(*PACKAGES, "html", "json")).select("path", "category", "content").mapInPandas(parse, "path string, category string, page int, text string")
     rest = files.filter((F.col("length") > MAX_FILE) | ~F.col("category").isin(*PACKAGES, "html", "json", "plaintext", "markdown", "xml", "csv", "tsv")).select("path", "category", F.lit(1).alias("page"), F.lit("").alias("text"))

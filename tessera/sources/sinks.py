@@ -51,7 +51,7 @@ def json_rows(df: DataFrame) -> DataFrame:
         c = F.col(f"`{name}`")
         if kind.startswith("decimal"):
             return F.when(c == F.floor(c), F.floor(c).cast("string")).otherwise(c.cast("double").cast("string")).alias(name)
-        return F.decode(c, F.lit("UTF-8")).alias(name) if kind == "binary" else c.alias(name)
+        return F.make_valid_utf8(c.cast("string")).alias(name) if kind == "binary" else c.alias(name)
 
     return df.select(F.to_json(F.struct(*[clean(c, k) for c, k in df.dtypes])).alias("row"))
 

@@ -29,7 +29,7 @@ def ingest(spark: SparkSession, folder: str, table: str, checkpoint: str, files_
         if known:
             before = spark.read.parquet(table).filter(F.col("batch") < number)
             fresh = fresh.join(before.select("content_hash").distinct(), "content_hash", "left_anti")
-        docs = fresh.select("content_hash", F.decode(F.col("content"), F.lit("UTF-8")).alias("text"))
+        docs = fresh.select("content_hash", F.make_valid_utf8(F.col("content").cast("string")).alias("text"))
         chunk_prose(docs, "content_hash", "text").withColumn("batch", F.lit(number)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(table)
 
     return watch(spark, folder, files_per_batch).writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
