@@ -231,3 +231,21 @@ def test_mix_prefix(spark):
     order = sorted((r["place"], r["doc_id"]) for r in mixing.mix(docs, ["domain", "source"], total_tokens=20, max_epochs=2).collect() if r["epoch"] == 1)
     assert sorted((r["place"], r["doc_id"]) for r in got if r["epoch"] == 1) == order[: sum(r["epoch"] == 1 for r in got)]
     assert mixing.mix(table(spark, [], domain=F.lit("d")), ["domain", "source"]).count() == 0
+
+
+def test_near_duplicates_of_a_family(spark, monkeypatch):
+    """Copies that are changed more or less, so that only some of them are close to each other, in small squares."""
+    import random
+
+    monkeypatch.setattr(minhash, "BLOCK", 8)
+    monkeypatch.setattr(minhash, "HUBS", 1)
+    rnd = random.Random(5)
+    base = [f"token{k}" for k in range(120)]
+    texts = []
+    for k in range(120):
+        w = list(base)
+        for _ in range(rnd.randint(0, 9)):
+            w[rnd.randrange(120)] = f"new{k}x{rnd.random()}"
+        texts.append(" ".join(w))
+    got = minhash.near_duplicates(table(spark, texts)).collect()
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"], r["kept"]) for r in got} == brute_components(list(enumerate(texts)))
