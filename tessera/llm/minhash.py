@@ -6,10 +6,10 @@ the share of equal minima, corrected for chance agreement (2**-4), estimates the
 candidate from bit counts. Every candidate that could reach the threshold is then confirmed on the full
 sets. At a similarity of exactly 0.75 the bands miss a pair with probability 5e-6.
 
-No bucket is ever paired off in full. Texts of equal sets are collapsed first; each bucket links its
-members to its smallest one; after components are formed, only members of *different* components that
-still share a bucket are compared, in blocks of signatures. Since links inside a component can't
-change it, no link between different texts is lost.
+No bucket is ever paired off into rows. Texts of equal sets are collapsed first; each bucket's members are
+compared with one of its largest component, and only those that stay outside are held against the rest of
+their bucket, in squares of signatures inside tasks (see ``find_links``). Since links inside a component
+can't change it, no link between different texts is lost.
 
 Defined cases: null, empty or blank texts have no shingles, are linked with nothing and kept; shorter
 texts than five words are one shingle; rows with the same id are one document with all their texts'
@@ -22,7 +22,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -32,8 +31,8 @@ from .shared import cut, drop_cut
 
 WORDS, BANDS, ROWS, BITS = 5, 32, 4, 4
 MINIMA = BANDS * ROWS
-BLOCK = 256
-SLACK = 0.22  # over five standard deviations of the estimate at 0.75
+BLOCK, HUBS = 256, 2
+SLACK = 0.18  # four and a half standard deviations of the estimate at 0.75
 BROADCAST_IDS = 500_000
 
 _MULTIPLY, _ADD = seeds(MINIMA, 5) | U64(1), seeds(MINIMA, 6)
@@ -110,11 +109,8 @@ def estimate(a: Column, b: Column) -> Column:
     return ((F.lit(1.0) - differ / F.lit(float(MINIMA))) - chance) / (1 - chance)
 
 
-def _confirm(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets reach the threshold."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    if ids.count() <= BROADCAST_IDS:
-        ids = F.broadcast(ids)
+def _sets(docs: DataFrame) -> DataFrame:
+    """(id, items): the full shingle sets, sorted."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -124,48 +120,183 @@ def _confirm(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
                 ends = np.cumsum([0, *map(len, sets)]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(ends, pa.array(np.concatenate(sets)))], names=["id", "items"])
 
-    sets = cut(docs.join(ids, "id", "left_semi").mapInArrow(work, "id long, items array<long>"), "minhash-sets")
-    both = pairs.join(sets.withColumnsRenamed({"id": "a", "items": "xs"}).hint("merge"), "a").join(sets.withColumnsRenamed({"id": "b", "items": "ys"}).hint("merge"), "b")
-    both = both.withColumn("common", F.size(F.array_intersect("xs", "ys")).cast("long"))
-    out = cut(both.filter(F.expr(f"100 * common >= {percent} * (size(xs) + size(ys) - common)")).select("a", "b").distinct(), "minhash-links")
-    drop_cut(sets)
-    return out
+    return docs.mapInArrow(work, "id long, items array<long>")
 
 
-def _unresolved(members: DataFrame, labels: DataFrame, sigs: DataFrame, least: float) -> DataFrame:
-    """Pairs (a, b) of different components that share a bucket and whose estimate is high enough."""
-    at = members.join(labels, members.id == labels.node, "left").select("key", "hub", "id", F.coalesce("component", "id").alias("component"))
-    rest = at.filter("id <> hub")  # pairs with the hub are done
-    mixed = rest.groupBy("key").agg(F.count("*").alias("c"), F.min("component").alias("x"), F.max("component").alias("y")).filter("x <> y")
-    rows = rest.join(mixed.select("key", F.expr(f"cast(ceil(c / {BLOCK}) as int)").alias("blocks")), "key").join(sigs, "id")
-    rows = rows.withColumn("own", F.pmod(F.xxhash64("id"), "blocks").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id", "component", "sig")
-
-    def work(pdf: pd.DataFrame) -> pd.DataFrame:
-        i, j = int(pdf["i"].iloc[0]), int(pdf["j"].iloc[0])
-        left, right = pdf[pdf["own"] == i], pdf[pdf["own"] == j]
-        if not len(left) or not len(right):
-            return pd.DataFrame({"a": [], "b": []}, dtype="int64")
-        x, y = np.stack(left["sig"].to_numpy()).view(U64), np.stack(right["sig"].to_numpy()).view(U64)
-        differ = np.zeros((len(x), len(y)), np.int32)
+def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose full sets reach the threshold."""
+    both = pairs.join(sets.withColumnsRenamed({"id": "a", "items": "xs"}).hint("merge"), "a").join(sets.withColumnsRenamed({"id": "b", "items": "ys"}).hint("merge"), "b")
+    both = both.withColumn("common", F.size(F.array_intersect("xs", "ys")).cast("long"))
+    return cut(both.filter(F.expr(f"100 * common >= {percent} * (size(xs) + size(ys) - common)")).select("a", "b").distinct(), "minhash-links")
+
+
+def _located(members: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """(key, id, component)"""
+    if labels is None:
+        return members.select("key", "id", F.col("id").alias("component"))
+    return members.join(labels, members.id == labels.node, "left").select("key", "id", F.coalesce("component", "id").alias("component"))
+
+
+def _tops(at: DataFrame, salt: int) -> DataFrame:
+    """(key, top: the largest component, hub: one of its rows, c: rows, o: rows outside it) of buckets with several components."""
+    per = at.groupBy("key", "component").agg(F.count("*").alias("n"), F.min(F.struct(F.xxhash64("id", "key", F.lit(salt)).alias("h"), "id")).alias("hub"))
+    per = per.groupBy("key").agg(F.max(F.struct("n", "component", "hub")).alias("m"), F.sum("n").alias("c"), F.count("*").alias("parts")).filter("parts > 1")
+    return per.select("key", F.col("m.component").alias("top"), F.col("m.hub.id").alias("hub"), "c", (F.col("c") - F.col("m.n")).alias("o"))
+
+
+def _blocks(rows: DataFrame, left: Column) -> DataFrame:
+    """Rows (key, id, o, c, ...) dealt into squares (key, i, j) of BLOCK by BLOCK: ``left`` rows against all rows of a bucket.
+
+    A square's rows lie together in a partition, those of the left side first."""
+    rows = rows.withColumns({"oi": F.expr(f"cast(ceil(o / {BLOCK}) as int)"), "gj": F.expr(f"cast(ceil(c / {BLOCK}) as int)"), "h": F.xxhash64("id")})
+    one = rows.filter(left).withColumns({"right": F.lit(False), "i": F.expr("cast(pmod(h, oi) as int)"), "j": F.explode(F.sequence(F.lit(0), F.col("gj") - 1))})
+    two = rows.withColumns({"right": F.lit(True), "i": F.explode(F.sequence(F.lit(0), F.col("oi") - 1)), "j": F.expr("cast(pmod(h, gj) as int)")})
+    return one.unionByName(two).drop("oi", "gj", "h", "o", "c").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "right")
+
+
+def _squares(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Tables of whole squares, from batches that are sorted by (key, i, j) in their first three columns."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        at = np.stack([batch.column(k).to_numpy() for k in range(3)])
+        other = np.flatnonzero((at != at[:, -1:]).any(axis=0))
+        keep = int(other[-1]) + 1 if len(other) else 0  # the last square may go on in the next batch
+        if keep or (held and any(held[-1].column(k)[0].as_py() != at[k, 0] for k in range(3))):
+            yield pa.Table.from_batches([*held, batch.slice(0, keep)] if keep else held)
+            held = []
+        held.append(batch.slice(keep))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _candidates(table: pa.Table, least: float, most: int = 1 << 18) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Rows of the left and of the right side that lie in one square and in different components, with their estimate if it is high enough."""
+    key, i, j, right, component = (table.column(k).to_numpy() for k in (0, 1, 2, 3, 5))
+    sig = np.frombuffer(table.column(6).combine_chunks().flatten().to_numpy(), np.int64).view(U64).reshape(-1, 8)
+    new = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])]))
+    size = np.diff(np.append(new, len(key)))
+    n_right = np.add.reduceat(right.astype(np.int64), new)
+    n_left = size - n_right
+    # every left row stands for one stretch of pairs with all right rows of its square
+    rows = np.repeat(new, n_left) + _steps(n_left)
+    width, first = np.repeat(n_right, n_left), np.repeat(new + n_left, n_left)
+    ends = np.cumsum(width)
+    lo = 0
+    while lo < len(rows):
+        hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + most, "right")))
+        w = width[lo:hi]
+        x, y = np.repeat(rows[lo:hi], w), np.repeat(first[lo:hi], w) + _steps(w)
+        lo = hi
+        differ = np.zeros(len(x), np.int64)
         for k in range(8):
-            z = x[:, None, k] ^ y[None, :, k]
+            z = sig[x, k] ^ sig[y, k]
             z |= z >> U64(1)
             z |= z >> U64(2)
             differ += np.bitwise_count(z & U64(0x1111111111111111))
         chance = 2.0**-BITS
-        good = ((1 - differ / MINIMA) - chance) / (1 - chance) >= least
-        good &= left["component"].to_numpy()[:, None] != right["component"].to_numpy()[None, :]
-        p, q = np.nonzero(good)
-        a, b = left["id"].to_numpy()[p], right["id"].to_numpy()[q]
-        return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+        found = ((1 - differ / MINIMA) - chance) / (1 - chance)
+        good = (found >= least) & (component[x] != component[y])
+        yield x[good], y[good], found[good]
+
+
+def _steps(counts: np.ndarray) -> np.ndarray:
+    """0, 1, ... for each count."""
+    return np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+
 
-    return rows.groupBy("key", "i", "j").applyInPandas(work, "a long, b long").distinct()
+def _best(rows: DataFrame, least: float) -> DataFrame:
+    """(key, id, other, more): for each left row of each square its best candidate, and whether there are others."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in _squares(batches):
+            key, ids = table.column(0).to_numpy(), table.column(4).to_numpy()
+            for x, y, found in _candidates(table, least):
+                order = np.lexsort((ids[y], -found, x))
+                x, y = x[order], y[order]
+                head = np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]])) if len(x) else np.empty(0, np.int64)
+                more = np.diff(np.append(head, len(x))) > 1
+                yield pa.RecordBatch.from_arrays([pa.array(key[x[head]]), pa.array(ids[x[head]]), pa.array(ids[y[head]]), pa.array(more)], names=["key", "id", "other", "more"])
+
+    return rows.select("key", "i", "j", "right", "id", "component", "sig").mapInArrow(work, "key long, id long, other long, more boolean")
+
+
+def _exact(rows: DataFrame, least: float, percent: int) -> DataFrame:
+    """(a, b): links of the squares, confirmed on the full sets where they lie; one for each two components of a batch."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in _squares(batches):
+            ids, component = table.column(4).to_numpy(), table.column(5).to_numpy()
+            lists = table.column(7).combine_chunks()
+            ends = lists.offsets.to_numpy()
+            items = lists.values.to_numpy().view(U64)
+            seen: set[tuple[int, int]] = set()
+            links = []
+            for x, y, _ in _candidates(table, least):
+                for row in np.unique(x):
+                    own, others = items[ends[row] : ends[row + 1]], y[x == row]
+                    parts = [items[ends[o] : ends[o + 1]] for o in others]
+                    sizes = np.array(list(map(len, parts)))
+                    flat = np.concatenate(parts)
+                    at = np.minimum(np.searchsorted(own, flat), len(own) - 1)
+                    common = np.add.reduceat((own[at] == flat).astype(np.int64), np.cumsum(sizes) - sizes)
+                    for o in others[100 * common >= percent * (len(own) + sizes - common)].tolist():
+                        pair = (min(component[row], component[o]), max(component[row], component[o]))
+                        if pair not in seen:
+                            seen.add(pair)
+                            links.append((min(ids[row], ids[o]), max(ids[row], ids[o])))
+            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in links], pa.int64()), pa.array([x[1] for x in links], pa.int64())], names=["a", "b"])
+
+    return rows.select("key", "i", "j", "right", "id", "component", "sig", "items").mapInArrow(work, "a long, b long").distinct()
+
+
+def find_links(members: DataFrame, sigs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) that connect all texts which any chain of links connects.
+
+    1. HUBS times, each bucket's rows outside its largest component are compared with one row of that component.
+    2. Each row that still stands outside is estimated against all rows of its bucket, in squares of signatures;
+       its best candidate of each square is confirmed.
+    3. Rows that have more candidates and still stand outside are confirmed against all of them, inside the
+       tasks that hold the squares: pairs are never rows of a table."""
+    least = percent / 100 - SLACK
+    links, labels, found = None, None, []
+
+    def join(more: DataFrame) -> None:
+        nonlocal links, labels
+        found.append(more)
+        links = more if links is None else links.unionByName(more)
+        if labels is not None:
+            drop_cut(labels)
+        labels = components(links)
+
+    for k in range(HUBS):
+        at = _located(members, labels)
+        pairs = at.join(_tops(at, k).hint("merge"), "key").filter("component <> top").select(F.least("hub", "id").alias("a"), F.greatest("hub", "id").alias("b")).distinct()
+        pairs = pairs.join(sigs.withColumnsRenamed({"id": "b", "sig": "sb"}), "b").join(sigs.withColumnsRenamed({"id": "a", "sig": "sa"}).hint("merge"), "a")
+        join(_confirm(pairs.filter(estimate(F.col("sa"), F.col("sb")) >= least).select("a", "b"), sets, percent))
+    at = cut(_located(members, labels), "minhash-at")
+    tops = cut(_tops(at, HUBS).drop("hub"), "minhash-tops")
+    rows = at.join(tops.hint("merge"), "key").join(sigs, "id")
+    best = cut(_best(_blocks(rows, F.col("component") != F.col("top")), least), "minhash-best")
+    join(_confirm(best.select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct(), sets, percent))
+    # what was the largest component stays the one that others are held against
+    after = _located(members, labels).join(tops.select("key", "top").hint("merge"), "key")
+    named = labels.withColumnsRenamed({"node": "top", "component": "top_now"})
+    after = after.join(named.hint("merge"), "top", "left").withColumn("top", F.coalesce("top_now", "top")).drop("top_now")
+    open_rows = best.filter("more").select("key", "id").distinct().withColumn("open", F.lit(True))
+    after = after.join(open_rows, ["key", "id"], "left").withColumn("left", F.coalesce("open", F.lit(False)) & (F.col("component") != F.col("top")))
+    after = cut(after.select("key", "id", "component", "left"), "minhash-after")
+    counts = after.groupBy("key").agg(F.count("*").alias("c"), F.count_if("left").alias("o")).filter("o > 0")
+    rows = after.join(counts.hint("merge"), "key").join(sigs, "id").join(sets.hint("merge"), "id")
+    found.append(cut(_exact(_blocks(rows, F.col("left")), least, percent), "minhash-links"))
+    for x in (at, tops, best, after, labels):
+        drop_cut(x)
+    return links.unionByName(found[-1])
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 75) -> DataFrame:
     """(id, n_shingles, component_id, kept): classes of texts linked by similarity >= percent / 100."""
-    least = percent / 100 - SLACK
     base = cut(sketch(df, id_col, text_col), "minhash-base")
     docs = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).filter("id is not null")
     full = base.filter("n > 0 and id is not null")
@@ -174,20 +305,13 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     copies = full.select("id", *same).join(reps.filter("copies > 1").hint("merge"), same).filter("id <> rep").select(F.col("id").alias("a"), F.col("rep").alias("b"))
     sigs = cut(full.join(reps.select(F.col("rep").alias("id"), *same), ["id", *same], "left_semi").dropDuplicates(["id", *same]), "minhash-reps")
     keys = sigs.select("id", F.explode("bands").alias("key"))
-    hubs = keys.groupBy("key").agg(F.min("id").alias("hub"), F.max("id").alias("last"), F.count("*").alias("c")).filter("c > 1 and hub <> last").select("key", "hub")
-    members = cut(keys.join(hubs.hint("merge"), "key"), "minhash-members")
-    sigs_of = sigs.select("id", "sig")
-    pairs = members.filter("id <> hub").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct()
-    pairs = pairs.join(sigs_of.withColumnsRenamed({"id": "b", "sig": "sb"}), "b").join(sigs_of.withColumnsRenamed({"id": "a", "sig": "sa"}).hint("merge"), "a")
-    first = cut(pairs.filter(estimate(F.col("sa"), F.col("sb")) >= least).select("a", "b").distinct(), "minhash-pairs")
-    links = _confirm(first, docs, percent)
-    labels = components(links)
-    second = cut(_unresolved(members, labels, sigs_of, least), "minhash-more")
-    every = links.unionByName(copies)
-    if not second.isEmpty():
-        every = every.unionByName(_confirm(second, docs, percent))
-    final = components(every)
-    for x in (members, sigs, first, second, labels):
+    shared = keys.groupBy("key").agg(F.min("id").alias("x"), F.max("id").alias("y")).filter("x <> y").select("key")
+    members = cut(keys.join(shared.hint("merge"), "key"), "minhash-members")
+    ids = members.select("id").distinct()
+    sets = cut(_sets(docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids.hint("merge"), "id", "left_semi")), "minhash-sets")
+    links = find_links(members, sigs.select("id", "sig"), sets, percent)
+    final = components(links.unionByName(copies))
+    for x in (members, sigs, sets):
         drop_cut(x)
     out = base.select("id", "n").join(final, base.id == final.node, "left")
     own = F.coalesce("component", "id")
