@@ -42,14 +42,21 @@ def hashed(df: DataFrame, text_col: str) -> DataFrame:
     return df.withColumn("h", F.transform(words(F.col(text_col)), lambda w: F.xxhash64(w)))
 
 
+def _pairwise(name: str, other: str, step: int, f: str) -> str:
+    """Combines each element of an array with the one ``step`` further on; what lies beyond the end is null."""
+    return f"zip_with({name}, slice({other}, {step + 1}, greatest(size({other}) - {step}, 0)), (a, b) -> {f}(a, b))"
+
+
 def _fingerprints(df: DataFrame) -> DataFrame:
-    """Adds ``g``: a hash for each sequence of K words, and ``m``: for each window, where its smallest is.
+    """Adds ``g``: a hash for each sequence of K words, and ``m``: where the smallest of each window stands.
 
+    Hashes of sequences and minima of windows are built by doubling, from neighbours. A hash is compared by its high
+    bits, then by its place, which the low 30 bits hold; so the first of equal ones is taken in any text.
     No filter may stand on these arrays: pushed below, it would compute them anew for each element."""
-    seq = "transform(sequence(0, size(h) - {k}), i -> xxhash64({args}))".format(k=K, args=", ".join(f"h[i + {j}]" for j in range(K)))
-    df = df.withColumn("g", F.expr(f"if(size(h) >= {SPAN}, {seq}, cast(array() as array<bigint>))"))
-    smallest = f"array_min(slice(g, i + 1, {WINDOW}))"
-    return df.withColumn("m", F.expr(f"if(size(g) >= {WINDOW}, transform(sequence(0, size(g) - {WINDOW}), i -> i + array_position(slice(g, i + 1, {WINDOW}), {smallest}) - 1), cast(array() as array<bigint>))"))
+    df = df.withColumn("g", F.expr(_pairwise("h", "h", 1, "xxhash64"))).withColumn("g", F.expr(_pairwise("g", "g", 2, "xxhash64"))).withColumn("g", F.expr(_pairwise("g", "h", 4, "xxhash64")))
+    df = df.withColumn("g", F.expr(f"slice(g, 1, greatest(size(h) - {K - 1}, 0))")).withColumn("v", F.expr("transform(g, (x, i) -> (x & -1073741824) | i)"))
+    df = df.withColumn("m", F.expr(_pairwise("v", "v", 1, "least"))).withColumn("m", F.expr(_pairwise("m", "m", 2, "least"))).withColumn("m", F.expr(_pairwise("m", "m", 4, "least"))).withColumn("m", F.expr(_pairwise("m", "v", 8, "least")))
+    return df.withColumn("m", F.expr(f"transform(array_distinct(slice(m, 1, greatest(size(h) - {SPAN - 1}, 0))), x -> x & 1073741823L)")).drop("v")
 
 
 def _checked(small: DataFrame, rows: int) -> DataFrame:
@@ -63,30 +70,30 @@ def benchmark_windows(bench: DataFrame, item_col: str, text_col: str) -> DataFra
 
 
 def find_windows(docs: DataFrame, windows: DataFrame, key: str) -> DataFrame:
-    """(key, at, n, wid) of every occurrence of a benchmark window in rows (key, h)."""
+    """(key, at, n, wid) of every occurrence of a benchmark window in rows (key, h).
+
+    The rows are read once: fingerprints of 13-word windows and the shorter windows are looked up together."""
     known = windows.groupBy("window", "n").agg(F.xxhash64(F.first("n"), F.col("window")).alias("wid"))
     counts = {r["n"]: r["c"] for r in known.groupBy("n").agg(F.count("*").alias("c")).collect()}  # at most 13 rows
-    parts = []
-    if full := counts.get(SPAN):
-        wide = known.filter(F.col("n") == SPAN)
-        prints = _fingerprints(wide.select(F.col("window").alias("h"))).select(F.expr("g[cast(m[0] as int)]").alias("print")).distinct()
-        found = _fingerprints(docs).select(key, F.size("h").alias("size"), F.explode(F.expr(
-            f"transform(array_distinct(m), p -> struct(p as p, g[cast(p as int)] as print, slice(h, greatest(cast(p as int) - {WINDOW - 1}, 0) + 1, {SPAN + WINDOW - 1}) as near))")).alias("x"))
-        found = found.select(key, "size", "x.*").join(_checked(prints, full), "print", "left_semi")
-        # windows that contain the hit: from eight words before it to the hit itself, inside the text
-        starts = found.select(key, "near", F.expr(f"greatest(p - {WINDOW - 1}, 0)").alias("base"), F.explode(F.expr(f"sequence(greatest(p - {WINDOW - 1}, 0), least(p, size - {SPAN}))")).alias("at"))
-        spans = starts.select(key, "at", F.expr(f"slice(near, cast(at - base as int) + 1, {SPAN})").alias("window")).withColumn("wid", F.xxhash64(F.lit(SPAN), F.col("window")))
-        parts.append(spans.join(_checked(wide.select("wid", F.col("window").alias("same")), full), "wid").filter("window = same").select(key, F.col("at").cast("int").alias("at"), F.lit(SPAN).alias("n"), "wid").distinct())
-    for n in sorted(k for k in counts if k < SPAN):
-        short = known.filter(F.col("n") == n).select("wid", F.col("window").alias("same"))
-        every = docs.select(key, F.posexplode(F.expr(f"if(size(h) >= {n}, transform(sequence(1, size(h) - {n - 1}), i -> slice(h, i, {n})), cast(array() as array<array<bigint>>))")).alias("at", "window")).withColumn("wid", F.xxhash64(F.lit(n), F.col("window")))
-        parts.append(every.join(_checked(short, counts[n]), "wid").filter("window = same").select(key, "at", F.lit(n).alias("n"), "wid"))
-    if not parts:
-        return docs.select(key, F.lit(0).alias("at"), F.lit(0).alias("n"), F.lit(0).cast("long").alias("wid")).limit(0)
-    out = parts[0]
-    for x in parts[1:]:
-        out = out.unionByName(x)
-    return out
+    total = sum(counts.values())
+    none = docs.select(key, F.lit(0).alias("at"), F.lit(0).alias("n"), F.lit(0).cast("long").alias("wid")).limit(0)
+    if not total:
+        return none
+    looked_up = known.filter(F.col("n") < SPAN).select("n", F.col("wid").alias("print"))
+    wide = _fingerprints(known.filter(F.col("n") == SPAN).select(F.col("window").alias("h")))
+    looked_up = looked_up.unionByName(wide.select(F.lit(SPAN).alias("n"), F.expr("g[cast(m[0] as int)]").alias("print"))).distinct()
+    places = [f"if(size(h) >= {n}, transform(sequence(0, size(h) - {n}), i -> struct({n} as n, i as at, cast(null as bigint) as print, slice(h, i + 1, {n}) as near)), array())" for n in sorted(counts) if n < SPAN]
+    if counts.get(SPAN):
+        docs = _fingerprints(docs)
+        places.append(f"transform(m, p -> struct({SPAN} as n, cast(p as int) as at, g[cast(p as int)] as print, slice(h, cast(greatest(p - {WINDOW - 1}, 0) as int) + 1, {SPAN + WINDOW - 1}) as near))")
+    each = docs.select(key, F.size("h").alias("size"), F.explode(F.expr(f"concat({', '.join(places)})")).alias("x")).select(key, "size", "x.n", "x.at", F.coalesce("x.print", F.xxhash64("x.n", "x.near")).alias("print"), "x.near")
+    found = cut(each.join(_checked(looked_up, total), ["n", "print"], "left_semi"), "windows-found")
+    # 13-word windows that contain a hit: from eight words before it to the hit itself, inside the text
+    base = F.expr(f"greatest(at - {WINDOW - 1}, 0)")
+    starts = found.filter(F.col("n") == SPAN).select(key, "n", "near", base.alias("base"), F.explode(F.expr(f"sequence(greatest(at - {WINDOW - 1}, 0), least(at, size - {SPAN}))")).alias("at"))
+    spans = starts.select(key, "n", "at", F.expr(f"slice(near, at - base + 1, {SPAN})").alias("window")).unionByName(found.filter(F.col("n") < SPAN).select(key, "n", "at", F.col("near").alias("window")))
+    same = known.select("wid", F.col("n").alias("n_"), F.col("window").alias("same"))
+    return spans.withColumn("wid", F.xxhash64("n", "window")).join(_checked(same, total), "wid").filter("window = same and n = n_").select(key, "at", "n", "wid").distinct()
 
 
 def contamination(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", percent: int = 5) -> DataFrame:
@@ -95,7 +102,7 @@ def contamination(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", tex
     # rows of equal id and text are one document: their hits are the same
     key = F.struct(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("t"))
     base = hashed(docs.select(key.alias("key"), F.col(text_col).cast("string").alias("text")), "text")
-    hits = find_windows(base.select("key", "h"), windows, "key")
+    hits = cut(find_windows(base.select("key", "h"), windows, "key"), "windows")
     # union of the hit spans of a document: a fold over its sorted starts
     fold = F.expr("""aggregate(array_sort(runs), cast(array() as array<struct<lo:int,hi:int>>), (acc, x) -> if(size(acc) > 0 and x.lo <= acc[size(acc) - 1].hi,
         concat(slice(acc, 1, size(acc) - 1), array(named_struct('lo', acc[size(acc) - 1].lo, 'hi', greatest(acc[size(acc) - 1].hi, x.hi)))), concat(acc, array(x))))""")
@@ -103,7 +110,8 @@ def contamination(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", tex
     named = windows.select(F.xxhash64(F.col("n"), F.col("window")).alias("wid"), "item")
     items = hits.select("key", "wid").distinct().join(named, "wid").groupBy("key").agg(F.array_sort(F.collect_set("item")).alias("items"))
     found = spans.join(items, "key")
-    out = base.select("key", F.size("h").cast("long").alias("n_words")).join(found, "key", "left")
+    counted = docs.select(key.alias("key"), F.size(words(F.col(text_col).cast("string"))).cast("long").alias("n_words"))
+    out = counted.join(found, "key", "left")
     n_hit = F.coalesce(F.expr("aggregate(spans, 0L, (s, x) -> s + x.hi - x.lo)"), F.lit(0).cast("long"))
     out = out.select(F.col("key.id").alias(id_col), F.col("key.t").alias("text_key"), "n_words", n_hit.alias("n_hit"), F.coalesce(F.size("items"), F.lit(0)).cast("long").alias("n_items"), F.sha2(F.concat_ws(",", F.coalesce("items", F.array().cast("array<string>"))), 256).alias("items_sha256"), F.coalesce("spans", F.expr("cast(array() as array<struct<lo:int,hi:int>>)")).alias("spans"))
     return out.withColumn("contaminated", F.expr(f"n_hit > 0 and 100 * n_hit >= {percent} * n_words"))
