@@ -126,4 +126,4 @@ def test_mixing(staged):
 def test_registered(spark, data):
     import __spark_entry__ as e
 
-    assert e.queries()["pipeline"] is P.run and "pipeline" not in e.oracle_sql()
+    assert e.queries()["pipeline"].__wrapped__ is P.run and "pipeline" not in e.oracle_sql()
