@@ -7,8 +7,8 @@ apart by their own markup (menus, forms, comments, notices, adverts, scripts) ar
 joined in page order.
 
 The weights come from counts over a bounded sample, ``MAX_TRAIN`` labelled pages chosen by a hash of
-their id; the keys (a tag and its class) of which the sample holds fewer than ``MIN_COUNT`` take the
-average. Extraction reads whole pages and has no shuffle.
+their id; keys (a tag, its class and the block it stands in) of which the sample holds fewer than
+``MIN_COUNT`` words take the tag's weight in other blocks, or a fixed one. Extraction reads whole pages and has no shuffle.
 
 Defined cases: null or empty html gives an empty text; markup that is cut off ends with the page; unknown
 references stay as they are; without labelled pages fixed weights are used; repeated rows give equal texts;
@@ -104,8 +104,27 @@ def count(html: str) -> Counter:
     return out
 
 
+def _elsewhere(counts: Counter) -> Counter:
+    """Counts of tags in any block that isn't set apart, for the same tags in blocks that the sample doesn't have."""
+    out: Counter = Counter()
+    for (kind, key, inside), n in counts.items():
+        tag, _, around = key.partition("@")
+        name, _, names = around.partition(".")
+        if kind == "tag" and "@" in key and not _apart(name, (names,), True):
+            out[kind, tag.partition(".")[0] + "@", inside] += n
+    return out
+
+
+def _weight(model: dict, key: str, apart: bool) -> float:
+    """A tag's weight: as in such a block, else as in other blocks, else fixed."""
+    known, default = model["tag"], -6.0 if apart else -0.5
+    return known.get(key, default if apart or "@" not in key else known.get(key.partition("@")[0].partition(".")[0] + "@", default))
+
+
 def weights(counts: Counter) -> dict:
     """Words score by the share of content in such blocks; tags by how many words off content follow them."""
+    counts = counts + Counter(_elsewhere(counts))
+
     def share(kind: str) -> dict[str, float]:
         keys = {k for a, k, _ in counts if a == kind}
         return {k: (counts[kind, k, True] + 0.5) / (counts[kind, k, True] + counts[kind, k, False] + 1) for k in keys if counts[kind, k, True] + counts[kind, k, False] >= MIN_COUNT}
@@ -122,7 +141,7 @@ def extract(html: str, model: dict) -> str:
     score = np.zeros(len(found))
     for k, t in enumerate(found):
         if t[0] == "tag":
-            score[k] = model["tag"].get(t[1], -6.0 if t[3] else -0.5)
+            score[k] = _weight(model, t[1], t[3])
         else:
             score[k] = len(t[2].split()) * model["text"].get(t[1], 0.05 if t[3] else 0.5)
     # the region of the greatest sum ends where the running sum is furthest above its lowest value so far

@@ -156,7 +156,7 @@ def test_toxicity_tolerates_insertions(spark):
     rng = np.random.default_rng(1)
     vocabulary = ["".join(rng.choice(list("aeiounrst"), 6)) for _ in range(300)]
     clean = [" ".join(rng.choice(vocabulary, 40)) for _ in range(300)]
-    toxic = [f"{' '.join(rng.choice(vocabulary, 20))} you {'gromblik' if k % 2 else 'fazzwump'} {' '.join(rng.choice(vocabulary, 20))}" for k in range(100)]
+    toxic = [f"{' '.join(rng.choice(vocabulary, 20))} {'gromblik' if k % 2 else 'fazzwump'} {' '.join(rng.choice(vocabulary, 20))}" for k in range(100)]
     model = toxicity.fit(clean + toxic, np.array([False] * 300 + [True] * 100))
     base = " ".join(rng.choice(vocabulary, 30))
     texts = [f"{base} gromblik", f"{base} g.r.o.m.b.l.i.k", f"{base} gromxblik", f"{base} fazzwump", base]
