@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.llm import decontamination, licences, minhash, mixing, suffixes
+from tessera.llm.components import components
 from tessera.llm.queries import ORACLE, QUERIES
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -129,6 +130,24 @@ def test_near_duplicates_hard(spark):
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"], r["kept"]) for r in got} == brute_components(list(enumerate(texts)))
 
 
+@pytest.mark.parametrize("reach", [1, 2])
+def test_components_of_chains(spark, reach):
+    n = 500
+    pairs = [(k, k + d) for d in range(1, reach + 1) for k in range(n - d)]
+    shuffled = {k: k * 7919 % 10_007 for k in range(n)}
+    links = [*pairs, *[(20_000 + shuffled[a], 20_000 + shuffled[b]) for a, b in pairs], *[(50_000 + k, 60_000) for k in range(50)]]
+    got = dict(components(spark.createDataFrame(links, "a long, b long")).collect())
+    assert got == {x: 0 if x < 10_000 else 50_000 if x >= 50_000 else 20_000 for pair in links for x in pair}
+
+
+def test_near_duplicates_of_many_revisions(spark):
+    words = [f"token{k}" for k in range(1300)]
+    texts = [" ".join(words[4 * k : 4 * k + 60]) for k in range(300)]  # each like the one before, unlike those five earlier
+    got = minhash.near_duplicates(table(spark, texts)).collect()
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"], r["kept"]) for r in got} == brute_components(list(enumerate(texts)))
+    assert {r["component_id"] for r in got} == {0}
+
+
 def test_near_duplicates_at_threshold(spark):
     a = " ".join(f"w{k}" for k in range(11))  # seven shingles; six of eight in common are exactly 0.75
     b = " ".join(f"w{k}" for k in range(1, 12))
