@@ -3,8 +3,8 @@
 A page is a sequence of words and tags. Words score above zero, tags below; how much, by the tag and
 by the block that a word stands in, is learnt from labelled pages: those whose ``<article>`` says where their
 content is. One linear scan finds the contiguous region of the greatest sum. Blocks inside it that are set
-apart by their own markup (menus, forms, comments, notices, adverts, scripts) are left out, and the rest is
-joined in page order.
+apart by their own tag, class or role (menus, forms, comments, notices, adverts, scripts) are left out, and the
+rest is joined in page order; an id sets nothing apart, nor does a name on the page, the article or a heading.
 
 The weights come from counts over a bounded sample, ``MAX_TRAIN`` labelled pages chosen by a hash of
 their id; keys (a tag, its class and the block it stands in) of which the sample holds fewer than
@@ -29,18 +29,26 @@ from pyspark.sql import DataFrame, functions as F
 MAX_TRAIN, MIN_COUNT = 2000, 20
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)|([^<]+|<)", re.S)
+_KINDS = re.compile(r"(?<![\w-])(?:class|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 # Elements by what they are for.
-HIDDEN = frozenset("script style head noscript template svg math iframe object canvas title textarea select".split())
+HIDDEN = frozenset("script style head noscript template svg iframe object canvas title textarea select".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 APART = frozenset("nav menu aside footer form dialog button".split())
 APART_WORDS = frozenset("ad ads advert advertisement banner breadcrumb breadcrumbs comment comments cookie cookies footer header menu nav navbar navigation newsletter notice popup promo promoted related share sharing sidebar social sponsor sponsored subscribe toolbar widget reply replies respond disqus consent masthead".split())
+CONTENT = frozenset("html body main article h1 h2 h3 h4 h5 h6".split())  # no name sets these apart
+OWN_WORDS = frozenset("header footer".split())  # as names inside the article they are the article's own
+_LAYOUT = re.compile(r"(?:has|with|no|without)[-_]")  # such a class says what stands beside or inside, not what this is
 
 
-def _apart(tag: str, names: tuple[str, ...], inside: bool) -> bool:
-    """Whether an element sets its content apart; a ``header`` inside the article is the article's own."""
-    return tag in APART or (tag == "header" and not inside) or any(w in APART_WORDS for n in names for w in re.split(r"[-_\s]+", n))
+def _apart(tag: str, kinds: tuple[str, ...], inside: bool) -> bool:
+    """Whether an element sets its content apart, by its tag or by words of its classes and roles; a ``header``
+    tag and header and footer names inside the article are the article's own."""
+    if tag in CONTENT:
+        return False
+    words = {w for n in kinds if not _LAYOUT.match(n) for w in re.split(r"[-_\s]+", n)}
+    return tag in APART or (tag == "header" and not inside) or bool(words & (APART_WORDS - OWN_WORDS if inside else APART_WORDS))
 
 
 CONTAINERS = frozenset("html body article main section div header footer nav menu aside form dialog table blockquote figure fieldset details".split())
@@ -77,9 +85,10 @@ def tokens(html: str) -> list[tuple]:
             if tag == "p" and stack and any(e[0] == "p" for e in stack):  # a paragraph ends the one before it
                 while stack and stack.pop()[0] != "p":
                     pass
+            kinds = tuple(n.lower() for x in _KINDS.findall(attrs or "") for y in x if y for n in y.split())
             inside = bool(stack and stack[-1][3])
             up = bool(stack and stack[-1][2])
-            apart = up or _apart(tag, names, inside)
+            apart = (up and tag != "main") or _apart(tag, kinds, inside)
             out.append(("tag", key, tag in BLOCKS, apart))
             if tag not in VOID and not attrs.endswith("/"):
                 around = key if tag in CONTAINERS else (stack[-1][1] if stack else "")

@@ -98,6 +98,18 @@ def test_extraction(spark):
     assert extraction.main_text(df.limit(0), extraction.train(df.limit(0))).count() == 0
 
 
+def test_extraction_with_usual_names():
+    model = extraction.weights(sum((extraction.count(PAGE.format(title=f"Title {k}")) for k in range(40)), start=extraction.Counter()))
+    want = WANT.format(title="T")
+    page = PAGE.format(title="T")
+    for old, new in [("<body>", '<body class="right-sidebar has-header">'), ("<article>", '<article id="ad-12">'), ("<article>", '<article class="social share">'), ("<h1>", '<h1 id="related-work">'), ("<h1>", '<h1 class="header">')]:
+        assert extraction.extract(page.replace(old, new), model) == want, new
+    assert extraction.extract(page.replace("<article>", '<div class="with-sidebar"><main><article>'), model) == want
+    assert extraction.extract(page.replace("<h1>T</h1>", '<div class="article-header"><h1>T</h1></div>'), model) == want
+    assert extraction.extract(page.replace("<p>Second", '<section id="share-price"><p>Second', 1).replace("<ul><li>Item", "</section><ul><li>Item"), model).count("Second paragraph") == 1
+    assert "x plus y" in extraction.extract(page.replace("First &amp;", "First <math><mi>x</mi> plus <mi>y</mi></math> &amp;"), model)
+
+
 def test_extraction_of_table(spark, data):
     """The article of each generated page, word for word."""
     import re
