@@ -28,6 +28,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from .components import components
 from .rolling import U64, buffers, mix64, seeds, word_hashes
 from .shared import cut, drop_cut
+from .suffixes import keyed
 
 WORDS, BANDS, ROWS, BITS = 5, 32, 4, 4
 MINIMA = BANDS * ROWS
@@ -318,11 +319,34 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), own.alias("component_id"), (own.eqNullSafe(F.col("id"))).alias("kept"))
 
 
+def _once(rows: DataFrame) -> DataFrame:
+    """``rows`` with one row for each ``key__``: only those that are there again are moved."""
+    again = cut(rows.groupBy("key__").agg(F.count("*").alias("c")).filter("c > 1").select("key__"), "minhash-again")
+    n = again.count()
+    if not n:
+        drop_cut(again)
+        return rows
+    again = F.broadcast(again) if n <= BROADCAST_IDS else again.hint("merge")
+    order = F.to_json(F.struct(*[F.col(f"`{c}`") for c in rows.columns if c != "text__"]))
+    whole = F.struct(*[F.col(f"`{c}`") for c in rows.columns])
+    first = rows.join(again, "key__", "left_semi").groupBy("key__").agg(F.min_by(whole, order).alias("row")).select("row.*")
+    return cut(rows.join(again, "key__", "left_anti").unionByName(first.select(rows.columns)), "minhash-once")
+
+
 def drop_near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 75) -> DataFrame:
-    """The rows of ``df`` that stay: one document of each class."""
-    gone = cut(near_duplicates(df, id_col, text_col, percent).filter("not kept").select(F.col(id_col).alias("gone__")).distinct(), "minhash-gone")
+    """The rows of ``df`` that stay: one row of each class, of its smallest id. Rows of equal id and text are one
+    row; rows of one id with different texts are told apart by a key of both. Null ids are linked with nothing."""
+    rows = _once(keyed(df, id_col, text_col))
+    found = near_duplicates(rows.filter(F.col(id_col).isNotNull()).select("key__", "text__"), "key__", "text__", percent)
+    # classes of several rows only
+    keys = cut(found.select("key__", "component_id"), "minhash-classes")
+    many = keys.filter("key__ <> component_id").select("component_id").distinct()
+    inside = keys.join(many.hint("merge"), "component_id", "left_semi").join(rows.select("key__", F.col(id_col).alias("id__")).hint("merge"), "key__")
+    best = inside.groupBy("component_id").agg(F.min(F.struct("id__", "key__")).alias("best"))
+    gone = cut(inside.join(best.hint("merge"), "component_id").filter("key__ <> best.key__").select(F.col("key__").alias("gone__")), "minhash-gone")
+    drop_cut(keys)
     gone = F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone.hint("merge")
-    return df.join(gone, df[id_col] == gone["gone__"], "left_anti")
+    return rows.join(gone, rows["key__"] == gone["gone__"], "left_anti").select(df.columns)
 
 
 def op5_minhash(spark, sf_dir: str) -> DataFrame:

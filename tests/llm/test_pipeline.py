@@ -43,6 +43,18 @@ def test_near_copies(staged):
     assert set(rows(staged[2])) == want
 
 
+def test_repeated_rows_through_two_stages(spark, data):
+    long, other = (" ".join(f"{name}{k}" for k in range(80)) for name in ("word", "other"))
+    lone = " ".join(f"lone{k}" for k in range(80))
+    got = [(5, long), (5, long), (3, other), (9, other), (9, lone), (7, None), (7, None), (None, "a b"), (None, "a b")]
+    docs = spark.createDataFrame([(k, t, "en", "src0", len(t or "")) for k, t in got], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = cut(P.drop_near_copies(spark, docs, data), "test-repeated")
+    order = lambda found: sorted(((r["doc_id"], r["text"]) for r in found), key=str)
+    assert order(kept.collect()) == sorted([(5, long), (3, other), (9, lone), (7, None), (None, "a b")], key=str)
+    after = P.cut_repeats(spark, kept, data)
+    assert {(5, long), (3, other), (9, lone)} <= set(order(after.collect()))
+
+
 def cut_by_hand(texts, length=200):
     raw = {k: (t or "").encode() for k, t in texts.items()}
     seen = Counter(b[i : i + length] for b in raw.values() for i in range(len(b) - length + 1))
