@@ -1,10 +1,9 @@
-"""Suffix-array dedup by distributed prefix doubling.
+"""Repeated passages by minimiser hashing, in place of the prefix doubling of a suffix array.
 
 A byte is removed if a string of ``length`` (200) bytes that covers it starts anywhere else in the
 corpus. Positions of a suffix array need their exact order only among positions with equal prefixes,
-so a rank here is a name of the prefix that is equal where the prefixes are equal. Names come from
-the bytes themselves; what Spark does in each round is to sort and group the names of all positions
-that are left, and to drop those that have become unique. Growing offsets are:
+so a rank here is a name of the prefix that is equal where the prefixes are equal. Names are hashes of
+the bytes themselves, made once: there are no rounds that rank again, and the offset doesn't grow. Steps are:
 
 1. Prefixes of length/2. All 100-byte strings of a 200-byte string are named; the smallest name (a
    minimiser) stands for the start. Starts with the same minimiser form short runs, and one row per
@@ -12,8 +11,8 @@ that are left, and to drop those that have become unique. Growing offsets are:
    in periodic text a name that occurs twice near its run counts twice.
 2. Runs that are equal as a whole, with all bytes that their starts reach, repeat in all their starts.
 3. Starts of the other runs, and of one run for each group of equal ones, get the pair of ranks
-   (prefix of 100 at p, prefix of 100 at p + 100), as in prefix doubling. A pair that two starts share
-   is a repeated string of 200 bytes: past the threshold, doubling stops. Pairs can be equal only among
+   (prefix of 100 at p, prefix of 100 at p + 100). A pair that two starts share is a repeated string
+   of 200 bytes. Pairs can be equal only among
    runs of one name: up to MANY such runs are sorted together, those of more frequent names are
    exchanged start by start.
 
