@@ -1,27 +1,26 @@
-"""Repeated passages by minimiser hashing, in place of the prefix doubling of a suffix array.
-
-A byte is removed if a string of ``length`` (200) bytes that covers it starts anywhere else in the
-corpus. Positions of a suffix array need their exact order only among positions with equal prefixes,
-so a rank here is a name of the prefix that is equal where the prefixes are equal. Names are hashes of
-the bytes themselves, made once: there are no rounds that rank again, and the offset doesn't grow. Steps are:
-
-1. Prefixes of length/2. All 100-byte strings of a 200-byte string are named; the smallest name (a
-   minimiser) stands for the start. Starts with the same minimiser form short runs, and one row per
-   run, not per byte, is grouped. A run whose name is unique can't repeat, nor can any start in it;
-   in periodic text a name that occurs twice near its run counts twice.
-2. Runs that are equal as a whole, with all bytes that their starts reach, repeat in all their starts.
-3. Starts of the other runs, and of one run for each group of equal ones, get the pair of ranks
-   (prefix of 100 at p, prefix of 100 at p + 100). A pair that two starts share is a repeated string
-   of 200 bytes. Pairs can be equal only among
-   runs of one name: up to MANY such runs are sorted together, those of more frequent names are
-   exchanged start by start.
-
-A group of any size meets as counts; joins back to the rows are sort-merge joins, which adaptive
-execution splits if one name is frequent.
-
-Defined cases: null counts as an empty text; texts shorter than ``length`` lose nothing; repeated rows
-are documents of their own, so both copies are removed; long texts are worked through in pieces of a
-million starts; null ids are kept; extra columns are carried along, but for those that are added; an empty table gives an empty one.
+"""Repeated passages by prefix doubling of the suffix array, on positions thinned by minimisers.
+
+A byte is removed if a string of ``length`` (200) bytes that covers it starts anywhere else in the corpus. Positions
+are ranked by their prefixes: the rank of a prefix of 2h bytes is the pair of the ranks of h bytes at p and at p + h.
+Only whether ranks are equal matters here, so a rank is a 64-bit name that is made anew from the pair, and a pair is
+128 bits. Spark groups the pairs at offsets 25, 50 and 100; positions whose pair is unique are past any repeat and
+leave, the others are ranked again at the doubled offset, until strings of ``length`` bytes have been compared.
+
+The rounds before the last don't need a row for each byte. A start can repeat only if every shorter string inside its
+``length`` bytes does, so one stands for it: the one with the smallest name (a minimiser), which depends on those
+bytes alone and is therefore the same at each repeat. Neighbouring starts with one minimiser form a run, and a run is
+a row; a name that stands twice inside a run (periodic text) counts twice. In the last round
+
+1. runs that are equal as a whole, with all bytes that their starts reach, repeat in all their starts;
+2. of the other runs, and of one run for each group of equal ones, every start is a row with its pair of ranks.
+
+After the first round only the bytes that surviving starts reach travel on. A group of any size meets as counts;
+joins back to the rows are sort-merge joins, which adaptive execution splits if one pair is frequent. Tasks work
+through texts in pieces of ``PIECE`` starts, whatever the size of a text or a run.
+
+Defined cases: null counts as an empty text; texts shorter than ``length`` lose nothing; repeated rows are documents of
+their own, so both copies are removed, and ties don't exist, since no copy is preferred; null ids are kept; extra
+columns are carried along, but for those that are added; an empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -31,14 +30,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
-from .rolling import U64, buffers, grams, prefix, sliding_min, spans
+from .rolling import U64, buffers, grams, mix64, prefix, sliding_min, spans
 from .shared import cut, drop_cut
 
-PIECE = 1 << 20
-MANY = 1000  # runs of one name that a task may hold together; more are grouped start by start
+PIECE = 1 << 18
+BITS = 63  # starts of one mask
 
 
 def _batches(batch: pa.RecordBatch, column: int, limit: int = PIECE) -> Iterator[pa.RecordBatch]:
@@ -52,177 +50,203 @@ def _batches(batch: pa.RecordBatch, column: int, limit: int = PIECE) -> Iterator
         lo = hi
 
 
-def _runs(keys: pa.Array, texts: pa.Array, length: int, names_only: bool = False) -> pa.RecordBatch:
-    """Runs of starts with one minimiser: name, key, first start, number of more starts, and a name of all
-    bytes that they reach. ``names_only``: just names, again if the same piece of text holds them twice."""
-    half, parts = length // 2, []
-    window = length - half + 1
-    for k, data in enumerate(buffers(texts)):
-        for at in range(0, max(0, len(data) - length + 1), PIECE):
-            pre = prefix(data[at : at + PIECE + length - 1])
-            each = grams(pre, half)
-            low = sliding_min(each, window)
-            first = np.flatnonzero(np.concatenate([[True], low[1:] != low[:-1]]))
-            last = np.append(first[1:], len(low)) - 1
-            if names_only:
-                each.sort()
-                twice = each[1:][each[1:] == each[:-1]]
-                parts.append((low[first], low[first][np.isin(low[first], twice)] if len(twice) else twice))
-                continue
-            parts.append((low[first], np.full(len(first), k), first + at, last + at, spans(pre, first, last + length)))
-    if names_only:
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate([x for p in parts for x in p] or [np.empty(0, U64)]).view(np.int64))], names=["name"])
-    if not parts:
-        parts = [(np.empty(0, U64), *[np.empty(0, np.int64)] * 3, np.empty(0, U64))]
-    name, k, first, last, whole = (np.concatenate(x) for x in zip(*parts))
-    return pa.RecordBatch.from_arrays([pa.array(name.view(np.int64)), keys.take(pa.array(k)), pa.array(first), pa.array((last - first).astype(np.int32)), pa.array(whole.view(np.int64))], names=["name", "key", "first", "more", "whole"])
-
-
-_RUN = "name long, key long, first long, more int, whole long"
-
-
-def _named(rows: DataFrame, length: int) -> DataFrame:
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in _batches(batch, 1):
-                yield _runs(part.column(0), part.column(1), length)
+def _joined(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """All bytes of a binary column as one array, and where each value ends."""
+    ends = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+    raw = column.buffers()[2]
+    return (np.frombuffer(raw, np.uint8)[ends[0] : ends[-1]] if raw is not None else np.empty(0, np.uint8)), ends[1:] - ends[0]
 
-    return rows.select("key", "text").mapInArrow(work, _RUN)
 
+def _doubled(rank: np.ndarray, offset: int) -> np.ndarray:
+    """Ranks of twice the length (less, if the halves overlap), made from the pairs of ranks at ``offset``."""
+    return mix64(rank[:-offset] * U64(0xD6E8FEB86659FD93) + rank[offset:]) if len(rank) > offset else np.empty(0, U64)
 
-def _names(rows: DataFrame, length: int) -> DataFrame:
-    """The names alone, once for each run; they are grouped before anything else moves."""
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in _batches(batch, 1):
-                yield _runs(part.column(0), part.column(1), length, names_only=True)
+def _ranks(pre: np.ndarray, base: int, offset: int) -> np.ndarray:
+    """Ranks of all prefixes of ``offset`` bytes: those of ``base`` bytes are hashes, the others are doubled."""
+    rank, h = grams(pre, base), base
+    while h < offset:
+        rank, h = _doubled(rank, h), 2 * h
+    return rank
+
 
-    return rows.select("key", "text").mapInArrow(work, "name long")
+def _highest_around(low: np.ndarray, w: int) -> np.ndarray:
+    """For each place the highest minimum of the windows of ``w`` places that hold it."""
+    edge = np.zeros(w - 1, U64)
+    return ~sliding_min(~np.concatenate([edge, low, edge]), w)
 
 
-def _reach(rows: DataFrame, length: int) -> DataFrame:
-    """All bytes that the starts of listed runs reach: (key, text, runs) to one row per run."""
+def _schedule(length: int) -> tuple[int, list[int]]:
+    """Bytes that are hashed at first, and the offsets of the rounds: each doubles the last, up to half the length."""
+    base = -(-length // 8)
+    return base, [base, 2 * base, length - 4 * base]
+
+
+def _runs(rows: DataFrame, length: int, offset: int) -> DataFrame:
+    """Runs of starts with one minimiser of 2 * ``offset`` bytes, of rows (key, at, reach): first start, number of
+    more starts, the pair of ranks (r1, r2), how often it counts here, and a name of all bytes that the starts reach."""
+    base = _schedule(length)[0]
+    window = length - 2 * offset + 1
+
+    def piece(data: np.ndarray, valid: np.ndarray) -> tuple[np.ndarray, ...]:
+        pre = prefix(data)
+        half = _ranks(pre, base, offset)
+        each = _doubled(half, offset)
+        low = np.where(valid, sliding_min(each, window), U64(0))
+        first = np.flatnonzero(np.concatenate([[True], low[1:] != low[:-1]]))
+        last = np.append(first[1:], len(low)) - 1
+        real = valid[first]
+        first, last = first[real], last[real]
+        # minima stand where a value is as high as the highest minimum around it
+        places = np.flatnonzero(each == _highest_around(low, window))
+        places = places[np.argsort(each[places], kind="stable")]
+        left, right = (np.searchsorted(each[places], low[first], side) for side in ("left", "right"))
+        return first, last - first, half[places[left]], half[places[left] + offset], np.minimum(right - left, 2), spans(pre, first, last + length)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in _batches(batch, 1):
-                counts = pc.list_value_length(part.column(2)).to_numpy(zero_copy_only=False)
-                runs = part.column(2).flatten()
-                fields = [runs.field(x) for x in ("name", "first", "asks", "many")]
-                first, more = (runs.field(x).to_numpy(zero_copy_only=False) for x in ("first", "more"))
-                ends, reach = np.cumsum(counts), []
-                for data, lo, hi in zip(buffers(part.column(1)), ends - counts, ends):
-                    raw = data.tobytes()
-                    reach += [raw[f : f + m + length] for f, m in zip(first[lo:hi].tolist(), more[lo:hi].tolist())]
-                key = part.column(0).take(pa.array(np.repeat(np.arange(part.num_rows), counts)))
-                yield pa.RecordBatch.from_arrays([key, *fields, pa.array(reach, pa.binary())], names=["key", "name", "first", "asks", "many", "reach"])
+            for part in _batches(batch, 2):
+                data, ends = _joined(part.column(2))
+                sizes = np.diff(ends, prepend=0)
+                base_at = part.column(1).to_numpy() - (ends - sizes)
+                for lo in range(0, len(data) - length + 1, PIECE):
+                    some = data[lo : lo + PIECE + length - 1]
+                    start = np.arange(lo, lo + len(some) - length + 1)
+                    text = np.searchsorted(ends, start, "right")
+                    first, more, r1, r2, n, whole = piece(some, ends[text] - start >= length)
+                    k = text[first]
+                    cols = [part.column(0).take(pa.array(k)), part.column(1).take(pa.array(k)), pa.array(first + lo + base_at[k]), pa.array(more.astype(np.int32)), *(pa.array(x.view(np.int64)) for x in (r1, r2)), pa.array(n.astype(np.int32)), pa.array(whole.view(np.int64))]
+                    yield pa.RecordBatch.from_arrays(cols, names=["key", "at", "first", "more", "r1", "r2", "n", "whole"])
 
-    return rows.select("key", "text", "runs").mapInArrow(work, "key long, name long, first long, asks boolean, many boolean, reach binary")
+    return rows.select("key", "at", "reach").mapInArrow(work, "key binary, at long, first long, more int, r1 long, r2 long, n int, whole long")
 
 
-def _ranks(reach: pa.Array, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of every start of the runs: row, offset, and the ranks of its two halves."""
-    ends = np.frombuffer(reach.buffers()[1], np.int32)[reach.offset : reach.offset + len(reach) + 1]
-    data = np.frombuffer(reach.buffers()[2], np.uint8)[ends[0] : ends[-1]]
-    ends = (ends - ends[0]).astype(np.int64)
-    n = np.diff(ends) - length + 1
-    row = np.repeat(np.arange(len(n)), n)
-    offset = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-    at, pre, half = ends[row] + offset, prefix(data), length // 2
-    return row, offset, spans(pre, at, at + half), spans(pre, at + half, at + length)
+def _not_unique(runs: DataFrame) -> DataFrame:
+    """The runs whose pair of ranks occurs again."""
+    again = runs.groupBy("r1", "r2").agg(F.sum("n").alias("n")).filter("n > 1").select("r1", "r2")
+    return runs.join(again.hint("merge"), ["r1", "r2"])
 
 
-def _pairs(rows: DataFrame, length: int) -> DataFrame:
-    """A row per start with its pair of ranks."""
+def _survivors(rows: DataFrame, runs: DataFrame, length: int) -> DataFrame:
+    """Rows (key, at, reach) with the bytes that the starts of ``runs`` reach; neighbouring runs become one row."""
+    found = runs.groupBy("key", "at").agg(F.collect_list(F.struct(F.col("first").alias("lo"), (F.col("first") + F.col("more") + 1).alias("hi"))).alias("spans"))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo in range(0, batch.num_rows, 2048):
-                part = batch.slice(lo, 2048)
-                row, offset, one, two = _ranks(part.column(3), length)
-                start = part.column(1).to_numpy()[row] + offset
-                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(row)), pa.array(start), pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), part.column(2).take(pa.array(row))], names=["key", "start", "r1", "r2", "asks"])
+            for part in _batches(batch, 2):
+                at, which, first, reach = part.column(1).to_pylist(), [], [], []
+                for k, (data, hits) in enumerate(zip(buffers(part.column(2)), part.column(3))):
+                    for lo, hi in zip(*(x.tolist() for x in _merge(hits))):
+                        which.append(k)
+                        first.append(lo)
+                        reach.append(data[lo - at[k] : hi - at[k] + length - 1].tobytes())
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(which, pa.int64())), pa.array(first, pa.int64()), pa.array(reach, pa.binary())], names=["key", "at", "reach"])
 
-    return rows.select("key", "first", "asks", "reach").mapInArrow(work, "key long, start long, r1 long, r2 long, asks boolean")
+    return rows.join(found.hint("shuffle_hash"), ["key", "at"]).select("key", "at", "reach", "spans").mapInArrow(work, "key binary, at long, reach binary")
 
 
-def _paired_here(rows: DataFrame, length: int) -> DataFrame:
-    """The same as grouping ``_pairs``, inside tasks: the runs of a name, MANY at most, lie together."""
+def _starts(asked: DataFrame, length: int) -> DataFrame:
+    """A row per start of the listed runs of rows (key, at, reach, runs), with its pair of ranks."""
+    base, offsets = _schedule(length)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-
-        def done(table: pa.Table) -> Iterator[pa.RecordBatch]:
-            part = table.combine_chunks().to_batches()[0]
-            row, offset, one, two = _ranks(part.column(4), length)
-            order = np.lexsort((two, one))
-            same = (one[order][1:] == one[order][:-1]) & (two[order][1:] == two[order][:-1])
-            again = np.zeros(len(row), bool)
-            again[order[1:][same]] = again[order[:-1][same]] = True
-            again &= np.asarray(part.column(3).to_numpy(zero_copy_only=False), bool)[row]
-            # neighbouring starts of a run that repeat become one span
-            r, o = row[again], offset[again]
-            if len(r):
-                new = np.concatenate([[True], (r[1:] != r[:-1]) | (o[1:] != o[:-1] + 1)])
-                stop = np.append(np.flatnonzero(new)[1:], len(r)) - 1
-                base = part.column(2).to_numpy()
-                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(r[new])), pa.array(base[r[new]] + o[new]), pa.array(base[r[stop]] + o[stop] + length)], names=["key", "lo", "hi"])
-
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            names = batch.column(1).to_numpy()
-            # runs of the last name may go on in the next batch
-            keep = int(np.flatnonzero(names != names[-1])[-1]) + 1 if (names != names[-1]).any() else 0
-            if keep or (held and held[-1].column(1)[0].as_py() != names[0]):
-                head = [*held, batch.slice(0, keep)] if keep else held
-                yield from done(pa.Table.from_batches(head))
-                held = []
-            held.append(batch.slice(keep))
+            for k in range(batch.num_rows):
+                data, at = next(buffers(batch.column(2).slice(k, 1))), batch.column(1)[k].as_py()
+                runs = batch.column(3)[k].values
+                first, more = (runs.field(x).to_numpy(zero_copy_only=False) for x in ("first", "more"))
+                asks = np.asarray(runs.field("asks").to_numpy(zero_copy_only=False), bool)
+                # runs that are listed, in groups of about PIECE bytes from the first to the last
+                order = np.argsort(first, kind="stable")
+                first, more, asks = first[order] - at, more[order].astype(np.int64), asks[order]
+                lo = 0
+                while lo < len(first):
+                    hi = max(lo + 1, int(np.searchsorted(first, first[lo] + PIECE)))
+                    begin = int(first[lo])
+                    half = _ranks(prefix(data[begin : int(first[hi - 1] + more[hi - 1]) + length]), base, 4 * base)
+                    n = more[lo:hi] + 1
+                    start = np.repeat(first[lo:hi] - begin - (np.cumsum(n) - n), n) + np.arange(n.sum())
+                    one, two = half[start], half[start + offsets[-1]]
+                    yield pa.RecordBatch.from_arrays([pa.repeat(batch.column(0)[k], len(start)), pa.array(start + begin + at), pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), pa.array(np.repeat(asks[lo:hi], n))], names=["key", "start", "r1", "r2", "asks"])
+                    lo = hi
+
+    return asked.select("key", "at", "reach", "runs").mapInArrow(_grouped(work, 5), "key binary, start long, r1 long, r2 long, asks boolean")
+
+
+def _grouped(work, columns: int, rows: int = 50_000):
+    """``work`` with its small batches put together."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+        for x in work(batches):
+            held.append(x)
+            n += x.num_rows
+            if n >= rows:
+                yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+                held, n = [], 0
         if held:
-            yield from done(pa.Table.from_batches(held))
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
 
-    together = rows.select("key", "name", "first", "asks", "reach").repartition("name").sortWithinPartitions("name")
-    return together.mapInArrow(work, "key long, lo long, hi long")
+    return run
 
 
 def keyed(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Adds ``key__`` and ``text__``; keys are equal only for rows of equal id and text."""
+    """Adds ``key__`` (128 bits, equal for rows of equal id and text) and ``text__``."""
     ident, text = F.col(id_col).cast("string"), F.col(text_col).cast("string")
-    for seed in range(8):
-        one = F.xxhash64(F.lit(seed), ident, ident.isNull(), text)
-        clash = df.select(one.alias("key"), F.xxhash64(F.lit(-1), text, ident.isNull(), ident).alias("check")).groupBy("key").agg(F.min("check").alias("x"), F.max("check").alias("y")).filter("x <> y")
-        if clash.isEmpty():
-            break
-    return df.withColumns({"key__": one, "text__": F.coalesce(text, F.lit(""))})
+    whole = F.concat_ws("/", ident.isNull().cast("string"), text.isNull().cast("string"), F.length(ident).cast("string"), ident, text)
+    return df.withColumns({"key__": F.unhex(F.md5(whole.cast("binary"))), "text__": F.coalesce(text, F.lit(""))})
 
 
 def repeated_runs(rows: DataFrame, length: int = 200) -> DataFrame:
-    """(key, spans: array of [from, to)) of the repeated bytes of rows (key, text)."""
-    common = _names(rows, length).groupBy("name").agg(F.count("*").alias("c")).filter("c > 1").select("name")
-    left = cut(_named(rows, length).join(common.hint("merge"), "name"), "suffix-runs")
-    groups = cut(left.groupBy("name", "whole", "more").agg(F.count("*").alias("c"), F.min(F.struct("key", "first")).alias("one")), "suffix-groups")
-    equal = left.join(groups.filter("c > 1").select("name", "whole", "more").hint("merge"), ["name", "whole", "more"]).select("key", F.col("first").alias("lo"), (F.col("first") + F.col("more") + length).alias("hi"))
-    per_name = groups.groupBy("name").agg(F.count("*").alias("members"), F.max(F.col("c") == 1).alias("open")).filter("open")
-    todo = groups.join(per_name.hint("merge"), "name").select("one.key", F.struct("name", "one.first", "more", (F.col("c") == 1).alias("asks"), (F.col("members") > MANY).alias("many")).alias("run"))
-    todo = todo.groupBy("key").agg(F.collect_list("run").alias("runs"))
-    reach = cut(_reach(rows.join(todo.hint("shuffle_hash"), "key"), length), "suffix-reach")
-    here = _paired_here(reach.filter("not many"), length)
-    pairs = _pairs(reach.filter("many"), length)
-    again = pairs.groupBy("r1", "r2").agg(F.count("*").alias("c"), F.max("asks").alias("asks")).filter("c > 1 and asks").select("r1", "r2")
-    there = pairs.filter("asks").join(again.hint("merge"), ["r1", "r2"]).select("key", F.col("start").alias("lo"), (F.col("start") + length).alias("hi"))
-    found = cut(equal.unionByName(here).unionByName(there).groupBy("key").agg(F.collect_list(F.struct("lo", "hi")).alias("spans")), "suffix-spans")
-    for x in (left, groups, reach):
+    """(key, spans, masks) of the repeated bytes of rows (key, text): spans [lo, hi), and bits of single starts."""
+    base, offsets = _schedule(length)
+    state = rows.select("key", F.lit(0).cast("long").alias("at"), F.col("text").cast("binary").alias("reach"))
+    old = None
+    for k, offset in enumerate(offsets[:-1]):
+        runs = _not_unique(_runs(state, length, offset))
+        if k < len(offsets) - 2:
+            new = cut(_survivors(state, runs.select("key", "at", "first", "more"), length), f"suffix-{2 * offset}")
+            if old is not None:
+                drop_cut(old)
+            state = old = new
+    left = cut(runs.drop("n"), "suffix-runs")
+    same = ["r1", "r2", "whole", "more"]
+    groups = cut(left.groupBy(same).agg(F.count("*").alias("c"), F.min(F.struct("key", "at", "first")).alias("one")), "suffix-groups")
+    equal = left.join(groups.filter("c > 1").select(same).hint("merge"), same).select("key", F.col("first").alias("lo"), (F.col("first") + F.col("more") + length).alias("hi"))
+    # runs of one pair that are all equal are done; a single run is asked about, and so are periodic ones
+    open_pairs = groups.groupBy("r1", "r2").agg(F.max(F.col("c") == 1).alias("open")).filter("open").select("r1", "r2")
+    todo = groups.join(open_pairs.hint("merge"), ["r1", "r2"]).select("one.key", "one.at", F.struct("one.first", "more", (F.col("c") == 1).alias("asks")).alias("run"))
+    todo = todo.groupBy("key", "at").agg(F.collect_list("run").alias("runs"))
+    asked = cut(state.join(todo.hint("shuffle_hash"), ["key", "at"]).select("key", "at", "reach", "runs"), "suffix-asked")
+    starts = _starts(asked, length)
+    again = starts.groupBy("r1", "r2").agg(F.count("*").alias("c"), F.max("asks").alias("asks")).filter("c > 1 and asks").select("r1", "r2")
+    single = starts.filter("asks").join(again.hint("merge"), ["r1", "r2"]).groupBy("key", F.expr(f"start div {BITS}").alias("block")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(start % {BITS} as int))")).alias("bits"))
+    spans_ = equal.select("key", F.struct("lo", "hi").alias("span"), F.lit(None).cast("struct<block:long,bits:long>").alias("mask"))
+    masks = single.select("key", F.lit(None).cast("struct<lo:long,hi:long>").alias("span"), F.struct("block", "bits").alias("mask"))
+    found = cut(spans_.unionByName(masks).groupBy("key").agg(F.collect_list("span").alias("spans"), F.collect_list("mask").alias("masks")), "suffix-spans")
+    for x in (left, groups, asked, *([old] if old is not None else [])):
         drop_cut(x)
     return found
 
 
-def _merge(found: pa.Scalar) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted, disjoint and maximal spans."""
+def _unmasked(found: pa.Scalar, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """The strings whose starts are set in masks, as spans."""
     if not found.is_valid or not len(found.values):
         return np.empty(0, np.int64), np.empty(0, np.int64)
-    lo, hi = (found.values.field(x).to_numpy(zero_copy_only=False) for x in ("lo", "hi"))
+    block, bits = (found.values.field(x).to_numpy(zero_copy_only=False) for x in ("block", "bits"))
+    row, bit = np.nonzero((bits[:, None] >> np.arange(BITS)) & 1)
+    lo = block[row] * BITS + bit
+    return lo, lo + length
+
+
+def _merge(found: pa.Scalar, *more: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted, disjoint and maximal spans."""
+    parts = list(more)
+    if found.is_valid and len(found.values):
+        parts.append(tuple(found.values.field(x).to_numpy(zero_copy_only=False) for x in ("lo", "hi")))
+    lo, hi = (np.concatenate([p[k] for p in parts] or [np.empty(0, np.int64)]) for k in (0, 1))
+    if not len(lo):
+        return lo, hi
     order = np.argsort(lo, kind="stable")
     lo, hi = lo[order], np.maximum.accumulate(hi[order])
     new = np.concatenate([[True], lo[1:] > hi[:-1]])
@@ -254,22 +278,22 @@ def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length:
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in _batches(batch, batch.num_columns - 2):
+            for part in _batches(batch, batch.num_columns - 3):
                 out = []
-                for data, hits in zip(buffers(part.column(part.num_columns - 2)), part.column(part.num_columns - 1)):
-                    lo, hi = _merge(hits)
+                for data, hits, bits in zip(buffers(part.column(part.num_columns - 3)), part.column(part.num_columns - 2), part.column(part.num_columns - 1)):
+                    lo, hi = _merge(hits, _unmasked(bits, length))
                     kept = _without(data, lo, hi) if len(lo) else data
                     text = (kept if not len(lo) else _without(data, *_whole_characters(data, lo, hi))).tobytes().decode() if texts else None
                     out.append((len(data), len(data) - len(kept), len(lo), hashlib.sha256(kept).hexdigest(), text))
                 kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()]
                 cols = [pa.array(c, t) for c, t in zip(zip(*out), kinds)]
-                names = part.schema.names[:-2] + ["n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text"]
-                yield pa.RecordBatch.from_arrays([*part.columns[:-2], *cols], names=names)
+                names = part.schema.names[:-3] + ["n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text"]
+                yield pa.RecordBatch.from_arrays([*part.columns[:-3], *cols], names=names)
 
     carry = [c for c in df.columns if c != text_col] if texts else [id_col]
-    found = found.select(F.col("key").alias("key__"), F.col("spans").alias("spans__"))
-    joined = rows.join(found.hint("shuffle_hash"), "key__", "left").select(*[F.col(f"`{c}`") for c in carry], "text__", "spans__")
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in joined.schema.fields[:-2])
+    found = found.select(F.col("key").alias("key__"), F.col("spans").alias("spans__"), F.col("masks").alias("masks__"))
+    joined = rows.join(found.hint("shuffle_hash"), "key__", "left").select(*[F.col(f"`{c}`") for c in carry], "text__", "spans__", "masks__")
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in joined.schema.fields[:-3])
     return joined.mapInArrow(work, f"{schema}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_text string")
 
 

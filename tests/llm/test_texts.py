@@ -201,12 +201,52 @@ def test_repeats_hard(spark):
 
 
 def test_repeats_of_frequent_passage(spark, monkeypatch):
-    monkeypatch.setattr(suffixes, "MANY", 5)
+    monkeypatch.setattr(suffixes, "PIECE", 64)
     p = "".join(chr(97 + (k * 7 + k * k) % 26) for k in range(300))
     texts = [f"{k} " + p[k % 40 : 240 + k % 40] + f" end {k}" for k in range(60)]
     assert repeats(table(spark, texts)) == brute_repeats(texts)
 
 
+def test_repeats_of_periods(spark):
+    """Periodic runs of many lengths, alone, in each other and with one byte changed."""
+    texts = [("ab" * 400)[: 190 + 7 * k] for k in range(12)] + ["abc" * 90, "abc" * 70 + "x" + "abc" * 70, "q" * 399, "q" * 199 + "r" + "q" * 199, "0123456789" * 25 + "|", "|" + "0123456789" * 20]
+    assert repeats(table(spark, texts)) == brute_repeats(texts)
+
+
+@pytest.mark.parametrize("length", [64, 100, 131])
+def test_repeats_of_other_lengths(spark, length):
+    p = "".join(chr(97 + (k * k + k // 5) % 26) for k in range(300))
+    texts = [p, "aa" + p[50:180] + "bb" + p[100:300], p[:length] + "|" + p[: length - 1], "z" * (length + 1), None, p[10 : 10 + length - 1]]
+    got = [(r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in suffixes.dedup(table(spark, texts), length=length, texts=False).orderBy("doc_id").collect()]
+    assert got == brute_repeats(texts, length)
+
+
+class Captured:
+    """Stands for a DataFrame and hands out the function that would work on its batches."""
+
+    def select(self, *cols):
+        return self
+
+    def mapInArrow(self, work, schema):  # noqa: N802
+        return work
+
+
+def test_memory_of_long_periodic_runs():
+    """600 periodic runs of different lengths, 8 MB in all, in one batch: memory stays that of a piece."""
+    import resource
+
+    import pyarrow as pa
+
+    reach = [(b"ab%d" % k * 10_000)[: 13_000 + k] for k in range(600)]
+    keys, at = pa.array([b"k"] * 600, pa.binary()), pa.array([0] * 600, pa.int64())
+    runs = pa.array([[{"first": 0, "more": len(x) - 200, "asks": True}] for x in reach], pa.list_(pa.struct([("first", pa.int64()), ("more", pa.int32()), ("asks", pa.bool_())])))
+    batch = pa.RecordBatch.from_arrays([keys, at, pa.array(reach, pa.binary()), runs], names=["key", "at", "reach", "runs"])
+    before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+    for work in (suffixes._starts(Captured(), 200), suffixes._runs(Captured(), 200, 25), suffixes._runs(Captured(), 200, 50)):
+        assert sum(x.num_rows for x in work(iter([batch]))) > 0
+    assert resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 300_000
+
+
 def test_kept_text_has_whole_characters(spark):
     p = "ä" * 150
     rows = suffixes.dedup(table(spark, ["1" + p, "22" + p, None])).orderBy("doc_id").collect()
