@@ -11,10 +11,11 @@ compared with one of its largest component, and only those that stay outside are
 their bucket, in squares of signatures inside tasks (see ``find_links``). Since links inside a component
 can't change it, no link between different texts is lost.
 
-Defined cases: null, empty or blank texts have no shingles, are linked with nothing and kept; shorter
-texts than five words are one shingle; rows with the same id are one document with all their texts'
-shingles unlinked to each other except by similarity; rows with null ids are kept and linked with
-nothing; extra columns are ignored; an empty table gives an empty result.
+Defined cases: null, empty or blank texts have no shingles, are linked with nothing and kept; texts shorter
+than five words are one shingle; a very long text is one set, and fewer of them share a task; every row is a document
+of its own, also where ids repeat: rows of one id with equal texts are in one class, with different texts only if those
+are similar; a class has the smallest id of its rows, and all rows that have this id are kept; rows with null ids are
+kept and linked with nothing; extra columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -28,11 +29,10 @@ from pyspark.sql import Column, DataFrame, functions as F
 from .components import components
 from .rolling import U64, buffers, mix64, seeds, word_hashes
 from .shared import cut, drop_cut
-from .suffixes import keyed
 
 WORDS, BANDS, ROWS, BITS = 5, 32, 4, 4
 MINIMA = BANDS * ROWS
-BLOCK, HUBS = 256, 2
+BLOCK, HUBS, ITEMS = 256, 2, 4000
 SLACK = 0.18  # four and a half standard deviations of the estimate at 0.75
 BROADCAST_IDS = 500_000
 
@@ -70,8 +70,8 @@ def pack(low: np.ndarray) -> np.ndarray:
     return (parts << (np.arange(16, dtype=U64) * U64(BITS))).sum(axis=1, dtype=U64)
 
 
-def sketch(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, n_shingles, set_a, set_b: fingerprint of the set, sig: packed minima, bands)."""
+def sketch(rows: DataFrame) -> DataFrame:
+    """(id, linked, n: shingles, set_a, set_b: fingerprint of the set, sig: packed minima, bands) of rows (key, text, linked)."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         band_seed = seeds(BANDS, 8)
@@ -79,7 +79,7 @@ def sketch(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
             for lo in range(0, batch.num_rows, 512):
                 part = batch.slice(lo, 512)
                 n, a, b, sig, bands = [], [], [], [], []
-                for data in buffers(part.column(1)):
+                for data in buffers(part.column(2)):
                     items = shingles(data)
                     n.append(len(items))
                     a.append(int(items.sum(dtype=U64)))
@@ -92,10 +92,9 @@ def sketch(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
                     bands.append(acc.view(np.int64) if len(items) else np.empty(0, np.int64))
                 lists = lambda xs: pa.ListArray.from_arrays(np.cumsum([0, *map(len, xs)]).astype(np.int32), pa.array(np.concatenate(xs)))
                 ints = lambda xs: pa.array(np.array(xs, U64).view(np.int64))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), ints(a), ints(b), lists(sig), lists(bands)], names=["id", "n", "set_a", "set_b", "sig", "bands"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(n, pa.int64()), ints(a), ints(b), lists(sig), lists(bands)], names=["id", "linked", "n", "set_a", "set_b", "sig", "bands"])
 
-    rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(work, "id long, n long, set_a long, set_b long, sig array<long>, bands array<long>")
+    return rows.select("key", "linked", "text").mapInArrow(work, "id long, linked boolean, n long, set_a long, set_b long, sig array<long>, bands array<long>")
 
 
 def estimate(a: Column, b: Column) -> Column:
@@ -145,14 +144,15 @@ def _tops(at: DataFrame, salt: int) -> DataFrame:
     return per.select("key", F.col("m.component").alias("top"), F.col("m.hub.id").alias("hub"), "c", (F.col("c") - F.col("m.n")).alias("o"))
 
 
-def _blocks(rows: DataFrame, left: Column) -> DataFrame:
+def _blocks(rows: DataFrame, left: Column, left_size: str = "o", size: str = "c") -> DataFrame:
     """Rows (key, id, o, c, ...) dealt into squares (key, i, j) of BLOCK by BLOCK: ``left`` rows against all rows of a bucket.
 
-    A square's rows lie together in a partition, those of the left side first."""
-    rows = rows.withColumns({"oi": F.expr(f"cast(ceil(o / {BLOCK}) as int)"), "gj": F.expr(f"cast(ceil(c / {BLOCK}) as int)"), "h": F.xxhash64("id")})
+    A square's rows lie together in a partition, those of the left side first. ``left_size`` and ``size``: how many
+    rows, or blocks of BLOCK rows' worth, the left side and the whole bucket have."""
+    rows = rows.withColumns({"oi": F.expr(f"cast(ceil({left_size} / {BLOCK}) as int)"), "gj": F.expr(f"cast(ceil({size} / {BLOCK}) as int)"), "h": F.xxhash64("id")})
     one = rows.filter(left).withColumns({"right": F.lit(False), "i": F.expr("cast(pmod(h, oi) as int)"), "j": F.explode(F.sequence(F.lit(0), F.col("gj") - 1))})
     two = rows.withColumns({"right": F.lit(True), "i": F.explode(F.sequence(F.lit(0), F.col("oi") - 1)), "j": F.expr("cast(pmod(h, gj) as int)")})
-    return one.unionByName(two).drop("oi", "gj", "h", "o", "c").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "right")
+    return one.unionByName(two).drop("oi", "gj", "h", "o", "c", "o_size", "c_size").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "right")
 
 
 def _squares(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
@@ -261,7 +261,8 @@ def find_links(members: DataFrame, sigs: DataFrame, sets: DataFrame, percent: in
     3. Rows that have more candidates and still stand outside are confirmed against all of them, inside the
        tasks that hold the squares: pairs are never rows of a table."""
     least = percent / 100 - SLACK
-    links, labels, found = None, None, []
+    links, labels, found, sized = None, None, [], sigs
+    sigs = sized.drop("n")
 
     def join(more: DataFrame) -> None:
         nonlocal links, labels
@@ -288,65 +289,70 @@ def find_links(members: DataFrame, sigs: DataFrame, sets: DataFrame, percent: in
     open_rows = best.filter("more").select("key", "id").distinct().withColumn("open", F.lit(True))
     after = after.join(open_rows, ["key", "id"], "left").withColumn("left", F.coalesce("open", F.lit(False)) & (F.col("component") != F.col("top")))
     after = cut(after.select("key", "id", "component", "left"), "minhash-after")
-    counts = after.groupBy("key").agg(F.count("*").alias("c"), F.count_if("left").alias("o")).filter("o > 0")
-    rows = after.join(counts.hint("merge"), "key").join(sigs, "id").join(sets.hint("merge"), "id")
-    found.append(cut(_exact(_blocks(rows, F.col("left")), least, percent), "minhash-links"))
+    # a text counts as a row for each ITEMS shingles, so that the sets of a square fit its task however long texts are
+    weighed = after.join(sized, "id").withColumn("w", F.expr(f"1 + n div {ITEMS}"))
+    counts = weighed.groupBy("key").agg(F.sum("w").alias("c_size"), F.sum(F.when(F.col("left"), F.col("w")).otherwise(0)).alias("o_size")).filter("o_size > 0")
+    rows = weighed.drop("n", "w").join(counts.hint("merge"), "key").join(sets.hint("merge"), "id")
+    found.append(cut(_exact(_blocks(rows, F.col("left"), "o_size", "c_size"), least, percent), "minhash-links"))
     for x in (at, tops, best, after, labels):
         drop_cut(x)
     return links.unionByName(found[-1])
 
 
-def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 75) -> DataFrame:
-    """(id, n_shingles, component_id, kept): classes of texts linked by similarity >= percent / 100."""
-    base = cut(sketch(df, id_col, text_col), "minhash-base")
-    docs = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).filter("id is not null")
-    full = base.filter("n > 0 and id is not null")
+def _numbered(df: DataFrame, id_col: str, text_col: str, *more: str) -> DataFrame:
+    """(key, id, text, ...) as a table: keys number the rows, so rows of equal ids stay apart and no join multiplies them."""
+    return cut(df.select(F.monotonically_increasing_id().alias("key"), F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), *more), "minhash-rows")
+
+
+def _classes(rows: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Of rows (key, text, linked): (key, n) of all of them, and (node, component) of those that are linked with another."""
+    base = cut(sketch(rows), "minhash-base")
+    full = base.filter("n > 0 and linked")
     same = ["n", "set_a", "set_b"]
     reps = full.groupBy(same).agg(F.min("id").alias("rep"), F.count("*").alias("copies"))
     copies = full.select("id", *same).join(reps.filter("copies > 1").hint("merge"), same).filter("id <> rep").select(F.col("id").alias("a"), F.col("rep").alias("b"))
-    sigs = cut(full.join(reps.select(F.col("rep").alias("id"), *same), ["id", *same], "left_semi").dropDuplicates(["id", *same]), "minhash-reps")
+    sigs = cut(full.join(reps.select(F.col("rep").alias("id"), *same), ["id", *same], "left_semi").select("id", "n", "sig", "bands"), "minhash-reps")
     keys = sigs.select("id", F.explode("bands").alias("key"))
     shared = keys.groupBy("key").agg(F.min("id").alias("x"), F.max("id").alias("y")).filter("x <> y").select("key")
     members = cut(keys.join(shared.hint("merge"), "key"), "minhash-members")
     ids = members.select("id").distinct()
-    sets = cut(_sets(docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids.hint("merge"), "id", "left_semi")), "minhash-sets")
-    links = find_links(members, sigs.select("id", "sig"), sets, percent)
+    sets = cut(_sets(rows.select(F.col("key").alias("id"), "text").join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids.hint("merge"), "id", "left_semi")), "minhash-sets")
+    links = find_links(members, sigs.select("id", "n", "sig"), sets, percent)
     final = components(links.unionByName(copies))
     for x in (members, sigs, sets):
         drop_cut(x)
-    out = base.select("id", "n").join(final, base.id == final.node, "left")
-    own = F.coalesce("component", "id")
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), own.alias("component_id"), (own.eqNullSafe(F.col("id"))).alias("kept"))
+    return base.select(F.col("id").alias("key"), "n"), final
 
 
-def _once(rows: DataFrame) -> DataFrame:
-    """``rows`` with one row for each ``key__``: only those that are there again are moved."""
-    again = cut(rows.groupBy("key__").agg(F.count("*").alias("c")).filter("c > 1").select("key__"), "minhash-again")
-    n = again.count()
-    if not n:
-        drop_cut(again)
-        return rows
-    again = F.broadcast(again) if n <= BROADCAST_IDS else again.hint("merge")
-    order = F.to_json(F.struct(*[F.col(f"`{c}`") for c in rows.columns if c != "text__"]))
-    whole = F.struct(*[F.col(f"`{c}`") for c in rows.columns])
-    first = rows.join(again, "key__", "left_semi").groupBy("key__").agg(F.min_by(whole, order).alias("row")).select("row.*")
-    return cut(rows.join(again, "key__", "left_anti").unionByName(first.select(rows.columns)), "minhash-once")
+def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 75) -> DataFrame:
+    """(id, n_shingles, component_id, kept) of every row: classes of texts linked by similarity >= percent / 100."""
+    rows = _numbered(df, id_col, text_col)
+    sizes, final = _classes(rows.withColumn("linked", F.col("id").isNotNull()), percent)
+    ids = rows.select("key", "id")
+    # a class is named by the smallest id in it
+    linked = final.join(ids.hint("merge"), F.col("node") == F.col("key")).select("key", "component", "id")
+    names = linked.groupBy("component").agg(F.min("id").alias("name"))
+    named = linked.select("key", "component").join(names.hint("merge"), "component").select("key", "name")
+    own = F.coalesce("name", "id")
+    out = ids.join(sizes, "key").join(named, "key", "left")
+    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), own.alias("component_id"), own.eqNullSafe(F.col("id")).alias("kept"))
 
 
 def drop_near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 75) -> DataFrame:
-    """The rows of ``df`` that stay: one row of each class, of its smallest id. Rows of equal id and text are one
-    row; rows of one id with different texts are told apart by a key of both. Null ids are linked with nothing."""
-    rows = _once(keyed(df, id_col, text_col))
-    found = near_duplicates(rows.filter(F.col(id_col).isNotNull()).select("key__", "text__"), "key__", "text__", percent)
-    # classes of several rows only
-    keys = cut(found.select("key__", "component_id"), "minhash-classes")
-    many = keys.filter("key__ <> component_id").select("component_id").distinct()
-    inside = keys.join(many.hint("merge"), "component_id", "left_semi").join(rows.select("key__", F.col(id_col).alias("id__")).hint("merge"), "key__")
-    best = inside.groupBy("component_id").agg(F.min(F.struct("id__", "key__")).alias("best"))
-    gone = cut(inside.join(best.hint("merge"), "component_id").filter("key__ <> best.key__").select(F.col("key__").alias("gone__")), "minhash-gone")
-    drop_cut(keys)
+    """The rows of ``df`` that stay: of each class the row of the smallest id (of equal ids, the first row). Null ids
+    come after all others; of rows of equal id without any word, which are linked with nothing, one stays too."""
+    rows = _numbered(df, id_col, text_col, F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"))
+    sizes, final = _classes(rows.withColumn("linked", F.lit(True)), percent)
+    ids = rows.select("key", "id")
+    inside = final.join(ids.hint("merge"), F.col("node") == F.col("key")).select("key", "component", F.struct(F.col("id").isNull(), "id", "key").alias("order"))
+    best = inside.groupBy("component").agg(F.min("order").alias("best"))
+    gone = inside.join(best.hint("merge"), "component").filter("key <> best.key").select("key")
+    blank = rows.select("key", "id", "text").join(sizes.filter("n = 0").select("key"), "key")
+    first = blank.groupBy("id", "text").agg(F.min("key").alias("first"), F.count("*").alias("c")).filter("c > 1")
+    again = blank.join(first.hint("merge"), blank["id"].eqNullSafe(first["id"]) & blank["text"].eqNullSafe(first["text"])).filter("key <> first").select("key")
+    gone = cut(gone.unionByName(again), "minhash-gone")
     gone = F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone.hint("merge")
-    return rows.join(gone, rows["key__"] == gone["gone__"], "left_anti").select(df.columns)
+    return rows.join(gone, "key", "left_anti").select("row.*")
 
 
 def op5_minhash(spark, sf_dir: str) -> DataFrame:

@@ -4,38 +4,47 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The session's ``spark.checkpoint.dir``; a temporary folder only where that is unset (tests)."""
+    """The session's ``spark.checkpoint.dir``. Where it is unset, a local session (tests) gets a temporary folder;
+    on a cluster that is an error, since executors don't see each other's folders."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         jvm = spark.sparkContext._jsc.sc().getCheckpointDir()
-        found = jvm.get() if jvm.isDefined() else tempfile.mkdtemp(prefix="tessera-")
-        spark.sparkContext.setCheckpointDir(found)
+        if jvm.isDefined():
+            found = jvm.get()
+        elif spark.sparkContext.master.startswith("local") and not spark.sparkContext.master.startswith("local-cluster"):
+            found = tempfile.mkdtemp(prefix="tessera-")
+        else:
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
-FREE = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: While a table is written: shuffle files are freed when the job ends, and batches for Python are bounded by bytes.
+WHILE_WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxBytesPerBatch": "16m", "spark.sql.execution.arrow.maxRecordsPerBatch": "4000"}
+_made: dict[str, DataFrame] = {}
 
 
 def cut(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: later stages start from files, not from lineage.
-
-    The shuffle files of the job that writes are freed when it ends, since nothing runs it again."""
+    """Write ``df`` to the shared folder and read it back: later stages start from files, not from lineage."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tessera-{name}-{uuid.uuid4().hex}"
-    before = spark.conf.get(FREE, None)
-    spark.conf.set(FREE, "true")
+    before = {k: spark.conf.get(k, None) for k in WHILE_WRITING}
+    for k, v in WHILE_WRITING.items():
+        spark.conf.set(k, v)
     try:
         df.write.option("compression", "zstd").parquet(path)
     finally:
-        spark.conf.unset(FREE) if before is None else spark.conf.set(FREE, before)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     out = spark.read.schema(df.schema).parquet(path)
     out._tessera_path = path
+    _made[path] = out
     return out
 
 
@@ -44,3 +53,13 @@ def drop_cut(df: DataFrame) -> None:
     spark, path = df.sparkSession, df._tessera_path
     jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
     jpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(jpath, True)
+    _made.pop(path, None)
+
+
+def settled(make: Callable[[], DataFrame], name: str) -> DataFrame:
+    """What ``make`` returns as a table; all other tables that were made for it are deleted."""
+    before = set(_made)
+    out = cut(make(), name)
+    for path in set(_made) - before - {out._tessera_path}:
+        drop_cut(_made[path])
+    return out
