@@ -176,6 +176,60 @@ def test_toxicity_tolerates_insertions(spark):
     assert got[:5] == [1, 1, 1, 1, 0] and not any(got[5:])
 
 
+def brute_kernel(a, b):
+    """The subsequence kernel by all choices of four places, each weighted by the letters it spans beyond four."""
+    from itertools import combinations
+
+    def parts(word):
+        out = {}
+        for places in combinations(range(len(word)), 4):
+            if places[3] - places[0] < toxicity.SPAN:
+                key = "".join(word[k] for k in places)
+                out[key] = out.get(key, 0) + toxicity.DECAY ** (places[3] - places[0] - 3)
+        return out
+
+    x, y = parts(a), parts(b)
+    return sum(v * y.get(k, 0) for k, v in x.items())
+
+
+@pytest.fixture(scope="module")
+def machine():
+    rng = np.random.default_rng(2)
+    vocabulary = ["".join(rng.choice(list("aeiounrstéж"), rng.integers(3, 9))) for _ in range(300)]
+    clean = [" ".join(rng.choice(vocabulary, 40)) for _ in range(300)]
+    toxic = [f"{' '.join(rng.choice(vocabulary, 20))}. {('gromblik', 'fazzwump', 'ругатель')[k % 3]} {' '.join(rng.choice(vocabulary, 5))}." for k in range(120)]
+    return toxicity.fit(clean + toxic, np.array([False] * 300 + [True] * 120)), vocabulary
+
+
+def test_toxicity_is_the_kernel_machine(machine):
+    """The table gives what the kernel against each landmark gives, weighted by the machine."""
+    model, vocabulary = machine
+    words = ["^gromblik", "^gromxblik", "^fazwump", "^ругатель", "^ругаатель", "^ab", "^" + "na" * 12, *("^" + w for w in vocabulary[:20])]
+    want = [sum(a * brute_kernel(w, m) for a, m in zip(model["alpha"], model["marks"])) for w in words]
+    assert np.allclose(toxicity.decide(toxicity.Table(*model["table"]), words), want, rtol=1e-3, atol=1e-3)
+
+
+def test_toxicity_score_by_hand(spark, machine):
+    model, vocabulary = machine
+    texts = ["gromblik", "a gromblik, fazzwump and gromblik", "ругатель " * 3, " ".join(vocabulary), "", None, "g.r.o.m.b.l.i.k " * 2, "x" * 100 + "gromblik fazzwump"]
+    got = [r["score"] for r in toxicity.score(table(spark, texts + texts), model).orderBy("doc_id").collect()]
+    want = []
+    for t in texts:
+        f = sorted((max(0.0, sum(a * brute_kernel(w, m) for a, m in zip(model["alpha"], model["marks"]))) for w, n in toxicity.strings(t or "").items() for _ in range(min(n, 2)) if len(w) <= toxicity.WIDTH), reverse=True)
+        f = (f + [0.0, 0.0])[:2]
+        want.append(1 / (1 + np.exp(-np.dot([*f, 1.0], model["sigmoid"]))))
+    assert np.allclose(got[: len(texts) - 1], want[:-1], atol=1e-3) and got[: len(texts)] == got[len(texts) :]
+
+
+def test_toxicity_labels(spark):
+    """Null labels teach nothing, and one of several labels is enough; without a landmark scores are label frequencies."""
+    docs = table(spark, [f"text number {k} of all" for k in range(12)])
+    labels = spark.createDataFrame([(k, None if k > 7 else int(k < 2)) for k in range(12)] + [(1, 0)], "doc_id long, toxic int")
+    model = toxicity.train(docs, labels)
+    assert model["table"] is None
+    assert {round(r["score"], 6) for r in toxicity.score(docs, model).collect()} == {round(1 / (1 + np.exp(-model["sigmoid"][2])), 6)}
+
+
 def test_toxicity_without_labels(spark):
     empty = spark.createDataFrame([], "doc_id long, toxic int")
     model = toxicity.train(table(spark, HARD), empty)
