@@ -12,16 +12,17 @@ Only the sides that come from the benchmark are ever broadcast, and only after t
 above the limits below the same joins are sort-merge joins.
 
 Defined cases: null, empty or wordless texts have no words, no hits and no items; items without words have
-no window; rows with the same id and text are counted as one document and returned once each; a text's
-words in the middle of other tokens are not split off; extra columns are ignored; with an empty benchmark
-nothing is contaminated; an empty table gives an empty result.
+no window; rows with the same id and text are counted as one document and returned once each, so there are no ties;
+words are not split off the middle of other tokens; very long texts are one row of arrays, and their hits rows of
+their own; extra columns are ignored, also those named like a result; with an empty benchmark nothing is contaminated;
+an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .shared import cut
+from .shared import cut, settled
 
 SPAN, K = 13, 5
 WINDOW = SPAN - K + 1
@@ -87,7 +88,7 @@ def find_windows(docs: DataFrame, windows: DataFrame, key: str) -> DataFrame:
         docs = _fingerprints(docs)
         places.append(f"transform(m, p -> struct({SPAN} as n, cast(p as int) as at, g[cast(p as int)] as print, slice(h, cast(greatest(p - {WINDOW - 1}, 0) as int) + 1, {SPAN + WINDOW - 1}) as near))")
     each = docs.select(key, F.size("h").alias("size"), F.explode(F.expr(f"concat({', '.join(places)})")).alias("x")).select(key, "size", "x.n", "x.at", F.coalesce("x.print", F.xxhash64("x.n", "x.near")).alias("print"), "x.near")
-    found = cut(each.join(_checked(looked_up, total), ["n", "print"], "left_semi"), "windows-found")
+    found = cut(each.join(_checked(looked_up, total), ["n", "print"], "left_semi"), "windows-found")  # dropped by settled()
     # 13-word windows that contain a hit: from eight words before it to the hit itself, inside the text
     base = F.expr(f"greatest(at - {WINDOW - 1}, 0)")
     starts = found.filter(F.col("n") == SPAN).select(key, "n", "near", base.alias("base"), F.explode(F.expr(f"sequence(greatest(at - {WINDOW - 1}, 0), least(at, size - {SPAN}))")).alias("at"))
@@ -102,11 +103,13 @@ def contamination(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", tex
     # rows of equal id and text are one document: their hits are the same
     key = F.struct(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("t"))
     base = hashed(docs.select(key.alias("key"), F.col(text_col).cast("string").alias("text")), "text")
-    hits = cut(find_windows(base.select("key", "h"), windows, "key"), "windows")
-    # union of the hit spans of a document: a fold over its sorted starts
-    fold = F.expr("""aggregate(array_sort(runs), cast(array() as array<struct<lo:int,hi:int>>), (acc, x) -> if(size(acc) > 0 and x.lo <= acc[size(acc) - 1].hi,
-        concat(slice(acc, 1, size(acc) - 1), array(named_struct('lo', acc[size(acc) - 1].lo, 'hi', greatest(acc[size(acc) - 1].hi, x.hi)))), concat(acc, array(x))))""")
-    spans = hits.groupBy("key").agg(F.collect_set(F.struct(F.col("at").alias("lo"), (F.col("at") + F.col("n")).alias("hi"))).alias("runs")).select("key", fold.alias("spans"))
+    hits = settled(lambda: find_windows(base.select("key", "h"), windows, "key"), "windows")
+    # union of the hit spans of a document: a span begins where no earlier one reaches
+    in_order = Window.partitionBy("key").orderBy("lo", "hi")
+    runs = hits.select("key", F.col("at").alias("lo"), (F.col("at") + F.col("n")).alias("hi")).distinct()
+    runs = runs.withColumn("begins", F.coalesce(F.col("lo") > F.max("hi").over(in_order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(True)).cast("int"))
+    runs = runs.withColumn("span", F.sum("begins").over(in_order.rowsBetween(Window.unboundedPreceding, 0)))
+    spans = runs.groupBy("key", "span").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).groupBy("key").agg(F.array_sort(F.collect_list(F.struct("lo", "hi"))).alias("spans"))
     named = windows.select(F.xxhash64(F.col("n"), F.col("window")).alias("wid"), "item")
     items = hits.select("key", "wid").distinct().join(named, "wid").groupBy("key").agg(F.array_sort(F.collect_set("item")).alias("items"))
     found = spans.join(items, "key")

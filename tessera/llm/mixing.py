@@ -7,12 +7,16 @@ passed to the siblings of its ancestors. Each leaf then takes a token-prefix of
 in a seeded order of their own in every epoch.
 
 The split of one node's budget is a closed form: with children sorted by capacity/weight, exactly a
-prefix of them is filled, so a window over siblings finds it. Shares are whole tokens, rounded down.
+prefix of them is filled, so a window over siblings finds it. Shares are whole tokens; what rounding
+down leaves over goes to the largest remainders, then to the first name.
 The prefix of a leaf is found without sorting the leaf in one task: documents fall into bins by their
 seeded hash, bin totals are summed, and only the bin in which the budget ends is ordered.
 
 Defined cases: null or blank texts have no tokens and are never selected; null tree columns count as
-the value ``(none)``; repeated rows are separate documents; an empty table gives an empty selection.
+the value ``(none)``; null ids have a place of their own kind and are selected like others; rows of one id are
+separate documents with one place, ordered by tokens and a hash of the text (equal rows are interchangeable); a text
+counts whole, however long, and is selected only if all of it fits the budget; extra columns are ignored, also those
+named like a result; an empty table gives an empty selection. The children of one node meet in a task; documents don't.
 """
 
 from __future__ import annotations
@@ -42,8 +46,12 @@ def _split(nodes: DataFrame, parent: list[str], budget: str) -> DataFrame:
     out = out.withColumn("filled", F.expr("capacity * open <= weight * left"))
     first = F.min(F.when(~F.col("filled"), F.struct(F.col("capacity") / F.col("weight"), "node", "left", "open"))).over(Window.partitionBy(*parent))
     out = out.withColumn("stop", first)
-    share = F.when(F.col("filled"), F.col("capacity")).otherwise(F.expr("weight * stop.left div stop.open"))
-    return out.withColumn("share", share.cast("long")).drop("left", "open", "filled", "stop")
+    # whole tokens are left over by rounding down; they go to the largest remainders
+    out = out.withColumns({"floor": F.expr("if(filled, capacity, weight * stop.left div stop.open)"), "part": F.expr("if(filled, -1, weight * stop.left % stop.open)")})
+    short = F.expr("stop.left") - F.sum(F.when(~F.col("filled"), F.col("floor"))).over(Window.partitionBy(*parent))
+    place = F.row_number().over(Window.partitionBy(*parent).orderBy(F.desc("part"), "node"))
+    share = F.col("floor") + (~F.col("filled") & (place <= short)).cast("int")
+    return out.withColumn("share", share.cast("long")).drop("left", "open", "filled", "stop", "floor", "part")
 
 
 def budgets(leaves: DataFrame, path: list[str], total: int, max_epochs: int, weights: Mapping[str, Mapping[str, int]] | None = None) -> DataFrame:
@@ -73,7 +81,7 @@ def mix(docs: DataFrame, path: list[str], total_tokens: int | None = None, max_e
     """(id, path columns, tokens, epoch, place, budget) of the selected documents.
 
     ``total_tokens`` is the budget; by default ``share_of_corpus`` of the corpus' tokens."""
-    items = docs.select(F.col(id_col).alias("id"), *[F.coalesce(F.col(p).cast("string"), F.lit("(none)")).alias(p) for p in path], count_tokens(F.col(text_col)).alias("tokens")).filter("tokens > 0")
+    items = docs.select(F.col(id_col).alias("id"), *[F.coalesce(F.col(p).cast("string"), F.lit("(none)")).alias(p) for p in path], count_tokens(F.col(text_col)).alias("tokens"), F.xxhash64(text_col).alias("t")).filter("tokens > 0")
     items = cut(items, "mix-items")  # texts are read and counted once
     leaves = items.groupBy(*path).agg(F.sum("tokens").alias("tokens"), F.count("*").alias("n"))
     n_leaves, corpus = leaves.agg(F.count("*"), F.sum("tokens")).first()
@@ -93,7 +101,7 @@ def mix(docs: DataFrame, path: list[str], total_tokens: int | None = None, max_e
     part = part.join(sums, [*path, "bin"])
     inside = part.filter("before + in_bin <= rest")
     edge = part.filter("before + in_bin > rest AND before < rest")
-    run = Window.partitionBy(*path, "bin").orderBy("place", "id").rowsBetween(Window.unboundedPreceding, 0)
+    run = Window.partitionBy(*path, "bin").orderBy("place", "id", "tokens", "t").rowsBetween(Window.unboundedPreceding, 0)
     edge = edge.withColumn("upto", F.col("before") + F.sum("tokens").over(run)).filter("upto <= rest").drop("upto")
     cols = ["id", *path, "tokens", "epoch", "place", "budget"]
     full = full.withColumn("place", order_key(seed, F.col("epoch"), F.col("id")))
@@ -117,7 +125,8 @@ def _split_sql(name: str, nodes: str, parent: list[str]) -> str:
  sum(weight) OVER ({part}ORDER BY capacity / weight, node ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS opn FROM ({nodes})),
 {name}_b AS (SELECT *, capacity * opn <= weight * lft AS filled FROM {name}_a),
 {name}_c AS (SELECT *, min(CASE WHEN NOT filled THEN {{'r': capacity / weight, 'node': node, 'lft': lft, 'opn': opn}} END) OVER ({part or ''}) AS stp FROM {name}_b),
-{name} AS (SELECT *, CAST(CASE WHEN filled THEN capacity ELSE weight * stp.lft // stp.opn END AS BIGINT) AS share FROM {name}_c)"""
+{name}_d AS (SELECT *, CASE WHEN filled THEN capacity ELSE weight * stp.lft // stp.opn END AS flr, CASE WHEN filled THEN -1 ELSE weight * stp.lft % stp.opn END AS rmd FROM {name}_c),
+{name} AS (SELECT *, CAST(flr + CASE WHEN NOT filled AND row_number() OVER ({part}ORDER BY rmd DESC, node) <= stp.lft - sum(CASE WHEN NOT filled THEN flr END) OVER ({part or ''}) THEN 1 ELSE 0 END AS BIGINT) AS share FROM {name}_d)"""
 
 
 def _weight_sql(level: str) -> str:

@@ -96,7 +96,9 @@ def share_out(children, total):
         weight = sum(w for w, _ in open_.values())
         full = [k for k, (w, c) in open_.items() if c * weight <= w * left]
         if not full:
-            return got | {k: w * left // weight for k, (w, _) in open_.items()}
+            floors = {k: w * left // weight for k, (w, _) in open_.items()}
+            order = sorted(open_, key=lambda k: (-(open_[k][0] * left % weight), k))
+            return got | floors | {k: floors[k] + 1 for k in order[: left - sum(floors.values())]}
         k = min(full, key=lambda x: open_[x][1] / open_[x][0])
         got[k] = open_[k][1]
         left -= open_.pop(k)[1]

@@ -280,6 +280,30 @@ def test_budgets_flow_to_siblings_first(spark):
     assert got == {"a": 10, "b": 370, "c": 20, "d": 400}  # c's goes to the other language before the other domain
 
 
+def test_budgets_leave_no_token_over(spark):
+    leaves = spark.createDataFrame([("w", "en", x, 100) for x in "abcdefg"] + [("x", "en", "h", 100)], "domain string, lang string, source string, tokens long")
+    got = {r["source"]: r["budget"] for r in mixing.budgets(leaves, ["domain", "lang", "source"], 101, 1).collect()}
+    assert sum(got.values()) == 101 and got["h"] == 50 and sorted(got[x] for x in "abcdefg") == [7, 7, 7, 7, 7, 8, 8] and got["a"] == got["b"] == 8
+
+
+def test_mix_hard_rows(spark):
+    texts = [*HARD, "same text here", "same text here", "another text of this id"]
+    docs = table(spark, texts, ids=[*range(len(HARD)), 900, 900, 900], domain=F.lit("d"), tokens=F.lit("x"), t=F.lit(1), budget=F.lit(0))
+    got = mixing.mix(docs, ["domain", "source"], max_epochs=1, share_of_corpus=1.0).collect()
+    assert Counter(r["tokens"] for r in got) == Counter(n for t in texts if (n := len([w for w in re.split("[ \t\n\x0b\f\r]+", t or "") if w])))
+    few = lambda: sorted((r["doc_id"], r["tokens"]) for r in mixing.mix(docs.filter("doc_id = 900"), ["domain", "source"], total_tokens=8, max_epochs=1).collect())
+    assert few() == few()
+
+
+def test_decontamination_of_many_spans(spark):
+    """A long text with thousands of separate hits."""
+    text = " ".join(f"short item {k}" for k in range(3000))
+    bench = spark.createDataFrame([(1, "short item"), (2, "item 7 short item 8")], "item_id long, text string")
+    got = decontamination.contamination(table(spark, [text]), bench).first()
+    assert (got["n_words"], got["n_hit"], got["n_items"]) == brute_contamination([text], [(1, "short item"), (2, "item 7 short item 8")])[0][:3]
+    assert len(got["spans"]) == 2998  # two join at the longer item, and the one behind it touches them
+
+
 def test_mix_prefix(spark):
     docs = table(spark, ["a b c", "d e", None, " ", "f", "g h i j"], domain=F.lit(None).cast("string"), place=F.lit(1), epoch=F.lit("x"))
     got = mixing.mix(docs, ["domain", "source"], total_tokens=14, max_epochs=2).collect()
