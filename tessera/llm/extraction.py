@@ -6,13 +6,14 @@ content is. One linear scan finds the contiguous region of the greatest sum. Blo
 apart by their own tag, class or role (menus, forms, comments, notices, adverts, scripts) are left out, and the
 rest is joined in page order; an id sets nothing apart, nor does a name on the page, the article or a heading.
 
-The weights come from counts over a bounded sample, ``MAX_TRAIN`` labelled pages chosen by a hash of
-their id; keys (a tag, its class and the block it stands in) of which the sample holds fewer than
+The weights come from counts over a bounded sample, ``MAX_TRAIN`` labelled pages chosen by a hash; keys (a tag, its class and the block it stands in) of which the sample holds fewer than
 ``MIN_COUNT`` words take the tag's weight in other blocks, or a fixed one. Extraction reads whole pages and has no shuffle.
 
-Defined cases: null or empty html gives an empty text; markup that is cut off ends with the page; unknown
-references stay as they are; without labelled pages fixed weights are used; repeated rows give equal texts;
-extra columns are carried along, but for ``text`` and ``n_chars``; an empty table gives an empty result.
+Defined cases: null or empty html gives an empty text; markup that is cut off ends with the page; a quote that isn't
+closed doesn't take text into its tag; unknown references stay as they are; without labelled pages fixed weights are
+used; of equally good regions the first is taken; very long pages are read whole, in time that grows with their
+length; repeated rows give equal texts; extra columns are carried along, but for ``text`` and ``n_chars``; an empty
+table gives an empty result.
 """
 
 from __future__ import annotations
@@ -28,7 +29,8 @@ from pyspark.sql import DataFrame, functions as F
 
 MAX_TRAIN, MIN_COUNT = 2000, 20
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)|([^<]+|<)", re.S)
+# A quoted value stands behind "=" and doesn't hold "<": a quote that isn't closed before the next tag is no quote, and its tag ends at ">".
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>=]|=\s*(?:\"[^\"<]*\"|'[^'<]*')|=)*+)(?:>|\Z)|([^<]+|<)", re.S)
 _KINDS = re.compile(r"(?<![\w-])(?:class|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 # Elements by what they are for.
@@ -39,23 +41,25 @@ APART = frozenset("nav menu aside footer form dialog button".split())
 APART_WORDS = frozenset("ad ads advert advertisement banner breadcrumb breadcrumbs comment comments cookie cookies footer header menu nav navbar navigation newsletter notice popup promo promoted related share sharing sidebar social sponsor sponsored subscribe toolbar widget reply replies respond disqus consent masthead".split())
 CONTENT = frozenset("html body main article h1 h2 h3 h4 h5 h6".split())  # no name sets these apart
 OWN_WORDS = frozenset("header footer".split())  # as names inside the article they are the article's own
+BOXES = frozenset("div section ul ol dl iframe center".split())
+CONTAINERS = frozenset("html body article main section div header footer nav menu aside form dialog table blockquote figure fieldset details".split())
 _LAYOUT = re.compile(r"(?:has|with|no|without)[-_]")  # such a class says what stands beside or inside, not what this is
 
 
 def _apart(tag: str, kinds: tuple[str, ...], inside: bool) -> bool:
-    """Whether an element sets its content apart, by its tag or by words of its classes and roles; a ``header``
-    tag and header and footer names inside the article are the article's own."""
+    """Whether an element sets its content apart, by its tag or, if it is a box of others, by words of its classes and
+    roles; a ``header`` tag and header and footer names inside the article are the article's own, and no name sets a
+    paragraph, an item or a heading apart."""
     if tag in CONTENT:
         return False
+    if tag not in CONTAINERS and tag not in BOXES:
+        return tag in APART
     words = {w for n in kinds if not _LAYOUT.match(n) for w in re.split(r"[-_\s]+", n)}
     return tag in APART or (tag == "header" and not inside) or bool(words & (APART_WORDS - OWN_WORDS if inside else APART_WORDS))
 
 
-CONTAINERS = frozenset("html body article main section div header footer nav menu aside form dialog table blockquote figure fieldset details".split())
-
-
 def tokens(html: str) -> list[tuple]:
-    """('tag', key, block, apart) and ('text', key of the block around it, raw text, apart, inside the article)."""
+    """('tag', key, block, apart, inside the article) and ('text', key of the block around it, raw text, apart, inside the article)."""
     out, stack, hidden = [], [], None
     for m in _TOKEN.finditer(html):
         close, tag, attrs, text = m.groups()
@@ -76,7 +80,7 @@ def tokens(html: str) -> list[tuple]:
                     while stack.pop()[0] != tag:
                         pass
                 key = "/" + tag if tag in CONTAINERS else f"/{tag}@{stack[-1][1] if stack else ''}"
-                out.append(("tag", key, tag in BLOCKS, stack[-1][2] if stack else False))
+                out.append(("tag", key, tag in BLOCKS, stack[-1][2] if stack else False, bool(stack and stack[-1][3])))
                 continue
             names = tuple(sorted({n.lower() for x in _NAMES.findall(attrs or "") for y in x if y for n in y.split()}))
             key = f"{tag}.{names[0]}" if names else tag
@@ -89,7 +93,7 @@ def tokens(html: str) -> list[tuple]:
             inside = bool(stack and stack[-1][3])
             up = bool(stack and stack[-1][2])
             apart = (up and tag != "main") or _apart(tag, kinds, inside)
-            out.append(("tag", key, tag in BLOCKS, apart))
+            out.append(("tag", key, tag in BLOCKS, apart, inside))
             if tag not in VOID and not attrs.endswith("/"):
                 around = key if tag in CONTAINERS else (stack[-1][1] if stack else "")
                 stack.append((tag, around, apart, inside or tag == "article"))
@@ -124,9 +128,12 @@ def _elsewhere(counts: Counter) -> Counter:
     return out
 
 
-def _weight(model: dict, key: str, apart: bool) -> float:
-    """A tag's weight: as in such a block, else as in other blocks, else fixed."""
-    known, default = model["tag"], -6.0 if apart else -0.5
+def _weight(model: dict, key: str, apart: bool, inside: bool) -> float:
+    """A tag's weight: as in such a block, else as in other blocks, else fixed. What is set apart inside the article is
+    left out anyway and must not cut it in two: its tags weigh nothing."""
+    if apart and inside:
+        return 0.0
+    known, default = model["tag"], -6.0 if apart and key.split(".")[0].strip("/") in APART else -0.5
     return known.get(key, default if apart or "@" not in key else known.get(key.partition("@")[0].partition(".")[0] + "@", default))
 
 
@@ -150,9 +157,9 @@ def extract(html: str, model: dict) -> str:
     score = np.zeros(len(found))
     for k, t in enumerate(found):
         if t[0] == "tag":
-            score[k] = _weight(model, t[1], t[3])
+            score[k] = _weight(model, t[1], t[3], t[4])
         else:
-            score[k] = len(t[2].split()) * model["text"].get(t[1], 0.05 if t[3] else 0.5)
+            score[k] = 0.0 if t[3] and t[4] else len(t[2].split()) * model["text"].get(t[1], 0.05 if t[3] else 0.5)
     # the region of the greatest sum ends where the running sum is furthest above its lowest value so far
     sums = np.concatenate([[0.0], np.cumsum(score)])
     low = np.minimum.accumulate(sums)
@@ -160,6 +167,11 @@ def extract(html: str, model: dict) -> str:
     if sums[end] - low[end] <= 0:
         return ""
     start = int(sums[: end + 1].argmin())
+    # no block is cut in two
+    while start and not (found[start][0] == "tag" and found[start][2]) and not (found[start - 1][0] == "tag" and found[start - 1][2]):
+        start -= 1
+    while end < len(found) and not (found[end][0] == "tag" and found[end][2]):
+        end += 1
     blocks: list[list[str]] = [[]]
     for t in found[start:end]:
         if t[0] == "tag":
@@ -174,8 +186,10 @@ def extract(html: str, model: dict) -> str:
 
 
 def train(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> dict:
-    rows = pages.filter(F.col(html_col).contains("<article")).select(id_col, html_col)
-    chosen = rows.orderBy(F.xxhash64(id_col), id_col).limit(MAX_TRAIN)
+    rows = pages.filter(F.col(html_col).contains("<article")).select(F.xxhash64(id_col, html_col).alias("h"), html_col)
+    # hashes are chosen first, so that no page moves; repeated rows are one page of the sample and count each time
+    chosen = F.broadcast(rows.select("h").distinct().orderBy("h").limit(MAX_TRAIN))
+    chosen = rows.join(chosen, "h", "left_semi")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: Counter = Counter()

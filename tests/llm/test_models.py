@@ -110,8 +110,34 @@ def test_extraction_with_usual_names():
     assert "x plus y" in extraction.extract(page.replace("First &amp;", "First <math><mi>x</mi> plus <mi>y</mi></math> &amp;"), model)
 
 
+def sample_model():
+    return extraction.weights(sum((extraction.count(PAGE.format(title=f"Title {k}")) for k in range(40)), start=extraction.Counter()))
+
+
+def test_extraction_loses_and_leaks_nothing():
+    model = sample_model()
+    page = "<article><h1>T</h1><p>One two three four five</p><p class='related'>See the related work of others</p><p class='social'>Social policy matters here</p><div class='promoted share'>Buy it</div><p>last words of article here</p></article>"
+    assert extraction.extract(page, model) == "T\nOne two three four five\nSee the related work of others\nSocial policy matters here\nlast words of article here"
+    assert extraction.extract('<p>Alpha beta gamma delta</p><p title="x>hello world here</p><p id="y">and more</p>', model) == "Alpha beta gamma delta\nhello world here\nand more"
+    assert extraction.extract("<p>it's <a title=it's href='/x>y'>a link</a> here</p>", model) == "it's a link here"
+    assert extraction.extract("", model) == extraction.extract("<p></p>", model) == ""
+
+
+def test_extraction_of_long_pages():
+    import time
+
+    model = sample_model()
+    times = []
+    for n in (20_000, 80_000):
+        for page in ('<p title="' * n, "<p>word " * n, "<!-- x " * n, "<a b='" * n + '"'):
+            began = time.perf_counter()
+            extraction.extract(page, model)
+            times.append(time.perf_counter() - began)
+    assert sum(times[4:]) < 16 * sum(times[:4]) + 1
+
+
 def test_extraction_of_table(spark, data):
-    """The article of each generated page, word for word."""
+    """The article of each generated page, block for block."""
     import re
 
     from html import unescape
@@ -121,8 +147,10 @@ def test_extraction_of_table(spark, data):
     assert len(got) == len(pages)
     for r in pages:
         m = re.search(r"<article>(.*?)</article>", r["html"] or "", re.S)
-        want = unescape(re.sub(r"<[^>]*>", " ", re.sub(r"(?s)<(script|style)\b.*?</\1>|<!--.*?-->|<div class=\"ad\">.*?</div>", " ", m[1]))).split() if m else []
-        assert got[r["page_id"]].split() == want
+        body = re.sub(r"(?s)<(script|style)\b.*?</\1>|<!--.*?-->|<div class=\"ad\">.*?</div>", " ", m[1]) if m else ""
+        blocks = re.split(r"</?(?:p|h1|ul|li|div|section)\b[^>]*>", body)
+        lines = [" ".join(unescape(re.sub(r"<br[^>]*>", " ", re.sub(r"</?(?:b|a|i|em)\b[^>]*>", "", x))).split()) for x in blocks]
+        assert got[r["page_id"]] == "\n".join(x for x in lines if x)
 
 
 # --- language --------------------------------------------------------------------------------------------------
