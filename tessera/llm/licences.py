@@ -1,14 +1,16 @@
 """Licence scans by canonical digest lookup, in built-in functions only.
 
-A text is brought to a canonical form: lower case, without copyright lines, equivalent spellings
-unified, punctuation and white space reduced to single spaces. The SHA-256 of the canonical form of a
+A text is brought to a canonical form: lower case, without copyright lines (with or without a year) and without a title
+line, equivalent spellings unified, punctuation and white space reduced to single spaces. The SHA-256 of the canonical form of a
 *whole* text is hash-joined to the digests of known licence texts; the digests of its single lines
 are likewise joined to those of known one-line notices.
 
 The table of known texts below is fixed by this module, so broadcasting it is safe at any corpus size.
 
 Defined cases: null texts and texts that are empty after canonical form have a null digest and match
-nothing; repeated rows match alike; extra columns are ignored; an empty table gives an empty result.
+nothing; long texts are read whole; repeated rows match alike; a digest of two licences goes to the first by name (a
+tie that the known texts don't have); extra columns are ignored, also those named like a result; an empty table gives
+an empty result.
 """
 
 from __future__ import annotations
@@ -38,28 +40,57 @@ NOTICES = {
     "CC-BY-4.0": ["Licensed under CC BY 4.0.", "This work is licensed under CC BY 4.0."],
     "CC0-1.0": ["Released under CC0 1.0.", "SPDX-License-Identifier: CC0-1.0"],
 }
-# Patterns, in both engines' syntax, and what replaces them; in order.
+# SHA-256 of the canonical form of longer published texts; where the terms are followed by advice on how to apply them, also of the terms alone.
+DIGESTS = {
+    "Apache-2.0": ["d5868b9943dfef2447fe1f065be5442da8097be24f98549117680301e6451781", "2779a7865fb7bbed98a5b5a8d36e0246dbefbea93973253511fe37d00ba8d2e7"],
+    "Artistic-1.0": ["4eaaa9e33aeef0af0ff83ab5edac0ad421a1da9cc861c564630460107b4b772c"],
+    "CC0-1.0": ["bea9118c5076751be6225d3c509820b983aa4933c4909c06ce16a7fb9f13049b"],
+    "GFDL-1.2": ["1a4fa8b77bf455c1a523ee0e87d7133739762ac97293633eb03ad4793b9663df"],
+    "GFDL-1.3": ["a77bf3f7d4a75bf2c323b6482996fc8bbd78817a5c75a1589d452017545379ed"],
+    "GPL-1.0": ["9541667494b86e9cc49abe4f6a278b0f64992b360f957fae092d80fef0f0925c", "66fbd3265512f6757062cade3af6511c552c56ee8ef910ce3c7492d406896514"],
+    "GPL-2.0": ["ac030042b4547a3b04af6cfa0fe64a40d16ab30fb6540ce4f6819d70d88473af", "3a3e6f4a9ce533681025dedf51f91ff124e4de61423dfde23dcf2100859ee700"],
+    "GPL-3.0": ["94ec7c622a75b8660ec7e886c855d845fdded1693641c62b977a6f4756b6d4ab", "7b7199315c32f2cbd1dd18bf1bdaffd83aabcc6cc5c1cb720a3f7f6ac33c4852"],
+    "LGPL-2.0": ["f17ebefdba4ae01060494f3396c1bc854578b6eaafaa6fe8abcf7a94e7fc2a6e", "1bcddbd821db9aff439d7cd0cc29582bde4192194dead3bbf1218f38ca99554f"],
+    "LGPL-2.1": ["50866b22e296e073a398813dc84c4c9dec94ed1ee7d617c063eb6851a562b9d4", "1b0f2373f80527d4e0de3c4558c0b3804f46c844770e82398a9876c782f360f9"],
+    "LGPL-3.0": ["e1c7b25e9116bcad127297bbfb82e6a89822822ba6bfa3af9eae995aad877765"],
+    "MPL-1.1": ["c4d59213f62b0f12c8d3b40aad60ecffaf865b2b76959652206223c4ecac9050"],
+    "MPL-2.0": ["d6279a2761f4523472f39ed8caa710cd655deef1eb092d6d34c591324cbb9abc"],
+}
+# Patterns and what replaces them, in order, where \\1 is the first group. Spellings follow the public matching guidelines for licences.
 RULES = [
-    (r"(?m)^[^\n]{0,40}(copyright|©|\(c\)) [^\n]*[0-9]{4}[^\n]*$", ""),
-    (r"(?m)^[^\n]{0,40}all rights reserved[^\n]*$", ""),
+    (r"([.!)]) +((?:licensed|released) under|this work is licensed|spdx-license)", "\\1\n\\2"),
+    (r"(?m)^[ \t#*/;%!-]*(?:copyright *(?:\(c\)|©|[0-9<\[])|©|\(c\) *(?:copyright|[0-9]))[^\n]*$", ""),
+    (r"(?m)(\A|\n[ \t\r#*/;%!-]*\n)[ \t#*/;%!-]*copyright +(?:by +)?[^ \n]+(?: +[^ \n]+){0,4}[ \r]*$", "\\1"),
+    (r"all rights reserved\.?", ""),
     (r"sub-?licen[cs]", "sublicens"),
     (r"licen[cs]e", "license"),
+    (r"\b(acknowledg|judg)ement", "\\1ment"),
+    (r"\b(author|organ|real|recogn|util|emphas|initial|maxim|optim|capital|categor|custom|summar|synchron)is(e|ation|ing)", "\\1iz\\2"),
+    (r"\b(fav|lab|hon|behavi)our", "\\1or"),
+    (r"copyright owner", "copyright holder"),
     (r"non-?infring|non-?commercial|as-is|&|https?://", " "),
     (r"[^\p{L}\p{N}\n]+", " "),
     (r" ?\n[ \n]*", "\n"),
 ]
+#: A first line that only names the licence, in the canonical form.
+TITLE = r"\A\n?(?:the )?(?:[\p{L}\p{N}]+ ){0,6}license(?: [\p{L}\p{N} ]{0,40})?\n"
+
+
+def _to(replacement: str) -> str:
+    return replacement.replace("\\", "$")
 
 
 def canonical_lines(text: Column) -> Column:
     """Canonical form that still has its line breaks."""
     out = F.lower(text)
     for pattern, to in RULES:
-        out = F.regexp_replace(out, pattern, to)
+        out = F.regexp_replace(out, pattern, _to(to))
     return F.trim(out)
 
 
 def canonical(lines: Column) -> Column:
-    return F.nullif(F.trim(F.translate(lines, "\n", " ")), F.lit(""))
+    """The whole text in one line, without a title."""
+    return F.nullif(F.trim(F.translate(F.regexp_replace(lines, TITLE, ""), "\n", " ")), F.lit(""))
 
 
 def _digest(text: Column) -> Column:
@@ -67,10 +98,14 @@ def _digest(text: Column) -> Column:
 
 
 def known(spark: SparkSession, whole: bool) -> DataFrame:
-    """(known_digest, licence): of whole texts and notices, or of one-line notices only."""
+    """(known_digest, licence): of whole texts and notices, or of one-line notices only. Its size is that of this module."""
     rows = [(k, x) for k, xs in NOTICES.items() for x in xs] + ([(k, x) for k, x in TEXTS.items()] if whole else [])
     table = spark.range(1).select(F.inline(F.array(*[F.struct(F.lit(k).alias("licence"), F.lit(x).alias("text")) for k, x in rows])))
-    return table.select(_digest(canonical(canonical_lines(F.col("text")))).alias("known_digest"), "licence").groupBy("known_digest").agg(F.min("licence").alias("licence"))
+    table = table.select(_digest(canonical(canonical_lines(F.col("text")))).alias("known_digest"), "licence")
+    if whole and DIGESTS:
+        fixed = F.array(*[F.struct(F.lit(d).alias("known_digest"), F.lit(k).alias("licence")) for k, ds in DIGESTS.items() for d in ds])
+        table = table.unionByName(spark.range(1).select(F.inline(fixed)))
+    return table.groupBy("known_digest").agg(F.min("licence").alias("licence"))
 
 
 def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -82,8 +117,8 @@ def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataF
     short = F.expr(f"filter(split(lines, '\\n'), x -> length(x) between 1 and {longest} and (x like '%licens%' or x like '%released%'))")
     base = lines.select("id", _digest(canonical(F.col("lines"))).alias("digest"), F.transform(short, lambda x: _digest(F.trim(x))).alias("notices"))
     base = base.join(F.broadcast(known(spark, True)), F.col("digest") == F.col("known_digest"), "left").drop("known_digest")
-    table = F.broadcast(known(spark, False).agg(F.map_from_entries(F.collect_list(F.struct("known_digest", "licence"))).alias("table")).withColumn("one", F.lit(1)))
-    base = base.withColumn("one", F.lit(1)).join(table, "one")  # one row, whose size this module fixes
+    table = F.create_map(*[F.lit(x) for r in known(spark, False).collect() for x in (r["known_digest"], r["licence"])])  # a few fixed rows
+    base = base.withColumn("table", table)
     found = F.expr("array_join(array_sort(array_distinct(filter(transform(notices, x -> table[x]), x -> x is not null))), ',')")
     return base.select(F.col("id").alias(id_col), "digest", "licence", F.coalesce(found, F.lit("")).alias("notice_licences"))
 
@@ -99,13 +134,14 @@ def op8_sql() -> str:
     def lines(col: str) -> str:
         out = f"lower({col})"
         for pattern, to in RULES:
-            out = f"regexp_replace({out}, {quote(pattern)}, {'chr(10)' if to == chr(10) else quote(to)}, 'g')"
+            out = f"regexp_replace({out}, {quote(pattern)}, {quote(to)}, 'g')"
         return f"trim({out}, ' ')"
 
-    whole = lambda x: f"nullif(trim(replace({x}, chr(10), ' '), ' '), '')"
+    whole = lambda x: f"nullif(trim(replace(regexp_replace({x}, {quote(TITLE)}, ''), chr(10), ' '), ' '), '')"
     rows = [(k, x, 1) for k, xs in NOTICES.items() for x in xs] + [(k, x, 0) for k, x in TEXTS.items()]
     values = ", ".join(f"({quote(k)}, {quote(x)}, {n})" for k, x, n in rows)
-    return f"""WITH known AS (SELECT sha256({whole(lines('text'))}) AS kd, min(licence) AS licence, max(notice) AS notice FROM (VALUES {values}) t(licence, text, notice) GROUP BY 1),
+    fixed = ", ".join(f"({quote(d)}, {quote(k)})" for k, ds in DIGESTS.items() for d in ds)
+    return f"""WITH known AS (SELECT kd, min(licence) AS licence, max(notice) AS notice FROM (SELECT sha256({whole(lines('text'))}) AS kd, licence, notice FROM (VALUES {values}) t(licence, text, notice) UNION ALL SELECT kd, licence, 0 FROM (VALUES {fixed}) f(kd, licence)) GROUP BY 1),
 base AS (SELECT doc_id, {lines('text')} AS l FROM documents),
 whole AS (SELECT doc_id, l, sha256({whole('l')}) AS digest FROM base),
 found AS (SELECT doc_id, string_agg(DISTINCT k.licence, ',' ORDER BY k.licence) AS n FROM (SELECT doc_id, unnest(string_split(l, chr(10))) AS line FROM base) x JOIN known k ON sha256(nullif(trim(line, ' '), '')) = k.kd AND k.notice = 1 GROUP BY doc_id)

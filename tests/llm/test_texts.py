@@ -268,6 +268,36 @@ def test_licences(spark):
     assert licences.scan(table(spark, [])).count() == 0
 
 
+def test_licence_files(spark):
+    """Files as projects have them: titles, holders with and without a year, other spellings, other line breaks."""
+    mit, bsd, isc = (licences.TEXTS[k] for k in ("MIT", "BSD-3-Clause", "ISC"))
+    texts = [
+        ("MIT License\n\nCopyright (c) 2020 Example Corp.\n\n" + mit, "MIT"),
+        ("The MIT License (MIT)\n\nCopyright (c) <year> <holder>\nCopyright (c) Example Corp.\n\n" + mit, "MIT"),
+        ("Copyright Example Inc.\nAll rights reserved.\n\n" + bsd, "BSD-3-Clause"),
+        ("BSD 3-Clause License\n\n# Copyright 2019, The Authors\n\n" + bsd.replace("copyright holder", "copyright owner").replace("AUTHORS", "authors"), "BSD-3-Clause"),
+        ("ISC License\r\n\r\n(c) 2001-2004 by Someone\r\n\r\n" + isc.replace("\n", "\r\n"), "ISC"),
+    ]
+    got = licences.scan(table(spark, [t for t, _ in texts] + ["Copyright 2020 X. Licensed under the Apache License, Version 2.0.\nmore"])).orderBy("doc_id").collect()
+    assert [r["licence"] for r in got] == [k for _, k in texts] + [None]
+    assert got[-1]["notice_licences"] == "Apache-2.0"
+
+
+def test_digests_of_published_texts(spark):
+    """The fixed digests are those of the texts that the system has, also when their paragraphs are wrapped anew."""
+    import os
+    import textwrap
+
+    folder, files = "/usr/share/common-licenses", {"GPL-1.0": "GPL-1", "GPL-2.0": "GPL-2", "GPL-3.0": "GPL-3", "LGPL-2.1": "LGPL-2.1", "LGPL-3.0": "LGPL-3", "Artistic-1.0": "Artistic"}
+    texts = {k: open(f"{folder}/{f}", encoding="utf-8").read() for k in licences.DIGESTS if os.path.exists(f"{folder}/{(f := files.get(k, k))}")}
+    if not texts:
+        pytest.skip("no published texts here")
+    fill = lambda p: textwrap.fill(p, 100, break_on_hyphens=False, break_long_words=False)
+    wrapped = {k: "\n\n".join(p if k == 0 or "Copyright" in p else fill(p) for k, p in enumerate(re.split(r"\n[ \t]*\n", t))) for k, t in texts.items()}
+    got = licences.scan(table(spark, [*texts.values(), *(wrapped[k] for k in ("Apache-2.0", "MPL-2.0", "GPL-3.0") if k in wrapped)])).orderBy("doc_id").collect()
+    assert [r["licence"] for r in got] == [*texts, *(k for k in ("Apache-2.0", "MPL-2.0", "GPL-3.0") if k in wrapped)]
+
+
 # --- mixing ----------------------------------------------------------------------------------------------------
 
 
