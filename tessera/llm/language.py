@@ -5,13 +5,13 @@ five letters to one. A word of a text that is known scores by its frequency in e
 unseen one by its n-grams of the greatest length of which any is known. The sums decide.
 
 The model is counted from a bounded sample of labelled texts: about ``PER_LANGUAGE`` for each language, by a
-hash of their id, of at most ``MAX_CHARS`` characters each and of the ``MAX_LANGUAGES`` most frequent
-languages. Which texts these are depends on counts over all labelled rows. Prediction reads whole texts and
-has no shuffle.
+hash of id and text, of at most ``MAX_CHARS`` characters each. Which texts these are depends on counts over all labelled
+rows; every language takes part. Prediction reads whole texts and has no shuffle.
 
 Defined cases: a text that is null or has no letter is ``und`` with score 0; null languages teach nothing;
-without any labelled text everything is ``und``; ties go to the language first in the alphabet; repeated
-rows get equal predictions; extra columns are carried along, but for those that are added; an empty table gives an empty result.
+without any labelled text everything is ``und``; ties go to the language first in the alphabet; very long texts are
+read whole; repeated rows get equal predictions; extra columns are carried along, but for those that are added; an
+empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -24,9 +24,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-PER_LANGUAGE, MAX_CHARS, MAX_LANGUAGES, GRAMS, MIN_COUNT = 1500, 100_000, 100, 5, 2
+PER_LANGUAGE, MAX_CHARS, GRAMS, MIN_COUNT = 1500, 100_000, 5, 2
 UNKNOWN = "und"
-_WORD = re.compile(r"[^\W\d_]+")
+# Letters alone: numbers such as fractions, superscripts and Roman numerals also count as characters of words.
+_NUMBERS = "".join(c for c in map(chr, range(0x110000)) if c.isnumeric() and not c.isalpha())
+_WORD = re.compile(rf"[^\W\d_{re.escape(_NUMBERS)}]+")
 
 
 def word_list(text: str) -> list[str]:
@@ -38,15 +40,13 @@ def grams(word: str, n: int) -> list[str]:
     return [padded[k : k + n] for k in range(len(padded) - n + 1)]
 
 
-def fit(texts: list[str], langs: list[str]) -> dict | None:
-    """Names of the languages, and a table of log frequencies for words and for each length of n-grams."""
-    names = sorted(set(langs))
+def fit(counts_of: dict[str, Counter]) -> dict | None:
+    """Names of the languages, and a table of log frequencies for words and for each length of n-grams, from counts of
+    the words of each language."""
+    names = sorted(counts_of)
     if not names:
         return None
-    place = {x: k for k, x in enumerate(names)}
-    counts = [Counter() for _ in names]
-    for text, lang in zip(texts, langs):
-        counts[place[lang]].update(word_list(text))
+    counts = [counts_of[x] for x in names]
     parts = [[Counter() for _ in names] for _ in range(GRAMS)]
     for k, words in enumerate(counts):
         for w, c in words.items():
@@ -77,16 +77,29 @@ def word_score(model: dict, word: str) -> np.ndarray:
 
 
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> dict | None:
+    """The model of a bounded sample; its words are counted where the texts are, and only counts come to the driver."""
     rows = docs.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & (F.length(text_col) <= MAX_CHARS))
-    rows = rows.select(F.xxhash64(id_col).alias("h"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
-    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES).collect()}
-    if not sizes:
-        return None
+    rows = rows.select(F.xxhash64(id_col, text_col).alias("h"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"))
     # a share of the hash range for each language, so that no language has to be sorted
-    share = F.create_map(*[F.lit(x) for k, n in sizes.items() for x in (k, min(1.0, PER_LANGUAGE / n))])[F.col("lang")]
-    chosen = rows.filter(F.pmod("h", F.lit(1_000_003)) < share * 1_000_003).collect()
-    chosen.sort(key=lambda r: r["h"])
-    return fit([r["text"] for r in chosen], [r["lang"] for r in chosen])
+    sizes = rows.groupBy("lang").agg(F.count("*").alias("n"))
+    share = sizes.select("lang", F.least(F.lit(1.0), F.lit(PER_LANGUAGE) / F.col("n")).alias("share"))
+    chosen = rows.join(share, "lang").filter(F.pmod("h", F.lit(1_000_003)) < F.col("share") * 1_000_003).select("lang", "text")
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found: dict[str, Counter] = {}
+            for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                found.setdefault(lang, Counter()).update(word_list(text))
+            each = [(lang, w, n) for lang, words in found.items() for w, n in [*words.items(), ("", 0)]]
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in each], t) for k, t in enumerate((pa.string(), pa.string(), pa.int64()))], names=["lang", "word", "n"])
+
+    sums = chosen.mapInArrow(work, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
+    out: dict[str, Counter] = {}
+    for r in sums.toLocalIterator():
+        out.setdefault(r["lang"], Counter())
+        if r["n"]:
+            out[r["lang"]][r["word"]] = r["n"]
+    return fit(out)
 
 
 def identify(df: DataFrame, model: dict | None, text_col: str = "text") -> DataFrame:

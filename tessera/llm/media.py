@@ -190,4 +190,4 @@ def to_transport_stream(df: DataFrame, id_col: str = "doc_id", text_col: str = "
 
 def op3_media(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return to_transport_stream(docs, keep_media=False).drop("media", "pts", "access_points")
+    return to_transport_stream(docs, keep_media=False).drop("media")

@@ -3,6 +3,7 @@
 import base64
 import hashlib
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -175,11 +176,60 @@ def test_language_edges(spark):
 
 
 def test_word_backoff():
-    model = language.fit(["alpha alpha beta", "gamma gamma delta"], ["a", "b"])
+    model = language.fit({"a": Counter(alpha=2, beta=1), "b": Counter(gamma=2, delta=1)})
     assert model["words"].keys() == {"alpha", "gamma"}
     assert language.word_score(model, "alpha").argmax() == 0 and language.word_score(model, "alphas").argmax() == 0 and language.word_score(model, "gammal").argmax() == 1
 
 
+def brute_language(texts, langs):
+    """Prediction by the definition, from the training texts alone."""
+    import math
+
+    words_of = lambda t: "".join(c if c.isalpha() else " " for c in t.lower()).split()
+    names = sorted(set(langs))
+    counts = {x: Counter(w for t, y in zip(texts, langs) if x == y for w in words_of(t)) for x in names}
+    pieces = lambda w, n: [v[k : k + n] for v in ([f"<{w}>"] if n > 1 else [w]) for k in range(len(v) - n + 1)]
+    tables = [counts] + [{x: Counter(g for w, c in counts[x].items() for g in pieces(w, n) * c) for x in names} for n in range(5, 0, -1)]
+    known = [{k for x in names for k in t[x] if sum(t[y][k] for y in names) >= 2} for t in tables]
+    total = [{x: sum(t[x][k] + 0.3 for k in some) for x in names} for t, some in zip(tables, known)]
+    log = lambda level, k, x: math.log((tables[level][x][k] + 0.3) / total[level][x])
+
+    def of(word):
+        if word in known[0]:
+            return [log(0, word, x) for x in names]
+        for level, n in enumerate(range(5, 0, -1), 1):
+            if found := [g for g in pieces(word, n) if g in known[level]]:
+                return [sum(log(level, g, x) for g in found) / len(found) for x in names]
+        return [0.0] * len(names)
+
+    def predict(text):
+        words = words_of(text or "")
+        if not words:
+            return "und", 0.0
+        sums = [sum(x) for x in zip(*map(of, words))]
+        best = sums.index(max(sums))
+        return names[best], 1 / sum(math.exp((s - sums[best]) / max(1.0, math.sqrt(len(words)))) for s in sums)
+
+    return predict
+
+
+def test_language_by_hand(spark, data):
+    docs = [r for r in spark.read.parquet(f"{data}/documents.parquet").orderBy("doc_id").limit(60).collect()]
+    train = [r for r in docs[:40] if r["lang"] and r["text"]]
+    model = language.train(spark.createDataFrame(train))
+    texts = [r["text"] for r in docs[40:]] + [None, "", "½ ² Ⅷ 12", "zzqx", "the", "und der"] * 2
+    got = [(r["lang_pred"], r["score"]) for r in language.identify(table(spark, texts), model).orderBy("doc_id").collect()]
+    want = list(map(brute_language([r["text"] for r in train], [r["lang"] for r in train]), texts))
+    assert [g[0] for g in got] == [w[0] for w in want] and np.allclose([g[1] for g in got], [w[1] for w in want], atol=1e-4)
+
+
+def test_many_languages(spark):
+    rows = [(k, f"word{chr(97 + k // 26)}{chr(97 + k % 26)} " * 5, f"l{k:03}") for k in range(150)]
+    model = language.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    got = language.identify(table(spark, [t for _, t, _ in rows]), model).orderBy("doc_id").collect()
+    assert [r["lang_pred"] for r in got] == [x for *_, x in rows]
+
+
 # --- toxicity --------------------------------------------------------------------------------------------------
 
 
