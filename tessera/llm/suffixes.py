@@ -218,13 +218,16 @@ def repeated_runs(rows: DataFrame, length: int = 200) -> DataFrame:
     todo = groups.join(open_pairs.hint("merge"), ["r1", "r2"]).select("one.key", "one.at", F.struct("one.first", "more", (F.col("c") == 1).alias("asks")).alias("run"))
     todo = todo.groupBy("key", "at").agg(F.collect_list("run").alias("runs"))
     asked = cut(state.join(todo.hint("shuffle_hash"), ["key", "at"]).select("key", "at", "reach", "runs"), "suffix-asked")
+    drop_cut(old)
     starts = _starts(asked, length)
     again = starts.groupBy("r1", "r2").agg(F.count("*").alias("c"), F.max("asks").alias("asks")).filter("c > 1 and asks").select("r1", "r2")
     single = starts.filter("asks").join(again.hint("merge"), ["r1", "r2"]).groupBy("key", F.expr(f"start div {BITS}").alias("block")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(start % {BITS} as int))")).alias("bits"))
+    single = cut(single, "suffix-single")  # its shuffle files go before those of the equal runs come
+    drop_cut(asked)
     spans_ = equal.select("key", F.struct("lo", "hi").alias("span"), F.lit(None).cast("struct<block:long,bits:long>").alias("mask"))
     masks = single.select("key", F.lit(None).cast("struct<lo:long,hi:long>").alias("span"), F.struct("block", "bits").alias("mask"))
     found = cut(spans_.unionByName(masks).groupBy("key").agg(F.collect_list("span").alias("spans"), F.collect_list("mask").alias("masks")), "suffix-spans")
-    for x in (left, groups, asked, *([old] if old is not None else [])):
+    for x in (left, groups, single):
         drop_cut(x)
     return found
 

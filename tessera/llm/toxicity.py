@@ -9,7 +9,7 @@ toxic texts that it names itself, in turns, against those of clean texts. Its we
 each subsequence that a landmark has, a table that is broadcast. A text scores as its two worst words
 do, and a sigmoid fitted to labelled texts makes that a probability.
 
-The machine is fitted on the driver to a bounded sample: ``MAX_TRAIN`` labelled texts of at most
+The machine is fitted in one task to a bounded sample: ``MAX_TRAIN`` labelled texts of at most
 ``MAX_CHARS`` characters, chosen by a hash of their id. Scoring reads whole texts and has no shuffle.
 
 Defined cases: null, empty or wordless texts score as texts without any match; labels that are null are left
@@ -21,6 +21,7 @@ columns are carried along, but for those that are added; an empty table gives an
 
 from __future__ import annotations
 
+import pickle
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -31,7 +32,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-MAX_TRAIN, MAX_CHARS = 5000, 50_000
+MAX_TRAIN, MAX_CHARS = 4000, 50_000
 DECAY, SPAN, WIDTH, DENSE, CACHED = 0.7, 7, 32, 1 << 23, 100_000
 MAX_LANDMARKS, CLEAN_LANDMARKS, NEGATIVES, TURNS = 256, 16, 9000, 4
 
@@ -40,8 +41,10 @@ _SPELLED = re.compile(r"(?<!\S)(?:[^\W\d_]\W{0,3}\s+){3,}[^\W\d_](?!\S)")
 _SENTENCE = re.compile(r"[.!?\n]+(?=\s|$)")
 
 
-def strings(text: str) -> Counter:
-    """Words without what isn't a letter, behind a start mark; letters that stand alone in a row are also joined."""
+def strings(text: str, words: dict[str, str] | None = None) -> Counter:
+    """Words without what isn't a letter, behind a start mark; letters that stand alone in a row are also joined.
+
+    ``words`` keeps one copy of each word for many texts."""
     low = text.lower()
     out: Counter = Counter()
     for x, n in Counter(low.split()).items():
@@ -49,7 +52,7 @@ def strings(text: str) -> Counter:
             out["^" + word] += n
     for x in _SPELLED.findall(low):
         out["^" + _NOT_LETTERS.sub("", x)] += 1
-    return out
+    return out if words is None else Counter({words.setdefault(w, w): n for w, n in out.items()})
 
 
 def _encode(words: list[str], alphabet: np.ndarray) -> np.ndarray:
@@ -160,13 +163,13 @@ def _landmarks(bags: list[Counter], toxic: np.ndarray) -> list[str]:
     # so many texts that not one of all the substrings would be in toxic ones alone by chance
     least = max(2, int(np.ceil(np.log(20 * max(1, n_parts)) / -np.log(share))))
     # counted by hashes first: few substrings are that frequent
-    codes = np.fromiter((hash(p) for _, p in _substrings(new)), np.int64, n_parts)
-    weight = np.repeat([len(holders[w]) for w in new], [sum(max(0, len(w) - n + 1) for n in range(4, 9)) for w in new]) if new else np.empty(0)
-    kinds, inverse = np.unique(codes, return_inverse=True)
-    often = set(kinds[np.bincount(inverse, weights=weight, minlength=len(kinds)) >= least].tolist()) if n_parts else set()
+    weight = np.zeros(1 << 22, np.int32)
+    for k, p in _substrings(new):
+        weight[hash(p) & (len(weight) - 1)] += len(holders[new[k]])
+    often = weight >= least
     parts: dict[str, set[str]] = defaultdict(set)
     for k, p in _substrings(new):
-        if hash(p) in often:
+        if often[hash(p) & (len(often) - 1)]:
             parts[p].add(new[k])
     for _, p in _substrings(sorted(clean)):
         parts.pop(p, None)
@@ -246,14 +249,15 @@ def fit(texts: list[str], toxic: np.ndarray) -> dict | None:
         return None
     own = _distinct(texts)
     texts, toxic = [texts[k] for k in own], toxic[own]
-    bags = [strings(t) for t in texts]
+    once: dict[str, str] = {}
+    bags = [strings(t, once) for t in texts]
     insults = _landmarks(bags, toxic)
     if not insults:
         rate = (toxic.sum() + 0.5) / (len(toxic) + 1)
         return {"table": None, "bias": 0.0, "sigmoid": np.array([0.0, 0.0, np.log(rate / (1 - rate))]), "landmarks": []}
     counts = Counter(w for b, t in zip(bags, toxic) if not t for w in b)
     clean = sorted(counts, key=lambda w: (-counts[w], w))
-    sentences = [sorted(strings(x)) for t, bad in zip(texts, toxic) if bad for x in _SENTENCE.split(t)]
+    sentences = [sorted(strings(x, once)) for t, bad in zip(texts, toxic) if bad for x in _SENTENCE.split(t)]
     doubtful = sorted(set().union(*sentences))
     marks = insults + [w for w in clean if 5 <= len(w) <= 13][:CLEAN_LANDMARKS]
     alphabet = alphabet_of(marks)
@@ -294,9 +298,17 @@ def fit(texts: list[str], toxic: np.ndarray) -> dict | None:
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> dict | None:
     """The machine for a bounded sample of the labelled texts."""
     chosen = labels.filter(F.col(label_col).isNotNull()).groupBy(id_col).agg(F.max(label_col).alias("y")).orderBy(F.xxhash64(id_col), id_col).limit(MAX_TRAIN)
-    rows = docs.join(F.broadcast(chosen), id_col).filter(F.length(text_col) <= MAX_CHARS).select(F.col(text_col).cast("string").alias("text"), "y", id_col).dropDuplicates([id_col]).collect()
-    rows.sort(key=lambda r: r[id_col])
-    return fit([r["text"] for r in rows], np.array([r["y"] == 1 for r in rows], bool)) if rows else None
+    rows = docs.join(F.broadcast(chosen), id_col).filter(F.length(text_col) <= MAX_CHARS).select(F.col(id_col).cast("string").alias("id"), F.col(text_col).cast("string").alias("text"), (F.col("y") == 1).alias("toxic"))
+    first = rows.groupBy("id").agg(F.min_by(F.struct("text", "toxic"), F.xxhash64("text")).alias("row")).select("id", "row.*")
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sample = sorted(row for x in batches for row in zip(*(c.to_pylist() for c in x.columns)))
+        model = fit([t for _, t, _ in sample], np.array([y for *_, y in sample], bool)) if sample else None
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], names=["model"])
+
+    # one task fits the machine to the sample, whose size the parameters bound; only the machine comes to the driver
+    made = first.repartition(1).mapInArrow(work, "model binary").collect()
+    return pickle.loads(bytes(made[0]["model"])) if made else None
 
 
 def score(df: DataFrame, model: dict | None, text_col: str = "text") -> DataFrame:
