@@ -175,9 +175,9 @@ def confidence(patterns: Column, known: Column, critical: Column, warnings: Colu
     return F.round(unit(pattern * 0.30 + valid * 0.40 + run * 0.20 + plain * 0.10), digits)
 
 
-def outliers(df: DataFrame, numeric: list[str], rows: int = 100, factor: float = 10.0) -> DataFrame:
-    """(average, has_outlier): whether a number among the first ``rows`` rows is further than ``factor`` times the average's size from it."""
-    values = df.limit(rows).select(F.explode(F.array(*[F.col(c).cast("double") for c in numeric])).alias("v")).filter("v is not null")
+def outliers(df: DataFrame, numeric: list[str], order: list[str], rows: int = 100, factor: float = 10.0) -> DataFrame:
+    """(average, has_outlier): whether a number among the first ``rows`` rows in ``order`` is further than ``factor`` times the average's size from it."""
+    values = df.orderBy(*order).limit(rows).select(F.explode(F.array(*[F.col(c).cast("double") for c in numeric])).alias("v")).filter("v is not null")
     stats = values.agg(F.avg("v").alias("average"), F.max("v").alias("high"), F.min("v").alias("low"))
     far = F.greatest(F.col("high") - F.col("average"), F.col("average") - F.col("low"))
     return stats.select("average", F.coalesce((F.col("average") != 0) & (far > factor * F.abs("average")), F.lit(False)).alias("has_outlier"))

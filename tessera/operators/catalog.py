@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Mapping
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
@@ -89,7 +90,7 @@ def reachable(spark: SparkSession, rel: DataFrame, start: str) -> DataFrame:
     """(table, hops) of all tables connected with ``start``; the schema graph is tens of tables."""
     links = both_ways(rel)
     found = spark.createDataFrame([(start, 0)], "`table` string, hops int")
-    for hop in range(1, 64):
+    for hop in itertools.count(1):
         edge = found.filter(F.col("hops") == hop - 1).join(links, F.col("table") == F.col("a")).select(F.col("b").alias("table")).distinct().join(found, "table", "left_anti")
         rows = [(r["table"], hop) for r in edge.collect()]
         if not rows:

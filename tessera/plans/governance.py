@@ -17,8 +17,6 @@ from ..functions.classify import temporal_intent
 ROW_CAP, CARTESIAN_CAP = 500, 100
 # Functions that reach outside the data, or waste time.
 BLOCKED = "load_file loadfile sys_eval sys_exec sys_get lo_import lo_export benchmark sleep get_lock release_lock release_all_locks is_free_lock is_used_lock java_method reflect try_reflect input_file_name".split()
-# Formats that can be named in place of a table.
-FORMATS = ("parquet", "csv", "json", "text", "orc", "binaryfile", "avro", "delta")
 # Plan nodes of statements that change something.
 CHANGES = r"InsertInto|CreateTable|CreateView|CreateNamespace|CreateFunction|CreateVariable|ReplaceTable|Drop|DeleteFrom|UpdateTable|MergeInto|Truncate|Alter|Rename|SetCommand|SetCatalog|SetNamespace|AddColumns|RunnableCommand|CacheTable|UncacheTable|Refresh|Repair|Analyze|LoadData|ResetCommand|AddJar|AddFile|Comment|Show|Describe"
 
@@ -44,18 +42,33 @@ def _plans(spark: SparkSession, sql: str) -> tuple[str, str]:
     return parsed[0], parsed[2].partition("== Optimized Logical Plan ==")[0]
 
 
+def _bare(sql: str) -> str:
+    """A statement without comments and with empty literals."""
+    parts = re.sub(r"--[^\n]*|/\*.*?\*/|('(?:[^'\\]|\\.|'')*'|\"(?:[^\"\\]|\\.)*\")", lambda m: "''" if m[1] else " ", sql or "", flags=re.S)
+    return parts.strip()
+
+
+def _unknown_relations(spark: SparkSession, sql: str, allowed: list[str] | None) -> list[str]:
+    """Relations of several parts that are no known table. They are read off the parsed statement: while Spark
+    analyses it, a name such as format.`path` already opens files, whatever the format."""
+    plan = spark._jsparkSession.sessionState().sqlParser().parsePlan(sql).toString()
+    names = [x.split(", ") for x in re.findall(r"UnresolvedRelation \[([^\]]*)\]", plan)]
+    known = {a.lower() for a in allowed or []}
+    plain = lambda x: all(re.fullmatch(r"\w+", y) for y in x)
+    return sorted({".".join(x) for x in names if len(x) > 1 and ".".join(x).lower() not in known and not (allowed is None and plain(x) and spark.catalog.tableExists(".".join(x)))})
+
+
 def check(spark: SparkSession, sql: str, allowed: list[str] | None = None) -> Verdict:
     """Whether one statement only reads allowed tables, by safe means."""
     out = Verdict()
-    bare = re.sub(r"'(?:[^'\\]|\\.|'')*'", "''", sql or "")
+    bare = _bare(sql)
     if not re.match(r"\s*[(\s]*(SELECT|WITH|VALUES)\b", bare, re.I):
         out.errors.append("not a read-only statement")
         return out
-    files = rf"(?i)\b({'|'.join(FORMATS)})\s*\.\s*`"
-    if m := re.search(files, bare):  # before anything is analysed, which would open them
-        out.errors.append(f"reads files directly: {m[1]}")
-        return out
     try:
+        if unknown := _unknown_relations(spark, sql.strip().rstrip(";"), allowed):
+            out.errors.append(f"reads what is no table: {', '.join(unknown)}")
+            return out
         parsed, analysed = _plans(spark, sql)
     except ParseException as e:
         out.errors.append(f"can't be parsed: {str(e).splitlines()[0][:200]}")
@@ -111,13 +124,15 @@ def misleading_aliases(sql: str, question: str, columns: list[str]) -> list[str]
 def text_sums(spark: SparkSession, frames: dict[str, DataFrame], sql: str) -> list[str]:
     """Text columns that a statement sums or averages without a cast."""
     kinds = {c.lower() for df in frames.values() for c, k in df.dtypes if k == "string"}
-    used = re.findall(r"(?i)\b(?:sum|avg)\s*\(\s*(?:\w+\.)?(\w+)\s*\)", sql)
+    inside = re.findall(r"(?i)\b(?:sum|avg)\s*\(([^()]*)\)", _bare(sql))
+    used = [c for x in inside for c in re.findall(r"(?:\b\w+\.)?\b([A-Za-z_]\w*)\b", x)]
     return sorted({c for c in used if c.lower() in kinds})
 
 
 def lint(statements: DataFrame, sql_col: str = "sql") -> DataFrame:
     """Adds a boolean column for each finding to a log of statements."""
     s = F.regexp_replace(F.coalesce(sql_col, F.lit("")), r"'(?:[^'\\]|\\.|'')*'", "''")
+    s = F.trim(F.regexp_replace(F.regexp_replace(s, r'"(?:[^"\\]|\\.)*"', "''"), r"--[^\n]*|(?s:/\*.*?\*/)", " "))
     raw = F.coalesce(F.col(sql_col), F.lit(""))
     has = lambda p: s.rlike(rf"(?i){p}")
     return statements.withColumns({

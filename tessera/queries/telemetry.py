@@ -172,6 +172,6 @@ def metric_comparison(events):
     return A.compare(one, two, {"clicks": True})
 
 
-@R.add("SELECT round(avg(v), 4) AS average, max(abs(v - a)) > 10 * abs(any_value(a)) AS has_outlier FROM (SELECT v, avg(v) OVER () AS a FROM (SELECT s_acctbal AS v FROM supplier WHERE s_suppkey <= 100))", "supplier")
+@R.add("SELECT round(avg(v), 4) AS average, max(abs(v - a)) > 10 * abs(any_value(a)) AS has_outlier FROM (SELECT v, avg(v) OVER () AS a FROM (SELECT s_acctbal AS v FROM supplier ORDER BY s_suppkey LIMIT 100))", "supplier")
 def result_outliers(supplier):
-    return A.outliers(supplier.filter("s_suppkey <= 100"), ["s_acctbal"]).withColumn("average", F.round("average", 4))
+    return A.outliers(supplier, ["s_acctbal"], ["s_suppkey"]).withColumn("average", F.round("average", 4))

@@ -21,7 +21,7 @@ MAGIC = [("25504446", "pdf"), ("504B0304", "zip"), ("D0CF11E0A1B11AE1", "ole"),
 EXTENSIONS = {"pdf": "pdf", "docx": "docx", "doc": "doc", "pptx": "pptx", "ppt": "ppt", "xlsx": "xlsx", "xls": "xls", "csv": "csv", "tsv": "tsv", "md": "markdown", "markdown": "markdown", "txt": "plaintext", "html": "html", "htm": "html", "xml": "xml", "json": "json", "png": "image", "jpg": "image", "jpeg": "image", "gif": "image", "bmp": "image", "tiff": "image", "tif": "image", "webp": "image", "svg": "image"}
 PACKAGES = ("docx", "pptx", "xlsx")
 OLD = ("doc", "ppt", "xls")
-MAX_FILE = 256 << 20  # larger files are listed, but not parsed
+MAX_FILE = 256 << 20  # packages, pages and JSON beyond it raise: their parsers hold a file whole
 
 
 def discover(spark: SparkSession, folder: str) -> DataFrame:
@@ -142,9 +142,13 @@ def pages(files: DataFrame) -> DataFrame:
     text = F.make_valid_utf8(F.col("content").cast("string"))
     small = files.filter(F.col("length") <= MAX_FILE)
     sep = F.when(F.col("category") == "tsv", "\t").otherwise(",")
-    row = lambda x: F.array_join(F.transform(F.split(x, sep), lambda c: F.trim(F.regexp_replace(c, '^"|"$', ""))), " | ")
-    table = F.array_join(F.transform(F.filter(F.split(text, r"\r?\n"), lambda x: F.regexp_replace(x, r"[,\t\s]", "") != ""), row), "\n\n")
-    plain = small.filter(F.col("category").isin("plaintext", "markdown", "xml", "csv", "tsv")).select("path", "category", F.lit(1).alias("page"), F.when(F.col("category").isin("csv", "tsv"), table).otherwise(text).alias("text"))
+    # records and cells may hold line breaks and separators between quotes, where two quotes stand for one
+    cell = lambda c: F.trim(F.regexp_replace(F.regexp_replace(c, r'^\s*"|"\s*$', ""), '""', '"'))
+    cells = lambda x: F.when(sep == ",", F.regexp_extract_all(F.concat(F.lit(","), x), F.lit(r',((?:[^",]++|"[^"]*+")*+)'), 1)).otherwise(F.regexp_extract_all(F.concat(F.lit("\t"), x), F.lit(r'\t((?:[^"\t]++|"[^"]*+")*+)'), 1))
+    row = lambda x: F.array_join(F.transform(cells(x), cell), " | ")
+    records = F.regexp_extract_all(text, F.lit(r'((?:[^"\r\n]++|"[^"]*+")++)'), 1)
+    table = F.array_join(F.transform(F.filter(records, lambda x: F.regexp_replace(x, r"[,\t\s]", "") != ""), row), "\n\n")
+    plain = files.filter(F.col("category").isin("plaintext", "markdown", "xml", "csv", "tsv")).select("path", "category", F.lit(1).alias("page"), F.when(F.col("category").isin("csv", "tsv"), table).otherwise(text).alias("text"))
 
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -159,7 +163,9 @@ def pages(files: DataFrame) -> DataFrame:
                     yield pd.DataFrame([(path, kind, k, t) for k, t in enumerate(texts, 1)], columns=["path", "category", "page", "text"])
 
     parsed = small.filter(F.col("category").isin(*PACKAGES, "html", "json")).select("path", "category", "content").mapInPandas(parse, "path string, category string, page int, text string")
-    rest = files.filter((F.col("length") > MAX_FILE) | ~F.col("category").isin(*PACKAGES, "html", "json", "plaintext", "markdown", "xml", "csv", "tsv")).select("path", "category", F.lit(1).alias("page"), F.lit("").alias("text"))
+    whole = F.col("category").isin(*PACKAGES, "html", "json")
+    large = F.when(whole, F.raise_error(F.concat(F.lit("too large to parse: "), F.col("path")))).otherwise("")
+    rest = files.filter((whole & (F.col("length") > MAX_FILE)) | ~F.col("category").isin(*PACKAGES, "html", "json", "plaintext", "markdown", "xml", "csv", "tsv")).select("path", "category", F.lit(1).alias("page"), large.alias("text"))
     return plain.unionByName(parsed).unionByName(rest)
 
 
@@ -178,7 +184,13 @@ def read_dump(spark: SparkSession, path: str) -> DataFrame:
 
     Files are split at statement ends, so a dump of any size is read by many tasks; session noise, index and
     ALTER statements are passed over."""
-    statements = spark.read.option("lineSep", ";\n").text(path)
+    pieces = spark.read.option("lineSep", ";\n").text(path).select("value", "_metadata.file_path")
+    open_quote = F.length(F.regexp_replace(F.regexp_replace("value", r"(?s)\\.", ""), "[^']", "")) % 2 == 1
+    # files with a statement end inside a literal are split again as a whole
+    broken = pieces.filter(open_quote).select("file_path").distinct()
+    texts = spark.read.option("wholetext", "true").text(path).select("value", "_metadata.file_path").join(broken, "file_path", "left_semi")
+    again = texts.select(F.explode(F.regexp_extract_all("value", F.lit(r"((?:[^';]++|'(?>(?:[^'\\]++|\\.)*)')+)"), 1)).alias("value"))
+    statements = pieces.join(broken, "file_path", "left_anti").select("value").unionByName(again)
     clean = statements.select(F.trim(F.regexp_replace("value", r"(?m)^\s*(--[^\n]*|/\*.*?\*/;?)\s*$", "")).alias("s")).filter(F.col("s").rlike(r"(?is)^\s*insert\s+into"))
     name = F.regexp_extract("s", r"(?is)^\s*insert\s+into\s+[`\"]?(\w+)[`\"]?", 1)
     values = F.regexp_extract("s", r"(?is)\bvalues\s*(.*)$", 1)

@@ -9,6 +9,10 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 MAX_SHOWN = 10
 
 
+def _file_system(spark: SparkSession, path):
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
 def upsert(spark: SparkSession, path: str, new: DataFrame, key: str, vector_col: str | None = None, dim: int | None = None) -> None:
     """Rows of ``new`` replace those of the same key in a Parquet table.
 
@@ -20,15 +24,22 @@ def upsert(spark: SparkSession, path: str, new: DataFrame, key: str, vector_col:
     new = new.dropDuplicates([key])
     jvm = spark._jvm.org.apache.hadoop.fs
     old, fresh, gone = jvm.Path(path), jvm.Path(f"{path}.{uuid.uuid4().hex}"), jvm.Path(f"{path}.old-{uuid.uuid4().hex}")
-    fs = old.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    fs = _file_system(spark, old)
     if fs.exists(old):
         before = spark.read.parquet(path)
         new = before.join(new.select(key), key, "left_anti").unionByName(new, allowMissingColumns=True)
     new.write.parquet(fresh.toString())
-    if fs.exists(old):
-        fs.rename(old, gone)
-    fs.rename(fresh, old)
-    fs.delete(gone, True)
+    replaced = fs.exists(old)
+    if replaced and not fs.rename(old, gone):
+        fs.delete(fresh, True)
+        raise OSError(f"{path} can't be moved away; it stays as it was")
+    if not fs.rename(fresh, old):
+        if replaced and not fs.rename(gone, old):
+            raise OSError(f"the table is at {gone.toString()}, the new one at {fresh.toString()}: neither can be moved to {path}")
+        fs.delete(fresh, True)
+        raise OSError(f"the new table can't be moved to {path}; the old one stays")
+    if replaced:
+        fs.delete(gone, True)
 
 
 def delete_documents(chunks: DataFrame, ids: DataFrame) -> DataFrame:

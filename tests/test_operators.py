@@ -118,6 +118,8 @@ def tables_(spark, data):
     ("SELECT n_name FROM nation", True, None), ("SELECT n_name FROM nation;", True, None), ("select * from nation", True, "selects all columns"), ("SELECT count(*) FROM nation, region", True, "cartesian product"),
     ("DROP TABLE nation", False, None), ("SELECT 1; SELECT 2", False, None), ("SELECT sleep(1)", False, None), ("SELECT java_method('java.lang.Math', 'random')", False, None), ("SELECT * FROM parquet.`/etc`", False, None),
     ("WITH nation AS (SELECT 1 AS x) SELECT x FROM nation", False, None), ("WITH n AS (SELECT n_name FROM nation) SELECT n_name FROM n", True, None), ("SELECT missing FROM nation", False, None), ("SELECT n_name FROM secret", False, None),
+    ("SELECT * FROM xml.`/etc/hosts`", False, None), ("SELECT * FROM image.`/etc`", False, None), ("SELECT n_name FROM nation, libsvm.`/etc/hosts`", False, None), ("SELECT n_name FROM nation WHERE n_name IN (SELECT value FROM text.x)", False, None),
+    ("/* c */ SELECT n_name FROM nation -- d", True, None), ('SELECT "sleep(1)" AS x FROM nation', True, None), ("SELECT n.`n_name` FROM nation n", True, None),
     ("INSERT INTO nation SELECT * FROM nation", False, None), ("SELECT n_name FROM nation WHERE n_name = NULL", True, "compares with NULL"), ("SELECT n_name FROM nation WHERE n_name = 'drop table sleep('", True, None), ("", False, None), ("SELECT n_name FROM nation UNION SELECT r_name FROM region", True, None),
 ])
 def test_checks(spark, tables_, sql, ok, warning):
@@ -126,6 +128,21 @@ def test_checks(spark, tables_, sql, ok, warning):
     assert warning is None or warning in v.warnings
 
 
+@pytest.mark.parametrize("kind", ["xml", "image", "libsvm", "text", "anything"])
+def test_files_are_no_tables(spark, tables_, kind):
+    assert not G.check(spark, f"SELECT * FROM {kind}.`/etc/hosts`").ok
+    assert G.check(spark, "SELECT n_name FROM nation").ok
+
+
+def test_text_in_sums(spark, tables_):
+    assert G.text_sums(spark, tables_, "SELECT sum(n_name * 2) FROM nation -- sum(r_name)") == ["n_name"]
+
+
+def test_first_rows_of_outliers(spark):
+    df = spark.createDataFrame([(k, 1.0 if k < 100 else 10_000.0) for k in range(200)], "k int, v double").repartition(7)
+    assert not A.outliers(df, ["v"], ["k"]).first()["has_outlier"] and A.outliers(df, ["v"], ["k"], rows=101).first()["has_outlier"]
+
+
 def test_run(spark, tables_):
     assert G.run(spark, "SELECT n_name FROM nation, region", list(tables_)).count() == 100
     assert G.run(spark, "SELECT o_orderkey FROM orders", list(tables_)).count() == 500

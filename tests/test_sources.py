@@ -64,6 +64,44 @@ def test_dump(spark, tmp_path):
     assert [(r["table"], r["row"]) for r in files.read_dump(spark, str(p)).collect()] == [("t", "(1,'a;b')"), ("t", "(2,'c)d')")]
 
 
+def test_dump_with_statement_ends_in_literals(spark, tmp_path):
+    (tmp_path / "dumps").mkdir()
+    (tmp_path / "dumps" / "a.sql").write_text("INSERT INTO t VALUES (1,'a;\nb'),(2,'it\\'s');\nINSERT INTO u VALUES (3,'c');\n")
+    (tmp_path / "dumps" / "b.sql").write_text("INSERT INTO v VALUES (4,'d');\n")
+    got = sorted((r["table"], r["row"]) for r in files.read_dump(spark, str(tmp_path / "dumps")).collect())
+    assert got == [("t", "(1,'a;\nb')"), ("t", "(2,'it\\'s')"), ("u", "(3,'c')"), ("v", "(4,'d')")]
+
+
+def test_quoted_cells(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "q.csv").write_text('a,b\n"x,y",2\n"two\nlines","say ""hi"""\n,\n')
+    (tmp_path / "in" / "q.tsv").write_text('a\tb\n"x\ty"\t2\n')
+    got = {r["category"]: r["text"] for r in files.pages(files.detect(files.discover(spark, str(tmp_path / "in")))).collect()}
+    assert got["csv"] == 'a | b\n\nx,y | 2\n\ntwo\nlines | say "hi"' and got["tsv"] == "a | b\n\nx\ty | 2"
+
+
+def test_upsert_that_cannot_move(spark, tmp_path, monkeypatch):
+    """A failing rename raises and leaves the old table where it was."""
+    path = str(tmp_path / "kept")
+    spark.createDataFrame([(1, "a")], "id int, t string").write.parquet(path)
+
+    class Stuck:
+        def __init__(self, fs):
+            self.fs, self.moves = fs, 0
+
+        def __getattr__(self, name):
+            return getattr(self.fs, name)
+
+        def rename(self, a, b):
+            self.moves += 1
+            return self.fs.rename(a, b) if self.moves != 2 else False
+
+    monkeypatch.setattr(sinks, "_file_system", lambda s, p: Stuck(p.getFileSystem(s.sparkContext._jsc.hadoopConfiguration())))
+    with pytest.raises(OSError, match="stays"):
+        sinks.upsert(spark, path, spark.createDataFrame([(2, "b")], "id int, t string"), "id")
+    assert [r["id"] for r in spark.read.parquet(path).collect()] == [1]
+
+
 def test_event_lines(spark):
     rows = ['{"query_id": "q1", "stage": "s", "input_tokens": "7", "latency_ms": "x"}', 'INFO {"query_id": " q2 ", "success": false, "extra": {"rows_returned": 0}}', "{bad", "no json", "", '{"stage": null}']
     got = {r["query_id"]: r for r in jsonl.parse_events(spark.createDataFrame([(r,) for r in rows], "value string")).collect()}
