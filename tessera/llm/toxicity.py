@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 MAX_TRAIN, MAX_CHARS = 4000, 50_000
-DECAY, SPAN, WIDTH, DENSE, CACHED = 0.7, 7, 32, 1 << 23, 100_000
+DECAY, SPAN, WIDTH, DENSE, CACHED = 0.7, 7, 32, 1 << 23, 250_000
 MAX_LANDMARKS, CLEAN_LANDMARKS, NEGATIVES, TURNS = 256, 16, 9000, 4
 
 _NOT_LETTERS = re.compile(r"[\W\d_]+")
@@ -100,10 +100,10 @@ def decide(table: Table, words: list[str]) -> np.ndarray:
     """Sum of the weights of a word's subsequences (the highest, of a long word's pieces)."""
     parts = [(k, p) for k, w in enumerate(words) for p in _pieces(w)]
     out = np.full(len(words), -np.inf)
-    for lo in range(0, len(parts), 4096):
-        some = parts[lo : lo + 4096]
+    for lo in range(0, len(parts), 8192):
+        some = parts[lo : lo + 8192]
         longest = max(len(p) for _, p in some)
-        codes = _encode([p for _, p in some], table.alphabet)
+        codes = _encode([p for _, p in some], table.alphabet).astype(np.int64 if table.dense is None else np.int32)
         got = np.zeros(len(some))
         for number, weight in _subsequences(codes, table.base):
             got += weight * table[number[:, : max(1, longest)]].sum(axis=1)
@@ -321,8 +321,8 @@ def score(df: DataFrame, model: dict | None, text_col: str = "text") -> DataFram
         machine, known = shared.value, {}
         table = Table(*machine["table"]) if machine and machine["table"] else None
         for batch in batches:
-            for lo in range(0, batch.num_rows, 128):
-                part = batch.slice(lo, 128)
+            for lo in range(0, batch.num_rows, 512):
+                part = batch.slice(lo, 512)
                 if machine is None:
                     out = np.zeros(part.num_rows)
                 else:
