@@ -188,7 +188,7 @@ def read_dump(spark: SparkSession, path: str) -> DataFrame:
     open_quote = F.length(F.regexp_replace(F.regexp_replace("value", r"(?s)\\.", ""), "[^']", "")) % 2 == 1
     # files with a statement end inside a literal are split again as a whole
     broken = pieces.filter(open_quote).select("file_path").distinct()
-    texts = spark.read.option("wholetext", "true").text(path).select("value", "_metadata.file_path").join(broken, "file_path", "left_semi")
+    texts = spark.read.text(path, wholetext=True).select("value", "_metadata.file_path").join(broken, "file_path", "left_semi")
     again = texts.select(F.explode(F.regexp_extract_all("value", F.lit(r"((?:[^';]++|'(?>(?:[^'\\]++|\\.)*)')+)"), 1)).alias("value"))
     statements = pieces.join(broken, "file_path", "left_anti").select("value").unionByName(again)
     clean = statements.select(F.trim(F.regexp_replace("value", r"(?m)^\s*(--[^\n]*|/\*.*?\*/;?)\s*$", "")).alias("s")).filter(F.col("s").rlike(r"(?is)^\s*insert\s+into"))
