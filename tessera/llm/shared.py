@@ -63,3 +63,9 @@ def settled(make: Callable[[], DataFrame], name: str) -> DataFrame:
     for path in set(_made) - before - {out._tessera_path}:
         drop_cut(_made[path])
     return out
+
+
+def drop_all() -> None:
+    """Delete every table of this session that is still there, once no result that reads them is needed any more."""
+    for df in list(_made.values()):
+        drop_cut(df)
