@@ -26,13 +26,15 @@ from pyspark.sql import DataFrame, functions as F
 
 PER_LANGUAGE, MAX_CHARS, GRAMS, MIN_COUNT = 1500, 100_000, 5, 2
 UNKNOWN = "und"
-# Letters alone: numbers such as fractions, superscripts and Roman numerals also count as characters of words.
-_NUMBERS = "".join(c for c in map(chr, range(0x110000)) if c.isnumeric() and not c.isalpha())
-_WORD = re.compile(rf"[^\W\d_{re.escape(_NUMBERS)}]+")
+_WORD = re.compile(r"[^\W\d_]+")
 
 
 def word_list(text: str) -> list[str]:
-    return _WORD.findall(text.lower())
+    found = _WORD.findall(text.lower())
+    if all(map(str.isalpha, found)):
+        return found
+    # fractions, superscripts and Roman numerals count as characters of words, but aren't letters
+    return [x for w in found for x in "".join(c if c.isalpha() else " " for c in w).split()]
 
 
 def grams(word: str, n: int) -> list[str]:
