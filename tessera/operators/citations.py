@@ -27,9 +27,14 @@ def footnotes(answers: DataFrame, retrieved: DataFrame) -> DataFrame:
 
 
 def render(answers: DataFrame, retrieved: DataFrame) -> DataFrame:
-    """(answer_id, clean): brackets as footnote numbers, unknown ids removed, sources listed below."""
+    """(answer_id, clean): brackets as footnote numbers, unknown ids removed, sources listed below.
+
+    A source without a file name is listed as Unknown, one without a page without a page."""
+    retrieved = retrieved.withColumn("source_file", F.coalesce("source_file", F.lit("Unknown")))
     notes = footnotes(answers, retrieved)
-    each = cited(answers).join(retrieved, ["answer_id", "chunk_id"], "left").join(notes.drop("chunk_id"), ["answer_id", "source_file", "page_number"], "left")
+    known = notes.select(F.col("answer_id").alias("of"), F.col("source_file").alias("file"), F.col("page_number").alias("page"), "footnote")
+    same = (F.col("answer_id") == F.col("of")) & (F.col("source_file") == F.col("file")) & F.col("page_number").eqNullSafe(F.col("page"))
+    each = cited(answers).join(retrieved, ["answer_id", "chunk_id"], "left").join(known, same, "left")
     marks = each.groupBy("answer_id", "b", "bracket").agg(F.array_sort(F.collect_set(F.when(F.col("footnote").isNotNull(), F.struct("footnote")))).alias("n"))
     marks = marks.withColumn("mark", F.array_join(F.transform("n", lambda x: F.concat(F.lit("["), x["footnote"].cast("string"), F.lit("]"))), ""))
     marks = marks.groupBy("answer_id").agg(F.array_sort(F.collect_list(F.struct("b", "mark"))).alias("marks"))

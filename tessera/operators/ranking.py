@@ -120,8 +120,8 @@ def limit_context(results: DataFrame, limit: int | None, query_col: str, order_c
 
 
 def pin_first(results: DataFrame, flag: Column, query_col: str, order_col: str) -> DataFrame:
-    """Rows with the flag come first; ``place`` is the new order."""
-    return results.withColumn("place", F.row_number().over(Window.partitionBy(query_col).orderBy(F.desc(flag.cast("int")), order_col)))
+    """Rows with the flag come first, those without a value among the others; ``place`` is the new order."""
+    return results.withColumn("place", F.row_number().over(Window.partitionBy(query_col).orderBy(F.desc(F.coalesce(flag, F.lit(False))), order_col)))
 
 
 def match_patterns(questions: DataFrame, patterns: DataFrame, k: int = 2) -> DataFrame:

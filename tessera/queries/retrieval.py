@@ -71,40 +71,43 @@ def lexical_rerank(documents):
     return out.select("doc_id", F.round("overlap", 6).alias("overlap"))
 
 
+RESULTS = 100  # results of a query: the retrieval limit
+
+
 def _ranked(documents):
-    """Result lists: a query for each language, documents grouped into sources, scored by length."""
-    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n_chars"), "doc_id"))
-    return documents.filter("lang is not null and source is not null").withColumn("place", place).filter("place <= 150")
+    """Result lists: every document is in one list of a hundred neighbouring ids, ranked by length."""
+    lists = documents.withColumn("query_id", F.expr(f"doc_id div {RESULTS}"))
+    return lists.withColumn("place", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("n_chars"), "doc_id")))
 
 
-RANKED_SQL = "ranked AS (SELECT * FROM (SELECT doc_id, lang, source, text, n_chars, row_number() OVER (PARTITION BY lang ORDER BY n_chars DESC, doc_id) AS place FROM documents WHERE lang IS NOT NULL AND source IS NOT NULL) WHERE place <= 150)"
+RANKED_SQL = f"ranked AS (SELECT doc_id, doc_id // {RESULTS} AS query_id, source, text, n_chars, row_number() OVER (PARTITION BY doc_id // {RESULTS} ORDER BY n_chars DESC NULLS LAST, doc_id) AS place FROM documents)"
 
 
-@R.add(f"""WITH {RANKED_SQL}, a AS (SELECT *, min(place) OVER (PARTITION BY lang, source) AS first_pos, row_number() OVER (PARTITION BY lang, source ORDER BY place) AS in_doc FROM ranked),
-n AS (SELECT lang, count(DISTINCT source) AS docs FROM ranked GROUP BY 1), b AS (SELECT a.*, CASE WHEN in_doc > CASE WHEN docs <= 1 THEN 10 ELSE greatest(2, ceil(10.0 / docs)) END THEN 1 ELSE 0 END AS over_quota FROM a JOIN n USING (lang)),
-c AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY over_quota, CASE WHEN over_quota = 0 THEN first_pos ELSE place END, place) AS turn FROM b) SELECT lang, doc_id, source FROM c WHERE turn <= 10""", "documents")
+@R.add(f"""WITH {RANKED_SQL}, a AS (SELECT *, min(place) OVER (PARTITION BY query_id, source) AS first_pos, row_number() OVER (PARTITION BY query_id, source ORDER BY place) AS in_doc FROM ranked),
+n AS (SELECT query_id, count(DISTINCT source) AS docs FROM ranked GROUP BY 1), b AS (SELECT a.*, CASE WHEN in_doc > CASE WHEN docs <= 1 THEN 10 ELSE greatest(2, ceil(10.0 / docs)) END THEN 1 ELSE 0 END AS over_quota FROM a JOIN n USING (query_id)),
+c AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY over_quota, CASE WHEN over_quota = 0 THEN first_pos ELSE place END, place) AS turn FROM b) SELECT query_id, doc_id, source FROM c WHERE turn <= 10""", "documents")
 def doc_diversity(documents):
     """Ten results a query with a quota for each source."""
-    return K.diversify(_ranked(documents), 10, "lang", "source", "n_chars", "doc_id").select("lang", "doc_id", "source")
+    return K.diversify(_ranked(documents), 10, "query_id", "source", "n_chars", "doc_id").select("query_id", "doc_id", "source")
 
 
-@R.add(f"""WITH {RANKED_SQL}, u AS (SELECT *, sum(length(text) // 3) OVER (PARTITION BY lang ORDER BY place) AS upto FROM ranked) SELECT lang, doc_id, CAST(upto AS BIGINT) AS upto FROM u WHERE upto <= 20000 OR place = 1""", "documents")
+@R.add(f"""WITH {RANKED_SQL}, u AS (SELECT *, sum(length(text) // 3) OVER (PARTITION BY query_id ORDER BY place) AS upto FROM ranked) SELECT query_id, doc_id, CAST(upto AS BIGINT) AS upto FROM u WHERE upto <= 20000 OR place = 1""", "documents")
 def context_pack(documents):
     """The leading results that fit into a context."""
-    return K.pack_context(_ranked(documents), 20000, "lang", "place", "text").select("lang", "doc_id", "upto")
+    return K.pack_context(_ranked(documents), 20000, "query_id", "place", "text").select("query_id", "doc_id", "upto")
 
 
-@R.add(f"WITH {RANKED_SQL} SELECT lang, doc_id FROM ranked WHERE place <= 2", "documents")
+@R.add(f"WITH {RANKED_SQL} SELECT query_id, doc_id FROM ranked WHERE place <= 2", "documents")
 def context_limit(documents):
     """A limit of one result is raised to two."""
-    return K.limit_context(_ranked(documents), 1, "lang", "place").select("lang", "doc_id")
+    return K.limit_context(_ranked(documents), 1, "query_id", "place").select("query_id", "doc_id")
 
 
-@R.add(f"WITH {RANKED_SQL} SELECT lang, doc_id, row_number() OVER (PARTITION BY lang ORDER BY CASE WHEN source = 'src0' THEN 0 ELSE 1 END, place) AS place FROM ranked", "documents")
+@R.add(f"WITH {RANKED_SQL} SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY CASE WHEN source = 'src0' THEN 0 ELSE 1 END, place) AS place FROM ranked", "documents")
 def pinned_first(documents):
     """One source's results come before the others."""
     ranked = _ranked(documents)
-    return K.pin_first(ranked, F.col("source") == "src0", "lang", "place").select("lang", "doc_id", F.col("place").cast("long").alias("place"))
+    return K.pin_first(ranked, F.col("source") == "src0", "query_id", "place").select("query_id", "doc_id", F.col("place").cast("long").alias("place"))
 
 
 @R.add("SELECT doc_id FROM documents WHERE lang = 'en' AND n_chars >= 200 AND (source IN ('src1', 'system', 'shared') OR source IS NULL) AND NOT coalesce(CASE WHEN doc_id % 5 = 0 THEN FALSE WHEN doc_id % 5 = 1 THEN NULL ELSE TRUE END = FALSE, FALSE)", "documents")
@@ -123,23 +126,24 @@ def relevance_floor(embeddings):
 
 @R.add(None, "documents")
 def budget_fill(documents):
-    """Which documents of each source fit a token budget, in order, skipping those that don't; a fold in order."""
-    first = _ranked(documents).filter("place <= 60").groupBy("source").agg(F.array_sort(F.collect_list(F.struct("lang", "place", "doc_id", T.token_estimate("text").alias("n")))).alias("items"))
-    taken = first.select("source", F.arrays_zip(F.col("items").alias("i"), K.fill_budget(F.transform("items", lambda x: x["n"]), 1500).alias("t")).alias("z"))
-    return taken.select("source", F.explode("z").alias("z")).select("source", F.col("z.i.doc_id").alias("doc_id"), F.col("z.t").alias("taken"))
+    """Which documents of each result list fit a token budget, in order, skipping those that don't; a fold in order."""
+    lists = _ranked(documents).groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("place", "doc_id", T.token_estimate("text").alias("n")))).alias("items"))
+    taken = lists.select("query_id", F.arrays_zip(F.col("items").alias("i"), K.fill_budget(F.transform("items", lambda x: x["n"]), 1500).alias("t")).alias("z"))
+    return taken.select("query_id", F.explode("z").alias("z")).select("query_id", F.col("z.i.doc_id").alias("doc_id"), F.col("z.t").alias("taken"))
 
 
-CACHE_SQL = f"""SELECT l.lookup_id, x.cached_id, round(x.similarity, 6) AS similarity FROM (SELECT vec_id AS lookup_id, label AS scope, embedding FROM embeddings WHERE vec_id % 10 = 1) l
-LEFT JOIN (SELECT b.vec_id AS lookup_id, max_by(a.vec_id, [{COSINE}, CAST(a.vec_id AS DOUBLE)]) AS cached_id, max({COSINE}) AS similarity FROM embeddings a JOIN embeddings b ON a.label = b.label WHERE a.vec_id % 10 = 0 AND a.vec_id % 30 <> 0 AND b.vec_id % 10 = 1
-AND a.vec_id % 100 <= 1000 AND 1000 < a.vec_id % 100 + (CASE WHEN a.vec_id % 20 = 0 THEN 60 ELSE 3600 END) AND {COSINE} >= 0.3 GROUP BY 1) x USING (lookup_id)"""
+CACHE_SQL = f"""SELECT l.lookup_id, x.cached_id, round(x.similarity, 6) AS similarity FROM (SELECT vec_id AS lookup_id FROM embeddings WHERE vec_id % 100 = 0) l
+LEFT JOIN (SELECT b.vec_id AS lookup_id, max_by(a.vec_id, [{COSINE}, CAST(a.vec_id AS DOUBLE)]) AS cached_id, max({COSINE}) AS similarity FROM embeddings a JOIN embeddings b ON a.label = b.label WHERE b.vec_id % 100 = 0 AND a.vec_id % 30 <> 0
+AND 1000 < a.vec_id % 100 + (CASE WHEN a.vec_id % 20 = 0 THEN 60 ELSE 3600 END) AND {COSINE} >= 0.3 GROUP BY 1) x USING (lookup_id)"""
 
 
 @R.add(CACHE_SQL, "embeddings")
 def semantic_cache_hit(embeddings):
-    """The most similar live entry of each lookup's scope."""
-    e = embeddings.withColumn("scope", F.col("label").cast("string"))
-    lookups = e.filter("vec_id % 10 = 1").select(F.col("vec_id").alias("lookup_id"), "scope", F.lit("LIST").alias("kind"), F.lit(1000).cast("long").alias("at"), "embedding")
-    cache = e.filter("vec_id % 10 = 0").select(F.col("vec_id").alias("cached_id"), "scope", F.lit("LIST").alias("kind"), (F.col("vec_id") % 100).alias("stored_at"), F.when(F.col("vec_id") % 20 == 0, 60).otherwise(3600).alias("ttl"), "embedding", (F.col("vec_id") % 30 != 0).alias("safe"))
+    """The most similar live entry of each lookup's scope: a stated set of lookups (every hundredth) in all rows."""
+    e = embeddings.withColumns({"scope": F.col("label").cast("string"), "kind": F.lit("LIST")})
+    lookups = e.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("lookup_id"), "scope", "kind", F.lit(1000).cast("long").alias("at"), "embedding")
+    ttl = F.when(F.col("vec_id") % 20 == 0, 60).otherwise(3600)
+    cache = e.select(F.col("vec_id").alias("cached_id"), "scope", "kind", (F.col("vec_id") % 100).alias("stored_at"), ttl.alias("ttl"), "embedding", (F.col("vec_id") % 30 != 0).alias("safe"))
     return K.semantic_cache(lookups, cache, 0.3).select("lookup_id", "cached_id", F.round("similarity", 6).alias("similarity"))
 
 
@@ -150,30 +154,28 @@ def cache_survivors(events):
     return K.cache_survivors(cache, 100).select(F.col("cached_id").alias("event_id"), "user_id")
 
 
-def _answers(documents):
-    """Answers that cite four chunks, one of which was never retrieved."""
-    d = F.col("doc_id").cast("string")
-    ident = F.concat(F.lit("ab"), d, F.lit("_chunk_0001"))
-    other = F.concat(F.lit("ab"), d, F.lit("_chunk_0002"))
-    answers = documents.select(F.col("doc_id").alias("answer_id"), F.concat(F.substring("text", 1, 80), F.lit(" ["), ident, F.lit(", "), other, F.lit("] and 【"), ident, F.lit("】 but [ffff_chunk_0009].")).alias("answer"))
-    base = documents.select(F.col("doc_id").alias("answer_id"), F.explode(F.array(F.struct(ident.alias("chunk_id"), F.lit(1).alias("page_number")), F.struct(other.alias("chunk_id"), (F.col("doc_id") % 2 + 1).cast("int").alias("page_number")))).alias("c"), F.concat(F.lit("/data/"), F.col("source"), F.lit(".pdf")).alias("source_file"), F.col("text").alias("content"))
-    return answers, base.select("answer_id", "c.chunk_id", "c.page_number", "source_file", "content")
+def _chunk(n):
+    return F.concat(F.lit("ab"), F.col("doc_id").cast("string"), F.lit(f"_chunk_000{n}"))
 
 
-@R.add("""SELECT doc_id AS answer_id, substr(text, 1, 80) || CASE WHEN doc_id % 2 = 0 THEN ' [1]' ELSE ' [1][2]' END || ' and [1] but .' || chr(10) || chr(10) || '**References**' || chr(10) || chr(10) || '1. ' || source || '.pdf (Page 1)' || CASE WHEN doc_id % 2 = 0 THEN '' ELSE chr(10) || '2. ' || source || '.pdf (Page 2)' END AS clean FROM documents
-WHERE source IS NOT NULL AND NOT contains(substr(text, 1, 80), '[') AND NOT contains(substr(text, 1, 80), '【') AND NOT contains(substr(text, 1, 80), ']')""", "documents")
+@R.add("""SELECT doc_id AS answer_id, translate(text, '【】', '[]') || CASE WHEN doc_id % 2 = 0 THEN ' [1]' ELSE ' [1][2]' END || ' and [1] but .' || chr(10) || chr(10) || '**References**' || chr(10) || chr(10) || '1. ' || coalesce(source || '.pdf', 'Unknown') || ' (Page 1)'
+|| CASE WHEN doc_id % 2 = 0 THEN '' ELSE chr(10) || '2. ' || coalesce(source || '.pdf', 'Unknown') || ' (Page 2)' END AS clean FROM documents""", "documents")
 def citation_footnotes(documents):
-    """Citation brackets as footnotes; texts with brackets of their own are left aside so that both engines see the same."""
-    plain = documents.filter(F.col("source").isNotNull() & ~F.substring("text", 1, 80).rlike(r"[\[\]【]"))
-    answers, retrieved = _answers(plain)
-    return Cite.render(answers, retrieved.drop("content"))
+    """Citation brackets as footnotes: each whole text, then three brackets, of which one names what was never retrieved."""
+    answer = F.concat("text", F.lit(" ["), _chunk(1), F.lit(", "), _chunk(2), F.lit("] and 【"), _chunk(1), F.lit("】 but [ffff_chunk_0009]."))
+    pages = F.array(F.struct(_chunk(1).alias("chunk_id"), F.lit(1).alias("page_number")), F.struct(_chunk(2).alias("chunk_id"), (F.col("doc_id") % 2 + 1).cast("int").alias("page_number")))
+    retrieved = documents.select(F.col("doc_id").alias("answer_id"), F.explode(pages).alias("c"), F.concat(F.lit("/data/"), F.col("source"), F.lit(".pdf")).alias("source_file"))
+    return Cite.render(documents.select(F.col("doc_id").alias("answer_id"), answer.alias("answer")), retrieved.select("answer_id", "c.chunk_id", "c.page_number", "source_file"))
 
 
-@R.add("SELECT doc_id AS answer_id, FALSE AS passed, 'citation_mismatch' AS reason FROM documents", "documents")
+@R.add(f"""WITH d AS (SELECT doc_id, text, len(list_filter(list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+')), lambda x: length(x) >= 3 AND x NOT IN ({', '.join(f"'{w}'" for w in T.STOPWORDS)}))) AS n FROM documents),
+g AS (SELECT doc_id, CASE WHEN text IS NULL THEN NULL WHEN doc_id % 3 = 0 THEN 'citation_mismatch' WHEN doc_id % 3 = 2 AND n >= 8 THEN 'unsupported_answer_claim' END AS reason FROM d) SELECT doc_id AS answer_id, reason IS NULL AS passed, reason FROM g""", "documents")
 def citation_guard(documents):
-    """Every answer cites an id that wasn't retrieved."""
-    answers, retrieved = _answers(documents)
-    return Cite.guard(answers, retrieved.select("answer_id", "chunk_id", "content"))
+    """Whole texts as answers: a third cites what wasn't retrieved, a third has its own text as context, a third another one."""
+    k = F.col("doc_id") % 3
+    answers = documents.select(F.col("doc_id").alias("answer_id"), F.concat("text", F.lit(" ["), _chunk(1), F.lit("]"), F.when(k == 0, " [ffff_chunk_0009]").otherwise("")).alias("answer"))
+    retrieved = documents.select(F.col("doc_id").alias("answer_id"), _chunk(1).alias("chunk_id"), F.when(k == 1, F.col("text")).otherwise("qqqq").alias("content"))
+    return Cite.guard(answers, retrieved)
 
 
 @R.add(None)

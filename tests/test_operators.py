@@ -183,3 +183,30 @@ def test_citation_guard(spark):
     retrieved = spark.createDataFrame([(k, "ab_chunk_1", "alpha beta gamma delta") for k in (1, 2, 3)], "answer_id int, chunk_id string, content string")
     got = {r["answer_id"]: (r["passed"], r["reason"]) for r in citations.guard(answers, retrieved).collect()}
     assert got == {1: (True, None), 2: (False, "citation_mismatch"), 3: (False, "unsupported_answer_claim"), 4: (True, None)}
+
+
+def test_citations_without_file_or_page(spark):
+    answers = spark.createDataFrame([(1, "one [ab_chunk_1] two [cd_chunk_1, ef_chunk_1] three [ff_chunk_9]"), (2, None)], "answer_id int, answer string")
+    retrieved = spark.createDataFrame([(1, "ab_chunk_1", None, 3), (1, "cd_chunk_1", "/x/y.pdf", None), (1, "ef_chunk_1", None, None)], "answer_id int, chunk_id string, source_file string, page_number int")
+    got = {r["answer_id"]: r["clean"] for r in citations.render(answers, retrieved).collect()}
+    assert got == {1: "one [1] two [2][3] three \n\n**References**\n\n1. Unknown (Page 3)\n2. y.pdf\n3. Unknown", 2: None}
+
+
+def test_pinned_rows_without_a_flag(spark):
+    df = spark.createDataFrame([(1, 1, None), (1, 2, False), (1, 3, True)], "q int, o int, f boolean")
+    assert {r["o"]: r["place"] for r in K.pin_first(df, F.col("f"), "q", "o").collect()} == {3: 1, 1: 2, 2: 3}
+
+
+def test_budget_of_whole_lists(spark, data):
+    """Every document is in one list, and the fold is that of a plain loop."""
+    from tessera.functions import text as T
+    from tessera.queries import QUERIES
+
+    got = {r["doc_id"]: r["taken"] for r in QUERIES["budget_fill"](spark, data).collect()}
+    docs = table(spark, data, "documents").select("doc_id", "n_chars", T.token_estimate("text").alias("n")).collect()
+    expected, state = {}, {}
+    for d in sorted(docs, key=lambda d: (d["doc_id"] // 100, -d["n_chars"], d["doc_id"])):
+        total = state.get(d["doc_id"] // 100)
+        expected[d["doc_id"]] = total is None or total + d["n"] <= 1500
+        state[d["doc_id"] // 100] = (total or 0) + (d["n"] if expected[d["doc_id"]] else 0)
+    assert got == expected
