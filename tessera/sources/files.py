@@ -196,3 +196,25 @@ def read_dump(spark: SparkSession, path: str) -> DataFrame:
     values = F.regexp_extract("s", r"(?is)\bvalues\s*(.*)$", 1)
     tuples = F.regexp_extract_all(values, F.lit(r"(\((?:[^()'\"]|'(?:[^'\\]|\\.|'')*'|\"(?:[^\"\\]|\\.)*\")*\))"), 1)
     return clean.select(name.alias("table"), F.explode(tuples).alias("row"))
+
+
+def load_dump(rows: DataFrame, table: str, schema: dict[str, str]) -> tuple[DataFrame, DataFrame]:
+    """Typed rows of one table of a dump, and (error, n) of those that aren't of its schema (name -> type).
+
+    ``rows`` are those of :func:`read_dump`. Quotes, escapes and NULL are resolved; a row with another number of
+    values, or with a value that its column's type doesn't take, is counted instead of loaded."""
+    inside = F.expr("substring(row, 2, length(row) - 2)")
+    cells = F.regexp_extract_all(F.concat(F.lit(","), inside), F.lit(r",\s*('(?:[^'\\]|\\.|'')*'|\"(?:[^\"\\]|\\.)*\"|[^,'\"]*)\s*"), 1)
+
+    def value(c: Column) -> Column:
+        text = F.regexp_replace(F.substring(c, F.lit(2), F.length(c) - 2), "''", "'")
+        text = F.regexp_replace(F.regexp_replace(F.regexp_replace(text, r"(?<!\\)((?:\\\\)*)\\n", "$1\n"), r"(?<!\\)((?:\\\\)*)\\t", "$1\t"), r"\\(.)", "$1")
+        return F.when(F.upper(F.trim(c)) == "NULL", None).when(c.rlike(r"^['\"]"), text).otherwise(F.trim(c))
+
+    parsed = rows.filter(F.lower("table") == table.lower()).select(cells.alias("raw")).select(F.transform("raw", value).alias("v"))
+    typed = parsed.select("v", *[F.get("v", F.lit(k)).try_cast(kind).alias(name) for k, (name, kind) in enumerate(schema.items())])
+    wrong = F.when(F.size("v") != len(schema), F.lit("number of values"))
+    for k, name in enumerate(schema):
+        wrong = wrong.when(F.get("v", F.lit(k)).isNotNull() & F.col(f"`{name}`").isNull(), F.lit(f"type of {name}"))
+    marked = typed.withColumn("error", wrong)
+    return marked.filter("error is null").select(*[f"`{c}`" for c in schema]), marked.filter("error is not null").groupBy("error").agg(F.count("*").alias("n"))
