@@ -31,17 +31,17 @@ def bank_coverage(orders, lineitem, part):
     return E.bank_coverage(orders.join(named, "o_orderkey", "left"), schema, ["o_orderstatus", "o_orderpriority"])
 
 
-ENTITIES = {"weather": ["weather", "rain", "harvest"], "market": ["market", "price", "prices"], "city": ["city", "council", "town"]}
-_NEEDS = ", ".join(f"CASE WHEN regexp_matches(lower(coalesce(text, '')), '(^|[^a-z0-9_])({'|'.join(words)})($|[^a-z0-9_])') THEN '{name}' END" for name, words in ENTITIES.items())
+ENTITIES = {"paint": ["red", "blue", "green"], "tool": ["anvil", "hammer", "red anvil"], "valve": ["valve", "pump", "widget"]}
+_NEEDS = ", ".join(f"CASE WHEN regexp_matches(lower(coalesce(p_name, '')), '(^|[^a-z0-9_])({'|'.join(words)})($|[^a-z0-9_])') THEN '{name}' END" for name, words in ENTITIES.items())
 
 
-@R.add(f"""WITH d AS (SELECT doc_id, list_filter([{_NEEDS}], lambda x: x IS NOT NULL) AS need, CASE doc_id % 3 WHEN 0 THEN 'Weather(day), MARKET(id)' WHEN 1 THEN 'market(id), city(id)' END AS shown FROM documents)
-SELECT doc_id, array_to_string(need, ',') AS required, array_to_string(list_filter(need, lambda x: NOT contains(lower(coalesce(shown, '')), x)), ',') AS missing, len(list_filter(need, lambda x: NOT contains(lower(coalesce(shown, '')), x))) = 0 AS sufficient FROM d""", "documents")
-def schema_sufficiency(documents):
-    """Texts as questions, held against the schema that was retrieved for them."""
-    shown = F.when(F.col("doc_id") % 3 == 0, "Weather(day), MARKET(id)").when(F.col("doc_id") % 3 == 1, "market(id), city(id)")
-    out = G.schema_sufficiency(documents.withColumn("shown", shown), "text", "shown", ENTITIES)
-    return out.select("doc_id", F.array_join("required_tables", ",").alias("required"), F.array_join("missing_tables", ",").alias("missing"), "sufficient")
+@R.add(f"""WITH d AS (SELECT p_partkey, list_filter([{_NEEDS}], lambda x: x IS NOT NULL) AS need, CASE p_partkey % 3 WHEN 0 THEN 'Paint(shade), TOOL(id)' WHEN 1 THEN 'tool(id), valve(id)' END AS shown FROM part)
+SELECT p_partkey, array_to_string(need, ',') AS required, array_to_string(list_filter(need, lambda x: NOT contains(lower(coalesce(shown, '')), x)), ',') AS missing, len(list_filter(need, lambda x: NOT contains(lower(coalesce(shown, '')), x))) = 0 AS sufficient FROM d""", "part")
+def schema_sufficiency(part):
+    """Part names as questions, held against the schema that was retrieved for them."""
+    shown = F.when(F.col("p_partkey") % 3 == 0, "Paint(shade), TOOL(id)").when(F.col("p_partkey") % 3 == 1, "tool(id), valve(id)")
+    out = G.schema_sufficiency(part.withColumn("shown", shown), "p_name", "shown", ENTITIES)
+    return out.select("p_partkey", F.array_join("required_tables", ",").alias("required"), F.array_join("missing_tables", ",").alias("missing"), "sufficient")
 
 
 @R.add("SELECT doc_id, CASE WHEN doc_id % 6 < 5 THEN 'SELECT name FROM t WHERE id = ' || CAST(doc_id AS VARCHAR) END AS statement FROM documents", "documents")
