@@ -11,7 +11,8 @@ two similar sets agree on the whole of one segment at least. A set that shares n
 query is bounded only against groups with a member that shares a segment with it. Frequent words, lines or passages don't
 make segments hot, as a segment holds all of a set's tokens in it; sets that are nearly equal do, so
 
-1. every set is compared with one hub of each of two partitions, which joins groups of near copies in linear time;
+1. every set is compared with its group's hub, the set of which others share most, which joins groups of near copies in
+   linear time;
 2. in each segment only sets outside its largest component are bounded against the groups that occur there; members of
    one component needn't be compared, since links inside it change nothing (``links`` can list them all the same).
 
@@ -33,7 +34,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from .components import components
 from .rolling import U64, buffers, mix64, seeds, word_hashes
@@ -121,9 +122,12 @@ def _sets(rows: DataFrame, wanted: DataFrame) -> DataFrame:
     return found.join(limit(wanted.select("node")), "node", "left_semi").dropDuplicates(["node"])
 
 
-def _partition(members: DataFrame, sizes: DataFrame, key: Column) -> DataFrame:
-    """(node, big): the group of similar sets that each set belongs to, by one of the segments that it shares."""
-    return members.groupBy("node").agg(key.alias("big")).join(sizes.hint("merge"), "node")
+def _partition(members: DataFrame, sizes: DataFrame) -> DataFrame:
+    """(node, big, n, score): the group of similar sets that each set belongs to, by the segment that it shares with most others.
+
+    ``score`` tells how much of a set others have: among copies of one text with changes of their own, the text has most."""
+    shared = members.groupBy("node").agg(F.max(F.struct("c", "seg")).getField("seg").alias("big"), F.sum("c").alias("score"))
+    return shared.join(sizes.hint("merge"), "node")
 
 
 def _small(groups: DataFrame) -> DataFrame:
@@ -211,12 +215,12 @@ def _cells(members: DataFrame, groups: DataFrame, outside: DataFrame) -> DataFra
 
 
 def _shared(base: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Sets (node, n, id, copies) that rows have, and members (seg, node) of segments that several sets share."""
+    """Sets (node, n, id, copies) that rows have, and members (seg, node, c: sets of the segment) of segments that several sets share."""
     nodes = base.filter("n > 0 and id is not null").groupBy("node").agg(F.first("n").alias("n"), F.min("id").alias("id"), F.first("segs").alias("segs"))
     nodes = cut(nodes, "jaccard-nodes")
     keys = nodes.select("node", F.explode("segs").alias("seg"))
-    several = keys.groupBy("seg").agg(F.min("node").alias("x"), F.max("node").alias("y")).filter("x <> y").select("seg")
-    members = cut(keys.join(several.hint("merge"), "seg").select("seg", "node").distinct(), "jaccard-members")
+    several = keys.groupBy("seg").agg(F.min("node").alias("x"), F.max("node").alias("y"), F.count("*").alias("c")).filter("x <> y").select("seg", "c")
+    members = cut(keys.join(several.hint("merge"), "seg").groupBy("seg", "node").agg(F.first("c").alias("c")), "jaccard-members")
     return nodes, members
 
 
@@ -234,24 +238,20 @@ def _prepared(docs: DataFrame, id_col: str, text_col: str, percent: int) -> tupl
 def _classes(docs: DataFrame, id_col: str, text_col: str, percent: int) -> tuple[DataFrame, DataFrame]:
     """Rows (id, n, node) and (node, component) of linked sets."""
     base, members, sizes, sets = _prepared(docs, id_col, text_col, percent)
-    stars = []
-    for k, key in enumerate((F.min("seg"), F.max("seg"))):
-        big = _partition(members, sizes, key)
-        hubs = big.groupBy("big").agg(F.min(F.struct(F.xxhash64("node", F.lit(k)), "node")).getField("node").alias("hub"))
-        found = big.join(hubs.hint("merge"), "big").filter("node <> hub").select("node", F.col("hub").alias("group"))
-        stars.append(found)
-    cells = cut(stars[0].unionByName(stars[1]).distinct(), "jaccard-cells")
+    big = cut(_partition(members, sizes), "jaccard-big")
+    hubs = big.groupBy("big").agg(F.max(F.struct("score", "node")).getField("node").alias("hub"))
+    cells = cut(big.join(hubs.hint("merge"), "big").filter("node <> hub").select("node", F.col("hub").alias("group")), "jaccard-cells")
     links = cut(_open(cells, cells.select("group", F.col("group").alias("node")).distinct(), sets, None, percent), "jaccard-links")
     drop_cut(cells)
     labels = components(links)
-    groups = cut(_small(_partition(members, sizes, F.min("seg"))), "jaccard-groups")
+    groups = cut(_small(big), "jaccard-groups")
     at = members.join(labels.hint("merge"), "node", "left").select("seg", "node", F.coalesce("component", "node").alias("component"))
     per = at.groupBy("seg", "component").agg(F.count("*").alias("n")).groupBy("seg").agg(F.max(F.struct("n", "component")).getField("component").alias("top"), F.count("*").alias("parts")).filter("parts > 1")
     split = cut(at.join(per.select("seg", "top").hint("merge"), "seg"), "jaccard-split")
     cells = cut(_cells(split, groups, split.filter("component <> top").select("seg", "node")), "jaccard-cells")
     more = cut(_open(cells, groups.select("node", "group"), sets, labels, percent), "jaccard-links")
     final = components(links.unionByName(more))
-    for x in (labels, groups, split, cells, links, more):
+    for x in (big, labels, groups, split, cells, links, more):
         drop_cut(x)
     return base, final
 
@@ -272,7 +272,7 @@ def links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", perce
 
     All members of near-copy groups are compared here, so this takes time with the square of such a group."""
     base, members, sizes, sets = _prepared(docs, id_col, text_col, percent)
-    groups = cut(_small(_partition(members, sizes, F.min("seg"))), "jaccard-groups")
+    groups = cut(_small(_partition(members, sizes)), "jaccard-groups")
     cells = cut(_cells(members, groups, members), "jaccard-cells")
     found = cut(_open(cells, groups.select("node", "group"), sets, None, percent), "jaccard-links")
     for x in (groups, cells):
