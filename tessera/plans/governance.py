@@ -1,7 +1,6 @@
 """Checks of SQL statements: one at a time before it runs, or a whole log of statements as a DataFrame.
 
-Parsing is left to Spark: ``EXPLAIN EXTENDED`` parses and analyses a statement without running it, and the
-checks read the plan it returns. A log of statements is linted by expressions over its text, so that
+Parsing and analysis are left to Spark, and the checks walk its trees (``tree``). A log of statements is linted by expressions over its text, so that
 millions of logged statements are one scan."""
 
 from __future__ import annotations
@@ -13,12 +12,11 @@ from pyspark.errors import AnalysisException, ParseException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions.classify import temporal_intent
+from .tree import TABLE_FUNCTIONS, Trees, analysed, estimated_rows
 
 ROW_CAP, CARTESIAN_CAP = 500, 100
 # Functions that reach outside the data, or waste time.
 BLOCKED = "load_file loadfile sys_eval sys_exec sys_get lo_import lo_export benchmark sleep get_lock release_lock release_all_locks is_free_lock is_used_lock java_method reflect try_reflect input_file_name".split()
-# Plan nodes of statements that change something.
-CHANGES = r"InsertInto|CreateTable|CreateView|CreateNamespace|CreateFunction|CreateVariable|ReplaceTable|Drop|DeleteFrom|UpdateTable|MergeInto|Truncate|Alter|Rename|SetCommand|SetCatalog|SetNamespace|AddColumns|RunnableCommand|CacheTable|UncacheTable|Refresh|Repair|Analyze|LoadData|ResetCommand|AddJar|AddFile|Comment|Show|Describe"
 
 
 @dataclass
@@ -29,86 +27,58 @@ class Verdict:
     warnings: list[str] = field(default_factory=list)
     tables: list[str] = field(default_factory=list)
     cartesian: bool = False
+    rows: DataFrame | None = None  # what the statement returns, if it may be analysed
 
     @property
     def ok(self) -> bool:
         return not self.errors
 
 
-def _plans(spark: SparkSession, sql: str) -> tuple[str, str]:
-    """The parsed and the analysed plan as text."""
-    text = spark.sql("EXPLAIN EXTENDED " + sql.strip().rstrip(";")).first()[0]
-    parsed = text.partition("== Parsed Logical Plan ==")[2].partition("== Analyzed Logical Plan ==")
-    return parsed[0], parsed[2].partition("== Optimized Logical Plan ==")[0]
+def check(spark: SparkSession, sql: str, allowed: list[str] | None = None, functions: list[str] | None = None) -> Verdict:
+    """Whether one statement only reads allowed tables, by built-in functions that compute or by declared ``functions``.
 
-
-def _bare(sql: str) -> str:
-    """A statement without comments and with empty literals."""
-    parts = re.sub(r"--[^\n]*|/\*.*?\*/|('(?:[^'\\]|\\.|'')*'|\"(?:[^\"\\]|\\.)*\")", lambda m: "''" if m[1] else " ", sql or "", flags=re.S)
-    return parts.strip()
-
-
-def _unknown_relations(spark: SparkSession, sql: str, allowed: list[str] | None) -> list[str]:
-    """Relations of several parts that are no known table. They are read off the parsed statement: while Spark
-    analyses it, a name such as format.`path` already opens files, whatever the format."""
-    plan = spark._jsparkSession.sessionState().sqlParser().parsePlan(sql).toString()
-    names = [x.split(", ") for x in re.findall(r"UnresolvedRelation \[([^\]]*)\]", plan)]
-    known = {a.lower() for a in allowed or []}
-    plain = lambda x: all(re.fullmatch(r"\w+", y) for y in x)
-    return sorted({".".join(x) for x in names if len(x) > 1 and ".".join(x).lower() not in known and not (allowed is None and plain(x) and spark.catalog.tableExists(".".join(x)))})
-
-
-def check(spark: SparkSession, sql: str, allowed: list[str] | None = None) -> Verdict:
-    """Whether one statement only reads allowed tables, by safe means."""
-    out = Verdict()
-    bare = _bare(sql)
-    if not re.match(r"\s*[(\s]*(SELECT|WITH|VALUES)\b", bare, re.I):
-        out.errors.append("not a read-only statement")
-        return out
+    The statement is judged as parsed, before Spark looks anything up: no name in it has opened a file or run code by then.
+    Only what passes is analysed, and its functions are judged again by what they have become."""
+    out, trees = Verdict(), Trees(spark)
+    known = None if allowed is None else {a.lower() for a in allowed}
     try:
-        if unknown := _unknown_relations(spark, sql.strip().rstrip(";"), allowed):
-            out.errors.append(f"reads what is no table: {', '.join(unknown)}")
-            return out
-        parsed, analysed = _plans(spark, sql)
+        found = trees.written(sql or "")
     except ParseException as e:
         out.errors.append(f"can't be parsed: {str(e).splitlines()[0][:200]}")
         return out
-    except AnalysisException as e:
-        out.errors.append(f"unresolved: {str(e).splitlines()[0][:300]}")
-        return out
-    if m := re.search(rf"(?m)^[\s:+\-']*({CHANGES})", parsed):
-        out.errors.append(f"changes data or settings: {m[1]}")
-    for name in BLOCKED:
-        if re.search(rf"\b{name}\s*\(", bare, re.I):
-            out.errors.append(f"blocked function: {name}")
-    relations = [x.strip() for x in re.findall(r"UnresolvedRelation \[([^\]]*)\]", parsed)]
-    ctes = {x.strip().lower() for names in re.findall(r"(?i)CTE \[([^\]]*)\]", parsed) for x in names.split(",")}
-    out.tables = sorted({x for x in relations if x.lower() not in ctes})
+    out.tables, out.cartesian = sorted(found.relations), found.cartesian
+    if found.refused:
+        out.errors.append(f"does more than read: {', '.join(sorted(found.refused))}")
+    for name in trees.unsafe_functions(found.functions, {f.lower() for f in functions or []}) + sorted(found.table_functions - TABLE_FUNCTIONS - {f.lower() for f in functions or []}):
+        out.errors.append(f"blocked function: {name}")
     for x in out.tables:
-        if allowed is not None and x.lower() not in {a.lower() for a in allowed}:
+        if (x.lower() not in known) if known is not None else (found.parts[x] > 1 and not (re.fullmatch(r"[\w.]+", x) and spark.catalog.tableExists(x))):
             out.errors.append(f"unknown table: {x}")
-    if allowed is not None and (shadow := ctes & {a.lower() for a in allowed}):
+    if known is not None and (shadow := found.common & known):
         out.errors.append(f"a common table hides a table: {', '.join(sorted(shadow))}")
-    if m := re.search(r"\[(?:UNRESOLVED|TABLE_OR_VIEW|AMBIGUOUS|MISSING)[^\]]*\][^\n]*", analysed):
-        out.errors.append(f"unresolved: {m[0][:300]}")
-    out.cartesian = bool(re.search(r"(?m)Join (Inner|Cross)\s*$", parsed) or re.search(r"\bCROSS\s+JOIN\b", bare, re.I))
-    if out.cartesian:
-        out.warnings.append("cartesian product")
-    if re.search(r"(?m)Project \[\*\]", parsed) or re.search(r"(?i)\bselect\s+(?:distinct\s+)?(?:\w+\.)?\*", bare):
-        out.warnings.append("selects all columns")
-    if re.search(r"(?i)(=|<>|!=)\s*null\b", bare):
-        out.warnings.append("compares with NULL")
-    if re.search(r"(?i)\bjoin\b", bare) and not re.search(r"(?i)\bwhere\b", bare):
-        out.warnings.append("joins without a filter")
+    if out.errors:
+        return out
+    try:
+        out.rows = spark.sql(sql)
+        for kind in trees.outside(analysed(out.rows)):
+            if kind not in (functions or []):
+                out.errors.append(f"blocked expression: {kind}")
+    except AnalysisException as e:
+        out.errors.append(f"unresolved: {str(e).splitlines()[0][:300]}")
+        return out
+    joins = found.nodes & {"Join", "LateralJoin"}
+    for what, is_so in (("cartesian product", found.cartesian), ("selects all columns", found.star), ("compares with NULL", found.null_comparison), ("joins without a filter", joins and "Filter" not in found.nodes)):
+        if is_so:
+            out.warnings.append(what)
     return out
 
 
-def run(spark: SparkSession, sql: str, allowed: list[str] | None = None, cap: int = ROW_CAP) -> DataFrame:
+def run(spark: SparkSession, sql: str, allowed: list[str] | None = None, cap: int = ROW_CAP, functions: list[str] | None = None) -> DataFrame:
     """The rows of a checked statement, at most ``cap`` and at most CARTESIAN_CAP of a cartesian product."""
-    verdict = check(spark, sql, allowed)
+    verdict = check(spark, sql, allowed, functions)
     if not verdict.ok:
         raise PermissionError("; ".join(verdict.errors))
-    return spark.sql(sql.strip().rstrip(";")).limit(min(cap, CARTESIAN_CAP) if verdict.cartesian else cap)
+    return verdict.rows.limit(min(cap, CARTESIAN_CAP) if verdict.cartesian else cap)
 
 
 def misleading_aliases(sql: str, question: str, columns: list[str]) -> list[str]:
@@ -121,12 +91,60 @@ def misleading_aliases(sql: str, question: str, columns: list[str]) -> list[str]
     return out
 
 
+def _analysed(spark: SparkSession, sql: str):
+    """The analysed tree of a statement that passes the check."""
+    verdict = check(spark, sql)
+    if not verdict.ok:
+        raise PermissionError("; ".join(verdict.errors))
+    return Trees(spark), analysed(verdict.rows)
+
+
 def text_sums(spark: SparkSession, frames: dict[str, DataFrame], sql: str) -> list[str]:
-    """Text columns that a statement sums or averages without a cast."""
-    kinds = {c.lower() for df in frames.values() for c, k in df.dtypes if k == "string"}
-    inside = re.findall(r"(?i)\b(?:sum|avg)\s*\(([^()]*)\)", _bare(sql))
-    used = [c for x in inside for c in re.findall(r"(?:\b\w+\.)?\b([A-Za-z_]\w*)\b", x)]
-    return sorted({c for c in used if c.lower() in kinds})
+    """Text columns that a statement over the views of ``frames`` sums or averages without a cast."""
+    trees, plan = _analysed(spark, sql)
+    own = {c for df in frames.values() for c in df.columns}
+    return sorted(trees.summed_texts(plan) & own)
+
+
+def column_lineage(spark: SparkSession, sql: str) -> dict[str, set[str]]:
+    """For each column of a statement's result the columns (table.column) that it comes from, through aliases, common tables and subqueries."""
+    trees, plan = _analysed(spark, sql)
+    return {name: {f"{t}.{c}" if t else c for t, c in origin} for name, _, origin in trees.lineage(plan)}
+
+
+#: Words of questions that name nothing.
+STOP = {"a", "an", "and", "are", "by", "for", "from", "how", "in", "is", "many", "much", "of", "per", "the", "to", "total", "what", "which", "with"}
+
+
+def dishonest_aliases(spark: SparkSession, sql: str, question: str) -> list[str]:
+    """Result columns that bear words of the question but are a single column, as it is, whose name has none of them."""
+    trees, plan = _analysed(spark, sql)
+    asked = set(re.findall(r"\w+", question.lower())) - STOP
+    words = lambda name: {w for w in name.lower().split("_") if w not in STOP}
+    return [name for name, plain, origin in trees.lineage(plan) if plain and len(origin) == 1 and words(name) & asked and not words(name) & words(next(iter(origin))[1])]
+
+
+def unknown_aliases(spark: SparkSession, sql: str, vocabulary: list[str]) -> list[str]:
+    """Result columns that are computed, or constants, under names with a word that neither their columns nor ``vocabulary`` (metrics, glossary) have."""
+    trees, plan = _analysed(spark, sql)
+    known = {w for v in vocabulary for w in v.lower().split("_")}
+    return [name for name, plain, origin in trees.lineage(plan) if not plain and set(name.lower().split("_")) - known - {w for _, c in origin for w in c.lower().split("_")}]
+
+
+def temporal_bound(spark: SparkSession, question: str, sql: str) -> bool:
+    """False where the question bounds a time and no condition of the statement compares a date."""
+    asks = spark.createDataFrame([(question,)], "q string").select(temporal_intent("q").alias("t")).first()["t"]
+    trees, plan = _analysed(spark, sql)
+    return not asks or trees.bounds_time(plan)
+
+
+def estimate(spark: SparkSession, sql: str, allowed: list[str] | None = None) -> tuple[str, int]:
+    """(finding, rows): critical for a cartesian product, warning above ROW_CAP, else info, by the optimizer's estimate of the result."""
+    verdict = check(spark, sql, allowed)
+    if not verdict.ok:
+        raise PermissionError("; ".join(verdict.errors))
+    n = estimated_rows(verdict.rows)
+    return ("critical" if verdict.cartesian else "warning" if n > ROW_CAP else "info"), n
 
 
 def lint(statements: DataFrame, sql_col: str = "sql") -> DataFrame:
