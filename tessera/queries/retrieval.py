@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Window, functions as F
 
 from ..functions import text as T, vectors as V
-from ..operators import citations as Cite, ranking as K
+from ..operators import citations as Cite, ivf, ranking as K
+from ..session import shared_folder, table
 from .registry import Registry
 from .text import questions
 
@@ -32,6 +35,16 @@ def cosine_topk_batch(embeddings):
     return K.dense_top_k_each(embeddings, queries, 10, "vec_id").select("query_id", "vec_id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
+@R.add(f"SELECT query_id, vec_id, round(score, 6) AS score, r AS rank FROM (SELECT b.vec_id AS query_id, a.vec_id, {COSINE} AS score, row_number() OVER (PARTITION BY b.vec_id ORDER BY {COSINE} DESC, a.vec_id) AS r FROM embeddings a, embeddings b WHERE b.vec_id % 100 = 0) WHERE r <= 10")
+def ivf_topk(spark, sf_dir):
+    """The ten best for every hundredth vector, through an inverted file of all rows that is searched until no other bucket can hold a better one."""
+    embeddings = table(spark, sf_dir, "embeddings")
+    index = ivf.build(embeddings, f"{shared_folder(spark)}/tessera-ivf-{uuid.uuid4().hex}", "vec_id")
+    queries = embeddings.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+    found = ivf.search(spark, index, queries, 10, exact=True)
+    return found.select("query_id", F.col("id").alias("vec_id"), F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
+
+
 TERMS_SQL = "terms AS (SELECT doc_id, term, count(*) AS weight FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS term FROM documents) GROUP BY ALL)"
 
 
