@@ -1,16 +1,16 @@
 """Suppression of repeated passages in ranked results.
 
-Results are lists of bounded length (the retrieval limit), one for each query; the greedy rule is a fold over
-such a list. Repeats across the whole corpus are found by fingerprint, as a window over each fingerprint."""
+The greedy rule is a fold over a short list (a column of arrays), or rounds over the similar pairs of lists of any
+length. Repeats across the whole corpus are found by fingerprint, as a window over each fingerprint."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.text import dedup_tokens, fingerprint, jaccard
+from ..session import written
 
 MIN_TOKENS = 12
-MAX_RESULTS = 1000
 
 
 def exact_copies(df: DataFrame, text_col: str, order: list[Column], partition: list[str] | None = None) -> DataFrame:
@@ -34,9 +34,53 @@ def near_duplicates(ranked: Column, threshold: float = 0.9, least: int = MIN_TOK
     return F.transform(F.aggregate(items, F.expr(f"cast(array() as {kind})"), step), lambda k: k["id"])
 
 
-def suppress(results: DataFrame, query_col: str, id_col: str, text_col: str, order_col: str, threshold: float = 0.9) -> DataFrame:
-    """(query, id) of the results that stay, for result lists of at most MAX_RESULTS rows; longer lists raise."""
-    item = F.struct(F.col(order_col).alias("o"), F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text"))
-    lists = results.groupBy(query_col).agg(F.array_sort(F.collect_list(item)).alias("items"))
-    lists = lists.withColumn("items", F.when(F.size("items") <= MAX_RESULTS, F.col("items")).otherwise(F.raise_error(F.lit("a result list is longer than the retrieval limit"))))
-    return lists.select(query_col, F.explode(near_duplicates(F.col("items"), threshold)).alias(id_col))
+def similar_pairs(items: DataFrame, threshold: float, least: int = MIN_TOKENS) -> DataFrame:
+    """(a, b): items (node, query, rank, t: distinct tokens, n) of one list of which the later one, b, nearly repeats a.
+
+    Of two sets that are similar enough, the first tokens in one order of all tokens share one, if so many are taken that
+    the rest is too small to make up for it. Rare tokens come first, so few sets meet in one."""
+    slots = lambda n: n - F.ceil(F.lit(threshold) * n - 1e-9) + 1
+    tokens = items.select("query", "node", "rank", "n", F.explode("t").alias("token"))
+    common = tokens.groupBy("token").agg(F.count("*").alias("df"))
+    ordered = tokens.join(common, "token").groupBy("node").agg(F.any_value("query").alias("query"), F.any_value("rank").alias("rank"), F.any_value("n").alias("n"), F.array_sort(F.collect_list(F.struct("df", "token"))).alias("t"))
+    first = ordered.select("query", "node", "rank", "n", F.explode(F.transform(F.slice("t", F.lit(1), slots(F.col("n")).cast("int")), lambda x: x["token"])).alias("token"))
+    x, y = first.alias("x"), first.alias("y")
+    fits = (F.col("y.n") >= least) & (F.least("x.n", "y.n") >= F.lit(threshold) * F.greatest("x.n", "y.n") - 1e-9)
+    met = x.join(y, F.col("x.query").eqNullSafe(F.col("y.query")) & (F.col("x.token") == F.col("y.token")) & (F.col("x.rank") < F.col("y.rank")) & fits).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
+    sets = items.select("node", "t")
+    both = met.join(sets.withColumnsRenamed({"node": "a", "t": "s"}), "a").join(sets.withColumnsRenamed({"node": "b", "t": "u"}), "b")
+    return both.filter(jaccard(F.col("s"), F.col("u")) >= threshold).select("a", "b")
+
+
+def first_independent(edges: DataFrame) -> DataFrame:
+    """(node): what goes if, in order, every node goes that an earlier one which stays points to by an edge (a, b).
+
+    In each round nodes that nothing points to stay, and those that they point to go; edges of both are left out. Rounds
+    grow with the longest chain of nodes that wait for each other, not with their number."""
+    gone = None
+    edges = written(edges, "edges")
+    while not edges.isEmpty():
+        stay = edges.select(F.col("a").alias("node")).distinct().join(edges.select(F.col("b").alias("node")).distinct(), "node", "left_anti")
+        out = written(edges.join(stay, edges["a"] == stay["node"], "left_semi").select(F.col("b").alias("node")).distinct(), "gone")
+        gone = out if gone is None else gone.unionByName(out)
+        left = edges.join(out, edges["a"] == out["node"], "left_anti")
+        left = left.join(out, left["b"] == out["node"], "left_anti")
+        edges = written(left.join(stay, left["a"] == stay["node"], "left_anti"), "edges")
+    return edges.select(F.col("a").alias("node")) if gone is None else gone.distinct()
+
+
+def suppress(results: DataFrame, query_col: str, id_col: str, text_col: str, order_col: str, threshold: float = 0.9, least: int = MIN_TOKENS) -> DataFrame:
+    """(query, id) of the results that stay, for result lists of any length, by the rule of :func:`near_duplicates`.
+
+    The first of texts with one fingerprint speaks for all of them: what it nearly repeats, its copies do too. The others
+    are paired by a set-similarity join, and the greedy rule runs in rounds over the pairs. Null queries are one list;
+    ties of order are broken by id, then by fingerprint."""
+    if not threshold > 0:
+        raise ValueError("a threshold is above 0")
+    rows = results.select(F.monotonically_increasing_id().alias("node"), F.col(query_col).alias("query"), F.col(id_col).cast("string").alias("id"), F.col(order_col).alias("o"), dedup_tokens(text_col).alias("all"))
+    rows = rows.select("node", "query", "id", "o", F.sha1(F.array_join("all", " ")).alias("f"), F.array_distinct("all").alias("t"))
+    items = written(rows.withColumns({"rank": F.struct("o", "id", "f", "node"), "n": F.size("t").cast("long")}), "items")
+    firsts = items.groupBy("query", "f").agg(F.min("rank").alias("rank")).select(F.col("rank.node").alias("node"))
+    items = written(items.join(firsts, "node", "left_semi"), "firsts")
+    stay = items if threshold > 1 else items.join(first_independent(similar_pairs(items, threshold, least)), "node", "left_anti")
+    return stay.select(F.col("query").alias(query_col), F.col("id").alias(id_col))
