@@ -20,15 +20,25 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 MAGIC = [("25504446", "pdf"), ("504B0304", "zip"), ("D0CF11E0A1B11AE1", "ole"), ("89504E47", "image"), ("FFD8FF", "image"), ("47494638", "image"), ("424D", "image"), ("49492A00", "image"), ("4D4D002A", "image")]
 EXTENSIONS = {"pdf": "pdf", "docx": "docx", "doc": "doc", "pptx": "pptx", "ppt": "ppt", "xlsx": "xlsx", "xls": "xls", "csv": "csv", "tsv": "tsv", "md": "markdown", "markdown": "markdown", "txt": "plaintext", "html": "html", "htm": "html", "xml": "xml", "json": "json", "png": "image", "jpg": "image", "jpeg": "image", "gif": "image", "bmp": "image", "tiff": "image", "tif": "image", "webp": "image", "svg": "image"}
 PACKAGES = ("docx", "pptx", "xlsx")
+PARSED = (*PACKAGES, "html", "json", "plaintext", "markdown", "xml", "csv", "tsv")
 OLD = ("doc", "ppt", "xls")
 MAX_FILE = 256 << 20  # packages, pages and JSON beyond it raise: their parsers hold a file whole
 
 
+def hidden_below(spark: SparkSession, folder: str) -> Column:
+    """Whether a file's path has a part below ``folder`` that starts with a dot; the folder's own path may have such parts."""
+    jpath = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = jpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    root = fs.makeQualified(jpath).toUri().getPath()
+    # paths of files differ in how they write scheme and host, so both count from where their own path begins
+    path = F.regexp_replace("path", r"^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?", "")
+    return F.substring(path, F.lit(len(root) + 1), F.length("path")).rlike(r"(^|/)\.")
+
+
 def discover(spark: SparkSession, folder: str) -> DataFrame:
     """(path, modificationTime, length, content) of a folder's files, without hidden and empty ones."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
-    below = F.expr(f"substring(path, instr(path, '{folder.rstrip('/').split('/')[-1]}'))")
-    return files.filter((F.col("length") > 0) & ~below.rlike(r"/\."))
+    return files.filter((F.col("length") > 0) & ~hidden_below(spark, folder))
 
 
 def category(path: Column, content: Column) -> Column:
@@ -106,7 +116,11 @@ def _docx(z: zipfile.ZipFile) -> Iterator[str]:
 def _pptx(z: zipfile.ZipFile) -> Iterator[str]:
     number = lambda n: int(re.search(r"(\d+)\.xml", n)[1])
     for name in sorted((n for n in z.namelist() if re.fullmatch(r"ppt/slides/slide\d+\.xml", n)), key=number):
-        text = [t for t in _strings(ElementTree.fromstring(z.read(name)), "t") if t.strip()]
+        slide = ElementTree.fromstring(z.read(name))
+        tables = [x for x in slide.iter() if x.tag.endswith("}tbl")]
+        inside = {id(t) for table in tables for t in table.iter()}
+        text = [x.text for x in slide.iter() if x.tag.endswith("}t") and id(x) not in inside and (x.text or "").strip()]
+        text += [" | ".join("".join(_strings(c, "t")).strip() for c in row if c.tag.endswith("}tc")) for table in tables for row in table if row.tag.endswith("}tr")]
         notes = f"ppt/notesSlides/notesSlide{number(name)}.xml"
         if notes in z.namelist():
             text.append("Notes: " + " ".join(_strings(ElementTree.fromstring(z.read(notes)), "t")))
@@ -115,10 +129,14 @@ def _pptx(z: zipfile.ZipFile) -> Iterator[str]:
 
 def _xlsx(z: zipfile.ZipFile) -> Iterator[str]:
     shared = ["".join(_strings(x, "t")) for x in ElementTree.fromstring(z.read("xl/sharedStrings.xml"))] if "xl/sharedStrings.xml" in z.namelist() else []
-    names = [x.get("name") for x in ElementTree.fromstring(z.read("xl/workbook.xml")).iter() if x.tag.endswith("}sheet")]
-    for k, name in enumerate(names, 1):
-        rows = []
-        for row in (x for x in ElementTree.fromstring(z.read(f"xl/worksheets/sheet{k}.xml")).iter() if x.tag.endswith("}row")):
+    sheets = [x for x in ElementTree.fromstring(z.read("xl/workbook.xml")).iter() if x.tag.endswith("}sheet")]
+    # a sheet's file is that of its relationship; packages without relationships have them in order
+    targets = {x.get("Id"): x.get("Target", "") for x in ElementTree.fromstring(z.read("xl/_rels/workbook.xml.rels"))} if "xl/_rels/workbook.xml.rels" in z.namelist() else {}
+    for k, sheet in enumerate(sheets, 1):
+        name, rows = sheet.get("name"), []
+        target = targets.get(next((v for a, v in sheet.attrib.items() if a.endswith("}id")), None), f"worksheets/sheet{k}.xml")
+        part = target.lstrip("/") if target.startswith("/") else f"xl/{target}"
+        for row in (x for x in ElementTree.fromstring(z.read(part)).iter() if x.tag.endswith("}row")):
             values = []
             for c in row:
                 v = "".join(_strings(c, "v") or _strings(c, "t"))

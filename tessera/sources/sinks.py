@@ -81,6 +81,6 @@ def markdown(df: DataFrame, sql: str, shown: int = MAX_SHOWN, empty_aggregate: b
 
 
 def report(table: DataFrame, title: str) -> str:
-    """A small aggregate (metrics, comparisons) as a markdown report."""
-    rows = table.limit(200).collect()
+    """A small aggregate (metrics, comparisons) as a markdown report of all its rows, streamed from one partition at a time."""
+    rows = table.toLocalIterator()
     return "\n".join([f"# {title}", "", "| " + " | ".join(table.columns) + " |", "|" + "---|" * len(table.columns), *("| " + " | ".join("" if v is None else str(v) for v in r) + " |" for r in rows)])
