@@ -11,7 +11,10 @@ payload is decided by a distributed aggregation over digests, never by one task
 
 Defined cases: null or empty html is an empty payload; a null id or url is kept as null; of equal
 payloads the record with the largest id (then archive and place) is the response; repeated rows are
-records of their own; an empty table gives empty archives tables; extra columns are ignored.
+records of their own; a very long text is one record, held as a whole by one task at a time; an empty
+table gives empty archives tables; extra columns are ignored. Archives from elsewhere may have several
+members, other kinds of records, which stay as they are, and headers in any spelling; each capture
+is inflated twice, once to learn its digests and once to rewrite it, as what is a revisit depends on all.
 """
 
 from __future__ import annotations
@@ -40,39 +43,84 @@ def digest(payload: bytes) -> str:
 
 
 def _record(kind: str, block: bytes, record_id: str, fields: list[tuple[str, object]]) -> bytes:
-    lines = [("WARC-Type", kind), ("WARC-Record-ID", f"<urn:uuid:{record_id}>"), ("WARC-Date", "2024-01-01T00:00:00Z"), ("Content-Type", "application/http;msgtype=response"), *((k, v) for k, v in fields if v is not None), ("Content-Length", len(block))]
-    head = "".join(f"{k}: {str(v).replace(chr(13), ' ').replace(chr(10), ' ')}\r\n" for k, v in lines)
+    lines = [("WARC-Type", kind), ("WARC-Record-ID", f"<urn:uuid:{record_id}>"), ("WARC-Date", "2024-01-01T00:00:00Z"), ("Content-Type", "application/http;msgtype=response"), *fields]
+    return _written(lines, block)
+
+
+def _written(lines: list[tuple[str, object]], block: bytes) -> bytes:
+    head = "".join(f"{k}: {str(v).replace(chr(13), ' ').replace(chr(10), ' ')}\r\n" for k, v in [*lines, ("Content-Length", len(block))] if v is not None)
     return b"WARC/1.1\r\n" + head.encode() + CRLF + block + CRLF * 2
 
 
-def parse_record(data: bytes, at: int = 0) -> tuple[dict[str, str], bytes, int] | None:
-    """Header fields, block and end of the record that starts at ``at``; None if it isn't all there."""
+def _head(data: bytes | bytearray, at: int) -> tuple[dict[str, str], int, int] | None:
+    """Header fields of the record at ``at``, and where its block starts and stops; None if the header isn't all there.
+
+    A line that starts with white space goes on with the field before it."""
+    if not data.startswith(b"WARC/"[: len(data) - at], at):
+        raise ValueError("not a WARC record")
     end = data.find(b"\r\n\r\n", at)
     if end < 0:
         return None
-    lines = data[at:end].decode().split("\r\n")
-    if not lines[0].startswith("WARC/"):
-        raise ValueError("not a WARC record")
-    head = dict(x.split(": ", 1) for x in lines[1:])
-    stop = end + 4 + int(head["Content-Length"])
-    return (head, data[end + 4 : stop], stop + 4) if len(data) >= stop + 4 else None
+    head: dict[str, str] = {}
+    name = ""
+    for line in bytes(data[at:end]).decode("utf-8", "replace").split("\r\n")[1:]:
+        if line[:1] in (" ", "\t") and name:
+            head[name] = f"{head[name]} {line.strip()}"
+            continue
+        name, _, value = line.partition(":")
+        head[name] = value.strip()
+    return head, end + 4, end + 4 + int(head["Content-Length"])
+
+
+def parse_record(data: bytes, at: int = 0) -> tuple[dict[str, str], bytes, int] | None:
+    """Header fields, block and end of the record that starts at ``at``; None if it isn't all there."""
+    found = _head(data, at)
+    return (found[0], bytes(data[found[1] : found[2]]), found[2] + 4) if found and len(data) >= found[2] + 4 else None
 
 
 def _payload(block: bytes) -> bytes:
     return block.partition(b"\r\n\r\n")[2]
 
 
-def inflate_records(content: bytes, step: int = 1 << 16) -> Iterator[tuple[dict[str, str], bytes]]:
-    """Records of a whole-file gzip stream, inflated once and in order; holds one record at a time."""
-    stream, rest = zlib.decompressobj(GZIP), b""
+def _inflated(content: bytes, step: int = 1 << 16, most: int = 1 << 20) -> Iterator[bytes]:
+    """Pieces of at most ``most`` bytes of all gzip members of ``content``, one after the other; zero bytes after them are padding."""
+    stream, begun = zlib.decompressobj(GZIP), False
     for lo in range(0, len(content), step):
-        rest += stream.decompress(content[lo : lo + step])
+        piece = content[lo : lo + step]
+        while piece:
+            if not begun and not (piece := piece.lstrip(b"\0")):
+                break
+            begun = True
+            yield stream.decompress(piece, most)
+            if stream.eof:
+                piece, stream, begun = stream.unused_data, zlib.decompressobj(GZIP), False
+            else:
+                piece = stream.unconsumed_tail
+    while begun and (more := stream.decompress(b"", most)):
+        yield more
+    if begun and not stream.eof:
+        raise ValueError("the stream ends inside a member")
+
+
+def inflate_records(content: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
+    """Records of a whole-file gzip stream of one or more members, inflated once and in order; holds one record at a time.
+
+    Bytes are appended to one buffer and a header is read once, so the time grows with the bytes, however long a record is."""
+    held, known = bytearray(), None
+    for piece in _inflated(content):
+        held += piece
         at = 0
-        while at < len(rest) and (found := parse_record(rest, at)):
-            head, block, at = found
-            yield head, block
-        rest = rest[at:]
-    if rest or not stream.eof:
+        while True:
+            known = known or (_head(held, at) if len(held) > at else None)
+            if not known or len(held) < known[2] + 4:
+                break
+            head, start, stop = known
+            yield head, bytes(held[start:stop])
+            at, known = stop + 4, None
+        if at:
+            del held[:at]
+            known = known and (known[0], known[1] - at, known[2] - at)
+    if held:
         raise ValueError("the stream ends inside a record")
 
 
@@ -100,12 +148,12 @@ def write_monolithic(df: DataFrame, id_col: str = "page_id", url_col: str = "url
 
 
 def list_records(archives: DataFrame) -> DataFrame:
-    """(archive_id, place, page_id, payload_bytes, payload_digest) of every record of monolithic archives."""
+    """(archive_id, place, page_id, payload_bytes, payload_digest) of every response of monolithic archives."""
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for archive, content in zip(batch["archive_id"], batch["content"]):
-                rows = [(archive, int(h["X-Place"]), h.get("X-Page-Id"), int(h["X-Payload-Length"]), digest(_payload(b))) for h, b in inflate_records(content)]
+                rows = [(archive, k, h.get("X-Page-Id"), len(body := _payload(b)), digest(body)) for k, (h, b) in enumerate(inflate_records(content)) if h.get("WARC-Type") == "response"]
                 yield pd.DataFrame(rows, columns=["archive_id", "place", "page_id", "payload_bytes", "payload_digest"])
 
     return archives.mapInPandas(work, "archive_id string, place int, page_id string, payload_bytes long, payload_digest string")
@@ -130,14 +178,16 @@ def normalise(archives: DataFrame, revisits: DataFrame | None = None, level: int
             for archive, content, found in zip(batch["archive_id"], batch["content"], batch["revisits"]):
                 again = {} if found is None else {int(r["place"]): r["refers_to"] for r in found}
                 out, index, at = [], [], 0
-                for head, block in inflate_records(content):
-                    place, ident = int(head["X-Place"]), head["WARC-Record-ID"].removeprefix("<urn:uuid:").rstrip(">")
-                    fields = [(k, head.get(k)) for k in ("WARC-Target-URI", "X-Page-Id", "X-Place", "X-Payload-Length", "WARC-Payload-Digest")]
-                    if place in again:
-                        target = again[place]
-                        record = _record("revisit", HTTP_HEAD, ident, [*fields, ("WARC-Profile", REVISIT_PROFILE), ("X-Refers-To", None if pd.isna(target) else int(target))])
-                    else:
-                        record = _record("response", block, ident, fields)
+                for place, (head, block) in enumerate(inflate_records(content)):
+                    kept = {k: v for k, v in head.items() if k.lower() != "content-length"} | {"X-Place": place}
+                    if head.get("WARC-Type") == "response":
+                        start = len(block) - len(body := _payload(block))
+                        if not head.get("WARC-Payload-Digest", "").startswith("sha1:") or "X-Payload-Length" not in head:
+                            kept |= {"WARC-Payload-Digest": f"sha1:{digest(body)}", "X-Payload-Length": len(body)}
+                        if place in again:
+                            target, block = again[place], block[:start]
+                            kept |= {"WARC-Type": "revisit", "WARC-Profile": REVISIT_PROFILE, "X-Refers-To": None if pd.isna(target) else int(target)}
+                    record = _written(list(kept.items()), block)
                     gz = zlib.compressobj(level, zlib.DEFLATED, GZIP)
                     member = gz.compress(record) + gz.flush()
                     out.append(member)
@@ -161,7 +211,10 @@ def read_back(archives: DataFrame) -> DataFrame:
                 rows = []
                 for e in index:
                     head, block, _ = parse_record(zlib.decompress(content[e["offset"] : e["offset"] + e["length"]], GZIP))
-                    name, size, kind = head["WARC-Payload-Digest"].removeprefix("sha1:"), int(head["X-Payload-Length"]), head["WARC-Type"]
+                    kind = head["WARC-Type"]
+                    if kind not in ("response", "revisit"):  # what describes captures has no payload of its own
+                        head |= {"WARC-Payload-Digest": digest(block), "X-Payload-Length": len(block)}
+                    name, size = head["WARC-Payload-Digest"].removeprefix("sha1:"), int(head["X-Payload-Length"])
                     if kind == "response" and (digest(body := _payload(block)) != name or len(body) != size):
                         raise ValueError(f"damaged record {head['WARC-Record-ID']}")
                     rows.append((head.get("X-Page-Id"), head.get("WARC-Target-URI"), size, name, kind, head.get("X-Refers-To"), archive, e["offset"], e["length"]))

@@ -339,6 +339,40 @@ def test_warc_rows(spark):
     assert warc.read_back(warc.archive(df.limit(0))).count() == 0
 
 
+def foreign(kind, block, *fields):
+    head = "".join(f"{k}:{v}\r\n" for k, v in [("WARC-Type", kind), *fields, ("Content-Length", len(block))])
+    return b"WARC/1.0\r\n" + head.encode() + b"\r\n" + block + b"\r\n\r\n"
+
+
+def test_warc_from_elsewhere(spark):
+    import gzip
+
+    http = b"HTTP/1.1 200 OK\r\nA: b\r\n\r\n"
+    records = [foreign("warcinfo", b"software: x\r\n", ("WARC-Record-ID", "<urn:uuid:1>")), foreign("response", http + b"<p>one</p>", ("WARC-Target-URI", " http://a/\r\n\tlong")), foreign("request", b"GET / HTTP/1.1\r\n\r\n"), foreign("response", http + b"<p>one</p>")]
+    for content in (gzip.compress(b"".join(records)), b"".join(map(gzip.compress, records)), gzip.compress(b"".join(records[:3])) + gzip.compress(records[3]) + b"\0" * 70_000):
+        found = list(warc.inflate_records(content))
+        assert [h["WARC-Type"] for h, _ in found] == ["warcinfo", "response", "request", "response"]
+        assert found[1][0]["WARC-Target-URI"] == "http://a/ long" and found[3][1] == http + b"<p>one</p>"
+        mono = spark.createDataFrame([("x", content)], "archive_id string, content binary")
+        done = warc.normalise(mono, warc.find_revisits(warc.list_records(mono)))
+        rows = warc.read_back(done).orderBy("offset").collect()
+        assert [(r["record_type"], r["payload_bytes"]) for r in rows] == [("warcinfo", 13), ("revisit", 10), ("request", 18), ("response", 10)]
+        for cut in (1, 150):
+            with pytest.raises((ValueError, zlib.error)):
+                list(warc.inflate_records(content.rstrip(b"\0")[:-cut]))
+
+
+def test_warc_long_record_in_linear_time():
+    import gzip
+    import time
+
+    body = bytes(range(256)) * (40 << 12)
+    content = gzip.compress(foreign("response", b"HTTP/1.1 200 OK\r\n\r\n" + body) * 2, 1)
+    began = time.process_time()
+    assert [len(b) for _, b in warc.inflate_records(content)] == [len(body) + 19] * 2
+    assert time.process_time() - began < 5
+
+
 def test_warc_of_table(spark, data):
     pages = spark.read.parquet(f"{data}/pages.parquet").collect()
     got = {r["page_id"]: (r["payload_bytes"], r["payload_digest"], r["record_type"], r["refers_to"]) for r in QUERIES["op10_warc"](spark, data).collect()}
