@@ -37,14 +37,15 @@ def count_tokens(text: Column) -> Column:
 
 
 def _split(nodes: DataFrame, parent: list[str], budget: str) -> DataFrame:
-    """Adds ``share`` to sibling rows (weight, capacity and their parent's ``budget``)."""
-    w = Window.partitionBy(*parent).orderBy(F.col("capacity") / F.col("weight"), *[c for c in nodes.columns if c == "node"])
+    """Adds ``share`` to sibling rows (weight, capacity and their parent's ``budget``); without a weight above 0 it is 0."""
+    claim = F.when(F.col("weight") > 0, F.col("capacity") / F.col("weight")).otherwise(0.0)
+    w = Window.partitionBy(*parent).orderBy(claim, *[c for c in nodes.columns if c == "node"])
     before, rest = w.rowsBetween(Window.unboundedPreceding, -1), w.rowsBetween(0, Window.unboundedFollowing)
     left = F.greatest(F.col(budget) - F.coalesce(F.sum("capacity").over(before), F.lit(0)), F.lit(0))
     out = nodes.withColumns({"left": left, "open": F.sum("weight").over(rest)})
     # the first child that isn't filled fixes the rate of all that follow
     out = out.withColumn("filled", F.expr("capacity * open <= weight * left"))
-    first = F.min(F.when(~F.col("filled"), F.struct(F.col("capacity") / F.col("weight"), "node", "left", "open"))).over(Window.partitionBy(*parent))
+    first = F.min(F.when(~F.col("filled"), F.struct(claim.alias("claim"), "node", "left", "open"))).over(Window.partitionBy(*parent))
     out = out.withColumn("stop", first)
     # whole tokens are left over by rounding down; they go to the largest remainders
     out = out.withColumns({"floor": F.expr("if(filled, capacity, weight * stop.left div stop.open)"), "part": F.expr("if(filled, -1, weight * stop.left % stop.open)")})
@@ -55,14 +56,18 @@ def _split(nodes: DataFrame, parent: list[str], budget: str) -> DataFrame:
 
 
 def budgets(leaves: DataFrame, path: list[str], total: int, max_epochs: int, weights: Mapping[str, Mapping[str, int]] | None = None) -> DataFrame:
-    """Adds ``budget`` to leaf rows (path columns, tokens). ``weights``: by path column and value; 1 if absent."""
+    """Adds ``budget`` to leaf rows (path columns, tokens). ``weights``: by path column and value; 1 if absent, and 0 leaves out what is below."""
     weights = weights or {}
 
     def weight(level: str) -> Column:
         known = weights.get(level) or {}
         return F.coalesce(F.create_map(*[F.lit(x) for kv in known.items() for x in kv])[F.col(level)], F.lit(1)) if known else F.lit(1)
 
-    leaves = leaves.withColumn("capacity", F.col("tokens") * max_epochs)
+    left_in = F.lit(True)
+    for level in path:
+        left_in = left_in & (weight(level) > 0)
+    # what a weight of 0 leaves out counts for no ancestor either
+    leaves = leaves.withColumn("capacity", F.when(left_in, F.col("tokens") * max_epochs).otherwise(0))
     got, parent = None, []
     for level in path:
         nodes = leaves.groupBy(*parent, level).agg(F.sum("capacity").alias("capacity")).withColumns({"weight": weight(level).cast("long"), "node": F.col(level)})

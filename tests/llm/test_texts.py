@@ -316,6 +316,18 @@ def test_budgets_leave_no_token_over(spark):
     assert sum(got.values()) == 101 and got["h"] == 50 and sorted(got[x] for x in "abcdefg") == [7, 7, 7, 7, 7, 8, 8] and got["a"] == got["b"] == 8
 
 
+def test_weights_of_zero_leave_out(spark):
+    path = ["domain", "lang", "source"]
+    leaves = spark.createDataFrame([("w", "en", "a", 100), ("w", "de", "b", 1000), ("x", "de", "c", 1000), ("y", "en", "d", 1000), ("y", "en", "e", 1000)], "domain string, lang string, source string, tokens long")
+    budget = lambda df, **weights: {r["source"]: r["budget"] for r in mixing.budgets(df, path, 900, 1, weights).collect()}
+    got = budget(leaves, lang={"de": 0}, source={"e": 0})
+    assert got == {"a": 100, "b": 0, "c": 0, "d": 800, "e": 0}
+    assert budget(leaves.filter("source in ('a', 'd')")) == {"a": 100, "d": 800}
+    assert set(budget(leaves, lang={"de": 0, "en": 0}).values()) == {0} == set(budget(leaves, domain={"w": 0, "x": 0, "y": 0}).values())
+    docs = table(spark, ["a b c", "d e f"], source=F.when(F.col("doc_id") == 0, "s").otherwise("t"), domain=F.lit("d"))
+    assert {r["source"] for r in mixing.mix(docs, ["domain", "source"], weights={"source": {"s": 0}}, share_of_corpus=1.0).collect()} == {"t"}
+
+
 def test_mix_hard_rows(spark):
     texts = [*HARD, "same text here", "same text here", "another text of this id"]
     docs = table(spark, texts, ids=[*range(len(HARD)), 900, 900, 900], domain=F.lit("d"), tokens=F.lit("x"), t=F.lit(1), budget=F.lit(0))
