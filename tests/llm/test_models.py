@@ -137,6 +137,65 @@ def test_extraction_of_long_pages():
     assert sum(times[4:]) < 16 * sum(times[:4]) + 1
 
 
+def test_extraction_of_wrapped_articles():
+    """Forms, sidebars and banners by name only, several articles, feet and replies on pages of other templates."""
+    model = sample_model()
+    a = "<h1>Title here</h1><p>The first paragraph of this article has some ten words.</p><p>The second paragraph has some more of them in it.</p>"
+    want = "Title here\nThe first paragraph of this article has some ten words.\nThe second paragraph has some more of them in it."
+    more = "<p>Another paragraph that belongs to the article as well.</p>"
+    end, menu = "\nAnother paragraph that belongs to the article as well.", "<nav><ul><li><a href='/'>Home</a></li></ul></nav>"
+    ad = "<div class='ad'>Buy this now for less than ever before</div>"
+    for page, text in [
+        (f"<div class='page right-sidebar'><article>{a}</article></div>", want),
+        (f"<div class='content-with-sidebar'><article>{a}</article></div>", want),
+        (f"<form id='aspnetForm'>{menu}<article>{a}</article></form>", want),
+        (f"<form id='aspnetForm'><div id='content'>{a}</div></form>", want),
+        (f"<article>{a}<section class='social-history'><h2>Past</h2>{more}</section></article>", want + "\nPast" + end),
+        (f"<article>{a}<div class='share-price'>{more}</div></article>", want + end),
+        (f"<article>{a}<div class='share-buttons'>Tell your friends</div><div class='cookie-banner'>We use cookies</div></article>", want),
+        ("<article><div class='banner'><h1>Title here</h1></div>" + a[len("<h1>Title here</h1>"):] + "</article>", want),
+        (f"<main><article>{a}</article>{ad}<article><p>A second article with a sentence in it.</p></article></main>", want + "\nA second article with a sentence in it."),
+        (f"{a}<div id='footer'>Copyright 2020 by all of us together</div>", want),
+        (f"{a}<div class='x-legal'>Copyright 2020 by all of us together</div>", want),
+        (f"<article>{a}</article><div id='comments'><article class='comment-body'><p>I as a reader think that this is right.</p></article></div>", want),
+        (f"<article>{a}</article><article class='comment'><p>I as a reader think that this is right.</p></article>", want),
+        (f"<form><article>{a}</article><div id='comments'><article><p>I as a reader think that this is right.</p></article></div></form>", want),
+        (f"<article>{a}</article><aside><article><p>Read this other story here</p></article></aside>", want),
+        (f"<article></article>{ad}", ""),
+    ]:
+        assert extraction.extract(f"<html><body>{page}</body></html>", model) == text, page
+
+
+def test_extraction_learns_from_main():
+    pages = ["<body><nav><a>Home</a> and so on</nav><main><p>one two three four five six</p></main><footer>all of the rights</footer></body>"] * 20
+    model = extraction.weights(sum((extraction.count(p) for p in pages), start=extraction.Counter()))
+    assert model["text"]["main"] > 0.9 and model["text"]["footer"] < 0.1
+    assert extraction.extract(pages[0], model) == "one two three four five six"
+
+
+def test_regions_equal_all_sums():
+    """Both scans against sums of all regions; halves are exact, so that ties are ties."""
+    import random
+
+    import numpy as np
+
+    def best(score):
+        found = max(((sum(score[a:b]), -b, -a) for a in range(len(score)) for b in range(a + 1, len(score) + 1)), default=(0, 0, 0))
+        return (-found[2], -found[1]) if found[0] > 0 else (0, 0)
+
+    def maximal(score, at=0):
+        a, b = best(score)
+        return [*maximal(score[:a], at), (at + a, at + b), *maximal(score[b:], at + b)] if b else []
+
+    rng = random.Random(5)
+    for _ in range(300):
+        score = [rng.choice([-3, -1.5, -1, -0.5, 0.5, 1, 2.5]) for _ in range(rng.randint(0, 14))]
+        a, b = extraction.best(np.array(score))
+        assert sum(score[a:b]) == sum(score[slice(*best(score))])
+        loose = [x + rng.random() / 1000 for x in score]  # no ties: the regions themselves
+        assert extraction.best(np.array(loose)) == best(loose) and extraction.maximal(np.array(loose)) == maximal(loose)
+
+
 def test_extraction_of_table(spark, data):
     """The article of each generated page, block for block."""
     import re
