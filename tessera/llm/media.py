@@ -4,7 +4,8 @@ A payload is stored as 8-bit samples in an MPEG-2 transport stream: a program as
 program map table, then packetised elementary stream (PES) packets of whole 576-sample frames, each
 with a presentation timestamp and a random-access point. Reading goes the other way: parse the
 tables, check the continuity counters, reassemble the PES packets and list timestamps and access
-points. Everything happens row by row inside Arrow batches; there is no shuffle.
+points. It also takes streams from elsewhere: several programs and streams, tables of any number of sections and
+packets, packets sent twice or without payload, announced jumps and PES packets of unknown length. Everything happens row by row inside Arrow batches; there is no shuffle.
 
 Defined cases: a null or empty text becomes one frame of padding; long texts are split over many PES
 packets; equal texts give equal streams; an empty table gives an empty result; extra columns are
@@ -111,49 +112,114 @@ def mux(payload: bytes) -> bytes:
     return b"".join(out)
 
 
-def _tables(packets: np.ndarray, pid: np.ndarray) -> int:
-    """The elementary stream's PID, from the first PAT and PMT; sections with a wrong CRC raise."""
+def _sections(packets: np.ndarray, rows: np.ndarray) -> Iterator[bytes]:
+    """The sections that the packets of one PID carry, over any number of packets, several in one where they fit."""
+    held, open_, last = b"", False, b""
+    for r in rows.tolist():
+        p = packets[r].tobytes()
+        if not p[3] & 0x10 or p == last:  # no payload, or the packet sent twice
+            continue
+        last, body = p, p[4 + (p[4] + 1 if p[3] & 0x20 else 0) :]
+        if p[1] & 0x40 and body:
+            parts = [(held + body[1 : 1 + body[0]], open_), (body[1 + body[0] :], True)]
+        else:
+            parts = [(held + body, open_)]
+        for held, open_ in parts:
+            while open_ and len(held) >= 3 and held[0] != 0xFF:
+                size = 3 + ((held[1] & 0x0F) << 8 | held[2])
+                if len(held) < size:
+                    break
+                yield held[:size]
+                held = held[size:]
+            open_ = open_ and held[:1] != b"\xff"
+
+
+def _table(packets: np.ndarray, rows: np.ndarray, table_id: int, ident: int | None = None) -> bytes:
+    """The bodies of a table's sections in order, from the first whole copy; sections with a wrong CRC are passed over,
+    and without any whole copy that raises."""
+    found: dict[int, bytes] = {}
+    version = None
+    for x in _sections(packets, rows):
+        if x[0] != table_id or len(x) < 12 or not x[5] & 1 or (ident is not None and x[3] << 8 | x[4] != ident) or crc_mpeg(x):
+            continue
+        if version != x[5]:
+            version, found = x[5], {}
+        found[x[6]] = x[8:-4]
+        if len(found) == x[7] + 1:
+            return b"".join(found[k] for k in sorted(found))
+    raise ValueError("damaged program table")
+
+
+def programs(packets: np.ndarray, pid: np.ndarray) -> dict[int, list[tuple[int, int]]]:
+    """For each program of the association table its elementary streams, (PID, stream type)."""
+    pat, out = _table(packets, np.flatnonzero(pid == 0), 0x00), {}
+    for at in range(0, len(pat) - 3, 4):
+        number, of = pat[at] << 8 | pat[at + 1], (pat[at + 2] & 0x1F) << 8 | pat[at + 3]
+        if not number:  # the network's own table
+            continue
+        pmt, streams = _table(packets, np.flatnonzero(pid == of), 0x02, number), []
+        k = 4 + ((pmt[2] & 0x0F) << 8 | pmt[3])
+        while k + 5 <= len(pmt):
+            streams.append(((pmt[k + 1] & 0x1F) << 8 | pmt[k + 2], pmt[k]))
+            k += 5 + ((pmt[k + 3] & 0x0F) << 8 | pmt[k + 4])
+        out[number] = streams
+    return out
+
 
-    def section(of: int, table_id: int) -> bytes:
-        first = packets[np.flatnonzero(pid == of)[0]].tobytes()
-        at = 5 + first[4]
-        length = (first[at + 1] & 0x0F) << 8 | first[at + 2]
-        found = first[at : at + 3 + length]
-        if found[0] != table_id or crc_mpeg(found):
-            raise ValueError("damaged program table")
-        return found
+# PES packets of these stream ids have no header behind their length; those of the first are padding.
+PADDING_ID, BARE_IDS = 0xBE, frozenset([0xBC, 0xBE, 0xBF, 0xF0, 0xF1, 0xF2, 0xF8, 0xFF])
 
-    pat = section(0, 0x00)
-    pmt = section((pat[10] & 0x1F) << 8 | pat[11], 0x02)
-    at = 12 + ((pmt[10] & 0x0F) << 8 | pmt[11])
-    return (pmt[at + 1] & 0x1F) << 8 | pmt[at + 2]
 
+def demux(stream: bytes, program: int | None = None, track: int = 0) -> dict:
+    """Payload, timestamps, random-access points (packet numbers) and continuity errors of one elementary stream: the
+    ``track``-th of a program, by default the first of the association table.
 
-def demux(stream: bytes) -> dict:
-    """Payload, timestamps, random-access points (packet numbers) and continuity errors of a stream."""
+    A packet sent twice counts once, packets without payload don't count, and a jump that a discontinuity flag
+    announces is none. Packets marked as damaged are left out and missed by the counter. A PES packet ends where the
+    next one starts, even if packets of it were lost; what stands before the first start is left out. PES packets
+    without a timestamp have a null one; a length of 0 means up to the next start."""
     packets = np.frombuffer(stream, np.uint8).reshape(-1, PACKET)
     if (packets[:, 0] != 0x47).any():
         raise ValueError("lost sync")
     pid = (packets[:, 1].astype(np.int32) & 0x1F) << 8 | packets[:, 2]
-    rows = np.flatnonzero(pid == _tables(packets, pid))
+    pid[(packets[:, 1] & 0x80) > 0] = -1
+    known = programs(packets, pid)
+    wanted = known[next(iter(known)) if program is None else program][track][0]
+    rows = np.flatnonzero(pid == wanted)
     es = packets[rows]
-    flags, field = es[:, 3], np.where(es[:, 3] & 0x20, es[:, 4].astype(np.int32) + 1, 0)
-    counter = (flags & 15).astype(np.int32)
-    errors = int((np.diff(counter) % 16 != 1).sum())
-    start = 4 + field
-    access = rows[(field > 1) & (es[:, 5] & 0x40 > 0)]
+    field = np.where(es[:, 3] & 0x20, es[:, 4].astype(np.int32) + 1, 0)
+    marks = np.where(field > 1, es[:, 5], 0)
+    announced = np.cumsum(marks & 0x80 > 0)
+    carries = np.flatnonzero(es[:, 3] & 0x10)
+    counter = (es[carries, 3] & 15).astype(np.int32)
+    step, told = np.diff(counter) % 16, np.diff(announced[carries]) > 0
+    twice = np.zeros(len(carries), bool)
+    for k in np.flatnonzero(step == 0).tolist():
+        one, two = (bytearray(es[carries[j]].tobytes()) for j in (k, k + 1))
+        for x, j in ((one, k), (two, k + 1)):
+            if marks[carries[j]] & 0x10:  # the clock is the one field that may differ
+                x[6:12] = bytes(6)
+        twice[k + 1] = not twice[k] and one == two
+    errors = int(((step != 1) & ~told & ~twice[1:]).sum())
+    kept = np.ones(len(rows), bool)
+    kept[carries[twice]] = False
+    access = rows[kept & (marks & 0x40 > 0)]
+    es, start = es[carries[~twice]], 4 + field[carries[~twice]]
     ends = np.cumsum(PACKET - start)
     data = es[np.arange(PACKET) >= start[:, None]].tobytes()
-    begins = (ends - (PACKET - start))[es[:, 1] & 0x40 > 0]
+    begins = (ends - (PACKET - start))[es[:, 1] & 0x40 > 0].tolist()
     payload, times = [], []
-    for b in begins.tolist():
-        if data[b : b + 3] != b"\x00\x00\x01":
+    for b, e in zip(begins, [*begins[1:], len(data)]):
+        if data[b : b + 3] != b"\x00\x00\x01" or e - b < 6:
             raise ValueError("damaged PES header")
-        size, head = int.from_bytes(data[b + 4 : b + 6], "big"), data[b + 8]
+        ident, size = data[b + 3], int.from_bytes(data[b + 4 : b + 6], "big")
+        if ident == PADDING_ID:
+            continue
+        stop, bare = min(e, b + 6 + size) if size else e, ident in BARE_IDS or e - b < 9
         p = data[b + 9 : b + 14]
-        times.append((p[0] >> 1 & 7) << 30 | p[1] << 22 | (p[2] >> 1) << 15 | p[3] << 7 | p[4] >> 1)
-        payload.append(data[b + 9 + head : b + 6 + size])
-    return {"payload": b"".join(payload), "pts": times, "access": access.tolist(), "errors": errors, "packets": len(packets)}
+        times.append(None if bare or not data[b + 7] & 0x80 or len(p) < 5 else (p[0] >> 1 & 7) << 30 | p[1] << 22 | (p[2] >> 1) << 15 | p[3] << 7 | p[4] >> 1)
+        payload.append(data[b + 6 if bare else b + 9 + data[b + 8] : stop])
+    return {"payload": b"".join(payload), "pts": times, "access": access.tolist(), "errors": errors, "packets": len(packets), "programs": known}
 
 
 def pad(text: str | None) -> tuple[int, bytes]:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -28,6 +29,13 @@ def shared_dir(spark: SparkSession) -> str:
 #: While a table is written: shuffle files are freed when the job ends, and batches for Python are bounded by bytes.
 WHILE_WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxBytesPerBatch": "16m", "spark.sql.execution.arrow.maxRecordsPerBatch": "4000"}
 _made: dict[str, DataFrame] = {}
+#: The tables made for the call of :func:`settled` that runs in this thread.
+_mine: ContextVar[dict[str, DataFrame] | None] = ContextVar("_mine", default=None)
+
+
+def _note(df: DataFrame) -> None:
+    if (mine := _mine.get()) is not None:
+        mine[df._tessera_path] = df
 
 
 def cut(df: DataFrame, name: str) -> DataFrame:
@@ -45,6 +53,7 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     out = spark.read.schema(df.schema).parquet(path)
     out._tessera_path = path
     _made[path] = out
+    _note(out)
     return out
 
 
@@ -57,11 +66,17 @@ def drop_cut(df: DataFrame) -> None:
 
 
 def settled(make: Callable[[], DataFrame], name: str) -> DataFrame:
-    """What ``make`` returns as a table; all other tables that were made for it are deleted."""
-    before = set(_made)
-    out = cut(make(), name)
-    for path in set(_made) - before - {out._tessera_path}:
-        drop_cut(_made[path])
+    """What ``make`` returns as a table; all other tables that were made for it are deleted, those of other threads are not."""
+    mine: dict[str, DataFrame] = {}
+    scope, out = _mine.set(mine), None
+    try:
+        out = cut(make(), name)
+    finally:
+        _mine.reset(scope)
+        for path, df in mine.items():
+            if df is not out and path in _made:
+                drop_cut(df)
+    _note(out)
     return out
 
 

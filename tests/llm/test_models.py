@@ -70,6 +70,69 @@ def test_stream_damage():
     assert gap
 
 
+def ts_packet(pid, cc, body, start=False, marks=None):
+    """A packet of at most 184 bytes of payload, filled up by its adaptation field."""
+    room = 184 - len(body)
+    field = b"" if not room and marks is None else (bytes([room - 1]) + (bytes([marks or 0]) + b"\xff" * (room - 2) if room > 1 else b""))
+    out = bytes([0x47, (0x40 if start else 0) | pid >> 8, pid & 255, (0x20 if field else 0) | (0x10 if body else 0) | cc & 15]) + field + body
+    assert len(out) == 188
+    return out
+
+
+def ts_tables(pid, sections, cc=0):
+    """Sections end to end over as many packets as they need."""
+    raw, out = b"\x00" + b"".join(sections), []
+    for k in range(0, len(raw), 184):
+        out.append(bytes([0x47, (0x40 if not k else 0) | pid >> 8, pid & 255, 0x10 | cc + k // 184 & 15]) + raw[k : k + 184].ljust(184, b"\xff"))
+    return out
+
+
+def ts_section(table_id, ident, body, number=0, last=0):
+    head = bytes([table_id, 0xB0 | len(body) + 9 >> 8, len(body) + 9 & 255, ident >> 8, ident & 255, 0xC1, number, last])
+    return head + body + media.crc_mpeg(head + body).to_bytes(4, "big")
+
+
+def ts_pmt(number, streams, info=b""):
+    es = b"".join(bytes([kind, 0xE0 | pid >> 8, pid & 255, 0xF0 | len(d) >> 8, len(d) & 255]) + d for pid, kind, d in streams)
+    return ts_section(2, number, bytes([0xE1, 0, 0xF0 | len(info) >> 8, len(info) & 255]) + info + es)
+
+
+def ts_program(number, pid):
+    return bytes([number >> 8, number & 255, 0xE0 | pid >> 8, pid & 255])
+
+
+def test_streams_of_others():
+    """Programs, long tables, repeated and empty packets, announced jumps and open lengths, packet by packet."""
+    descriptor = bytes([5, 200]) + b"d" * 200
+    tables = ts_tables(0, [ts_section(0, 1, ts_program(0, 16) + ts_program(7, 300), 0, 1), ts_section(0, 1, ts_program(9, 301), 1, 1)])
+    tables += ts_tables(300, [ts_pmt(7, [(400, 27, descriptor), (401, 15, b"")], descriptor)]) + ts_tables(301, [ts_pmt(9, [(402, 6, b"")])])
+    assert len(tables) == 1 + 3 + 1
+    pes = lambda data, ident=0xE0, size=None, flags=0: b"\0\0\1" + bytes([ident]) + (len(data) + 3 if size is None else size).to_bytes(2, "big") + bytes([0x84, flags, 0]) + data
+    one = ts_packet(400, 14, pes(b"a" * 100, size=0), True, 0x40)
+    two = ts_packet(400, 15, b"b" * 184)
+    got = media.demux(b"".join([*tables, ts_packet(400, 13, b"left over from before"), one, ts_packet(402, 3, pes(b"z"), True), two, two, ts_packet(8191, 0, b"x" * 184), ts_packet(400, 15, b"", marks=0x80),
+                                ts_packet(400, 4, pes(b"c" * 50), True, 0x80), ts_packet(400, 5, b"\0\0\1\xbe\0\2ff", True), ts_packet(401, 0, pes(b"sound"), True)]))
+    assert got["programs"] == {7: [(400, 27), (401, 15)], 9: [(402, 6)]}
+    assert (got["payload"], got["errors"], got["pts"]) == (b"a" * 100 + b"b" * 184 + b"c" * 50, 0, [None, None]) and len(got["access"]) == 1
+    whole = b"".join([*tables, one, ts_packet(402, 3, pes(b"z"), True), ts_packet(401, 0, pes(b"sound"), True)])
+    assert media.demux(whole, 9)["payload"] == b"z" and media.demux(whole, 7, 1)["payload"] == b"sound"
+    # three times is once too often, other bytes under the same counter are an error, and so is a jump
+    for more, errors in [([two, two, two], 1), ([two, ts_packet(400, 15, b"q" * 184)], 1), ([ts_packet(400, 2, b"q" * 184)], 1), ([ts_packet(400, 14, b""), two], 0)]:
+        assert media.demux(b"".join([*tables, one, *more]))["errors"] == errors
+    # a damaged copy of a table is passed over for a later one; without one that is an error
+    broken = bytearray(tables[0])
+    broken[20] ^= 1
+    assert media.demux(b"".join([bytes(broken), *tables, one]))["errors"] == 0
+    with pytest.raises(ValueError, match="table"):
+        media.demux(b"".join([bytes(broken), *tables[1:], one]))
+    # packets marked as damaged are missed, and a cut PES packet doesn't take bytes of the next
+    lost = bytearray(two)
+    lost[1] |= 0x80
+    cut = ts_packet(400, 0, pes(b"next", flags=0), True)
+    got = media.demux(b"".join([*tables, ts_packet(400, 14, pes(b"a" * 100, size=500), True), bytes(lost), cut]))
+    assert (got["payload"], got["errors"]) == (b"a" * 100 + b"next", 1)
+
+
 def test_media_rows(spark):
     rows = media.to_transport_stream(table(spark, HARD, media=F.lit("x"), n_bytes=F.lit(1))).orderBy("doc_id").collect()
     for r, text in zip(rows, HARD):
