@@ -301,7 +301,8 @@ def find_links(members: DataFrame, sigs: DataFrame, sets: DataFrame, percent: in
 
 def _numbered(df: DataFrame, id_col: str, text_col: str, *more: str) -> DataFrame:
     """(key, id, text, ...) as a table: keys number the rows, so rows of equal ids stay apart and no join multiplies them."""
-    return cut(df.select(F.monotonically_increasing_id().alias("key"), F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), *more), "minhash-rows")
+    ident = F.col(id_col).cast("long") if dict(df.dtypes)[id_col] in ("tinyint", "smallint", "int") else F.col(id_col)
+    return cut(df.select(F.monotonically_increasing_id().alias("key"), ident.alias("id"), F.col(text_col).cast("string").alias("text"), *more), "minhash-rows")
 
 
 def _classes(rows: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:

@@ -55,6 +55,76 @@ def test_repeated_rows_through_two_stages(spark, data):
     assert {(5, long), (3, other), (9, lone)} <= set(order(after.collect()))
 
 
+LONG = {name: " ".join(f"{name}{k}" for k in range(80)) for name in ("word", "other", "lone")}
+
+
+def small_tables(spark, folder, docs, ids="long", **more):
+    """The three tables of a pipeline, without labels and benchmark."""
+    df = spark.createDataFrame([(k, t, None, None, len(t or "")) for k, t in docs], f"doc_id {ids}, text string, lang string, source string, n_chars long")
+    for name, value in more.items():
+        df = df.withColumn(name, value)
+    df.write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame([], f"doc_id {ids}, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    spark.createDataFrame([], "item_id string, text string").write.parquet(f"{folder}/benchmark.parquet")
+    return str(folder)
+
+
+def test_empty_tables(spark, tmp_path):
+    folder = small_tables(spark, tmp_path / "none", [])
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    for name, stage in P.STAGES[:-1]:
+        docs = cut(stage(spark, docs, folder), f"empty-{name}")
+        assert docs.columns == COLUMNS and docs.count() == 0
+    assert P.run(spark, folder).count() == 0
+
+
+@pytest.mark.parametrize("ids", ["long", "string"])
+def test_nulls_copies_and_columns_of_the_caller(spark, tmp_path, ids):
+    """Names that the operators compute are the caller's all the way; ids of both kinds, nulls in all other columns."""
+    from pyspark.sql import functions as F
+
+    known = [(1, LONG["word"]), (2, LONG["word"]), (3, LONG["other"]), (4, None), (5, ""), (6, LONG["lone"]), (6, LONG["lone"])]
+    mine = ["score", "predicted", "n_bytes", "n_removed", "kept_text", "key", "id", "row", "n", "spans", "h", "g", "t__", "domain", "Contaminated", "with.dot"]
+    folder = small_tables(spark, tmp_path / ids, [(str(k) if ids == "string" else k, t) for k, t in known], ids, **{c: F.lit("mine") for c in mine})
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    names = docs.columns
+    for name, stage in P.STAGES[:-1]:
+        docs = cut(stage(spark, docs, folder), f"clash-{name}")
+        assert docs.columns == names, name
+        assert all(r[c] == "mine" for r in docs.collect() for c in mine), name
+    assert sorted((int(r["doc_id"]), r["text"]) for r in docs.filter("text <> ''").collect()) == [(1, LONG["word"]), (3, LONG["other"]), (6, LONG["lone"])]
+    assert sorted(int(r["doc_id"]) for r in docs.filter("coalesce(text, '') = ''").collect()) == [4, 5]
+    assert sorted(int(r["doc_id"]) for r in P.run(spark, folder).collect()) == [1, 3, 6]
+
+
+def test_settled_keeps_tables_of_other_threads(spark):
+    import threading
+
+    from tessera.llm import shared
+
+    go, done, other = threading.Event(), threading.Event(), []
+
+    def beside():
+        go.wait()
+        other.append(cut(spark.range(3), "test-beside"))
+        done.set()
+
+    thread = threading.Thread(target=beside)
+    thread.start()
+
+    def make():
+        inner = cut(spark.range(5), "test-inner")
+        go.set()
+        done.wait()
+        return inner
+
+    before = set(shared._made)
+    out = shared.settled(make, "test-outer")
+    thread.join()
+    assert out.count() == 5 and other[0].count() == 3
+    assert set(shared._made) - before == {out._tessera_path, other[0]._tessera_path}
+
+
 def cut_by_hand(texts, length=200):
     raw = {k: (t or "").encode() for k, t in texts.items()}
     seen = Counter(b[i : i + length] for b in raw.values() for i in range(len(b) - length + 1))
