@@ -67,22 +67,55 @@ def percentile_linear(value: Column | str, p: float) -> Column:
     return F.percentile(value, p)
 
 
-def percentile_nearest(df: DataFrame, value: str, p: float, by: list[str]) -> DataFrame:
-    """The value at the 0-based rank floor(n p); for the median that is floor(n / 2).
+def ranked(df: DataFrame, value: str, by: list[str], bins: int = 1024) -> DataFrame:
+    """(by, value, c, upto, n): each distinct number with how often it occurs, how many are no greater, and how many there are.
+
+    A group isn't sorted as a whole. Its range is cut into ``bins`` equal parts; counts are summed within parts by
+    windows, and over parts by a window over their sums, which is joined back. Infinite ends put all between them
+    into one part; NaN is the greatest value. Nulls are left out."""
+    at = F.col("at__")
+    counts = df.filter(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("c")).withColumn("at__", F.col(value).cast("double"))
+    number = F.when(~F.isnan(at), at)
+    ends = counts.groupBy(*by).agg(F.min(number).alias("lo__"), F.max(number).alias("hi__"))
+    place = F.floor((at - F.col("lo__")) / (F.col("hi__") - F.col("lo__")) * bins)
+    place = F.when(F.isnan(at), bins + 1).when(at >= F.col("hi__"), bins).when(at <= F.col("lo__"), 0).otherwise(F.coalesce(F.greatest(F.least(place, F.lit(bins)), F.lit(0)), F.lit(0)))
+    parts = _beside(counts, ends, by).withColumn("part__", place.cast("int")).drop("at__", "lo__", "hi__")
+    sums = parts.groupBy(*by, "part__").agg(F.sum("c").alias("in__"))
+    before = F.sum("in__").over(Window.partitionBy(*by).orderBy("part__")) - F.col("in__")
+    sums = sums.withColumns({"before__": before, "n": F.sum("in__").over(Window.partitionBy(*by))}).drop("in__")
+    inside = F.sum("c").over(Window.partitionBy(*by, "part__").orderBy(value))
+    return _beside(parts.withColumn("inside__", inside), sums, [*by, "part__"]).withColumn("upto", F.col("before__") + F.col("inside__")).drop("part__", "before__", "inside__")
+
+
+def _beside(rows: DataFrame, found: DataFrame, by: list[str], how: str = "inner") -> DataFrame:
+    """``rows`` with the other columns of ``found``, one row for each of their groups; null is a group."""
+    if not by:  # one row for all
+        return rows.join(F.broadcast(found), how="left")
+    names = {c: f"{c}__group" for c in by}
+    same = [F.col(f"rows__.{c}").eqNullSafe(F.col(f"found__.{g}")) for c, g in names.items()]
+    return rows.alias("rows__").join(found.withColumnsRenamed(names).alias("found__"), same, how).drop(*names.values())
+
+
+def percentiles_linear(df: DataFrame, value: str, by: list[str], **ps: float) -> DataFrame:
+    """(by, mean, one column for each of ``ps``): as :func:`percentile_linear`, without a group's values in one buffer."""
+    out = ranked(df, value, by)
+    rank = {name: (F.col("n") - 1) * p for name, p in ps.items()}
+    at = lambda r: F.max(F.when((F.col("upto") > r) & (F.col("upto") - F.col("c") <= r), F.col(value).cast("double")))
+    out = out.groupBy(*by).agg(F.max("n").alias("n"), *[x for name, r in rank.items() for x in (at(F.floor(r)).alias(f"{name}__a"), at(F.ceil(r)).alias(f"{name}__b"))])
+    line = lambda name, r: F.when(F.floor(r) == F.ceil(r), F.col(f"{name}__a")).otherwise((F.ceil(r) - r) * F.col(f"{name}__a") + (r - F.floor(r)) * F.col(f"{name}__b"))
+    found = out.select(*by, *[line(name, r).alias(name) for name, r in rank.items()])
+    return _beside(df.groupBy(*by).agg(F.avg(value).alias("mean")), found, by, "left")
+
 
-    Values are counted first, so groups meet as distinct values, and ranks are sums of counts."""
-    counts = df.filter(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("c"))
-    w = Window.partitionBy(*by)
-    upto = counts.withColumns({"upto": F.sum("c").over(w.orderBy(value)), "n": F.sum("c").over(w)})
+def percentile_nearest(df: DataFrame, value: str, p: float, by: list[str]) -> DataFrame:
+    """The value at the 0-based rank floor(n p); for the median that is floor(n / 2)."""
     rank = F.floor(F.col("n") * p)
-    return upto.filter((F.col("upto") > rank) & (F.col("upto") - F.col("c") <= rank)).select(*by, F.col(value).alias("percentile"))
+    return ranked(df, value, by).filter((F.col("upto") > rank) & (F.col("upto") - F.col("c") <= rank)).select(*by, F.col(value).alias("percentile"))
 
 
 def percentile_exclusive(df: DataFrame, value: str, p: float, by: list[str], least: int = 21) -> DataFrame:
     """Between the neighbours of the 1-based rank (n + 1) p; the maximum for groups of fewer than ``least`` values."""
-    counts = df.filter(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("c"))
-    w = Window.partitionBy(*by)
-    upto = counts.withColumns({"upto": F.sum("c").over(w.orderBy(value)), "n": F.sum("c").over(w)})
+    upto = ranked(df, value, by)
     low = F.least(F.greatest(F.floor((F.col("n") + 1) * p), F.lit(1)), F.col("n") - 1)
     at = lambda r: F.max(F.when((F.col("upto") >= r) & (F.col("upto") - F.col("c") < r), F.col(value)))
     out = upto.groupBy(*by).agg(F.max("n").alias("n"), F.max(value).alias("top"), at(low).alias("a"), at(low + 1).alias("b"))
@@ -144,19 +177,42 @@ def score_summary(events: DataFrame) -> DataFrame:
 
 
 def rolling(events: DataFrame, key: str, ts: str, seconds: int, value: Column) -> DataFrame:
-    """Adds requests and the sum of ``value`` in the ``seconds`` up to each event: (t - seconds, t]."""
-    micros = F.unix_micros(ts)
-    w = Window.partitionBy(key).orderBy(micros).rangeBetween(-(seconds * 1_000_000 - 1), 0)
-    return events.withColumns({"recent": F.count("*").over(w), "recent_sum": F.sum(value).over(w)})
-
-
-def breaker(calls: DataFrame, key: str, order: list[str], failed: Column, threshold: int = 3) -> DataFrame:
-    """Adds ``streak``, the consecutive failures up to each call, and ``trips``, whether this call opens the breaker."""
-    w = Window.partitionBy(key).orderBy(*order)
-    out = calls.withColumn("failed__", failed.cast("int")).withColumn("island", F.sum(1 - F.col("failed__")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    streak = F.sum("failed__").over(Window.partitionBy(key, "island").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
-    out = out.withColumn("streak", streak)
-    return out.withColumn("trips", F.col("streak") == threshold).drop("failed__", "island")
+    """Adds requests and the sum of ``value`` in the ``seconds`` up to each event: (t - seconds, t].
+
+    Time is cut into slots of that length. A window reaches no further than the slot before, so each slot is a
+    window's partition of its own, with the (time, value) of the slot before it: a busy key spreads over its slots.
+    Events without a time are each other's window."""
+    span = seconds * 1_000_000
+    known = events.withColumns({"at__": F.unix_micros(ts), "value__": value})
+    known = known.withColumn("slot__", F.expr(f"floor(at__ / {span})"))
+    row = F.struct(*[F.col(f"`{c}`") for c in events.columns if c not in ("recent", "recent_sum")])
+    own = known.select(F.col(key).alias("key__"), "slot__", "at__", "value__", row.alias("row__"))
+    before = known.filter("at__ is not null").select(F.col(key).alias("key__"), (F.col("slot__") + 1).alias("slot__"), "at__", "value__", F.lit(None).cast(own.schema["row__"].dataType).alias("row__"))
+    w = Window.partitionBy("key__", "slot__").orderBy("at__").rangeBetween(-(span - 1), 0)
+    out = own.unionByName(before).withColumns({"recent": F.count("*").over(w), "recent_sum": F.sum("value__").over(w)})
+    return out.filter("row__ is not null").select("row__.*", "recent", "recent_sum")
+
+
+def breaker(calls: DataFrame, key: str, order: list[str], failed: Column, threshold: int = 3, slot: Column | None = None) -> DataFrame:
+    """Adds ``streak``, the consecutive failures up to each call, and ``trips``, whether this call opens the breaker.
+
+    Streaks are counted within slots (by default hours of ``order[0]``; any column that never falls in that order
+    will do) and carried from slot to slot by a window over the slots' summaries: whether a call succeeded, and how many
+    failed since. So a busy key spreads over its slots. A call that is neither failed nor not counts as neither."""
+    slot = F.date_trunc("hour", order[0]) if slot is None else slot
+    w = Window.partitionBy(key, "slot__").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    out = calls.withColumns({"failed__": F.coalesce(failed.cast("int"), F.lit(0)), "well__": F.coalesce((~failed).cast("int"), F.lit(0)), "slot__": slot})
+    out = out.withColumn("island__", F.sum("well__").over(w))
+    out = out.withColumn("streak", F.sum("failed__").over(Window.partitionBy(key, "slot__", "island__").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)))
+    # the last island of a slot is the greatest, and its streak only grows
+    ends = out.groupBy(key, "slot__").agg(F.max(F.struct("island__", "streak")).alias("end__"))
+    in_order = Window.partitionBy(key).orderBy("slot__")
+    ends = ends.withColumn("since__", F.sum((F.col("end__.island__") > 0).cast("int")).over(in_order.rowsBetween(Window.unboundedPreceding, 0)))
+    carried = F.sum("end__.streak").over(Window.partitionBy(key, "since__").orderBy("slot__").rowsBetween(Window.unboundedPreceding, 0))
+    ends = ends.withColumn("after__", carried).withColumn("carry__", F.coalesce(F.lag("after__").over(in_order), F.lit(0))).select(key, "slot__", "carry__")
+    out = _beside(out, ends, [key, "slot__"])
+    out = out.withColumn("streak", F.col("streak") + F.when(F.col("island__") == 0, F.col("carry__")).otherwise(0))
+    return out.withColumn("trips", F.col("streak") == threshold).drop("failed__", "well__", "slot__", "island__", "carry__")
 
 
 def last_rows(df: DataFrame, n: int, by: list[str], order: list[Column]) -> DataFrame:

@@ -55,7 +55,8 @@ def failure_distribution(events):
 
 @R.add("SELECT event_type, round(quantile_cont(value, 0.5), 4) AS p50, round(quantile_cont(value, 0.95), 4) AS p95, round(avg(value), 4) AS mean FROM events GROUP BY 1", "events")
 def percentile_linear(events):
-    return events.groupBy("event_type").agg(F.round(A.percentile_linear("value", 0.5), 4).alias("p50"), F.round(A.percentile_linear("value", 0.95), 4).alias("p95"), F.round(F.avg("value"), 4).alias("mean"))
+    found = A.percentiles_linear(events, "value", ["event_type"], p50=0.5, p95=0.95)
+    return found.select("event_type", *[F.round(c, 4).alias(c) for c in ("p50", "p95", "mean")])
 
 
 @R.add("SELECT event_type, value AS percentile FROM (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY value) - 1 AS r, count(*) OVER (PARTITION BY event_type) AS n FROM events) WHERE r = floor(n * 0.95)", "events")
