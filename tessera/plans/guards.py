@@ -94,9 +94,14 @@ def fuzzy_like(column: Column | str, term: str) -> Column:
     return F.contains(F.lower(_col(column)), F.lower(F.lit(term)))
 
 
+#: A place outside literals: an even number of quotes follows. Quotes in literals are doubled.
+_OUTSIDE = r"(?=(?:[^']*+'[^']*+')*+[^']*+\z)"
+
+
 def respell(sql: Column | str, dialect: str) -> Column:
-    """Statements of another engine ('mysql', 'sqlite') with its date functions and a few others as Spark spells them."""
+    """Statements of another engine ('mysql', 'sqlite') with its date functions and a few others as Spark spells them; what
+    stands in single quotes stays as it is."""
     out = _col(sql)
     for pattern, to in SPELLINGS[dialect]:
-        out = F.regexp_replace(out, pattern, to)
+        out = F.regexp_replace(out, _OUTSIDE + pattern, to)
     return out

@@ -52,6 +52,12 @@ def test_respell_runs(spark):
         assert len(row["m"]) == 7 and row["n"] == 2 and row["d"] is not None
 
 
+def test_respell_keeps_literals(spark):
+    sql = "SELECT 'ifnull(x), curdate()' AS a, IFNULL('it''s ifnull(y)', 'ifnull(' ) AS b, 'n' AS c" + ", 'q'" * 3000
+    got = spark.createDataFrame([(sql,)], "s string").select(G.respell("s", "mysql").alias("s")).first()["s"]
+    assert got == sql.replace("IFNULL(", "coalesce(")
+
+
 def test_pass_rates(spark):
     df = spark.createDataFrame([("a", True), ("a", None), ("a", False), (None, True)], "c string, p boolean")
     got = {r["category"]: (r["total"], r["passed"], r["failed"], r["pass_rate"]) for r in E.pass_rates(df, "c", F.col("p")).collect()}
