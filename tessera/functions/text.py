@@ -90,12 +90,14 @@ def expand_acronyms(query: Column | str, terms: dict[str, str] = ACRONYMS) -> Co
 
 
 def word_runs(w: Column, lengths: tuple[int, ...]) -> Column:
-    """All runs of so many neighbouring words, joined by spaces; runs of the first length come first."""
+    """All runs of so many neighbouring words, joined by spaces; runs of the first length come first.
 
-    def of(n: int) -> Column:
+    ``w`` is bound once, so that a text isn't split again for each of its words."""
+
+    def of(w: Column, n: int) -> Column:
         return F.when(F.size(w) >= n, F.transform(F.sequence(F.lit(1), F.size(w) - (n - 1)), lambda i: F.array_join(F.slice(w, i, n), " "))).otherwise(F.expr("cast(array() as array<string>)"))
 
-    return F.concat(*map(of, lengths))
+    return F.get(F.transform(F.array(w), lambda w: F.concat(*[of(w, n) for n in lengths])), F.lit(0))
 
 
 def trigger_phrases(question: Column | str, most: int = 10) -> Column:

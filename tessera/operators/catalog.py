@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import itertools
 from collections.abc import Mapping
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
@@ -87,16 +86,15 @@ def invalid_joins(rel: DataFrame, paths: DataFrame) -> DataFrame:
 
 
 def reachable(spark: SparkSession, rel: DataFrame, start: str) -> DataFrame:
-    """(table, hops) of all tables connected with ``start``; the schema graph is tens of tables."""
-    links = both_ways(rel)
-    found = spark.createDataFrame([(start, 0)], "`table` string, hops int")
-    for hop in itertools.count(1):
-        edge = found.filter(F.col("hops") == hop - 1).join(links, F.col("table") == F.col("a")).select(F.col("b").alias("table")).distinct().join(found, "table", "left_anti")
-        rows = [(r["table"], hop) for r in edge.collect()]
-        if not rows:
-            break
-        found = spark.createDataFrame([*((r["table"], r["hops"]) for r in found.collect()), *rows], found.schema)
-    return found
+    """(table, hops) of all tables connected with ``start``. The links are read once: they are as many as pairs of tables."""
+    near: dict[str, set[str]] = {}
+    for a, b in both_ways(rel).collect():
+        near.setdefault(a, set()).add(b)
+    hops, edge = {start: 0}, [start]
+    while edge:
+        edge = sorted({b for a in edge for b in near.get(a, ())} - set(hops))
+        hops |= dict.fromkeys(edge, max(hops.values()) + 1)
+    return spark.createDataFrame(list(hops.items()), "`table` string, hops int")
 
 
 def drift(expected: DataFrame, actual: DataFrame) -> DataFrame:

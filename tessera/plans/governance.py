@@ -81,6 +81,26 @@ def run(spark: SparkSession, sql: str, allowed: list[str] | None = None, cap: in
     return verdict.rows.limit(min(cap, CARTESIAN_CAP) if verdict.cartesian else cap)
 
 
+def shape(sql: Column) -> Column:
+    """A statement with its texts and numbers replaced by signs: statements of one shape differ in values only."""
+    return F.regexp_replace(F.regexp_replace(F.coalesce(sql, F.lit("")), r"'(?:[^'\\]|\\.|'')*'", "'?'"), r"(?<![\w.])\d+(\.\d+)?(?![\w.])", "0")
+
+
+def verdicts(log: DataFrame, allowed: list[str], sql_col: str = "sql", most: int = 10_000) -> DataFrame:
+    """Adds ``ok``, ``cartesian``, ``errors`` and ``warnings`` to a log of statements; what can't be parsed, null included, isn't ok.
+
+    Whether a statement is allowed doesn't hang on the values in it, so each shape is checked once and its verdict joined
+    back. Shapes are checked on the driver, where Spark's parser is: more than ``most`` are an error, none is skipped."""
+    keyed = log.withColumn("__shape", shape(F.col(sql_col)))
+    shapes = keyed.groupBy("__shape").agg(F.min(sql_col).alias("one")).limit(most + 1).collect()
+    if len(shapes) > most:
+        raise ValueError(f"more than {most} shapes of statements")
+    found = [(r["__shape"], check(log.sparkSession, r["one"], allowed)) for r in shapes]
+    rows = [(s, v.ok, v.cartesian, "; ".join(v.errors), ", ".join(v.warnings)) for s, v in found]
+    known = log.sparkSession.createDataFrame(rows, "__shape string, ok boolean, cartesian boolean, errors string, warnings string")
+    return keyed.join(F.broadcast(known), "__shape").drop("__shape")
+
+
 def misleading_aliases(sql: str, question: str, columns: list[str]) -> list[str]:
     """Aliases that repeat words of the question but share none with the column they rename."""
     out = []

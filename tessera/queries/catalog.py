@@ -7,13 +7,13 @@ import tempfile
 from pyspark.sql import Window, functions as F
 
 from ..functions import privacy as P
-from ..operators import catalog as C, registry as V
+from ..operators import catalog as C, keys, registry as V
 from ..plans import governance as G, views
 from ..session import TABLES, shared_folder, table
 from ..sources import jsonl
 from ..streaming import telemetry as S
 from .registry import Registry
-from .text import questions
+from .text import ASKED, questions, runs_sql
 
 R = Registry()
 
@@ -88,32 +88,59 @@ def enum_harvest(orders):
     return C.enumerations(orders, ["o_orderstatus", "o_orderpriority", "o_custkey"])
 
 
-@R.add("SELECT * FROM (VALUES ('lineitem', 2), ('customer', 1)) t(\"table\", links)")
+def _links(spark, sf_dir):
+    """The links that the rows of all tables bear out."""
+    return keys.discover({t: table(spark, sf_dir, t) for t in TABLES})
+
+
+# The whole-number columns that share a stem, by table.
+STEMS = {"region": ["r_regionkey"], "nation": ["n_regionkey", "n_nationkey"], "customer": ["c_custkey", "c_nationkey"], "supplier": ["s_suppkey", "s_nationkey"], "part": ["p_partkey"], "orders": ["o_orderkey", "o_custkey"], "lineitem": ["l_orderkey", "l_partkey", "l_suppkey"], "documents": ["doc_id"], "labels": ["doc_id"]}
+CELLS_SQL = " UNION ALL ".join(f"SELECT '{t}' AS tab, '{c}' AS col, '{keys.stem(c)}' AS stem, CAST({c} AS BIGINT) AS v FROM {t}" for t, cs in STEMS.items() for c in cs)
+LINKS_SQL = f"""cells AS ({CELLS_SQL}), vals AS (SELECT tab, col, stem, v, count(*) AS n FROM cells WHERE v IS NOT NULL GROUP BY ALL), cols AS (SELECT tab, col, stem, count(*) AS distinct_values, max(n) = 1 AS is_key FROM vals GROUP BY ALL),
+links AS (SELECT f.tab AS from_table, f.col AS from_column, t.tab AS to_table, t.col AS to_column, f.distinct_values FROM cols f JOIN cols t ON f.stem = t.stem AND f.tab <> t.tab AND t.is_key
+WHERE (SELECT count(*) FROM vals a JOIN vals b ON a.v = b.v WHERE a.tab = f.tab AND a.col = f.col AND b.tab = t.tab AND b.col = t.col) = f.distinct_values), ways AS (SELECT from_table AS a, to_table AS b FROM links UNION SELECT to_table, from_table FROM links)"""
+
+
+@R.add(f"WITH {LINKS_SQL} SELECT * FROM links")
+def inferred_keys(spark, sf_dir):
+    """Links that column names suggest, kept where every value is found in the other table."""
+    return _links(spark, sf_dir)
+
+
+@R.add(f"WITH {LINKS_SQL} SELECT x AS \"table\", CAST(count(*) AS INTEGER) AS links FROM (SELECT from_table AS x, to_table AS y FROM links UNION ALL SELECT to_table, from_table FROM links) WHERE y IN ('orders', 'part') AND x NOT IN ('orders', 'part') GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 4")
 def neighbour_rank(spark, sf_dir):
     """Tables with most links to orders and part."""
     active = spark.createDataFrame([("orders",), ("part",)], "`table` string")
-    return C.rank_neighbours(C.relationships(spark), active).withColumn("links", F.col("links").cast("int"))
+    return C.rank_neighbours(_links(spark, sf_dir), active).withColumn("links", F.col("links").cast("int"))
 
 
-@R.add("SELECT * FROM (VALUES ('customer'), ('lineitem')) t(\"table\")")
+@R.add(f"WITH {LINKS_SQL} SELECT b AS \"table\" FROM ways WHERE a = 'orders'")
 def schema_neighbours(spark, sf_dir):
-    return C.neighbours(C.relationships(spark), spark.createDataFrame([("orders",)], "`table` string"))
+    return C.neighbours(_links(spark, sf_dir), spark.createDataFrame([("orders",)], "`table` string"))
 
 
-@R.add("SELECT * FROM (VALUES ('lineitem', 'l_orderkey->orders.o_orderkey'), ('orders', 'o_custkey->customer.c_custkey')) t(from_table, edges)")
+@R.add(f"WITH {LINKS_SQL}, active AS (SELECT unnest(['orders', 'customer', 'lineitem']) AS t) SELECT from_table, string_agg(from_column || '->' || to_table || '.' || to_column, ', ' ORDER BY from_column || '->' || to_table || '.' || to_column) AS edges FROM links WHERE from_table IN (FROM active) AND to_table IN (FROM active) GROUP BY 1")
 def scoped_relationships(spark, sf_dir):
-    return C.scoped_relationships(C.relationships(spark), spark.createDataFrame([("orders",), ("customer",), ("lineitem",)], "`table` string"))
+    return C.scoped_relationships(_links(spark, sf_dir), spark.createDataFrame([("orders",), ("customer",), ("lineitem",)], "`table` string"))
+
 
+#: A join path of three tables for each event, out of these.
+JOINED = ["customer", "orders", "lineitem", "part", "supplier", "nation", "region"]
+PATHS_SQL = f"(SELECT event_id AS path_id, list_transform([0, event_id // 7, event_id // 49], lambda x: ({JOINED})[1 + CAST((event_id + x) % 7 AS INTEGER)]) AS t FROM events)"
 
-@R.add("SELECT * FROM (VALUES (2, 'part', 'customer')) t(path_id, a, b)")
+
+@R.add(f"WITH {LINKS_SQL} SELECT path_id, a, b FROM (SELECT path_id, t[1] AS a, t[2] AS b FROM {PATHS_SQL} UNION ALL SELECT path_id, t[2], t[3] FROM {PATHS_SQL}) WHERE (a, b) NOT IN (SELECT (ways.a, ways.b) FROM ways)")
 def join_path_check(spark, sf_dir):
-    paths = spark.createDataFrame([(1, ["customer", "orders", "lineitem"]), (2, ["lineitem", "part", "customer"])], "path_id int, tables array<string>")
-    return C.invalid_joins(C.relationships(spark), paths).select("path_id", "a", "b")
+    """Steps of join paths that no link connects; a path for each event."""
+    at = lambda x: F.get(F.array(*map(F.lit, JOINED)), ((F.col("event_id") + x) % 7).cast("int"))
+    paths = table(spark, sf_dir, "events").select(F.col("event_id").alias("path_id"), F.array(at(F.lit(0)), at(F.expr("event_id div 7")), at(F.expr("event_id div 49"))).alias("tables"))
+    return C.invalid_joins(_links(spark, sf_dir), paths).select("path_id", "a", "b")
 
 
-@R.add("SELECT * FROM (VALUES ('customer', 0), ('nation', 1), ('orders', 1), ('lineitem', 2), ('region', 2), ('supplier', 2), ('part', 3)) t(\"table\", hops)")
+@R.add(f"WITH RECURSIVE {LINKS_SQL}, reach AS (SELECT 'customer' AS t, 0 AS hops UNION SELECT b, hops + 1 FROM reach JOIN ways ON a = t WHERE hops < 9) SELECT t AS \"table\", CAST(min(hops) AS INTEGER) AS hops FROM reach GROUP BY 1")
 def schema_reach(spark, sf_dir):
-    return C.reachable(spark, C.relationships(spark), "customer")
+    """All tables that joins connect with customers, by the number of joins."""
+    return C.reachable(spark, _links(spark, sf_dir), "customer")
 
 
 @R.add("SELECT * FROM (VALUES ('region', 'region: r_regionkey(int), r_name(varchar)'), ('nation', 'nation: n_nationkey(int), n_name(varchar), n_regionkey(int)')) t(\"table\", description)")
@@ -121,18 +148,16 @@ def schema_compact(spark, sf_dir):
     return C.compact(_columns(spark, sf_dir).filter("`table` in ('region', 'nation')"))
 
 
-@R.add(None)
-def inferred_keys(spark, sf_dir):
-    """Links that column names suggest."""
-    cols = spark.createDataFrame([("sale", "id"), ("sale", "party_id"), ("sale", "financial_id"), ("party", "id"), ("financial_year", "id")], "`table` string, `column` string")
-    aliases = spark.createDataFrame([("financial", "financial_year")], "prefix string, `table` string")
-    return C.infer_keys(cols, aliases)
+GLOSSARY = [("revenue", ["sales value", "turnover"]), ("customer", ["client", "buyer"]), ("order", ["sales order"])]
+GLOSSARY_ROWS = ", ".join(f"('{concept}', '{x}')" for concept, synonyms in GLOSSARY for x in [*synonyms, concept])
 
 
-@R.add(None)
-def glossary_match(spark, sf_dir):
-    glossary = spark.createDataFrame([("revenue", ["sales value", "turnover"]), ("customer", ["client", "buyer"]), ("order", ["sales order"])], "concept string, synonyms array<string>")
-    return C.match_glossary(questions(spark), glossary)
+@R.add(f"""WITH asked AS (SELECT question_id, list_transform(regexp_extract_all(lower(question), '[a-z0-9]+'), lambda x: regexp_replace(regexp_replace(x, 'ies$', 'y'), '([^s])s$', '\\1')) AS w FROM {ASKED}), own AS (SELECT question_id, unnest(list_distinct({runs_sql("w", (1, 2, 3))})) AS phrase FROM asked)
+SELECT question_id, concept, row_number() OVER (PARTITION BY question_id ORDER BY max(length(phrase)) DESC, concept) AS place FROM own JOIN (VALUES {GLOSSARY_ROWS}) g(concept, phrase) USING (phrase) GROUP BY question_id, concept""", "conversations")
+def glossary_match(conversations):
+    """Concepts of the glossary in every question."""
+    glossary = conversations.sparkSession.createDataFrame(GLOSSARY, "concept string, synonyms array<string>")
+    return C.match_glossary(questions(conversations), glossary).withColumn("place", F.col("place").cast("long"))
 
 
 @R.add("SELECT * FROM (VALUES ('orders.o_missing', 'ghost')) t(maps_to, term)")
@@ -141,29 +166,48 @@ def glossary_drift(spark, sf_dir):
     return C.glossary_drift(glossary, _columns(spark, sf_dir)).select("maps_to", "term")
 
 
+# Shapes of statements; N is a number, V a text of the event that a statement is logged for.
 STATEMENTS = [
-    "SELECT n_name FROM nation", "SELECT * FROM nation", "SELECT count(*) FROM nation, region", "DROP TABLE nation", "SELECT sleep(10)", "SELECT n_name FROM nation WHERE n_name = NULL", "SELECT 1; SELECT 2",
-    "WITH nation AS (SELECT 1 AS x) SELECT x FROM nation", "SELECT * FROM parquet.`/etc`", "SELECT missing FROM nation", "SELECT n_name FROM nation JOIN region ON n_regionkey = r_regionkey", "SELECT n_name FROM nation WHERE n_name LIKE 'a very long pattern that nobody would ever have typed by hand'",
-    "SELECT o_orderkey FROM orders WHERE o_orderdate > '2099-01-01'", "INSERT INTO nation SELECT * FROM nation", "SELECT java_method('java.lang.System', 'exit')",
+    "SELECT n_name FROM nation WHERE n_nationkey = N", "SELECT * FROM nation WHERE n_nationkey = N", "SELECT count(*) FROM nation, region WHERE r_regionkey > N", "DROP TABLE nation", "SELECT sleep(N)", "SELECT n_name FROM nation WHERE n_name = NULL",
+    "SELECT N; SELECT 2", "WITH nation AS (SELECT N AS x) SELECT x FROM nation", "SELECT * FROM parquet.`/etc`", "SELECT missing FROM nation WHERE n_name = 'V'", "SELECT n_name FROM nation JOIN region ON n_regionkey = r_regionkey",
+    "SELECT n_name FROM nation WHERE n_name LIKE 'a very long pattern that nobody would ever have typed by hand V'", "SELECT o_orderkey FROM orders WHERE o_orderdate > '2099-01-01' AND o_custkey = N", "INSERT INTO nation SELECT * FROM nation", "SELECT java_method('java.lang.System', 'V')", None,
+]
+LOG_SQL = f"(SELECT event_id, CAST(event_id % {len(STATEMENTS)} AS INTEGER) AS shape FROM events)"
+
+
+def _statements(events):
+    """A log of statements: one of the shapes for each event, with its values."""
+    shape = F.get(F.array(*map(F.lit, STATEMENTS)), F.pmod("event_id", F.lit(len(STATEMENTS))).cast("int"))
+    return events.select("event_id", F.regexp_replace(F.regexp_replace(shape, r"\bN\b", F.col("user_id").cast("string")), r"\bV\b", F.col("event_type")).alias("sql"))
+
+
+# What each shape of STATEMENTS has to give, in their order: allowed, cartesian, warnings.
+VERDICTS = [
+    (True, False, ""), (True, False, "selects all columns"), (True, True, "cartesian product"), (False, False, ""), (False, False, ""), (True, False, "compares with NULL"), (False, False, ""), (False, False, ""),
+    (False, False, ""), (False, False, ""), (True, False, "joins without a filter"), (True, False, ""), (True, False, ""), (False, False, ""), (False, False, ""), (False, False, ""),
 ]
 
 
-def _statements(spark):
-    return spark.createDataFrame(list(enumerate(STATEMENTS)), "statement_id long, sql string")
+@R.add(f"SELECT event_id, ok, cartesian, warnings FROM {LOG_SQL} JOIN (VALUES {', '.join(f'({k}, {ok}, {product}, {chr(39)}{w}{chr(39)})' for k, (ok, product, w) in enumerate(VERDICTS))}) t(shape, ok, cartesian, warnings) USING (shape)", "events", "nation", "region", "orders")
+def statement_verdicts(events, nation, region, orders):
+    """A log of statements checked by Spark's own parser and analyser, each shape once; nothing is run."""
+    views.register({"nation": nation, "region": region, "orders": orders})
+    return G.verdicts(_statements(events), ["nation", "region", "orders"]).select("event_id", "ok", "cartesian", "warnings")
 
 
-@R.add(None)
-def statement_verdicts(spark, sf_dir):
-    """Each statement checked by Spark's own parser and analyser; nothing is run."""
-    views.register({t: table(spark, sf_dir, t) for t in ("nation", "region", "orders")})
-    rows = [(k, v.ok, ", ".join(v.warnings), v.cartesian) for k, v in ((k, G.check(spark, s, ["nation", "region", "orders"])) for k, s in enumerate(STATEMENTS))]
-    return spark.createDataFrame(rows, "statement_id long, ok boolean, warnings string, cartesian boolean")
+# What lint has to find in each shape of STATEMENTS, in their order.
+FINDINGS = ["", "select_star", "cartesian", "not_read_only", "blocked_function", "null_comparison", "many_statements", "", "select_star", "", "unfiltered_join", "long_pattern", "far_future", "not_read_only,select_star", "blocked_function", "not_read_only"]
+VALID = "valid_empty"
+EMPTY = {10: "suspicious_empty", 11: "suspicious_empty", 12: "suspicious_empty"}
 
 
-@R.add(None)
-def statement_lint(spark, sf_dir):
+@R.add(f"SELECT event_id, findings, empty_class FROM {LOG_SQL} JOIN (VALUES {', '.join(f'({k}, {chr(39)}{x}{chr(39)}, {chr(39)}{EMPTY.get(k, VALID)}{chr(39)})' for k, x in enumerate(FINDINGS))}) t(shape, findings, empty_class) USING (shape)", "events")
+def statement_lint(events):
     """Findings over a log of statements, as expressions."""
-    return G.lint(_statements(spark)).withColumn("empty_class", G.empty_result_class())
+    log = _statements(events)
+    out = G.lint(log).withColumn("empty_class", G.empty_result_class())
+    names = [c for c in out.columns if c not in (*log.columns, "empty_class")]
+    return out.select("event_id", F.array_join(F.array_compact(F.array(*[F.when(F.col(c), c) for c in names])), ",").alias("findings"), "empty_class")
 
 
 @R.add("SELECT n_name, count(*) AS customers FROM nation JOIN customer ON n_nationkey = c_nationkey GROUP BY n_name")

@@ -10,7 +10,7 @@ from ..functions import text as T, vectors as V
 from ..operators import citations as Cite, ivf, ranking as K
 from ..session import shared_folder, table
 from .registry import Registry
-from .text import questions
+from .text import ASKED_WORDS, questions, runs_sql
 
 R = Registry()
 DOT = "list_dot_product(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[]))"
@@ -191,8 +191,13 @@ def citation_guard(documents):
     return Cite.guard(answers, retrieved)
 
 
-@R.add(None)
-def pattern_matches(spark, sf_dir):
-    """Learned patterns by their trigger phrases."""
-    patterns = spark.createDataFrame([("p1", ["total revenue", "revenue by"], 0.9), ("p2", ["how many"], 1.0), ("p3", ["show me the"], 0.5), ("p4", ["orders were placed"], 0.8)], "pattern_id string, trigger_phrases array<string>, quality double")
-    return K.match_patterns(questions(spark), patterns)
+PATTERNS = [("p1", ["total revenue", "revenue by"], 0.9), ("p2", ["how many"], 1.0), ("p3", ["show me the"], 0.5), ("p4", ["orders were placed"], 0.8)]
+PATTERN_ROWS = ", ".join(f"('{p}', '{phrase}', {quality}::DOUBLE)" for p, phrases, quality in PATTERNS for phrase in phrases)
+
+
+@R.add(f"""WITH own AS (SELECT question_id, unnest(list_distinct({runs_sql("w", (2, 3, 4))})) AS phrase FROM {ASKED_WORDS}), hits AS (SELECT question_id, pattern_id, count(*) * 2 * any_value(quality) AS points FROM own JOIN (VALUES {PATTERN_ROWS}) t(pattern_id, phrase, quality) USING (phrase) GROUP BY ALL)
+SELECT question_id, pattern_id, points, place FROM (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY points DESC, pattern_id) AS place FROM hits WHERE points > 0) WHERE place <= 2""", "conversations")
+def pattern_matches(conversations):
+    """Learned patterns by the trigger phrases in every question."""
+    patterns = conversations.sparkSession.createDataFrame(PATTERNS, "pattern_id string, trigger_phrases array<string>, quality double")
+    return K.match_patterns(questions(conversations), patterns).withColumn("place", F.col("place").cast("long"))

@@ -6,7 +6,7 @@ from pyspark.sql import Window, functions as F
 
 from ..functions import classify as C, privacy as P, text as T
 from ..operators import chunking as K, dedup as D
-from ..plans.semantic import intent
+from ..plans import semantic as S
 from ..sources.files import html_to_text
 from .registry import Registry
 
@@ -119,27 +119,38 @@ QUESTIONS = [
     "deleted orders of active customers", "orders of the past 6 months", "archived invoices", "What files do you have?", "How many files did customer Acme upload", "Draw a chart of stock by warehouse", "Summarize the handbook",
     "stock of PX100 / what does the SOP say about returns", "open orders and the travel policy document", "new question: what is the headcount", "", "enumerate all locations", "average order value in 2023-04-01 to 2023-04-30", "what about them?",
 ]
-VALUES = ", ".join("({}, '{}')".format(i, q.replace("'", "''")) for i, q in enumerate(QUESTIONS))
 
 
-def questions(spark):
-    return spark.createDataFrame(list(enumerate(QUESTIONS)), "question_id long, question string")
+def _listed(parts) -> str:
+    """A list of strings in SQL."""
+    return "[" + ", ".join("NULL" if p is None else "'" + p.replace("'", "''") + "'" for p in parts) + "]"
+
+
+#: Every turn of the conversations as a question: one of the phrases, then the turn's own text.
+ASKED = f"(SELECT concat_ws(':', conv_id, turn) AS question_id, ({_listed(QUESTIONS)})[1 + CAST((coalesce(conv_id, 0) * 5 + coalesce(turn, 0)) % {len(QUESTIONS)} AS INTEGER)] || ' ' || coalesce(text, '') AS question FROM conversations)"
+
+
+def questions(conversations):
+    """(question_id, question) of every turn; see ASKED."""
+    which = F.pmod(F.coalesce("conv_id", F.lit(0)) * 5 + F.coalesce("turn", F.lit(0)), F.lit(len(QUESTIONS))).cast("int")
+    phrase = F.get(F.array(*map(F.lit, QUESTIONS)), which)
+    return conversations.select(F.concat_ws(":", "conv_id", "turn").alias("question_id"), F.concat(phrase, F.lit(" "), F.coalesce("text", F.lit(""))).alias("question"))
 
 
 def _any_sql(parts):
     return "(" + " OR ".join("contains(q, '{}')".format(p.replace("'", "''")) for p in parts) + ")"
 
 
-@R.add(f"""SELECT question_id, CASE WHEN q = '' THEN 'OTHER' {' '.join(f"WHEN {_any_sql(ps)} THEN '{n}'" for n, ps in C.QUERY_TYPES)} ELSE 'OTHER' END AS kind FROM (SELECT CAST(k AS BIGINT) AS question_id, lower(trim(question)) AS q FROM (VALUES {VALUES}) t(k, question))""")
-def query_type(spark, sf_dir):
-    return questions(spark).select("question_id", C.query_type("question").alias("kind"))
+@R.add(f"""SELECT question_id, CASE WHEN q = '' THEN 'OTHER' {' '.join(f"WHEN {_any_sql(ps)} THEN '{n}'" for n, ps in C.QUERY_TYPES)} ELSE 'OTHER' END AS kind FROM (SELECT question_id, lower(trim(question)) AS q FROM {ASKED})""", "conversations")
+def query_type(conversations):
+    return questions(conversations).select("question_id", C.query_type("question").alias("kind"))
 
 
 @R.add(f"""SELECT question_id, CASE WHEN q = '' THEN 'explanation' WHEN regexp_matches(q, '\\b({C.EXPLAIN_WORDS})\\b') THEN 'explanation' WHEN regexp_matches(q, '^(list|show me|show|fetch|get|display|find|give me|top)\\b') AND NOT regexp_matches(q, '\\b(total|sum|average|avg|how many|how much)\\b') THEN 'list'
 WHEN regexp_matches(q, '\\b({C.AGGREGATE_WORDS})\\b') THEN 'aggregate' WHEN regexp_matches(q, '\\b({C.LIST_WORDS})\\b') THEN 'list' ELSE 'explanation' END AS intent, {_any_sql(C.EXHAUSTIVE)} AS exhaustive, {_any_sql(C.VISUAL)} AS visual,
-{_any_sql(C.LISTING)} AND NOT regexp_matches(q, '\\b{C.LISTING_ENTITIES}\\b') AS listing FROM (SELECT CAST(k AS BIGINT) AS question_id, lower(trim(question)) AS q FROM (VALUES {VALUES}) t(k, question))""")
-def query_intent(spark, sf_dir):
-    return questions(spark).select("question_id", C.query_intent("question").alias("intent"), C.is_exhaustive("question").alias("exhaustive"), C.is_visual("question").alias("visual"), C.is_listing("question").alias("listing"))
+{_any_sql(C.LISTING)} AND NOT regexp_matches(q, '\\b{C.LISTING_ENTITIES}\\b') AS listing FROM (SELECT question_id, lower(trim(question)) AS q FROM {ASKED})""", "conversations")
+def query_intent(conversations):
+    return questions(conversations).select("question_id", C.query_intent("question").alias("intent"), C.is_exhaustive("question").alias("exhaustive"), C.is_visual("question").alias("visual"), C.is_listing("question").alias("listing"))
 
 
 def _signal_sql(words, phrases, codes):
@@ -147,26 +158,59 @@ def _signal_sql(words, phrases, codes):
     return f"(len(list_intersect(regexp_extract_all(q, '\\b[a-z0-9_-]+\\b'), [{listed}])) > 0 OR {_any_sql(phrases)}{codes})"
 
 
-@R.add(f"""SELECT question_id, CASE WHEN d AND NOT t THEN 'sql' WHEN t AND NOT d THEN 'rag' ELSE 'hybrid' END AS route FROM (SELECT question_id, {_signal_sql(C.DATA_WORDS, C.DATA_PHRASES, " OR regexp_matches(q, '\\b[a-z]+[0-9]+[a-z0-9_-]*\\b')")} AS d, {_signal_sql(C.DOCUMENT_WORDS, C.DOCUMENT_PHRASES, "")} AS t FROM (SELECT CAST(k AS BIGINT) AS question_id, lower(question) AS q FROM (VALUES {VALUES}) t(k, question)))""")
-def route_classify(spark, sf_dir):
-    return questions(spark).select("question_id", C.route("question").alias("route"))
+@R.add(f"""SELECT question_id, CASE WHEN d AND NOT t THEN 'sql' WHEN t AND NOT d THEN 'rag' ELSE 'hybrid' END AS route FROM (SELECT question_id, {_signal_sql(C.DATA_WORDS, C.DATA_PHRASES, " OR regexp_matches(q, '\\b[a-z]+[0-9]+[a-z0-9_-]*\\b')")} AS d, {_signal_sql(C.DOCUMENT_WORDS, C.DOCUMENT_PHRASES, "")} AS t FROM (SELECT question_id, lower(question) AS q FROM {ASKED}))""", "conversations")
+def route_classify(conversations):
+    return questions(conversations).select("question_id", C.route("question").alias("route"))
+
 
+def _data_sql(q):
+    return _signal_sql(C.DATA_WORDS, C.DATA_PHRASES, " OR regexp_matches(q, '\\b[a-z]+[0-9]+[a-z0-9_-]*\\b')").replace("(q, ", f"({q}, ")
 
-@R.add(None)
-def hybrid_split(spark, sf_dir):
-    return questions(spark).select("question_id", C.split_hybrid("question").alias("p")).select("question_id", "p.*")
+
+def _document_sql(q):
+    return _signal_sql(C.DOCUMENT_WORDS, C.DOCUMENT_PHRASES, "").replace("(q, ", f"({q}, ")
+
+
+@R.add(f"""WITH asked AS (SELECT row_number() OVER () AS rid, question_id, question FROM {ASKED}),
+parts AS (SELECT rid, k, strict, trim(regexp_extract(question, p, 1)) AS one, trim(regexp_extract(question, p, 2)) AS two FROM asked, (VALUES (1, '(?s)^(.*?)\\s+/\\s+(.*)$', FALSE), (2, '(?s)^(.*?)\\s+\\|\\s+(.*)$', FALSE),
+(3, '(?s)^(.*?)\\s+;\\s+(.*)$', FALSE), (4, '(?s)^(.*?)\\s+--\\s+(.*)$', FALSE), (5, '(?is)^(.*?)\\s+(?:and|&)\\s+(.*)$', TRUE)) m(k, p, strict) WHERE regexp_matches(question, p) AND (NOT strict OR len(regexp_extract_all(question, '(?i)\\s+(?:and|&)\\s+')) = 1)),
+told AS (SELECT rid, k, strict, one, two, {_data_sql("lower(one)")} AS s1, {_document_sql("lower(one)")} AS d1, {_data_sql("lower(two)")} AS s2, {_document_sql("lower(two)")} AS d2 FROM parts),
+chosen AS (SELECT rid, k, one, two, CASE WHEN s1 AND d2 AND NOT d1 THEN TRUE WHEN s2 AND d1 AND NOT d2 THEN FALSE WHEN NOT strict AND s1 AND d2 THEN TRUE WHEN NOT strict AND s2 AND d1 THEN FALSE END AS forth FROM told),
+firsts AS (SELECT rid, CASE WHEN forth THEN one ELSE two END AS sql, CASE WHEN forth THEN two ELSE one END AS doc FROM chosen WHERE forth IS NOT NULL QUALIFY row_number() OVER (PARTITION BY rid ORDER BY k) = 1)
+SELECT question_id, coalesce(sql, question) AS sql, coalesce(doc, question) AS doc FROM asked LEFT JOIN firsts USING (rid)""", "conversations")
+def hybrid_split(conversations):
+    """Compound questions cut into the part for the database and the part for documents."""
+    return questions(conversations).select("question_id", C.split_hybrid("question").alias("p")).select("question_id", "p.*")
 
 
 @R.add(f"""SELECT question_id, CASE WHEN regexp_matches(q, '\\b(deleted|removed|dropped|gone)\\b') AND regexp_matches(q, '\\b(active|current|present|live|existing)\\b') THEN 'INCLUDE_ARCHIVED' WHEN regexp_matches(q, '\\b(deleted|removed|dropped|gone)\\b') THEN 'DELETED_ONLY'
-WHEN regexp_matches(regexp_replace(q, '\\bpast\\s+(few\\s+)?([0-9]+\\s+)?(days?|weeks?|months?|quarters?|years?)\\b', '', 'g'), '\\b(archived|history|audit|historical|past)\\b') THEN 'INCLUDE_ARCHIVED' ELSE 'ACTIVE_ONLY' END AS records FROM (SELECT CAST(k AS BIGINT) AS question_id, lower(question) AS q FROM (VALUES {VALUES}) t(k, question))""")
-def soft_delete_intent(spark, sf_dir):
-    return questions(spark).select("question_id", C.soft_delete_intent("question").alias("records"))
+WHEN regexp_matches(regexp_replace(q, '\\bpast\\s+(few\\s+)?([0-9]+\\s+)?(days?|weeks?|months?|quarters?|years?)\\b', '', 'g'), '\\b(archived|history|audit|historical|past)\\b') THEN 'INCLUDE_ARCHIVED' ELSE 'ACTIVE_ONLY' END AS records FROM (SELECT question_id, lower(question) AS q FROM {ASKED})""", "conversations")
+def soft_delete_intent(conversations):
+    return questions(conversations).select("question_id", C.soft_delete_intent("question").alias("records"))
+
+
+def _first_sql(table):
+    return "CASE " + " ".join(f"WHEN {_any_sql(words)} THEN '{name}'" for name, words in table) + " END"
 
 
-@R.add(None)
-def analytical_intent(spark, sf_dir):
-    """Metrics, dimensions, filters and periods of questions."""
-    return questions(spark).select("question_id", intent("question").alias("i")).select("question_id", "i.*")
+def _named_sql(table):
+    return "concat_ws(',', " + ", ".join(f"CASE WHEN {_any_sql(words)} THEN '{name}' END" for name, words in table) + ")"
+
+
+PERIOD_WORDS = [(p, [p, p.replace("last", "past"), p.replace("last", "previous"), p.replace("this", "current")]) for p in S.PERIODS]
+
+
+@R.add(f"""WITH i AS (SELECT question_id, q, {_first_sql(S.METRIC_WORDS)} AS metric, {_named_sql(S.DIMENSION_WORDS)} AS dimensions, {_named_sql(S.FILTER_WORDS)} AS filters, {_first_sql(PERIOD_WORDS)} AS period,
+CASE WHEN regexp_matches(q, '\\b(how many|count|number of)\\b') THEN 'COUNT' WHEN regexp_matches(q, '\\b(how much|total|sum|overall)\\b') THEN 'SUM' WHEN regexp_matches(q, '\\b(average|mean|avg)\\b') THEN 'AVG' END AS aggregation,
+nullif(regexp_extract(q, '\\btop\\s+(\\d+)\\b', 1), '') AS top, regexp_matches(q, '\\b(best|highest|top|most|maximum|greatest)\\b') AS best, regexp_matches(q, '\\b(lowest|worst|least|minimum|cheapest)\\b') AS worst FROM (SELECT question_id, lower(question) AS q FROM {ASKED}))
+SELECT question_id, metric, dimensions, filters, period, aggregation, CASE WHEN top IS NOT NULL THEN CAST(top AS INTEGER) WHEN best OR worst THEN 1 END AS rows, CASE WHEN top IS NOT NULL OR best THEN TRUE WHEN worst THEN FALSE END AS descending,
+CASE WHEN regexp_matches(q, '\\b(current|this year|this financial year|this fiscal year|ongoing|present year)\\b') THEN 'CURRENT_YEAR' WHEN regexp_matches(q, '\\b(total|all|all-time|all time|history|historical|overall|cumulative|ever|lifetime|entire)\\b') OR aggregation IS NOT NULL OR period IS NULL THEN 'ALL_TIME' ELSE 'SPECIFIC_PERIOD' END AS scope,
+CASE WHEN regexp_matches(q, '\\b(deleted|removed|dropped|gone)\\b') AND regexp_matches(q, '\\b(active|current|present|live|existing)\\b') THEN 'INCLUDE_ARCHIVED' WHEN regexp_matches(q, '\\b(deleted|removed|dropped|gone)\\b') THEN 'DELETED_ONLY'
+WHEN regexp_matches(regexp_replace(q, '\\bpast\\s+(few\\s+)?([0-9]+\\s+)?(days?|weeks?|months?|quarters?|years?)\\b', '', 'g'), '\\b(archived|history|audit|historical|past)\\b') THEN 'INCLUDE_ARCHIVED' ELSE 'ACTIVE_ONLY' END AS records FROM i""", "conversations")
+def analytical_intent(conversations):
+    """Metrics, dimensions, filters and periods of questions; lists as text."""
+    i = questions(conversations).select("question_id", S.intent("question").alias("i")).select("question_id", "i.*")
+    return i.withColumns({c: F.array_join(c, ",") for c in ("dimensions", "filters")})
 
 
 @R.add(None, "conversations")
@@ -184,11 +228,19 @@ def acronym_expansion(documents):
 ERRORS = ["Unknown column 'x' in field list", "no such table: foo", "429 rate limit", "request timed out", "syntax error near SELECT", "deleted_at filter missing", "read-only violation: DROP TABLE x", "schema not found in schema embedding", "no rows", "access denied for user", "ambiguous entity Acme", "boom", None, "Traceback (most recent call last):\n  File \"/a/b.py\", line 1\nValueError: password=abc in /srv/app/x.py\nsecond line"]
 
 
-@R.add(None)
-def error_classes(spark, sf_dir):
-    """Failure categories, telemetry types and clean texts of errors."""
-    e = spark.createDataFrame(list(enumerate(ERRORS)), "error_id long, error string")
-    return e.select("error_id", C.failure_category("error").alias("category"), C.telemetry_failure("error").alias("telemetry_type"), P.normalise_error("error").alias("clean"))
+def _signs_sql(table, default):
+    return f"CASE WHEN error IS NULL THEN '{default}' " + " ".join("WHEN " + " AND ".join(_any_sql(g).replace("contains(q, ", "contains(lower(error), ") for g in groups) + f" THEN '{name}'" for name, groups in table) + f" ELSE '{default}' END"
+
+
+@R.add(f"""WITH e AS (SELECT event_id, ({_listed(ERRORS)})[1 + CAST(event_id % {len(ERRORS)} AS INTEGER)] || ' in call ' || event_id || ' of ' || event_type || ' password=' || user_id AS error FROM events),
+c AS (SELECT event_id, trim(regexp_replace(trim(error), '(?s)Traceback \\(most recent call last\\):.*?([a-zA-Z0-9_]+Error:|\\z)', '\\1', 'g')) AS t FROM e),
+l AS (SELECT event_id, list_filter(list_transform(regexp_split_to_array(regexp_replace(regexp_replace(t, '((password|passwd|pwd|secret|key)=)[^\\s;&,]+', '\\1***', 'gi'), '(?:/[a-zA-Z0-9_.\\-]+)+', '[path]', 'g'), '\\r?\\n'), lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g')), lambda x: x <> '') AS lines FROM c)
+SELECT event_id, {_signs_sql(C.FAILURES, "unknown")} AS category, {_signs_sql(C.TELEMETRY_FAILURES, "unknown_error")} AS telemetry_type, CASE WHEN lines IS NULL OR len(lines) = 0 THEN 'unknown_error' WHEN length(array_to_string(lines, ' | ')) > 500 THEN substr(array_to_string(lines, ' | '), 1, 497) || '...' ELSE array_to_string(lines, ' | ') END AS clean FROM e JOIN l USING (event_id)""", "events")
+def error_classes(events):
+    """Failure categories, telemetry types and clean texts of the errors of all events, null where an event has none."""
+    message = F.get(F.array(*map(F.lit, ERRORS)), F.pmod("event_id", F.lit(len(ERRORS))).cast("int"))
+    e = events.select("event_id", F.concat(message, F.lit(" in call "), F.col("event_id").cast("string"), F.lit(" of "), "event_type", F.lit(" password="), F.col("user_id").cast("string")).alias("error"))
+    return e.select("event_id", C.failure_category("error").alias("category"), C.telemetry_failure("error").alias("telemetry_type"), P.normalise_error("error").alias("clean"))
 
 
 @R.add(None, "conversations")
@@ -198,6 +250,16 @@ def history_sanitise(conversations):
     return conversations.select("conv_id", "turn", P.sanitise_turn(turn, F.when(F.col("conv_id") % 2 == 0, "some-model").otherwise("sql/direct")).alias("clean"))
 
 
-@R.add(None)
-def trigger_phrases(spark, sf_dir):
-    return questions(spark).select("question_id", T.trigger_phrases("question").alias("phrases"))
+def runs_sql(w: str, lengths) -> str:
+    """All runs of so many neighbours in a list of words, in SQL; the shortest first."""
+    return "list_concat(" + ", ".join(f"list_transform(range(1, len({w}) - {n} + 2), lambda i: array_to_string(list_slice({w}, i, i + {n} - 1), ' '))" for n in lengths) + ")"
+
+
+#: Questions (question_id, w), w being their lower-case words.
+ASKED_WORDS = f"(SELECT question_id, list_filter(regexp_split_to_array(lower(question), '\\s+'), lambda x: x <> '') AS w FROM {ASKED})"
+
+
+@R.add(f"""SELECT question_id, array_to_string(list_slice(list_filter({runs_sql("w", (2, 3, 4))}, lambda p: NOT ({" OR ".join(f"contains(p, '{x}')" for x in ("the", "a", "an", "is", "are", "was", "were"))})), 1, 10), ' | ') AS phrases FROM {ASKED_WORDS}""", "conversations")
+def trigger_phrases(conversations):
+    """The first ten phrases of questions that could set off a learned pattern, as text."""
+    return questions(conversations).select("question_id", F.array_join(T.trigger_phrases("question"), " | ").alias("phrases"))

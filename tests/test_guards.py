@@ -128,3 +128,32 @@ def test_replace_goes_on_after_a_failure(spark, store, monkeypatch, written):
     assert spark.read.parquet(store[0]).filter("active and document_id in ('old', 'new')").count() >= 1
     assert replacement.replace(spark, *store, "old", new, version) == "replaced"
     assert spark.read.parquet(store[1]).filter("active and document_id in ('old', 'new')").count() == 1
+
+
+def test_verdicts_of_a_log(spark):
+    from tessera.plans import governance as G
+
+    spark.range(3).createOrReplaceTempView("numbers")
+    statements = ["SELECT id FROM numbers WHERE id = 1", "SELECT id FROM numbers WHERE id = 22", "SELECT id FROM numbers WHERE 'a''b' = 'it'", "SELECT `reflect`('java.lang.System', 'x') FROM numbers", "SELECT * FROM IDENTIFIER('numbers')", "DROP TABLE numbers", None, ""]
+    log = spark.createDataFrame(list(enumerate(statements)), "k int, sql string")
+    got = {r["k"]: (r["ok"], r["warnings"]) for r in G.verdicts(log, ["numbers"]).collect()}
+    assert got == {0: (True, ""), 1: (True, ""), 2: (True, ""), 3: (False, ""), 4: (False, ""), 5: (False, ""), 6: (False, ""), 7: (False, "")}
+    shapes = [r[0] for r in log.limit(3).select(G.shape(F.col("sql"))).collect()]
+    assert shapes == ["SELECT id FROM numbers WHERE id = 0", "SELECT id FROM numbers WHERE id = 0", "SELECT id FROM numbers WHERE '?' = '?'"]
+    with pytest.raises(ValueError):
+        G.verdicts(log, ["numbers"], most=2)
+    assert G.verdicts(log.limit(0), ["numbers"]).count() == 0
+
+
+# Errors, their failure categories and telemetry types.
+ERROR_CASES = [
+    ("Unknown column 'x' in field list", "invalid_column", "sql_validation_error"), ("no such table: foo", "invalid_table", "db_execution_error"), ("429 rate limit", "rate_limit_error", "rate_limit_error"), ("request timed out", "timeout", "timeout_error"),
+    ("syntax error near SELECT", "sql_syntax_error", "sql_generation_error"), ("read-only violation: DROP TABLE x", "unsafe_sql_operation", "unknown_error"), ("no rows", "empty_result", "unknown_error"), ("access denied for user", "permission_error", "permission_error"), (None, "unknown", "unknown_error"),
+]
+
+
+def test_error_classes(spark):
+    from tessera.functions import classify as C
+
+    got = spark.createDataFrame([(e,) for e, _, _ in ERROR_CASES], "e string").select("e", C.failure_category("e"), C.telemetry_failure("e")).collect()
+    assert list(map(tuple, got)) == ERROR_CASES

@@ -77,3 +77,25 @@ def test_breaker_equals_one_scan_per_key(calls, slot):
     assert got.columns == [*calls.columns, "streak", "trips"]
     assert {r["id"]: (r["streak"], r["trips"]) for r in got.collect()} == want
     assert A.breaker(calls.limit(0), "key", ["ts", "id"], F.col("bad")).count() == 0
+
+
+def test_links_are_borne_out_by_rows(spark):
+    from tessera.operators import keys
+
+    a = spark.createDataFrame([(1,), (2,), (3,)], "a_itemkey long")
+    b = spark.createDataFrame([(1, 9), (1, 8), (3, 7), (None, 6)], "b_itemkey int, b_otherkey int")
+    c = spark.createDataFrame([(1, 5), (4, 4)], "c_itemkey long, c_otherkey long")
+    empty = spark.createDataFrame([], "d_itemkey long")
+    got = sorted(map(tuple, keys.discover({"a": a, "b": b, "c": c, "d": empty}).collect()))
+    assert got == [("b", "b_itemkey", "a", "a_itemkey", 2)]
+    assert keys.discover({"a": a}).count() == 0 and keys.discover({"a": a.limit(0), "d": empty}).count() == 0
+    hot = spark.range(50_000).selectExpr("if(id % 3 = 0, 1L, 1L + id % 3) as b_itemkey")
+    assert sorted(map(tuple, keys.discover({"a": a, "b": hot}).collect())) == [("b", "b_itemkey", "a", "a_itemkey", 3)]
+
+
+def test_names_suggest_links(spark):
+    from tessera.operators import catalog as C
+
+    cols = spark.createDataFrame([("sale", "id"), ("sale", "party_id"), ("sale", "financial_id"), ("sale", "ghost_id"), ("party", "id"), ("financial_year", "id")], "`table` string, `column` string")
+    aliases = spark.createDataFrame([("financial", "financial_year")], "prefix string, `table` string")
+    assert sorted(map(tuple, C.infer_keys(cols, aliases).collect())) == [("sale", "financial_id", "financial_year", "id"), ("sale", "party_id", "party", "id")]
