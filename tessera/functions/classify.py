@@ -61,6 +61,17 @@ LISTING_ENTITIES = "(customer|client|vendor|supplier|employee|order|invoice|prod
 # Cues of a follow-up question.
 FOLLOW_UP = r"it|its|it'?s|that|those|these|them|they|the (?:first|second|third|last|other|same|above|previous|former|latter)|compare|comparison|vs\.?|versus|make a table|make table|tabulate|chart it|graph it|plot it|how about|what about|expand|elaborate|continue|instead|difference|again|rephrase|the rest"
 RESET = ["new question", "different", "change topic", "let's talk about", "switch to", "start over", "ignore previous", "forget about"]
+# Words by task, in order of precedence.
+TASKS = [
+    ("summarization", ["summarize", "summary", "overview", "brief"]),
+    ("reasoning", ["why", "how", "explain", "reason", "analyze", "compare"]),
+    ("extraction", ["extract", "list", "find all", "what are the"]),
+]
+# Words that refine a conversation, and pronouns that point back.
+REFINE = ["what about", "how about", "and for", "also", "same for", "instead", "drill down", "break down by"]
+VAGUE = "it|they|them|their|its|this|that|these|those"
+# Shapes of dates, periods and words that bound a time.
+TEMPORAL = r"(?i)\b\d{4}[-/]\d{1,2}[-/]\d{1,2}\b|\b(19|20)\d{2}\b|\b(last|past|previous|this)\s+(month|year|quarter|week|days?|\d+\s+days|\d+\s+months)\b|\b(between|after|before|since|until|from|overdue|as of|ytd|quarterly|monthly)\b|\b(january|february|march|april|may|june|july|august|september|october|november|december)\b|\b(due date|order date|dispatch date|created at|adjustment date|batch date)\b"
 
 
 def query_type(question: Column | str) -> Column:
@@ -85,8 +96,10 @@ def query_intent(question: Column | str) -> Column:
 
 
 def query_task(question: Column | str) -> Column:
-    q = _low(question)
-    return F.when(has_any(q, ["summarize", "summary", "overview", "brief"]), "summarization").when(has_any(q, ["why", "how", "explain", "reason", "analyze", "compare"]), "reasoning").when(has_any(q, ["extract", "list", "find all", "what are the"]), "extraction").otherwise("general_qa")
+    q, out = _low(question), F.when(F.lit(False), "")
+    for name, words in TASKS:
+        out = out.when(has_any(q, words), name)
+    return out.otherwise("general_qa")
 
 
 def is_exhaustive(question: Column | str) -> Column:
@@ -154,18 +167,16 @@ def is_follow_up(question: Column | str) -> Column:
     return (q != "") & ((F.size(F.split(q, r"\s+")) <= 4) | has_word(q, FOLLOW_UP))
 
 
-def context_action(question: Column | str, has_history: Column, follow_markers: Iterable[str] = ("what about", "how about", "and for", "also", "same for", "instead", "drill down", "break down by")) -> Column:
+def context_action(question: Column | str, has_history: Column, follow_markers: Iterable[str] = tuple(REFINE)) -> Column:
     """'RESET', 'REFINE' or 'ASK' for a question within a conversation."""
     q = _low(question)
-    vague = has_word(q, "it|they|them|their|its|this|that|these|those")
+    vague = has_word(q, VAGUE)
     short = F.size(F.split(F.trim(q), r"\s+")) < 10
     return F.when(has_any(q, RESET), "RESET").when(has_any(q, follow_markers) | vague, F.when(has_history, "REFINE").otherwise("ASK")).when(has_history & short, "REFINE").otherwise("RESET")
 
 
 def temporal_intent(question: Column | str) -> Column:
-    # Shapes of dates, periods and words that bound a time.
-    pattern = r"(?i)\b\d{4}[-/]\d{1,2}[-/]\d{1,2}\b|\b(19|20)\d{2}\b|\b(last|past|previous|this)\s+(month|year|quarter|week|days?|\d+\s+days|\d+\s+months)\b|\b(between|after|before|since|until|from|overdue|as of|ytd|quarterly|monthly)\b|\b(january|february|march|april|may|june|july|august|september|october|november|december)\b|\b(due date|order date|dispatch date|created at|adjustment date|batch date)\b"
-    return F.coalesce(F.col(question) if isinstance(question, str) else question, F.lit("")).rlike(pattern)
+    return F.coalesce(F.col(question) if isinstance(question, str) else question, F.lit("")).rlike(TEMPORAL)
 
 
 # Signs of failure categories, in order of precedence; all of a tuple's groups must be present.

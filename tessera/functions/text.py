@@ -182,13 +182,16 @@ def document_type(text: Column | str, category: Column | None = None) -> Column:
 
 
 def rows_to_markdown(rows: Column | str) -> Column:
-    """A markdown table of array<array<string>>; short rows are padded to the width of the first."""
-    r = _col(rows)
-    width = F.size(r[0])
-    line = lambda x: F.concat(F.lit("| "), F.array_join(F.slice(F.concat(F.transform(x, lambda c: F.coalesce(c, F.lit(""))), F.array_repeat(F.lit(""), F.greatest(width - F.size(x), F.lit(0)))), 1, width), " | "), F.lit(" |"))
-    rule = F.concat(F.lit("| "), F.array_join(F.array_repeat(F.lit("---"), width), " | "), F.lit(" |"))
-    body = F.transform(F.slice(r, 2, F.greatest(F.size(r) - 1, F.lit(0))), line)
-    return F.when(F.size(r) > 0, F.array_join(F.concat(F.array(line(r[0]), rule), body), "\n"))
+    """A markdown table of array<array<string>>; short rows are padded to the width of the first. No table of no rows."""
+
+    def table(r: Column) -> Column:
+        width = F.size(r[0])
+        line = lambda x: F.concat(F.lit("| "), F.array_join(F.slice(F.concat(F.transform(x, lambda c: F.coalesce(c, F.lit(""))), F.array_repeat(F.lit(""), F.greatest(width - F.size(x), F.lit(0)))), 1, width), " | "), F.lit(" |"))
+        rule = F.concat(F.lit("| "), F.array_join(F.array_repeat(F.lit("---"), width), " | "), F.lit(" |"))
+        body = F.transform(F.slice(r, 2, F.greatest(F.size(r) - 1, F.lit(0))), line)
+        return F.when(F.size(r) > 0, F.array_join(F.concat(F.array(line(r[0]), rule), body), "\n"))
+
+    return F.get(F.transform(F.array(_col(rows)), table), F.lit(0))
 
 
 def heading_spans(spans: Column | str, factor: float = 1.2) -> Column:

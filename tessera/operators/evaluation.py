@@ -32,3 +32,20 @@ def bank_coverage(questions: DataFrame, schema: DataFrame, labels: list[str]) ->
     pairs = F.explode(F.array(*[F.struct(F.lit(c).alias("measure"), F.col(c).cast("string").alias("name")) for c in labels]))
     kinds = questions.select(pairs.alias("p")).groupBy("p.measure", "p.name").agg(F.count("*").alias("n"))
     return whole.unionByName(gaps).unionByName(kinds).select("measure", "name", "n")
+
+
+def summary(results: DataFrame, case: str, score: str, expected: str, observed: str, twist: str, difficulty: str, worst: int = 5) -> DataFrame:
+    """(measure, name, value, n) of a run: 'score', 'routing' and 'twists' of all cases, 'difficulty' by name, and 'worst' cases.
+
+    ``routing`` is the share of cases whose observed route is the expected one, ``twists`` of those that handled theirs. A null
+    score counts as 0, a null route or twist as missed, a null difficulty is 'unknown'. No results give no rows."""
+    r = results.select(F.col(case).cast("string").alias("case"), F.coalesce(F.col(score).cast("double"), F.lit(0.0)).alias("s"), F.coalesce(F.col(expected) == F.col(observed), F.lit(False)).cast("double").alias("routed"),
+                       F.coalesce(F.col(twist).cast("boolean"), F.lit(False)).cast("double").alias("twisted"), F.coalesce(F.col(difficulty).cast("string"), F.lit("unknown")).alias("kind"))
+    per = r.groupBy("kind").agg(F.count("*").alias("n"), *[F.sum(c).alias(c) for c in ("s", "routed", "twisted")])
+    whole = per.agg(F.sum("n").alias("n"), *[F.sum(c).alias(c) for c in ("s", "routed", "twisted")]).filter("n > 0")
+    none = F.lit(None).cast("string")
+    measures = F.explode(F.array(*[F.struct(F.lit(m).alias("measure"), none.alias("name"), (F.col(c) / F.col("n")).alias("value")) for m, c in (("score", "s"), ("routing", "routed"), ("twists", "twisted"))]))
+    overall = whole.select(measures.alias("m"), "n").select("m.*", "n")
+    kinds = per.select(F.lit("difficulty").alias("measure"), F.col("kind").alias("name"), (F.col("s") / F.col("n")).alias("value"), "n")
+    low = r.orderBy("s", "case").limit(worst).select(F.lit("worst").alias("measure"), F.col("case").alias("name"), F.col("s").alias("value"), F.lit(1).cast("long").alias("n"))
+    return overall.unionByName(kinds).unionByName(low)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import registered
-from ..operators import evaluation as E
+from ..operators import evaluation as E, fastpath as P
 from ..plans import guards as G
 from ..session import table
 from .registry import Registry
@@ -81,3 +81,36 @@ def registered_chunks(spark, sf_dir):
     """A table function in a statement: overlapping pieces of each whole text."""
     registered.register(spark)
     return spark.sql("SELECT doc_id, c.place, c.chunk FROM {d} d, LATERAL text_chunks(d.text, 500, 400) c", d=table(spark, sf_dir, "documents"))
+
+
+RUN_SQL = "(SELECT event_id, floor(value)::BIGINT % 101 AS score, user_id % 3 AS expected, event_id % 3 AS observed, user_id % 2 = 0 AS twist, event_type FROM events)"
+
+
+@R.add(f"""WITH r AS (SELECT CAST(event_id AS VARCHAR) AS c, CAST(coalesce(score, 0) AS DOUBLE) AS s, CAST(coalesce(expected = observed, FALSE) AS INTEGER) AS routed, CAST(coalesce(twist, FALSE) AS INTEGER) AS twisted, coalesce(event_type, 'unknown') AS kind FROM {RUN_SQL})
+SELECT 'score' AS measure, CAST(NULL AS VARCHAR) AS name, sum(s) / count(*) AS value, count(*) AS n FROM r UNION ALL SELECT 'routing', NULL, sum(routed) / count(*), count(*) FROM r UNION ALL SELECT 'twists', NULL, sum(twisted) / count(*), count(*) FROM r
+UNION ALL SELECT 'difficulty', kind, sum(s) / count(*), count(*) FROM r GROUP BY kind UNION ALL SELECT 'worst', c, s, 1 FROM (SELECT c, s FROM r ORDER BY s, c LIMIT 5)""", "events")
+def run_summary(events):
+    """Events as the cases of a run: their type is the difficulty, routes and twists go by the user."""
+    run = events.select("event_id", F.expr("cast(floor(value) as bigint) % 101").alias("score"), F.expr("user_id % 3").alias("expected"), F.expr("event_id % 3").alias("observed"), F.expr("user_id % 2 = 0").alias("twist"), "event_type")
+    return E.summary(run, "event_id", "score", "expected", "observed", "twist", "event_type")
+
+
+# Questions of the kinds COUNT, SUM and LIST, in turn, by type of event.
+ASKS = {"view": ["How many page views were there?", "What is the total view time for users?", "List all views"], "click": ["How many clicks came due to mails?", "Sum of clicks", "List all clicks"], "purchase": ["How many purchases in May?", "What is the total purchase value?", "List all purchases"], "error": ["number of errors", "Why is the total error count so high?", "List all errors"], "": ["How many?", "total", "List"]}
+_ASKED = "CASE event_type " + " ".join(f"WHEN '{k}' THEN " + "[" + ", ".join(f"'{x}'" for x in v) + "]" for k, v in ASKS.items() if k) + f" ELSE {ASKS['']} END"
+_KINDS = ["COUNT", "SUM", "LIST"]
+_SAID, _TOTAL = (f"coalesce(nullif(trim(regexp_extract(question, '{P.asked_for(*words)}', 1)), ''), '{default}')" for words, default in ((P.COUNTS, "records"), (P.SUMS, "amount")))
+
+
+@R.add(f"""WITH a AS (SELECT event_id, ts, event_type, (({_ASKED})::VARCHAR[])[1 + CAST(event_id % 3 AS INTEGER)] AS question, ({_KINDS})[1 + CAST(event_id % 3 AS INTEGER)] AS kind, CASE WHEN event_id % 3 = 1 AND user_id % 40 = 0 THEN NULL ELSE event_id * 13 END AS value FROM events),
+f AS (SELECT *, NOT regexp_matches(lower(question), '{"|".join(P.DISQUALIFIERS)}') AND kind <> 'LIST' AS tried, replace(format('{{:,}}', value), '.', ',') AS number FROM a),
+s AS (SELECT *, CASE kind WHEN 'COUNT' THEN 'There are ' || number || ' ' || {_SAID} || '.' WHEN 'SUM' THEN 'The total ' || {_TOTAL} || ' is ' || number || '.' END AS said FROM f),
+w AS (SELECT event_id, kind, ts, count(*) OVER o AS n, count(*) FILTER (said IS NULL) OVER o AS bad FROM s WHERE tried WINDOW o AS (PARTITION BY kind ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)),
+off AS (SELECT kind, min((ts, event_id)) AS x FROM w WHERE n >= 50 AND bad >= n * 0.01 GROUP BY 1)
+SELECT s.event_id, s.kind, CASE WHEN tried AND ((s.ts, s.event_id) <= off.x OR off.x IS NULL) THEN said END AS answer FROM s LEFT JOIN off ON s.kind = off.kind""", "events")
+def fast_path_answers(events):
+    """Questions of events answered by template until a template fails too often; lists are switched off by hand."""
+    asks = F.coalesce(*[F.when(F.col("event_type") == k, F.array(*map(F.lit, v))) for k, v in ASKS.items() if k], F.array(*map(F.lit, ASKS[""])))
+    k = F.pmod("event_id", F.lit(3)).cast("int")
+    asked = events.select("event_id", "ts", F.get(asks, k).alias("question"), F.get(F.array(*map(F.lit, _KINDS)), k).alias("kind"), F.when((k == 1) & (F.col("user_id") % 40 == 0), None).otherwise(F.col("event_id") * 13).alias("value"))
+    return P.answers(asked, "kind", "ts", "event_id", "question", "value", disabled=["LIST"]).select("event_id", "kind", "answer")

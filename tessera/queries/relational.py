@@ -57,10 +57,10 @@ def inactive_customers_anti(customer, orders):
     return customer.join(recent, F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey", "c_name")
 
 
-@R.add("SELECT p_partkey, p_name FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_returnflag = 'R' AND l_partkey IS NOT NULL)", "part", "lineitem")
+@R.add("SELECT p_partkey, p_name FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_returnflag = 'R' AND l_quantity >= 40 AND l_partkey IS NOT NULL)", "part", "lineitem")
 def parts_never_returned(part, lineitem):
-    """NOT IN without nulls is an anti-join."""
-    return part.join(lineitem.filter("l_returnflag = 'R'"), F.col("p_partkey") == F.col("l_partkey"), "left_anti").select("p_partkey", "p_name")
+    """Parts of which no large line came back; NOT IN without nulls is an anti-join."""
+    return part.join(lineitem.filter("l_returnflag = 'R' and l_quantity >= 40"), F.col("p_partkey") == F.col("l_partkey"), "left_anti").select("p_partkey", "p_name")
 
 
 @R.add("SELECT s_suppkey, s_name FROM supplier WHERE EXISTS (SELECT 1 FROM lineitem WHERE l_suppkey = s_suppkey AND l_quantity >= 45)", "supplier", "lineitem")
@@ -255,12 +255,12 @@ def cube_orders(orders):
     return cube.select(F.coalesce("o_orderstatus", F.lit("all")).alias("status"), F.coalesce("o_orderpriority", F.lit("all")).alias("priority"), "level", "n")
 
 
-@R.add("""WITH p AS (SELECT l_partkey, CAST(sum(CAST(l_quantity AS DECIMAL(18,2))) AS DECIMAL(38,2)) AS q, max(CAST(l_quantity AS DECIMAL(18,2))) AS top FROM lineitem GROUP BY 1)
-SELECT l_partkey, CAST(top AS DOUBLE) AS top, CAST(q AS DOUBLE) AS total FROM p WHERE top * 2 > q""", "lineitem")
+@R.add("""WITH p AS (SELECT l_orderkey, CAST(sum(CAST(l_quantity AS DECIMAL(18,2))) AS DECIMAL(38,2)) AS q, max(CAST(l_quantity AS DECIMAL(18,2))) AS top, count(*) AS n FROM lineitem GROUP BY 1)
+SELECT l_orderkey, CAST(top AS DOUBLE) AS top, CAST(q AS DOUBLE) AS total FROM p WHERE n > 1 AND top * 2 > q""", "lineitem")
 def dominant_share(lineitem):
-    """Parts of which one line holds more than half."""
-    per = lineitem.groupBy("l_partkey").agg(F.sum(money("l_quantity")).alias("q"), F.max(money("l_quantity")).alias("top"))
-    return per.filter(F.col("top") * 2 > F.col("q")).select("l_partkey", F.col("top").cast("double").alias("top"), F.col("q").cast("double").alias("total"))
+    """Orders of several lines of which one holds more than half."""
+    per = lineitem.groupBy("l_orderkey").agg(F.sum(money("l_quantity")).alias("q"), F.max(money("l_quantity")).alias("top"), F.count("*").alias("n"))
+    return per.filter((F.col("n") > 1) & (F.col("top") * 2 > F.col("q"))).select("l_orderkey", F.col("top").cast("double").alias("top"), F.col("q").cast("double").alias("total"))
 
 
 @R.add(f"""SELECT o_orderkey, strftime(l_shipdate, '%Y-%m-%d') AS shipped FROM orders JOIN lineitem ON o_orderkey = l_orderkey
@@ -272,12 +272,12 @@ def overdue_in_period(orders, lineitem):
     return orders.join(recent, F.col("o_orderkey") == F.col("l_orderkey")).filter(F.col("l_shipdate") > F.col("o_orderdate") + F.expr("INTERVAL 100 DAY")).select("o_orderkey", F.date_format("l_shipdate", "yyyy-MM-dd").alias("shipped"))
 
 
-@R.add("""WITH t AS (SELECT DATE '1998-03-15' AS d UNION ALL SELECT DATE '1997-01-31')
+@R.add("""WITH t AS (SELECT DISTINCT CAST(o_orderdate AS DATE) AS d FROM orders WHERE o_orderdate IS NOT NULL)
 SELECT strftime(d, '%Y-%m-%d') AS today, strftime(date_trunc('month', d) - INTERVAL 1 MONTH, '%Y-%m-%d') AS month_from, strftime(date_trunc('quarter', d) - INTERVAL 3 MONTH, '%Y-%m-%d') AS quarter_from,
-strftime(date_trunc('year', d) - INTERVAL 1 YEAR, '%Y-%m-%d') AS year_from, strftime(d - INTERVAL 6 MONTH, '%Y-%m-%d') AS half_from, strftime(make_date(CAST(year(d) AS BIGINT), 1, 1) + INTERVAL 59 DAY, '%Y-%m-%d') AS day60, date_diff('day', DATE '1997-01-01', d) AS days FROM t""")
-def date_arithmetic(spark, sf_dir):
-    """Named periods and day numbers, always against a given day."""
-    t = spark.sql("SELECT DATE '1998-03-15' AS d UNION ALL SELECT DATE '1997-01-31'")
+strftime(date_trunc('year', d) - INTERVAL 1 YEAR, '%Y-%m-%d') AS year_from, strftime(d - INTERVAL 6 MONTH, '%Y-%m-%d') AS half_from, strftime(make_date(CAST(year(d) AS BIGINT), 1, 1) + INTERVAL 59 DAY, '%Y-%m-%d') AS day60, date_diff('day', DATE '1997-01-01', d) AS days FROM t""", "orders")
+def date_arithmetic(orders):
+    """Named periods and day numbers, always against a given day: each on which something was ordered."""
+    t = orders.select(F.col("o_orderdate").cast("date").alias("d")).dropna().distinct()
     d, text = F.col("d"), lambda c: F.date_format(c, "yyyy-MM-dd")
     start = lambda p: text(dates.window(p, d)[0])
     return t.select(text(d).alias("today"), start("last month").alias("month_from"), start("last quarter").alias("quarter_from"), start("last year").alias("year_from"), start("last 6 months").alias("half_from"), text(dates.day_of_year(F.year(d), F.lit(60))).alias("day60"), F.datediff(d, F.lit("1997-01-01").cast("date")).cast("long").alias("days"))

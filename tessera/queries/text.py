@@ -67,21 +67,26 @@ def text_quality(documents):
     return documents.select("doc_id", T.recognition_quality("text").alias("q")).select("doc_id", "q.*")
 
 
-@R.add("""WITH t AS (SELECT p_brand, CASE WHEN p_size > 40 THEN [['a', 'b'], ['1']] WHEN p_size > 30 THEN [['a']] WHEN p_size > 20 THEN [['a', 'b'], ['', ' '], ['', '']] ELSE [['a', 'b'], ['1', '2']] END AS r, p_partkey FROM part)
-SELECT p_partkey, CAST(CASE WHEN len(r) = 1 THEN 0.5 WHEN len(r) = 3 THEN 0.75 WHEN len(r[2]) = 1 THEN 0.75 ELSE 1.0 END AS DOUBLE) AS score, len(r) = 2 AND len(r[2]) = 2 AS acceptable FROM t""", "part")
-def table_quality(part):
-    """A quarter off for each structural fault of an extracted table."""
-    lit = lambda rows: F.array(*[F.array(*map(F.lit, r)) for r in rows])
-    s = F.col("p_size")
-    rows = F.when(s > 40, lit([["a", "b"], ["1"]])).when(s > 30, lit([["a"]])).when(s > 20, lit([["a", "b"], ["", " "], ["", ""]])).otherwise(lit([["a", "b"], ["1", "2"]]))
-    return part.select("p_partkey", T.table_quality(rows).alias("q")).select("p_partkey", F.col("q.score").cast("double").alias("score"), "q.acceptable")
+#: Texts as tables: a row for each line, a cell for each piece between commas.
+CELLS_SQL = "(SELECT doc_id, list_transform(string_split(coalesce(text, ''), chr(10)), lambda x: string_split(x, ', ')) AS r FROM documents)"
 
 
-@R.add("SELECT o_orderkey AS key, '| id | status | value |' || chr(10) || '| --- | --- | --- |' || chr(10) || '| ' || o_orderkey || ' | ' || o_orderstatus || ' |  |' AS table_text FROM orders", "orders")
-def table_markdown(orders):
-    """Ragged rows as a markdown table."""
-    rows = F.array(F.array(F.lit("id"), F.lit("status"), F.lit("value")), F.array(F.col("o_orderkey").cast("string"), F.col("o_orderstatus")))
-    return orders.select(F.col("o_orderkey").alias("key"), T.rows_to_markdown(rows).alias("table_text"))
+def _cells(documents):
+    lines = F.split(F.coalesce("text", F.lit("")), "\n")
+    return documents.select("doc_id", F.transform(lines, lambda x: F.split(x, ", ")).alias("r"))
+
+
+@R.add(f"""WITH t AS (SELECT doc_id, r, list_transform(r, lambda x: len(x)) AS widths, flatten(r) AS cells FROM {CELLS_SQL}),
+f AS (SELECT doc_id, CAST(len(r) < 2 AS INTEGER) + CAST(list_max(widths) < 2 AS INTEGER) + CAST(len(list_distinct(widths)) > 1 AS INTEGER) + CAST(len(list_filter(cells, lambda x: trim(x) = '')) * 2 > len(cells) AS INTEGER) AS faults FROM t) SELECT doc_id, CAST(greatest(0, 1 - 0.25 * faults) AS DOUBLE) AS score, faults = 0 AS acceptable FROM f""", "documents")
+def table_quality(documents):
+    """A quarter off for each structural fault of a text that is read as a table."""
+    return _cells(documents).select("doc_id", T.table_quality("r").alias("q")).select("doc_id", F.col("q.score").cast("double").alias("score"), "q.acceptable")
+
+
+@R.add(f"SELECT doc_id, array_to_string(list_concat(list_concat(['| ' || array_to_string(r[1], ' | ') || ' |'], ['| ' || array_to_string(list_resize(['---'], len(r[1]), '---'), ' | ') || ' |']), list_transform(r[2:], lambda x: '| ' || array_to_string(list_resize(x, len(r[1]), ''), ' | ') || ' |')), chr(10)) AS table_text FROM {CELLS_SQL}", "documents")
+def table_markdown(documents):
+    """Ragged rows of texts as markdown tables."""
+    return _cells(documents).select("doc_id", T.rows_to_markdown("r").alias("table_text"))
 
 
 @R.add("SELECT a.conv_id, a.turn, round(CASE WHEN len(list_intersect(x, y)) = 0 THEN 0 ELSE CAST(len(list_intersect(x, y)) AS DOUBLE) / len(list_distinct(list_concat(x, y))) END, 4) AS overlap FROM (SELECT conv_id, turn, list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+')) AS x FROM conversations) a JOIN (SELECT conv_id, turn, list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+')) AS y FROM conversations) b ON a.conv_id = b.conv_id AND b.turn = a.turn - 1", "conversations")
@@ -146,8 +151,8 @@ def query_type(conversations):
     return questions(conversations).select("question_id", C.query_type("question").alias("kind"))
 
 
-@R.add(f"""SELECT question_id, CASE WHEN q = '' THEN 'explanation' WHEN regexp_matches(q, '\\b({C.EXPLAIN_WORDS})\\b') THEN 'explanation' WHEN regexp_matches(q, '^(list|show me|show|fetch|get|display|find|give me|top)\\b') AND NOT regexp_matches(q, '\\b(total|sum|average|avg|how many|how much)\\b') THEN 'list'
-WHEN regexp_matches(q, '\\b({C.AGGREGATE_WORDS})\\b') THEN 'aggregate' WHEN regexp_matches(q, '\\b({C.LIST_WORDS})\\b') THEN 'list' ELSE 'explanation' END AS intent, {_any_sql(C.EXHAUSTIVE)} AS exhaustive, {_any_sql(C.VISUAL)} AS visual,
+@R.add(f"""SELECT question_id, CASE WHEN q = '' THEN 'explanation' WHEN regexp_matches(q, '(^|[^\\pL\\pN_])({C.EXPLAIN_WORDS})($|[^\\pL\\pN_])') THEN 'explanation' WHEN regexp_matches(q, '^(list|show me|show|fetch|get|display|find|give me|top)\\b') AND NOT regexp_matches(q, '(^|[^\\pL\\pN_])(total|sum|average|avg|how many|how much)($|[^\\pL\\pN_])') THEN 'list'
+WHEN regexp_matches(q, '(^|[^\\pL\\pN_])({C.AGGREGATE_WORDS})($|[^\\pL\\pN_])') THEN 'aggregate' WHEN regexp_matches(q, '(^|[^\\pL\\pN_])({C.LIST_WORDS})($|[^\\pL\\pN_])') THEN 'list' ELSE 'explanation' END AS intent, {_any_sql(C.EXHAUSTIVE)} AS exhaustive, {_any_sql(C.VISUAL)} AS visual,
 {_any_sql(C.LISTING)} AND NOT regexp_matches(q, '\\b{C.LISTING_ENTITIES}\\b') AS listing FROM (SELECT question_id, lower(trim(question)) AS q FROM {ASKED})""", "conversations")
 def query_intent(conversations):
     return questions(conversations).select("question_id", C.query_intent("question").alias("intent"), C.is_exhaustive("question").alias("exhaustive"), C.is_visual("question").alias("visual"), C.is_listing("question").alias("listing"))
@@ -183,8 +188,8 @@ def hybrid_split(conversations):
     return questions(conversations).select("question_id", C.split_hybrid("question").alias("p")).select("question_id", "p.*")
 
 
-@R.add(f"""SELECT question_id, CASE WHEN regexp_matches(q, '\\b(deleted|removed|dropped|gone)\\b') AND regexp_matches(q, '\\b(active|current|present|live|existing)\\b') THEN 'INCLUDE_ARCHIVED' WHEN regexp_matches(q, '\\b(deleted|removed|dropped|gone)\\b') THEN 'DELETED_ONLY'
-WHEN regexp_matches(regexp_replace(q, '\\bpast\\s+(few\\s+)?([0-9]+\\s+)?(days?|weeks?|months?|quarters?|years?)\\b', '', 'g'), '\\b(archived|history|audit|historical|past)\\b') THEN 'INCLUDE_ARCHIVED' ELSE 'ACTIVE_ONLY' END AS records FROM (SELECT question_id, lower(question) AS q FROM {ASKED})""", "conversations")
+@R.add(f"""SELECT question_id, CASE WHEN regexp_matches(q, '(^|[^\\pL\\pN_])(deleted|removed|dropped|gone)($|[^\\pL\\pN_])') AND regexp_matches(q, '(^|[^\\pL\\pN_])(active|current|present|live|existing)($|[^\\pL\\pN_])') THEN 'INCLUDE_ARCHIVED' WHEN regexp_matches(q, '(^|[^\\pL\\pN_])(deleted|removed|dropped|gone)($|[^\\pL\\pN_])') THEN 'DELETED_ONLY'
+WHEN regexp_matches(regexp_replace(q, '\\bpast\\s+(few\\s+)?([0-9]+\\s+)?(days?|weeks?|months?|quarters?|years?)\\b', '', 'g'), '(^|[^\\pL\\pN_])(archived|history|audit|historical|past)($|[^\\pL\\pN_])') THEN 'INCLUDE_ARCHIVED' ELSE 'ACTIVE_ONLY' END AS records FROM (SELECT question_id, lower(question) AS q FROM {ASKED})""", "conversations")
 def soft_delete_intent(conversations):
     return questions(conversations).select("question_id", C.soft_delete_intent("question").alias("records"))
 
@@ -201,28 +206,38 @@ PERIOD_WORDS = [(p, [p, p.replace("last", "past"), p.replace("last", "previous")
 
 
 @R.add(f"""WITH i AS (SELECT question_id, q, {_first_sql(S.METRIC_WORDS)} AS metric, {_named_sql(S.DIMENSION_WORDS)} AS dimensions, {_named_sql(S.FILTER_WORDS)} AS filters, {_first_sql(PERIOD_WORDS)} AS period,
-CASE WHEN regexp_matches(q, '\\b(how many|count|number of)\\b') THEN 'COUNT' WHEN regexp_matches(q, '\\b(how much|total|sum|overall)\\b') THEN 'SUM' WHEN regexp_matches(q, '\\b(average|mean|avg)\\b') THEN 'AVG' END AS aggregation,
-nullif(regexp_extract(q, '\\btop\\s+(\\d+)\\b', 1), '') AS top, regexp_matches(q, '\\b(best|highest|top|most|maximum|greatest)\\b') AS best, regexp_matches(q, '\\b(lowest|worst|least|minimum|cheapest)\\b') AS worst FROM (SELECT question_id, lower(question) AS q FROM {ASKED}))
+CASE WHEN regexp_matches(q, '(^|[^\\pL\\pN_])(how many|count|number of)($|[^\\pL\\pN_])') THEN 'COUNT' WHEN regexp_matches(q, '(^|[^\\pL\\pN_])(how much|total|sum|overall)($|[^\\pL\\pN_])') THEN 'SUM' WHEN regexp_matches(q, '(^|[^\\pL\\pN_])(average|mean|avg)($|[^\\pL\\pN_])') THEN 'AVG' END AS aggregation,
+nullif(regexp_extract(q, '\\btop\\s+(\\d+)\\b', 1), '') AS top, regexp_matches(q, '(^|[^\\pL\\pN_])(best|highest|top|most|maximum|greatest)($|[^\\pL\\pN_])') AS best, regexp_matches(q, '(^|[^\\pL\\pN_])(lowest|worst|least|minimum|cheapest)($|[^\\pL\\pN_])') AS worst FROM (SELECT question_id, lower(question) AS q FROM {ASKED}))
 SELECT question_id, metric, dimensions, filters, period, aggregation, CASE WHEN top IS NOT NULL THEN CAST(top AS INTEGER) WHEN best OR worst THEN 1 END AS rows, CASE WHEN top IS NOT NULL OR best THEN TRUE WHEN worst THEN FALSE END AS descending,
-CASE WHEN regexp_matches(q, '\\b(current|this year|this financial year|this fiscal year|ongoing|present year)\\b') THEN 'CURRENT_YEAR' WHEN regexp_matches(q, '\\b(total|all|all-time|all time|history|historical|overall|cumulative|ever|lifetime|entire)\\b') OR aggregation IS NOT NULL OR period IS NULL THEN 'ALL_TIME' ELSE 'SPECIFIC_PERIOD' END AS scope,
-CASE WHEN regexp_matches(q, '\\b(deleted|removed|dropped|gone)\\b') AND regexp_matches(q, '\\b(active|current|present|live|existing)\\b') THEN 'INCLUDE_ARCHIVED' WHEN regexp_matches(q, '\\b(deleted|removed|dropped|gone)\\b') THEN 'DELETED_ONLY'
-WHEN regexp_matches(regexp_replace(q, '\\bpast\\s+(few\\s+)?([0-9]+\\s+)?(days?|weeks?|months?|quarters?|years?)\\b', '', 'g'), '\\b(archived|history|audit|historical|past)\\b') THEN 'INCLUDE_ARCHIVED' ELSE 'ACTIVE_ONLY' END AS records FROM i""", "conversations")
+CASE WHEN regexp_matches(q, '(^|[^\\pL\\pN_])(current|this year|this financial year|this fiscal year|ongoing|present year)($|[^\\pL\\pN_])') THEN 'CURRENT_YEAR' WHEN regexp_matches(q, '(^|[^\\pL\\pN_])(total|all|all-time|all time|history|historical|overall|cumulative|ever|lifetime|entire)($|[^\\pL\\pN_])') OR aggregation IS NOT NULL OR period IS NULL THEN 'ALL_TIME' ELSE 'SPECIFIC_PERIOD' END AS scope,
+CASE WHEN regexp_matches(q, '(^|[^\\pL\\pN_])(deleted|removed|dropped|gone)($|[^\\pL\\pN_])') AND regexp_matches(q, '(^|[^\\pL\\pN_])(active|current|present|live|existing)($|[^\\pL\\pN_])') THEN 'INCLUDE_ARCHIVED' WHEN regexp_matches(q, '(^|[^\\pL\\pN_])(deleted|removed|dropped|gone)($|[^\\pL\\pN_])') THEN 'DELETED_ONLY'
+WHEN regexp_matches(regexp_replace(q, '\\bpast\\s+(few\\s+)?([0-9]+\\s+)?(days?|weeks?|months?|quarters?|years?)\\b', '', 'g'), '(^|[^\\pL\\pN_])(archived|history|audit|historical|past)($|[^\\pL\\pN_])') THEN 'INCLUDE_ARCHIVED' ELSE 'ACTIVE_ONLY' END AS records FROM i""", "conversations")
 def analytical_intent(conversations):
     """Metrics, dimensions, filters and periods of questions; lists as text."""
     i = questions(conversations).select("question_id", S.intent("question").alias("i")).select("question_id", "i.*")
     return i.withColumns({c: F.array_join(c, ",") for c in ("dimensions", "filters")})
 
 
-@R.add(None, "conversations")
+@R.add(f"""WITH c AS (SELECT conv_id, turn, turn > min(turn) OVER (PARTITION BY conv_id) AS history, lower(coalesce(text, '')) AS q, trim(lower(coalesce(text, ''))) AS t, len(regexp_split_to_array(trim(lower(coalesce(text, ''))), '\\s+')) AS n FROM conversations)
+SELECT conv_id, turn, t <> '' AND (n <= 4 OR regexp_matches(t, '(^|[^\\pL\\pN_])({C.FOLLOW_UP.replace("'", "''")})($|[^\\pL\\pN_])')) AS follow_up, CASE WHEN {_any_sql(C.RESET)} THEN 'RESET' WHEN {_any_sql(C.REFINE)} OR regexp_matches(q, '(^|[^\\pL\\pN_])({C.VAGUE})($|[^\\pL\\pN_])') THEN CASE WHEN history THEN 'REFINE' ELSE 'ASK' END WHEN history AND n < 10 THEN 'REFINE' ELSE 'RESET' END AS action,
+CASE {" ".join(f"WHEN {_any_sql(words)} THEN '{name}'" for name, words in C.TASKS)} ELSE 'general_qa' END AS task, regexp_matches(q, '{C.TEMPORAL}') AS temporal FROM c""", "conversations")
 def conversation_context(conversations):
     """Follow-ups and what each turn does to the context of its conversation."""
     first = F.col("turn") > F.min("turn").over(Window.partitionBy("conv_id"))
     return conversations.select("conv_id", "turn", C.is_follow_up("text").alias("follow_up"), C.context_action("text", first).alias("action"), C.query_task("text").alias("task"), C.temporal_intent("text").alias("temporal"))
 
 
-@R.add("SELECT doc_id, expanded FROM (SELECT doc_id, regexp_replace(regexp_replace(t, '\\bhq\\b', 'HQ headquarters', 'gi'), '\\byoy\\b', 'YoY year over year', 'gi') AS expanded FROM (SELECT doc_id, 'hq of ' || source || ' YOY' AS t FROM documents))", "documents")
+def _expanded_sql(terms):
+    out = "'hq of ' || text || ' YOY'"
+    for term, full in terms.items():
+        out = f"regexp_replace({out}, '\\b{term}\\b', '{full}', 'gi')"
+    return out
+
+
+@R.add(f"SELECT doc_id, {_expanded_sql(T.ACRONYMS)} AS expanded FROM documents", "documents")
 def acronym_expansion(documents):
-    return documents.select("doc_id", T.expand_acronyms(F.concat(F.lit("hq of "), F.col("source"), F.lit(" YOY"))).alias("expanded"))
+    """All terms, in whole texts."""
+    return documents.select("doc_id", T.expand_acronyms(F.concat(F.lit("hq of "), "text", F.lit(" YOY"))).alias("expanded"))
 
 
 ERRORS = ["Unknown column 'x' in field list", "no such table: foo", "429 rate limit", "request timed out", "syntax error near SELECT", "deleted_at filter missing", "read-only violation: DROP TABLE x", "schema not found in schema embedding", "no rows", "access denied for user", "ambiguous entity Acme", "boom", None, "Traceback (most recent call last):\n  File \"/a/b.py\", line 1\nValueError: password=abc in /srv/app/x.py\nsecond line"]
@@ -243,7 +258,10 @@ def error_classes(events):
     return e.select("event_id", C.failure_category("error").alias("category"), C.telemetry_failure("error").alias("telemetry_type"), P.normalise_error("error").alias("clean"))
 
 
-@R.add(None, "conversations")
+@R.add(r"""WITH c AS (SELECT conv_id, turn, regexp_replace(CASE WHEN turn % 2 = 1 THEN text || chr(10) || 'SQL Query Executed: `SELECT 1`' || chr(10) || '| a |' || chr(10) || '| 1 |' ELSE coalesce(text, '') END, '^\s+|\s+\z', '', 'g') AS t FROM conversations),
+p AS (SELECT *, position('SQL Query Executed:' IN t) AS place, trim(regexp_extract(t, '(?s)SQL Query Executed:\s*`(.*?)`', 1)) AS s FROM c),
+n AS (SELECT *, CASE WHEN s = '' THEN '[A live database result was shown to the user.]' ELSE '[Database result omitted. SQL executed: ' || s || ']' END AS note, CASE WHEN conv_id % 2 = 0 THEN regexp_replace(substr(t, 1, greatest(place - 1, 0)), '^\s+|\s+\z', '', 'g') ELSE '' END AS head FROM p)
+SELECT conv_id, turn, CASE WHEN place = 0 THEN t WHEN head = '' THEN note ELSE head || chr(10) || chr(10) || note END AS clean FROM n""", "conversations")
 def history_sanitise(conversations):
     """Assistant turns without database rows."""
     turn = F.when(F.col("turn") % 2 == 1, F.concat(F.col("text"), F.lit("\nSQL Query Executed: `SELECT 1`\n| a |\n| 1 |"))).otherwise(F.col("text"))

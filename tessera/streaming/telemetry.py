@@ -34,26 +34,40 @@ def first_seen(events: DataFrame, key: str, ts: str, late: str = "1 hour") -> Da
     return events.withWatermark(ts, late).dropDuplicatesWithinWatermark([key])
 
 
-def breakers(calls: DataFrame, key: str, ts: str, failed: str, threshold: int = 3, cooldown: int = 60) -> DataFrame:
-    """(key, at, streak, open) after each micro-batch's calls: opens at ``threshold`` failures in a row for ``cooldown`` seconds."""
+def breakers(calls: DataFrame, key: str, ts: str, failed: str, threshold: int = 3, cooldown: int = 60, late: str | None = None) -> DataFrame:
+    """(key, at, streak, open) after each micro-batch's calls: opens at ``threshold`` failures in a row for ``cooldown`` seconds.
+
+    With ``late``, the watermark's delay, there is a row too for the moment at which a breaker closes by itself, set off by
+    a timer on event time once the watermark has passed it: no further call of that key is needed, and calls later than
+    the watermark are left out. A call at that very moment finds the breaker closed."""
     kind = dict(calls.dtypes)[key]
 
     def work(name: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         streak, until = state.get if state.exists else (0, 0.0)
-        calls = pd.concat(list(batches)).sort_values("at")
         rows = []
-        for at, bad in zip(calls["at"], calls["bad"]):
-            now = at.timestamp()
-            if until and now >= until:
-                streak, until = 0, 0.0
-            streak = streak + 1 if bad else 0
-            until = now + cooldown if streak >= threshold else until if bad else 0.0
-            rows.append((name[0], at, streak, until > now))
+        closed = lambda: (name[0], pd.Timestamp(round(until * 1_000_000), unit="us"), 0, False)
+        if state.hasTimedOut:
+            rows.append(closed())
+            streak, until = 0, 0.0
+        else:
+            calls = pd.concat(list(batches)).sort_values("at")
+            for at, bad in zip(calls["at"], calls["bad"]):
+                now = at.timestamp()
+                if until and now >= until:
+                    if late:
+                        rows.append(closed())
+                    streak, until = 0, 0.0
+                streak = streak + 1 if bad else 0
+                until = now + cooldown if streak >= threshold else until if bad else 0.0
+                rows.append((name[0], at, streak, until > now))
         state.update((streak, until))
+        if late and until:
+            state.setTimeoutTimestamp(max(int(until * 1000), state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame(rows, columns=["key", "at", "streak", "open"])
 
     rows = calls.select(F.col(key).alias("key"), F.col(ts).alias("at"), F.col(failed).alias("bad"))
-    return rows.groupBy("key").applyInPandasWithState(work, f"key {kind}, at timestamp, streak int, open boolean", "streak int, until double", "append", GroupStateTimeout.NoTimeout)
+    rows, timeout = (rows.withWatermark("at", late), GroupStateTimeout.EventTimeTimeout) if late else (rows, GroupStateTimeout.NoTimeout)
+    return rows.groupBy("key").applyInPandasWithState(work, f"key {kind}, at timestamp, streak int, open boolean", "streak int, until double", "append", timeout)
 
 
 def to_files(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:

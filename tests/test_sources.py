@@ -170,3 +170,16 @@ def test_streams(spark, tmp_path):
     assert len(collect_stream(spark, telemetry.first_seen(events, "k", "ts"), "f1", "append", tmp_path)) == 2
     state = [(r["at"].second, r["streak"], r["open"]) for r in sorted(collect_stream(spark, telemetry.breakers(events, "k", "ts", "bad"), "b1", "append", tmp_path), key=lambda r: r["at"]) if r["key"] == "a"]
     assert state == [(1, 1, False), (2, 2, False), (3, 3, True), (30, 4, True), (0, 0, False)]
+
+
+def test_breaker_closes_without_a_call(spark, tmp_path):
+    """One file for each batch: 'a' trips and is never called again; calls of 'b' move the watermark past its cooldown."""
+    path = str(tmp_path / "calls")
+    batches = [[("a", 1, True), ("a", 2, True), ("a", 3, True)], [("b", 70, False)], [("b", 200, False)], [("b", 400, False), ("c", 390, True)]]
+    for rows in batches:
+        df = spark.createDataFrame(rows, "k string, s int, bad boolean").select("k", F.timestamp_seconds(F.col("s") + 1704067200).alias("ts"), "bad")
+        df.coalesce(1).write.mode("append").parquet(path)
+    events = telemetry.read_events(spark, path, spark.read.parquet(path).schema, files_per_batch=1)
+    out = collect_stream(spark, telemetry.breakers(events, "k", "ts", "bad", late="10 seconds"), "b2", "append", tmp_path)
+    got = sorted((r["key"], int(r["at"].timestamp()) - 1704067200, r["streak"], r["open"]) for r in out)
+    assert got == [("a", 1, 1, False), ("a", 2, 2, False), ("a", 3, 3, True), ("a", 63, 0, False), ("b", 70, 0, False), ("b", 200, 0, False), ("b", 400, 0, False), ("c", 390, 1, False)]
