@@ -7,6 +7,7 @@ from collections.abc import Mapping
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..functions.text import word_runs
+from ..session import beside
 
 AUDIT = ("created_id", "updated_id", "deleted_id")
 # How column prefixes of this star schema name the tables they point to.
@@ -147,11 +148,11 @@ def compact(cols: DataFrame, audit: list[str] = ["created_at", "updated_at", "cr
 def match_glossary(questions: DataFrame, glossary: DataFrame, most: int = 15) -> DataFrame:
     """(question_id, concept) of the concepts whose synonym, of one to three words, occurs in a question; plurals count.
 
-    Word runs of questions meet synonyms by an equi-join."""
+    Word runs of questions meet synonyms by an equi-join; the glossary goes to the questions."""
     stem = lambda w: F.regexp_replace(F.regexp_replace(w, "ies$", "y"), "(?<=[^s])s$", "")
     q = F.transform(F.regexp_extract_all(F.lower("question"), F.lit("([a-z0-9]+)"), 1), stem)
     own = questions.select("question_id", F.explode(F.array_distinct(word_runs(q, (1, 2, 3)))).alias("phrase"))
     words = glossary.select("concept", F.explode(F.array_append("synonyms", F.col("concept"))).alias("s")).select("concept", F.array_join(F.transform(F.regexp_extract_all(F.lower("s"), F.lit("([a-z0-9]+)"), 1), stem), " ").alias("phrase")).distinct()
-    hits = own.join(words, "phrase").select("question_id", "concept", F.length("phrase").alias("n")).groupBy("question_id", "concept").agg(F.max("n").alias("n"))
+    hits = own.join(beside(words), "phrase").select("question_id", "concept", F.length("phrase").alias("n")).groupBy("question_id", "concept").agg(F.max("n").alias("n"))
     place = F.row_number().over(Window.partitionBy("question_id").orderBy(F.desc("n"), "concept"))
     return hits.withColumn("place", place).filter(F.col("place") <= most).drop("n")
