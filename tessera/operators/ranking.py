@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.text import content_words, context_estimate, word_runs, words
 from ..functions.vectors import cosine
+from ..session import beside
 
 MIN_RELEVANCE = 0.01
 MAX_QUERIES = 10_000  # query vectors that may be broadcast at once
@@ -127,10 +128,10 @@ def pin_first(results: DataFrame, flag: Column, query_col: str, order_col: str)
 def match_patterns(questions: DataFrame, patterns: DataFrame, k: int = 2) -> DataFrame:
     """The k best learned patterns (pattern_id, trigger_phrases, quality) of each question, two points a phrase.
 
-    Word runs of questions meet phrases, of two to four words, by an equi-join."""
+    Word runs of questions meet phrases, of two to four words, by an equi-join; the patterns go to the questions."""
     phrases = patterns.select("pattern_id", "quality", F.explode("trigger_phrases").alias("phrase"))
     own = questions.withColumn("phrase", F.explode(F.array_distinct(word_runs(words(F.lower("question")), (2, 3, 4)))))
-    hits = own.join(phrases, "phrase").groupBy("question_id", "pattern_id").agg((F.count("*") * 2 * F.first("quality")).alias("points")).filter("points > 0")
+    hits = own.join(beside(phrases), "phrase").groupBy("question_id", "pattern_id").agg((F.count("*") * 2 * F.first("quality")).alias("points")).filter("points > 0")
     place = F.row_number().over(Window.partitionBy("question_id").orderBy(F.desc("points"), "pattern_id"))
     return hits.withColumn("place", place).filter(F.col("place") <= k)
 

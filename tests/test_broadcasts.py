@@ -3,7 +3,7 @@
 import pytest
 
 from tessera import session as S
-from tessera.operators import catalog as C
+from tessera.operators import catalog as C, ranking as K
 
 ASKED = [(f"q{k}", "Total revenue by client of sales orders, how many buyers " * (k + 1)) for k in range(5)]
 
@@ -12,7 +12,11 @@ def _glossary(spark, questions):
     return C.match_glossary(questions, spark.createDataFrame([("revenue", ["turnover"]), ("customer", ["client", "buyer"])], "concept string, synonyms array<string>"))
 
 
-@pytest.mark.parametrize("match", [_glossary])
+def _patterns(spark, questions):
+    return K.match_patterns(questions, spark.createDataFrame([("p1", ["total revenue", "revenue by"], 0.9), ("p2", ["how many"], 1.0)], "pattern_id string, trigger_phrases array<string>, quality double"))
+
+
+@pytest.mark.parametrize("match", [_glossary, _patterns])
 def test_fixed_side_is_sent(spark, tmp_path, monkeypatch, match):
     spark.createDataFrame(ASKED, "question_id string, question string").write.parquet(str(tmp_path / "q"))
     questions = spark.read.parquet(str(tmp_path / "q"))
