@@ -7,9 +7,10 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from ..functions.text import content_words, context_estimate, word_runs, words
 from ..functions.vectors import cosine
 from ..session import beside
+from . import blocks
 
 MIN_RELEVANCE = 0.01
-MAX_QUERIES = 10_000  # query vectors that may be broadcast at once
+MAX_QUERIES = 1_000_000  # query vectors of one search, whose work grows with queries x rows
 
 
 def metadata_filter(chunks: DataFrame, tenant: str | None = None, with_schema: bool = False, min_page: int | None = None, file_contains: str | None = None, **equal: str) -> DataFrame:
@@ -38,19 +39,12 @@ def dense_top_k(vectors: DataFrame, query: Column, k: int, id_col: str, vector_c
 
 
 def dense_top_k_each(vectors: DataFrame, queries: DataFrame, k: int, id_col: str, query_col: str = "query_id", vector_col: str = "embedding") -> DataFrame:
-    """The k best rows for each of a stated set of query vectors: they are counted, then sent to every task.
-
-    Each partition keeps its own k best for each query, so only those are shuffled."""
+    """The k best rows for each of a stated set of query vectors, against all rows; see :mod:`.blocks`."""
     n = queries.count()
     if n > MAX_QUERIES:
         raise ValueError(f"{n} query vectors; search in blocks of {MAX_QUERIES}")
-    pairs = vectors.join(F.broadcast(queries.select(query_col, F.col(vector_col).alias("query_vector"))))
-    scored = pairs.select(query_col, id_col, cosine(F.col(vector_col), F.col("query_vector")).alias("score"))
-    local = scored.withColumn("part", F.spark_partition_id())
-    first = Window.partitionBy(query_col, "part").orderBy(F.desc("score"), id_col)
     last = Window.partitionBy(query_col).orderBy(F.desc("score"), id_col)
-    best = local.withColumn("rank", F.row_number().over(first)).filter(F.col("rank") <= k).drop("part")
-    return best.withColumn("rank", F.row_number().over(last)).filter(F.col("rank") <= k)
+    return blocks.top_k(vectors, queries, k, id_col, query_col, vector_col).withColumn("rank", F.row_number().over(last)).filter(F.col("rank") <= k)
 
 
 def sparse_top_k(postings: DataFrame, query: DataFrame, k: int, id_col: str, term_col: str = "term", weight_col: str = "weight") -> DataFrame:
