@@ -11,6 +11,7 @@ from ..functions.text import dedup_tokens, fingerprint, jaccard
 from ..session import written
 
 MIN_TOKENS = 12
+FREQUENT = 1000  # tokens that are ordered by how often they occur
 
 
 def exact_copies(df: DataFrame, text_col: str, order: list[Column], partition: list[str] | None = None) -> DataFrame:
@@ -35,21 +36,27 @@ def near_duplicates(ranked: Column, threshold: float = 0.9, least: int = MIN_TOK
 
 
 def similar_pairs(items: DataFrame, threshold: float, least: int = MIN_TOKENS) -> DataFrame:
-    """(a, b): items (node, query, rank, t: distinct tokens, n) of one list of which the later one, b, nearly repeats a.
+    """(a, b): items (node, query, o, id, f, t: distinct tokens) of one list of which the later one, b, nearly repeats a.
 
     Of two sets that are similar enough, the first tokens in one order of all tokens share one, if so many are taken that
-    the rest is too small to make up for it. Rare tokens come first, so few sets meet in one."""
+    the rest is too small to make up for it; and where they first share one, enough tokens are left in both. The FREQUENT
+    most common tokens come last in the order, the commonest at the end, so few sets meet in one. Each row orders its own
+    tokens: only the first ones are shuffled, as hashes, and the sets of those that met."""
     slots = lambda n: n - F.ceil(F.lit(threshold) * n - 1e-9) + 1
-    tokens = items.select("query", "node", "rank", "n", F.explode("t").alias("token"))
-    common = tokens.groupBy("token").agg(F.count("*").alias("df"))
-    ordered = tokens.join(common, "token").groupBy("node").agg(F.any_value("query").alias("query"), F.any_value("rank").alias("rank"), F.any_value("n").alias("n"), F.array_sort(F.collect_list(F.struct("df", "token"))).alias("t"))
-    first = ordered.select("query", "node", "rank", "n", F.explode(F.transform(F.slice("t", F.lit(1), slots(F.col("n")).cast("int")), lambda x: x["token"])).alias("token"))
+    counts = items.select(F.explode("t").alias("token")).groupBy("token").agg(F.count("*").alias("df"))
+    frequent = counts.orderBy(F.desc("df"), "token").limit(FREQUENT).agg(F.sort_array(F.collect_list(F.struct("df", "token"))).getField("token").alias("frequent"))
+    ordered = F.concat(F.sort_array(F.array_except("t", "frequent")), F.array_intersect("frequent", "t"))
+    first = items.crossJoin(F.broadcast(frequent)).select("query", "node", F.size("t").alias("n"), F.posexplode(F.slice(ordered, F.lit(1), slots(F.size("t")).cast("int"))).alias("at", "token"))
+    first = first.select("query", "node", "n", (F.col("n") - F.col("at")).alias("left"), F.xxhash64("token").alias("token"))
     x, y = first.alias("x"), first.alias("y")
-    fits = (F.col("y.n") >= least) & (F.least("x.n", "y.n") >= F.lit(threshold) * F.greatest("x.n", "y.n") - 1e-9)
-    met = x.join(y, F.col("x.query").eqNullSafe(F.col("y.query")) & (F.col("x.token") == F.col("y.token")) & (F.col("x.rank") < F.col("y.rank")) & fits).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
-    sets = items.select("node", "t")
-    both = met.join(sets.withColumnsRenamed({"node": "a", "t": "s"}), "a").join(sets.withColumnsRenamed({"node": "b", "t": "u"}), "b")
-    return both.filter(jaccard(F.col("s"), F.col("u")) >= threshold).select("a", "b")
+    fits = (F.greatest("x.n", "y.n") >= least) & (F.least("x.n", "y.n") >= F.lit(threshold) * F.greatest("x.n", "y.n") - 1e-9)
+    fits = fits & (F.least("x.left", "y.left") >= F.lit(threshold / (1 + threshold)) * (F.col("x.n") + F.col("y.n")) - 1e-6)
+    met = x.join(y, F.col("x.query").eqNullSafe(F.col("y.query")) & (F.col("x.token") == F.col("y.token")) & (F.col("x.node") < F.col("y.node")) & fits).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
+    side = lambda node, order, tokens: items.select(F.col("node").alias(node), F.struct("o", "id", "f", "node").alias(order), F.col("t").alias(tokens))
+    both = met.join(side("a", "p", "s"), "a").join(side("b", "r", "u"), "b")
+    later = F.when(F.col("p") < F.col("r"), F.size("u")).otherwise(F.size("s"))
+    both = both.filter((later >= least) & (jaccard(F.col("s"), F.col("u")) >= threshold))
+    return both.select(F.least("p", "r")["node"].alias("a"), F.greatest("p", "r")["node"].alias("b"))
 
 
 def first_independent(edges: DataFrame) -> DataFrame:
@@ -78,9 +85,8 @@ def suppress(results: DataFrame, query_col: str, id_col: str, text_col: str, ord
     if not threshold > 0:
         raise ValueError("a threshold is above 0")
     rows = results.select(F.monotonically_increasing_id().alias("node"), F.col(query_col).alias("query"), F.col(id_col).cast("string").alias("id"), F.col(order_col).alias("o"), dedup_tokens(text_col).alias("all"))
-    rows = rows.select("node", "query", "id", "o", F.sha1(F.array_join("all", " ")).alias("f"), F.array_distinct("all").alias("t"))
-    items = written(rows.withColumns({"rank": F.struct("o", "id", "f", "node"), "n": F.size("t").cast("long")}), "items")
-    firsts = items.groupBy("query", "f").agg(F.min("rank").alias("rank")).select(F.col("rank.node").alias("node"))
+    items = written(rows.select("node", "query", "id", "o", F.unhex(F.sha1(F.array_join("all", " "))).alias("f"), F.array_distinct("all").alias("t")), "items")
+    firsts = items.groupBy("query", "f").agg(F.min(F.struct("o", "id", "node"))["node"].alias("node")).select("node")
     items = written(items.join(firsts, "node", "left_semi"), "firsts")
     stay = items if threshold > 1 else items.join(first_independent(similar_pairs(items, threshold, least)), "node", "left_anti")
     return stay.select(F.col("query").alias(query_col), F.col("id").alias(id_col))
