@@ -61,17 +61,15 @@ def grams(pre: np.ndarray, k: int) -> np.ndarray:
     return mix64(raw + U64(k * 0x632BE59BD9B4E019 % (1 << 64)))
 
 
-def sliding_min(x: np.ndarray, w: int) -> np.ndarray:
-    """Minimum of each window of ``w`` values, in two passes over blocks."""
-    n = len(x)
+def sliding_min(x: np.ndarray, w: int, least=np.minimum) -> np.ndarray:
+    """Minimum (or what ``least`` gives of two) of each window of ``w`` values, by doubling."""
+    n, h = len(x), 1
     if n < w:
         return np.empty(0, x.dtype)
-    pad = np.full(-(-n // w) * w, np.iinfo(x.dtype).max, x.dtype)
-    pad[:n] = x
-    blocks = pad.reshape(-1, w)
-    fore = np.minimum.accumulate(blocks, axis=1).ravel()
-    back = np.minimum.accumulate(blocks[:, ::-1], axis=1)[:, ::-1].ravel()
-    return np.minimum(back[: n - w + 1], fore[w - 1 : n])
+    while 2 * h <= w:
+        x = least(x[:-h], x[h:])
+        h *= 2
+    return least(x[: n - w + 1], x[w - h :])
 
 
 def word_hashes(data: np.ndarray, piece: int = 1 << 20) -> np.ndarray:

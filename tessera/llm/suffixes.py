@@ -39,7 +39,7 @@ PIECE = 1 << 18
 BITS = 63  # starts of one mask
 
 
-def _batches(batch: pa.RecordBatch, column: int, limit: int = PIECE) -> Iterator[pa.RecordBatch]:
+def _batches(batch: pa.RecordBatch, column: int | str, limit: int = PIECE) -> Iterator[pa.RecordBatch]:
     """Slices of a batch with about ``limit`` bytes of text each."""
     sizes = np.fromiter((x.as_buffer().size if x.is_valid else 0 for x in batch.column(column)), np.int64, batch.num_rows)
     ends, lo = np.cumsum(sizes), 0
@@ -73,7 +73,7 @@ def _ranks(pre: np.ndarray, base: int, offset: int) -> np.ndarray:
 def _highest_around(low: np.ndarray, w: int) -> np.ndarray:
     """For each place the highest minimum of the windows of ``w`` places that hold it."""
     edge = np.zeros(w - 1, U64)
-    return ~sliding_min(~np.concatenate([edge, low, edge]), w)
+    return sliding_min(np.concatenate([edge, low, edge]), w, np.maximum)
 
 
 def _schedule(length: int) -> tuple[int, list[int]]:
@@ -82,9 +82,10 @@ def _schedule(length: int) -> tuple[int, list[int]]:
     return base, [base, 2 * base, length - 4 * base]
 
 
-def _runs(rows: DataFrame, length: int, offset: int) -> DataFrame:
+def _runs(rows: DataFrame, length: int, offset: int, counted: bool = False) -> DataFrame:
     """Runs of starts with one minimiser of 2 * ``offset`` bytes, of rows (key, at, reach): first start, number of
-    more starts, the pair of ranks (r1, r2), how often it counts here, and a name of all bytes that the starts reach."""
+    more starts, the pair of ranks (r1, r2), and a name of all bytes that the starts reach. If ``counted``, only the pair
+    and how often it counts here."""
     base = _schedule(length)[0]
     window = length - 2 * offset + 1
 
@@ -101,30 +102,35 @@ def _runs(rows: DataFrame, length: int, offset: int) -> DataFrame:
         places = np.flatnonzero(each == _highest_around(low, window))
         places = places[np.argsort(each[places], kind="stable")]
         left, right = (np.searchsorted(each[places], low[first], side) for side in ("left", "right"))
-        return first, last - first, half[places[left]], half[places[left] + offset], np.minimum(right - left, 2), spans(pre, first, last + length)
+        return first, last - first, half[places[left]], half[places[left] + offset], np.minimum(right - left, 2) if counted else spans(pre, first, last + length)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in _batches(batch, 2):
-                data, ends = _joined(part.column(2))
-                sizes = np.diff(ends, prepend=0)
-                base_at = part.column(1).to_numpy() - (ends - sizes)
+            for part in _batches(batch, "reach"):
+                data, ends = _joined(part.column("reach"))
+                base_at = None if counted else part.column("at").to_numpy() - (ends - np.diff(ends, prepend=0))
                 for lo in range(0, len(data) - length + 1, PIECE):
                     some = data[lo : lo + PIECE + length - 1]
                     start = np.arange(lo, lo + len(some) - length + 1)
                     text = np.searchsorted(ends, start, "right")
-                    first, more, r1, r2, n, whole = piece(some, ends[text] - start >= length)
+                    first, more, r1, r2, last = piece(some, ends[text] - start >= length)
+                    pair = [pa.array(x.view(np.int64)) for x in (r1, r2)]
+                    if counted:
+                        yield pa.RecordBatch.from_arrays([*pair, pa.array(last.astype(np.int32))], names=["r1", "r2", "n"])
+                        continue
                     k = text[first]
-                    cols = [part.column(0).take(pa.array(k)), part.column(1).take(pa.array(k)), pa.array(first + lo + base_at[k]), pa.array(more.astype(np.int32)), *(pa.array(x.view(np.int64)) for x in (r1, r2)), pa.array(n.astype(np.int32)), pa.array(whole.view(np.int64))]
-                    yield pa.RecordBatch.from_arrays(cols, names=["key", "at", "first", "more", "r1", "r2", "n", "whole"])
+                    cols = [part.column("key").take(pa.array(k)), part.column("at").take(pa.array(k)), pa.array(first + lo + base_at[k]), pa.array(more.astype(np.int32)), *pair, pa.array(last.view(np.int64))]
+                    yield pa.RecordBatch.from_arrays(cols, names=["key", "at", "first", "more", "r1", "r2", "whole"])
 
-    return rows.select("key", "at", "reach").mapInArrow(work, "key binary, at long, first long, more int, r1 long, r2 long, n int, whole long")
+    if counted:
+        return rows.select("reach").mapInArrow(work, "r1 long, r2 long, n int")
+    return rows.select("key", "at", "reach").mapInArrow(work, "key binary, at long, first long, more int, r1 long, r2 long, whole long")
 
 
-def _not_unique(runs: DataFrame) -> DataFrame:
-    """The runs whose pair of ranks occurs again."""
-    again = runs.groupBy("r1", "r2").agg(F.sum("n").alias("n")).filter("n > 1").select("r1", "r2")
-    return runs.join(again.hint("merge"), ["r1", "r2"])
+def _not_unique(rows: DataFrame, length: int, offset: int) -> DataFrame:
+    """The runs whose pair of ranks occurs again. What counts them reads and gives no more than it needs."""
+    again = _runs(rows, length, offset, counted=True).groupBy("r1", "r2").agg(F.sum("n").alias("n")).filter("n > 1").select("r1", "r2")
+    return _runs(rows, length, offset).join(again.hint("merge"), ["r1", "r2"])
 
 
 def _survivors(rows: DataFrame, runs: DataFrame, length: int) -> DataFrame:
@@ -145,19 +151,21 @@ def _survivors(rows: DataFrame, runs: DataFrame, length: int) -> DataFrame:
     return rows.join(found.hint("shuffle_hash"), ["key", "at"]).select("key", "at", "reach", "spans").mapInArrow(work, "key binary, at long, reach binary")
 
 
-def _starts(asked: DataFrame, length: int) -> DataFrame:
-    """A row per start of the listed runs of rows (key, at, reach, runs), with its pair of ranks."""
+def _starts(asked: DataFrame, length: int, counted: bool = False) -> DataFrame:
+    """A row per start of the listed runs of rows (key, at, reach, runs), with its pair of ranks: if ``counted``, of all
+    runs, with whether it is asked about, else of those that are, with its place."""
     base, offsets = _schedule(length)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(batch.num_rows):
-                data, at = next(buffers(batch.column(2).slice(k, 1))), batch.column(1)[k].as_py()
-                runs = batch.column(3)[k].values
+                data, at = next(buffers(batch.column("reach").slice(k, 1))), batch.column("at")[k].as_py()
+                runs = batch.column("runs")[k].values
                 first, more = (runs.field(x).to_numpy(zero_copy_only=False) for x in ("first", "more"))
                 asks = np.asarray(runs.field("asks").to_numpy(zero_copy_only=False), bool)
                 # runs that are listed, in groups of about PIECE bytes from the first to the last
                 order = np.argsort(first, kind="stable")
+                order = order if counted else order[asks[order]]
                 first, more, asks = first[order] - at, more[order].astype(np.int64), asks[order]
                 lo = 0
                 while lo < len(first):
@@ -166,14 +174,19 @@ def _starts(asked: DataFrame, length: int) -> DataFrame:
                     half = _ranks(prefix(data[begin : int(first[hi - 1] + more[hi - 1]) + length]), base, 4 * base)
                     n = more[lo:hi] + 1
                     start = np.repeat(first[lo:hi] - begin - (np.cumsum(n) - n), n) + np.arange(n.sum())
-                    one, two = half[start], half[start + offsets[-1]]
-                    yield pa.RecordBatch.from_arrays([pa.repeat(batch.column(0)[k], len(start)), pa.array(start + begin + at), pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), pa.array(np.repeat(asks[lo:hi], n))], names=["key", "start", "r1", "r2", "asks"])
+                    pair = [pa.array(x.view(np.int64)) for x in (half[start], half[start + offsets[-1]])]
+                    if counted:
+                        yield pa.RecordBatch.from_arrays([*pair, pa.array(np.repeat(asks[lo:hi], n))], names=["r1", "r2", "asks"])
+                    else:
+                        yield pa.RecordBatch.from_arrays([pa.repeat(batch.column("key")[k], len(start)), pa.array(start + begin + at), *pair], names=["key", "start", "r1", "r2"])
                     lo = hi
 
-    return asked.select("key", "at", "reach", "runs").mapInArrow(_grouped(work, 5), "key binary, start long, r1 long, r2 long, asks boolean")
+    if counted:
+        return asked.select("at", "reach", "runs").mapInArrow(_grouped(work), "r1 long, r2 long, asks boolean")
+    return asked.select("key", "at", "reach", "runs").mapInArrow(_grouped(work), "key binary, start long, r1 long, r2 long")
 
 
-def _grouped(work, columns: int, rows: int = 50_000):
+def _grouped(work, rows: int = 50_000):
     """``work`` with its small batches put together."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -203,13 +216,13 @@ def repeated_runs(rows: DataFrame, length: int = 200) -> DataFrame:
     state = rows.select("key", F.lit(0).cast("long").alias("at"), F.col("text").cast("binary").alias("reach"))
     old = None
     for k, offset in enumerate(offsets[:-1]):
-        runs = _not_unique(_runs(state, length, offset))
+        runs = _not_unique(state, length, offset)
         if k < len(offsets) - 2:
             new = cut(_survivors(state, runs.select("key", "at", "first", "more"), length), f"suffix-{2 * offset}")
             if old is not None:
                 drop_cut(old)
             state = old = new
-    left = cut(runs.drop("n"), "suffix-runs")
+    left = cut(runs, "suffix-runs")
     same = ["r1", "r2", "whole", "more"]
     groups = cut(left.groupBy(same).agg(F.count("*").alias("c"), F.min(F.struct("key", "at", "first")).alias("one")), "suffix-groups")
     equal = left.join(groups.filter("c > 1").select(same).hint("merge"), same).select("key", F.col("first").alias("lo"), (F.col("first") + F.col("more") + length).alias("hi"))
@@ -219,9 +232,8 @@ def repeated_runs(rows: DataFrame, length: int = 200) -> DataFrame:
     todo = todo.groupBy("key", "at").agg(F.collect_list("run").alias("runs"))
     asked = cut(state.join(todo.hint("shuffle_hash"), ["key", "at"]).select("key", "at", "reach", "runs"), "suffix-asked")
     drop_cut(old)
-    starts = _starts(asked, length)
-    again = starts.groupBy("r1", "r2").agg(F.count("*").alias("c"), F.max("asks").alias("asks")).filter("c > 1 and asks").select("r1", "r2")
-    single = starts.filter("asks").join(again.hint("merge"), ["r1", "r2"]).groupBy("key", F.expr(f"start div {BITS}").alias("block")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(start % {BITS} as int))")).alias("bits"))
+    again = _starts(asked, length, counted=True).groupBy("r1", "r2").agg(F.count("*").alias("c"), F.max("asks").alias("asks")).filter("c > 1 and asks").select("r1", "r2")
+    single = _starts(asked, length).join(again.hint("merge"), ["r1", "r2"]).groupBy("key", F.expr(f"start div {BITS}").alias("block")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(start % {BITS} as int))")).alias("bits"))
     single = cut(single, "suffix-single")  # its shuffle files go before those of the equal runs come
     drop_cut(asked)
     spans_ = equal.select("key", F.struct("lo", "hi").alias("span"), F.lit(None).cast("struct<block:long,bits:long>").alias("mask"))
