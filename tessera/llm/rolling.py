@@ -14,9 +14,12 @@ _INVERSE = pow(_BASE, -1, 1 << 64)
 
 def mix64(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser: a bijection that spreads every bit."""
-    x = (x ^ (x >> U64(30))) * U64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> U64(27))) * U64(0x94D049BB133111EB)
-    return x ^ (x >> U64(31))
+    x = x ^ (x >> U64(30))
+    x *= U64(0xBF58476D1CE4E5B9)
+    x ^= x >> U64(27)
+    x *= U64(0x94D049BB133111EB)
+    x ^= x >> U64(31)
+    return x
 
 
 def seeds(n: int, seed: int) -> np.ndarray:
@@ -57,8 +60,10 @@ def grams(pre: np.ndarray, k: int) -> np.ndarray:
     n = len(pre) - k
     if n <= 0:
         return np.empty(0, U64)
-    raw = (pre[k:] - pre[:-k]) * _power(_INVERSE, n)[:n]
-    return mix64(raw + U64(k * 0x632BE59BD9B4E019 % (1 << 64)))
+    raw = pre[k:] - pre[:-k]
+    raw *= _power(_INVERSE, n)[:n]
+    raw += U64(k * 0x632BE59BD9B4E019 % (1 << 64))
+    return mix64(raw)
 
 
 def sliding_min(x: np.ndarray, w: int, least=np.minimum) -> np.ndarray:

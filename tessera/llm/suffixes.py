@@ -12,7 +12,8 @@ bytes alone and is therefore the same at each repeat. Neighbouring starts with o
 a row; a name that stands twice inside a run (periodic text) counts twice. In the last round
 
 1. runs that are equal as a whole, with all bytes that their starts reach, repeat in all their starts;
-2. of the other runs, and of one run for each group of equal ones, every start is a row with its pair of ranks.
+2. of the other runs, and of one run for each group of equal ones, every block of up to WIDTH starts is a row with the
+   pair of ranks of the bytes that they share; only where such a pair has blocks that differ, every start is a row.
 
 After the first round only the bytes that surviving starts reach travel on. A group of any size meets as counts;
 joins back to the rows are sort-merge joins, which adaptive execution splits if one pair is frequent. Tasks work
@@ -35,8 +36,9 @@ from pyspark.sql import DataFrame, functions as F
 from .rolling import U64, buffers, grams, mix64, prefix, sliding_min, spans
 from .shared import cut, drop_cut
 
-PIECE = 1 << 18
+PIECE = 1 << 16  # arrays of a piece fit the cache of a core
 BITS = 63  # starts of one mask
+WIDTH = 8  # starts of one block: what they reach beyond each other fits a long
 
 
 def _batches(batch: pa.RecordBatch, column: int | str, limit: int = PIECE) -> Iterator[pa.RecordBatch]:
@@ -59,7 +61,11 @@ def _joined(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 def _doubled(rank: np.ndarray, offset: int) -> np.ndarray:
     """Ranks of twice the length (less, if the halves overlap), made from the pairs of ranks at ``offset``."""
-    return mix64(rank[:-offset] * U64(0xD6E8FEB86659FD93) + rank[offset:]) if len(rank) > offset else np.empty(0, U64)
+    if len(rank) <= offset:
+        return np.empty(0, U64)
+    pair = rank[:-offset] * U64(0xD6E8FEB86659FD93)
+    pair += rank[offset:]
+    return mix64(pair)
 
 
 def _ranks(pre: np.ndarray, base: int, offset: int) -> np.ndarray:
@@ -112,7 +118,8 @@ def _runs(rows: DataFrame, length: int, offset: int, counted: bool = False) -> D
                 for lo in range(0, len(data) - length + 1, PIECE):
                     some = data[lo : lo + PIECE + length - 1]
                     start = np.arange(lo, lo + len(some) - length + 1)
-                    text = np.searchsorted(ends, start, "right")
+                    one, two = np.searchsorted(ends, start[[0, -1]], "right")
+                    text = np.repeat(np.arange(one, two + 1), np.diff(np.minimum(ends[one : two + 1], start[-1] + 1), prepend=lo))
                     first, more, r1, r2, last = piece(some, ends[text] - start >= length)
                     pair = [pa.array(x.view(np.int64)) for x in (r1, r2)]
                     if counted:
@@ -151,39 +158,88 @@ def _survivors(rows: DataFrame, runs: DataFrame, length: int) -> DataFrame:
     return rows.join(found.hint("shuffle_hash"), ["key", "at"]).select("key", "at", "reach", "spans").mapInArrow(work, "key binary, at long, reach binary")
 
 
-def _starts(asked: DataFrame, length: int, counted: bool = False) -> DataFrame:
-    """A row per start of the listed runs of rows (key, at, reach, runs), with its pair of ranks: if ``counted``, of all
-    runs, with whether it is asked about, else of those that are, with its place."""
+def _starts(asked: DataFrame, length: int, counted: bool = False, width: int = 1) -> DataFrame:
+    """A row per block of starts of the listed runs of rows (key, at, reach, runs): if ``counted``, of all runs, with
+    whether it is asked about, else of those that are, with the place of its first start.
+
+    A start's distance to the minimiser of its own string depends on that string alone. Neighbouring starts whose
+    distances have one quotient by ``width`` are a block; a distance's remainder says where in the block a start is.
+    (r1, r2) are the ranks of the bytes that any start of the block would reach. ``left`` and ``right`` have the bytes
+    before and behind these that its own starts reach, the nearest lowest, and in the top byte how many they are."""
     base, offsets = _schedule(length)
+    place = U64((1 << 32) - 1)
+
+    def blocks(data: np.ndarray, start: np.ndarray, run: np.ndarray) -> tuple[np.ndarray, ...]:
+        half = _ranks(prefix(data), base, 4 * base)
+        # the leftmost of the smallest names, by their upper bits
+        nearest = (sliding_min(half & ~place | np.arange(len(half), dtype=U64), offsets[-1] + 1)[start] & place).astype(np.int64)
+        end = nearest - (nearest - start) // width * width  # the last start that the block can have
+        first = np.flatnonzero(np.concatenate([[True], (end[1:] != end[:-1]) | (run[1:] != run[:-1])]))
+        last, end = np.append(first[1:], len(start)) - 1, end[first]
+        before, behind = end - start[first], start[last] - end + width - 1
+        left, right = before << 56, behind << 56
+        for k in range(width - 1):
+            left |= np.where(k < before, data[np.maximum(end - 1 - k, 0)].astype(np.int64) << 8 * k, 0)
+            right |= np.where(k < behind, data[np.minimum(end - width + 1 + length + k, len(data) - 1)].astype(np.int64) << 8 * k, 0)
+        return first, half[end].view(np.int64), half[end + offsets[-1] - width + 1].view(np.int64), left, right
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for k in range(batch.num_rows):
-                data, at = next(buffers(batch.column("reach").slice(k, 1))), batch.column("at")[k].as_py()
-                runs = batch.column("runs")[k].values
+            for part in _batches(batch, "reach"):
+                data, ends = _joined(part.column("reach"))
+                runs, moved = part.column("runs"), part.column("at").to_numpy() - (ends - np.diff(ends, prepend=0))
+                text, runs = np.repeat(np.arange(part.num_rows), np.diff(runs.offsets.to_numpy())), runs.flatten()
                 first, more = (runs.field(x).to_numpy(zero_copy_only=False) for x in ("first", "more"))
                 asks = np.asarray(runs.field("asks").to_numpy(zero_copy_only=False), bool)
+                first = first - moved[text]
                 # runs that are listed, in groups of about PIECE bytes from the first to the last
                 order = np.argsort(first, kind="stable")
                 order = order if counted else order[asks[order]]
-                first, more, asks = first[order] - at, more[order].astype(np.int64), asks[order]
+                text, first, more, asks = text[order], first[order], more[order].astype(np.int64), asks[order]
                 lo = 0
                 while lo < len(first):
                     hi = max(lo + 1, int(np.searchsorted(first, first[lo] + PIECE)))
-                    begin = int(first[lo])
-                    half = _ranks(prefix(data[begin : int(first[hi - 1] + more[hi - 1]) + length]), base, 4 * base)
-                    n = more[lo:hi] + 1
+                    begin, n = int(first[lo]), more[lo:hi] + 1
+                    run = np.repeat(np.arange(lo, hi), n)
                     start = np.repeat(first[lo:hi] - begin - (np.cumsum(n) - n), n) + np.arange(n.sum())
-                    pair = [pa.array(x.view(np.int64)) for x in (half[start], half[start + offsets[-1]])]
+                    head, *cols = blocks(data[begin : int(first[hi - 1] + more[hi - 1]) + length], start, run)
+                    cols, of = [pa.array(x) for x in cols], text[run[head]]
                     if counted:
-                        yield pa.RecordBatch.from_arrays([*pair, pa.array(np.repeat(asks[lo:hi], n))], names=["r1", "r2", "asks"])
+                        yield pa.RecordBatch.from_arrays([*cols, pa.array(asks[run[head]])], names=["r1", "r2", "left", "right", "asks"])
                     else:
-                        yield pa.RecordBatch.from_arrays([pa.repeat(batch.column("key")[k], len(start)), pa.array(start + begin + at), *pair], names=["key", "start", "r1", "r2"])
+                        yield pa.RecordBatch.from_arrays([part.column("key").take(pa.array(of)), pa.array(start[head] + begin + moved[of]), *cols], names=["key", "start", "r1", "r2", "left", "right"])
                     lo = hi
 
     if counted:
-        return asked.select("at", "reach", "runs").mapInArrow(_grouped(work), "r1 long, r2 long, asks boolean")
-    return asked.select("key", "at", "reach", "runs").mapInArrow(_grouped(work), "key binary, start long, r1 long, r2 long")
+        return asked.select("at", "reach", "runs").mapInArrow(_grouped(work), "r1 long, r2 long, left long, right long, asks boolean")
+    return asked.select("key", "at", "reach", "runs").mapInArrow(_grouped(work), "key binary, start long, r1 long, r2 long, left long, right long")
+
+
+def _repeated_starts(asked: DataFrame, length: int) -> DataFrame:
+    """(key, block, bits) of the starts that are asked about and repeat. Blocks that share no bytes with another don't;
+    blocks whose bytes are all equal do, in all starts; only of the others every start is a row."""
+    width = min(WIDTH, _schedule(length)[1][-1] + 1)
+    pair = ["r1", "r2"]
+    blocks = cut(_starts(asked, length, counted=True, width=width), "suffix-blocks")
+    again = blocks.groupBy(pair).agg(F.count("*").alias("c"), F.max("asks").alias("asks"), *[f(x).alias(f"{f.__name__}_{x}") for f in (F.min, F.max) for x in ("left", "right")])
+    again = cut(again.filter("c > 1 and asks").select(*pair, F.expr("min_left = max_left and min_right = max_right").alias("alike")), "suffix-again")
+    found = cut(_starts(asked, length, width=width).join(again.hint("merge"), pair), "suffix-found")
+    # a start is named by its place in the block and by what it reaches beyond the bytes of all
+    each = F.explode(F.sequence(F.lit(width - 1) - F.shiftright("right", 56), F.shiftright("left", 56)))
+    own = {"l": F.expr("left & (shiftleft(1L, cast(8 * i as int)) - 1) | shiftleft(i, 56)"), "r": F.expr(f"right & (shiftleft(1L, cast(8 * ({width - 1} - i) as int)) - 1)")}
+    partners = blocks.join(again.filter("not alike").select(pair).hint("merge"), pair).withColumn("i", each).withColumns(own)
+    twice = partners.groupBy(*pair, "l", "r").agg(F.count("*").alias("c")).filter("c > 1").select(*pair, "l", "r")
+    single = found.filter("not alike").withColumn("i", each).withColumns(own).join(twice.hint("merge"), [*pair, "l", "r"])
+    single = single.select("key", F.expr("start + shiftright(left, 56) - i").alias("start"), F.lit(1).cast("long").alias("n"))
+    whole = found.filter("alike").select("key", "start", F.expr(f"shiftright(left, 56) + shiftright(right, 56) - {width - 2}").alias("n"))
+    # n bits from ``start`` on, which can go on in the next mask
+    bits = whole.unionByName(single).withColumns({"q": F.expr(f"cast(start % {BITS} as int)"), "ones": F.expr("shiftleft(1L, cast(n as int)) - 1")})
+    parts = F.array(F.struct(F.expr(f"start div {BITS}").alias("block"), F.expr(f"shiftleft(ones, q) & {(1 << BITS) - 1}L").alias("bits")), F.struct(F.expr(f"start div {BITS} + 1").alias("block"), F.expr(f"shiftright(ones, {BITS} - q)").alias("bits")))
+    masks = bits.select("key", F.inline(parts)).filter("bits <> 0").groupBy("key", "block").agg(F.bit_or("bits").alias("bits"))
+    masks = cut(masks, "suffix-single")  # its shuffle files go before those of the equal runs come
+    for x in (blocks, again, found):
+        drop_cut(x)
+    return masks
 
 
 def _grouped(work, rows: int = 50_000):
@@ -232,9 +288,7 @@ def repeated_runs(rows: DataFrame, length: int = 200) -> DataFrame:
     todo = todo.groupBy("key", "at").agg(F.collect_list("run").alias("runs"))
     asked = cut(state.join(todo.hint("shuffle_hash"), ["key", "at"]).select("key", "at", "reach", "runs"), "suffix-asked")
     drop_cut(old)
-    again = _starts(asked, length, counted=True).groupBy("r1", "r2").agg(F.count("*").alias("c"), F.max("asks").alias("asks")).filter("c > 1 and asks").select("r1", "r2")
-    single = _starts(asked, length).join(again.hint("merge"), ["r1", "r2"]).groupBy("key", F.expr(f"start div {BITS}").alias("block")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(start % {BITS} as int))")).alias("bits"))
-    single = cut(single, "suffix-single")  # its shuffle files go before those of the equal runs come
+    single = _repeated_starts(asked, length)
     drop_cut(asked)
     spans_ = equal.select("key", F.struct("lo", "hi").alias("span"), F.lit(None).cast("struct<block:long,bits:long>").alias("mask"))
     masks = single.select("key", F.lit(None).cast("struct<lo:long,hi:long>").alias("span"), F.struct("block", "bits").alias("mask"))
