@@ -95,7 +95,7 @@ def mix(docs: DataFrame, path: list[str], total_tokens: int | None = None, max_e
     plan = budgets(leaves, path, total_tokens, max_epochs, weights)
     # whole epochs are taken without any order; the last, partial one by bins of the seeded hash
     plan = plan.withColumns({"whole": F.expr("cast(budget div tokens as int)"), "rest": F.expr("budget % tokens"), "bins": F.expr(f"greatest(1, n div {BIN_ROWS})")}).drop("n")
-    plan = plan.withColumnRenamed("tokens", "leaf_tokens")
+    plan = cut(plan.withColumnRenamed("tokens", "leaf_tokens"), "mix-plan")  # read five times, made once
     each = items.join(F.broadcast(plan) if n_leaves <= BROADCAST_LEAVES else plan.hint("merge"), path)
     full = each.filter("whole > 0").withColumn("epoch", F.explode(F.sequence(F.lit(0), F.col("whole") - 1)))
     # kept as a column: the bin is the leading part of the key, so bins are in the order of the key
